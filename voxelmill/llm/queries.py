@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelmill.llm import bpe, simhash
+from voxelmill.llm import bpe, mixing, simhash, substring, toxicity
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -30,5 +30,22 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe, "op3_simhash": op3_simhash}
-ORACLE_SQL: dict[str, str] = {}
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    scored = toxicity.score(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "topic", "n_tokens", "factor", "keep_prob", "selected")
+
+
+def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substring.dedup_substrings(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    # a text without removals keeps its own spacing in the operator; the digest joins words by one space
+    spaced = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), "[\\x20\\x09-\\x0D]+", " "))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2(spaced.cast("binary"), 256).alias("kept_sha256"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe, "op3_simhash": op3_simhash, "op6_toxicity": op6_toxicity, "op8_mixing": op8_mixing, "op9_substring": op9_substring}
+ORACLE_SQL: dict[str, str] = {"op8_mixing": mixing.oracle_sql()}
