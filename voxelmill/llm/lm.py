@@ -1,0 +1,142 @@
+"""Language-model scoring by cross-entropy difference.
+
+Two n-gram models of one order, one smoothing and one vocabulary (the 256 byte values and an end mark) are counted over
+the whole corpus: the background over every document, the target over the documents of a target table. A token is a
+byte; each order's estimate is mixed with the next lower one (Dirichlet prior of weight ``PRIOR``), down to the uniform.
+A document's score is the mean over its tokens of the target's loss less the background's: low scores are like the target.
+
+Documents are dealt into hash buckets. A bucket counts its own distinct n-grams, a window over each n-gram sums what at
+most one row per bucket holds, and every bucket gets back the sums of its own n-grams: no table of the models goes to
+the driver or to all tasks, and what is shuffled grows with the corpus. A bucket's memory follows its documents.
+
+Null and empty texts have one token, the end. Repeated rows count each; documents named more than once by the target
+table count once in the target for each of their rows. Without any target document the target model is uniform. A null
+doc_id is in no target. Input columns with the names of outputs are replaced. An empty table gives an empty result.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from voxelmill.session import bucket_count, materialize
+
+ORDER, PRIOR, START, END, SLICE_BYTES = 4, 20.0, 0xFE, 0xFF, 4_000_000
+COUNTS = "gram long, bucket int, n long, n_target long"
+
+
+def grams(text: str | None) -> np.ndarray:
+    """The ``ORDER`` bytes that end at each token, big-endian; UTF-8 has neither mark."""
+    raw = np.frombuffer(bytes([START]) * (ORDER - 1) + (text or "").encode() + bytes([END]), np.uint8).astype(np.uint32)
+    n = len(raw) - ORDER + 1
+    code = raw[:n].copy()
+    for k in range(1, ORDER):
+        code = code << np.uint32(8) | raw[k : k + n]
+    return code
+
+
+def _key(code: np.ndarray, order: int) -> np.ndarray:
+    """Key of the last ``order`` bytes of a gram."""
+    return (code.astype(np.int64) & ((1 << 8 * order) - 1)) | (order << 40)
+
+
+def _tally(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    return np.unique(np.concatenate(parts), return_counts=True) if parts else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+
+
+def _add(held: tuple[np.ndarray, np.ndarray], more: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    code, inverse = np.unique(np.concatenate([held[0], more[0]]), return_inverse=True)
+    return code, np.bincount(inverse, np.concatenate([held[1], more[1]]), len(code)).astype(np.int64)
+
+
+def _count(docs: pa.Table, targets: pa.Table) -> pa.Table:
+    """Counts of a bucket's n-grams of every order."""
+    chosen = set(targets["id"].to_pylist())
+    empty = (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+    held = {False: empty, True: empty}
+    waiting: dict[bool, list[np.ndarray]] = {False: [], True: []}
+    rows, size = 0, 0
+    for i, text in zip(docs["id"].to_pylist(), docs["text"]):
+        waiting[i in chosen].append(grams(text.as_py()))
+        size += len(waiting[i in chosen][-1])
+        if size >= SLICE_BYTES:
+            for t, parts in waiting.items():
+                held[t], waiting[t] = _add(held[t], _tally(parts)), []
+            size = 0
+        rows += 1
+    for t, parts in waiting.items():
+        held[t] = _add(held[t], _tally(parts))
+    code, n = _add(held[False], held[True])
+    at = np.searchsorted(code, held[True][0])
+    target = np.zeros(len(code), np.int64)
+    target[at] = held[True][1]
+    out = []
+    for order in range(1, ORDER + 1):
+        key, inverse = np.unique(_key(code, order), return_inverse=True)
+        out.append((key, np.bincount(inverse, n, len(key)).astype(np.int64), np.bincount(inverse, target, len(key)).astype(np.int64)))
+    key, n, target = (np.concatenate(x) for x in zip(*out))
+    bucket = docs["bucket"][0].as_py() if len(docs) else 0
+    return pa.table({"gram": key, "bucket": pa.array(np.full(len(key), bucket, np.int32)), "n": n, "n_target": target})
+
+
+def losses(code: np.ndarray, key: np.ndarray, n: np.ndarray, total: int, texts: int) -> np.ndarray:
+    """Loss of the last token of each gram in a model of counts ``n`` of sorted ``key``, over ``total`` tokens of ``texts`` texts."""
+
+    def count(keys: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(key, keys), len(key) - 1)
+        return np.where(key[at] == keys, n[at], 0)
+
+    p = np.full(len(code), 1 / 257)
+    for order in range(1, ORDER + 1):
+        if order == 1:
+            before = np.full(len(code), float(total))
+        else:
+            context = code.astype(np.int64) >> 8
+            # a context's occurrences: those of the gram that it is, or the texts' starts
+            before = np.where(context & 0xFF == START, texts, count(_key(context, order - 1)))
+        p = (count(_key(code, order)) + PRIOR * p) / (before + PRIOR)
+    return -np.log(p)
+
+
+def _rate(schema: T.StructType, names: tuple[str, ...], totals: tuple[int, int, int, int]):
+    def rate(docs: pa.Table, counts: pa.Table) -> pa.Table:
+        key, n, target = (counts[c].to_numpy() for c in ("gram", "n", "n_target"))
+        order = np.argsort(key)
+        key, n, target = key[order], n[order].astype(np.float64), target[order].astype(np.float64)
+        top = key >> 40 == ORDER
+        code = (key[top] & 0xFFFFFFFF).astype(np.uint32)
+        tokens, tokens_target, texts, texts_target = totals
+        own = []
+        for counted, total, starts in ((target, tokens_target, texts_target), (n, tokens, texts)):
+            own.append(losses(code, key, counted, total, starts))
+        at_target, at_all, size = [], [], []
+        for text in docs["text"]:
+            at = np.searchsorted(code, grams(text.as_py()))
+            size.append(len(at))
+            at_target.append(float(own[0][at].mean()))
+            at_all.append(float(own[1][at].mean()))
+        a, b = np.array(at_target), np.array(at_all)
+        made = dict(zip(names, (pa.array(size, pa.int64()), pa.array(a, pa.float64()), pa.array(b, pa.float64()), pa.array(a - b, pa.float64()))))
+        return pa.table({f.name: made[f.name] if f.name in made else docs[f"c_{k}"] for k, f in enumerate(schema)})
+
+    return rate
+
+
+def score(df: DataFrame, targets: DataFrame, doc_id: str = "doc_id", text: str = "text", out: tuple[str, str, str, str] = ("n_tokens", "target_loss", "background_loss", "ce_difference")) -> DataFrame:
+    """``df`` with the number of tokens, both models' mean losses and their difference. ``targets`` has the doc_ids of target documents."""
+    buckets = bucket_count(df)
+    deal = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(buckets)).cast("int").alias("bucket")
+    columns = [c for c in df.columns if c not in out]
+    schema = T.StructType([*(df.schema[c] for c in columns), T.StructField(out[0], T.LongType()), *(T.StructField(c, T.DoubleType()) for c in out[1:])])
+    keyed = df.select(deal(doc_id), F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"), *(F.col(c).alias(f"c_{k}") for k, c in enumerate(columns)))
+    chosen = targets.select(deal(doc_id), F.col(doc_id).cast("long").alias("id")).dropna().distinct()
+    counted = keyed.select("bucket", "id", "text").groupBy("bucket").cogroup(chosen.groupBy("bucket")).applyInArrow(_count, COUNTS)
+    each = Window.partitionBy("gram")
+    summed = materialize(counted.select("gram", "bucket", F.sum("n").over(each).alias("n"), F.sum("n_target").over(each).alias("n_target"), (F.row_number().over(each.orderBy("bucket")) == 1).alias("once")), "lm-counts")
+    first = F.col("once") & (F.shiftright("gram", 40) == 1)
+    ends = first & (F.col("gram").bitwiseAND(0xFF) == END)
+    totals = summed.agg(*(F.coalesce(F.sum(F.when(c, F.col(n))), F.lit(0)) for c in (first, ends) for n in ("n", "n_target"))).first()
+    return keyed.groupBy("bucket").cogroup(summed.select("bucket", "gram", "n", "n_target").groupBy("bucket")).applyInArrow(_rate(schema, out, tuple(int(x) for x in totals)), schema)
