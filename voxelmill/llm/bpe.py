@@ -2,7 +2,8 @@
 
 Each pre-token is merged over a segment tree whose leaves hold the merge ranks of adjacent pairs. The root yields the
 lowest rank, the walk down to it the leftmost pair of that rank; a merge changes three leaves, each in logarithmic
-time, until the root holds no rank. Results of short pre-tokens are kept in a bounded table.
+time, until the root holds no rank. The short pre-tokens of a slice of texts are merged together, one tree in each row
+of an array; a long one has a tree of its own. Results of short pre-tokens are kept in a bounded table.
 
 Texts are handled row by row in Arrow batches: no shuffle, no state between rows. Null text encodes as no tokens,
 as does empty text; null ids decode to null.
@@ -11,6 +12,8 @@ as does empty text; null ids decode to null.
 from __future__ import annotations
 
 import json
+import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +24,10 @@ from pyspark.sql import functions as F
 # The public pre-tokenizer pattern of byte-level BPE vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 NO_RANK = 1 << 30
-TABLE_ENTRIES, TABLE_PIECE = 250_000, 40
+# The same pattern with its classes written out for texts of Latin-1 characters alone, which the plain engine splits faster.
+_L, _N, _S = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", r"0-9\xb2\xb3\xb9\xbc-\xbe", r"\t-\r \x85\xa0"
+LATIN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
+TABLE_ENTRIES, SHORT, SLICE_CHARS = 400_000, 32, 1_500_000
 
 
 def _byte_alphabet() -> dict[str, int]:
@@ -54,16 +60,95 @@ class Vocabulary(dict):
             self.bytes[i] = bytes(alphabet[ch] for ch in token)
         for token, i in self.special.items():
             self.bytes[i] = token.encode()
-        self.pieces = regex.compile(PATTERN).findall
+        self.any_pieces, self.latin_pieces = regex.compile(PATTERN).findall, re.compile(LATIN).findall
+        self.keys = np.array(sorted(self.rank), np.int64)
+        self.key_ranks = np.array([self.rank[k] for k in self.keys.tolist()], np.int32)
+        self.keys, self.key_ranks = np.append(self.keys, np.int64(1) << 62), np.append(self.key_ranks, np.int32(NO_RANK))
+        self.merged_ids, self.first_ids = np.array(self.merged, np.int32), np.array(self.first, np.int32)
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
 
     def __missing__(self, piece: str) -> bytes:
-        packed = np.array(self.merge([self.first[b] for b in piece.encode()]), "<u4").tobytes()
-        if len(piece) <= TABLE_PIECE:
-            if len(self) >= TABLE_ENTRIES:
-                self.clear()
-            self[piece] = packed
-        return packed
+        """A pre-token that isn't in the table: a long one."""
+        return np.array(self.merge([self.first[b] for b in piece.encode()]), "<u4").tobytes()
+
+    def pieces(self, text: str) -> list[str]:
+        if not text.isascii():
+            try:
+                text.encode("latin-1")
+            except UnicodeEncodeError:
+                return self.any_pieces(text)
+        return self.latin_pieces(text)
+
+    def learn(self, pieces: set[str]) -> None:
+        """Merge the short ones of ``pieces`` that the table lacks and put them there."""
+        new = [p for p in pieces if p not in self]
+        if len(self) + len(new) > TABLE_ENTRIES:
+            self.clear()
+            new = list(pieces)
+        raw = [p.encode() for p in new]
+        by_size: dict[int, list[int]] = {}
+        for i, b in enumerate(raw):
+            if len(b) <= SHORT:
+                by_size.setdefault(max(1, len(b) - 2).bit_length(), []).append(i)
+        for which in by_size.values():
+            for i, packed in zip(which, self.merge_all([raw[i] for i in which])):
+                self[new[i]] = packed
+
+    def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Merge ranks of pairs of ids; ids below zero have none."""
+        key = a.astype(np.int64) << 32 | b
+        at = np.searchsorted(self.keys, key)
+        return np.where((a >= 0) & (b >= 0) & (self.keys[at] == key), self.key_ranks[at], NO_RANK).astype(np.int32)
+
+    def merge_all(self, raw: list[bytes]) -> list[bytes]:
+        """Packed ids of short pre-tokens: a segment tree in each row, all of one size, worked on together."""
+        n = np.fromiter(map(len, raw), np.int64, len(raw))
+        size = 1 << max(1, int(n.max()) - 1 - 1).bit_length() if n.max() > 2 else 2
+        ids = np.full((len(raw), size + 2), -1, np.int32)  # a column more than pairs, and one that ends chains
+        inside = np.arange(size + 2) < n[:, None]
+        ids[inside] = self.first_ids[np.frombuffer(b"".join(raw), np.uint8)]
+        tree = np.empty((len(raw), 2 * size), np.int32)
+        tree[:, size:] = self.ranks(ids[:, :size].ravel(), ids[:, 1 : size + 1].ravel()).reshape(-1, size)
+        for i in range(size - 1, 0, -1):
+            np.minimum(tree[:, 2 * i], tree[:, 2 * i + 1], out=tree[:, i])
+        end = size + 1
+        after = np.minimum(np.arange(1, size + 3), end)[None].repeat(len(raw), 0)
+        before = np.arange(-1, size + 1)[None].repeat(len(raw), 0)
+
+        def put(rows: np.ndarray, at: np.ndarray, value: np.ndarray | int) -> None:
+            at = at + size
+            tree[rows, at] = value
+            level = size
+            while level > 1:
+                at >>= 1
+                tree[rows, at] = np.minimum(tree[rows, 2 * at], tree[rows, 2 * at + 1])
+                level >>= 1
+
+        rows = np.flatnonzero(tree[:, 1] < NO_RANK)
+        while len(rows):
+            low, at = tree[rows, 1], np.ones(len(rows), np.int64)
+            level = 1
+            while level < size:
+                at *= 2
+                at += tree[rows, at] != low
+                level *= 2
+            at -= size
+            gone = after[rows, at]
+            then = after[rows, gone]
+            ids[rows, at] = self.merged_ids[low]
+            ids[rows, gone] = -1
+            after[rows, at] = then
+            before[rows, then] = at
+            leaf = gone < size
+            put(rows[leaf], gone[leaf], NO_RANK)
+            put(rows, at, self.ranks(ids[rows, at], ids[rows, then]))
+            left = before[rows, at]
+            has = left >= 0
+            put(rows[has], left[has], self.ranks(ids[rows[has], left[has]], ids[rows[has], at[has]]))
+            rows = rows[tree[rows, 1] < NO_RANK]
+        live = ids >= 0
+        packed, ends = ids[live].astype("<u4").tobytes(), (np.cumsum(live.sum(axis=1)) * 4).tolist()
+        return [packed[a:b] for a, b in zip([0, *ends], ends)]
 
     def merge(self, ids: list[int]) -> list[int]:
         """Merge one pre-token's ids in place of rank order, leftmost first."""
@@ -117,11 +202,29 @@ class Vocabulary(dict):
         return out
 
     def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers. Special tokens' strings in the text become those tokens."""
-        get, pieces = self.__getitem__, self.pieces
-        if self.split is None or not any(s in text for s in self.special):
-            return b"".join(map(get, pieces(text)))
-        return b"".join(self.special[part].to_bytes(4, "little") if part in self.special else b"".join(map(get, pieces(part))) for part in self.split(text) if part)
+        return next(self.encode_all([text]))
+
+    def encode_all(self, texts: list[str]) -> Iterator[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers. Special tokens' strings become those tokens."""
+        get, at = self.__getitem__, 0
+        while at < len(texts):
+            parts, chars = [], 0  # of each text; a part is a list of pre-tokens or a special token's packed id
+            while at < len(texts) and chars < SLICE_CHARS:
+                text = texts[at]
+                if self.split is None or not any(s in text for s in self.special):
+                    parts.append([self.pieces(text)])
+                else:
+                    parts.append([self.special[p].to_bytes(4, "little") if p in self.special else self.pieces(p) for p in self.split(text) if p])
+                chars += len(text)
+                at += 1
+            seen: set[str] = set()
+            for own in parts:
+                for p in own:
+                    if isinstance(p, list):
+                        seen.update(p)
+            self.learn(seen)
+            for own in parts:
+                yield b"".join(p if isinstance(p, bytes) else b"".join(map(get, p)) for p in own)
 
     def decode(self, packed: bytes) -> str:
         return b"".join(map(self.bytes.__getitem__, np.frombuffer(packed, "<u4").tolist())).decode("utf-8", "replace")
@@ -142,8 +245,7 @@ def encode_column(text: Column, path: str) -> Column:
 
     @F.arrow_udf("binary")
     def bpe_encode(texts: pa.Array) -> pa.Array:
-        encode = vocabulary(path).encode
-        return pa.array([encode(t.as_py() or "") for t in texts], pa.binary())
+        return pa.array(vocabulary(path).encode_all([t or "" for t in texts.to_pylist()]), pa.binary())
 
     return bpe_encode(text)
 
