@@ -5,12 +5,12 @@ that also starts earlier (smaller doc_id, or same document and earlier start); w
 
 Level one counts half windows. Of each window only the half-length stretch with the least hash stands for it, so equal
 windows agree on their stretch and about a sixth of all stretches are counted. Windows whose stretch occurs once are
-settled; the others alone are doubled to the full length, hashed to 128 bits and ranked by their place. With no
-candidates left, a level passes nothing on.
+settled; the others alone are doubled to the full length, known by both hashes (128 bits) and ranked by their place.
+Windows that stand at one stretch travel as one row. With no candidates left, a level passes nothing on.
 
 Documents are dealt into hash buckets by doc_id. Tasks sum what one bucket or one map task repeats before anything is
 shuffled, so a passage in a third of all documents is a row per bucket (level two) or per map task (level one), not per
-document. Text is shuffled by bucket twice and nothing is collected.
+document. Text is shuffled by bucket twice, compressed, and nothing is collected.
 
 Null text has no words. Repeated rows (same doc_id and text) are one place, so neither is earlier; texts that differ
 under one doc_id stand in order of their bytes. A null doc_id sorts last. Input columns with the names of outputs are
@@ -24,7 +24,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+import zstandard
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -110,6 +111,22 @@ def _level_one(window: int):
     return count
 
 
+def _packed(text: Column) -> Column:
+    """Compressed text, for a shuffle."""
+
+    @F.arrow_udf("binary")
+    def pack(texts: pa.Array) -> pa.Array:
+        z = zstandard.ZstdCompressor(level=3)
+        return pa.array([None if (t := x.as_py()) is None else z.compress(t.encode()) for x in texts], pa.binary())
+
+    return pack(text)
+
+
+def _texts(table: pa.Table) -> list[str | None]:
+    z = zstandard.ZstdDecompressor()
+    return [None if (b := x.as_py()) is None else z.decompress(b).decode() for x in table["text"]]
+
+
 def _ids(table: pa.Table) -> list[int]:
     return [LAST_ID if i is None else i for i in table["id"].to_pylist()]
 
@@ -125,14 +142,17 @@ def _ordinals(ids: list[int], texts: list[str | None]) -> list[int]:
     return [place[i][(t or "").encode()] for i, t in zip(ids, texts)]
 
 
-OCCURRENCE = T.StructType([T.StructField("wa", T.LongType()), T.StructField("wb", T.LongType()), T.StructField("id", T.LongType()), T.StructField("start", T.LongType()), T.StructField("run", T.IntegerType())])
+#: Windows of one stretch and document: their second hashes, the first one's id and start, how far each is from the last;
+#: or, with a run, starts that are known to be later ones.
+OCCURRENCE = "stretch long, hashes array<long>, id long, start long, steps array<byte>, run int"
+SCHEMA = pa.schema([("stretch", pa.int64()), ("hashes", pa.list_(pa.int64())), ("id", pa.int64()), ("start", pa.int64()), ("steps", pa.list_(pa.int8())), ("run", pa.int32())])
 
 
 def _level_two(window: int):
     def rank(docs: pa.Table, repeated: pa.Table) -> pa.Table:
         """Of a bucket's candidate windows, the first place of each sequence (run 0), and the later ones as runs of starts."""
         known = np.unique(repeated["stretch"].to_numpy().view(np.uint64))
-        ids, texts = _ids(docs), docs["text"].to_pylist()
+        ids, texts = _ids(docs), _texts(docs)
         parts = []
         for i, k, text in zip(ids, _ordinals(ids, texts), texts):
             words = _split(text)
@@ -144,9 +164,9 @@ def _level_two(window: int):
             at[at == len(known)] = 0
             starts = np.flatnonzero(known[at] == least)
             if len(starts):
-                parts.append((gram_hashes(h, window)[starts], gram_hashes(h, window, 1)[starts], np.full(len(starts), i, np.int64), starts + (k << ORDINAL_BITS)))
+                parts.append((least[starts], gram_hashes(h, window, 1)[starts], np.full(len(starts), i, np.int64), starts + (k << ORDINAL_BITS)))
         if not parts:
-            return pa.table({f.name: pa.array([], pa.int32() if f.name == "run" else pa.int64()) for f in OCCURRENCE})
+            return SCHEMA.empty_table()
         wa, wb, i, s = (np.concatenate(x) for x in zip(*parts))
         order = np.lexsort((s, i, wb, wa))
         wa, wb, i, s = wa[order], wb[order], i[order], s[order]
@@ -158,10 +178,18 @@ def _level_two(window: int):
         li, ls = i[later][order], s[later][order]
         cut = np.flatnonzero(np.r_[True, (li[1:] != li[:-1]) | (ls[1:] > ls[:-1] + 1)]) if len(li) else np.zeros(0, int)
         run = (ls[np.r_[cut[1:] - 1, len(ls) - 1]] - ls[cut] + 1).astype(np.int32) if len(li) else np.zeros(0, np.int32)
-        return pa.table({
-            "wa": np.concatenate([wa[first].view(np.int64), li[cut]]), "wb": np.concatenate([wb[first].view(np.int64), ls[cut]]),
-            "id": np.concatenate([i[first], li[cut]]), "start": np.concatenate([s[first], ls[cut]]), "run": np.concatenate([np.zeros(len(first), np.int32), run]),
-        })
+        rows = np.flatnonzero(new)
+        rows = rows[np.lexsort((s[rows], i[rows], wa[rows]))]
+        fa, fb, fi, fs = wa[rows], wb[rows], i[rows], s[rows]
+        step = np.diff(fs, prepend=fs[:1])
+        head = np.flatnonzero(np.r_[True, (fa[1:] != fa[:-1]) | (fi[1:] != fi[:-1]) | (step[1:] > 100)])
+        step[head] = 0
+        ends = np.r_[head, len(rows)].astype(np.int32)
+        none = np.zeros(len(li) + 1, np.int32)
+        return pa.concat_tables([
+            pa.table([pa.array(fa[head].view(np.int64)), pa.ListArray.from_arrays(ends, fb.view(np.int64)), pa.array(fi[head]), pa.array(fs[head]), pa.ListArray.from_arrays(ends, step.astype(np.int8)), pa.array(np.zeros(len(head), np.int32))], schema=SCHEMA),
+            pa.table([pa.array(li[cut]), pa.ListArray.from_arrays(none[: len(cut) + 1], np.zeros(0, np.int64)), pa.array(li[cut]), pa.array(ls[cut]), pa.ListArray.from_arrays(none[: len(cut) + 1], np.zeros(0, np.int8)), pa.array(run)], schema=SCHEMA),
+        ])
 
     return rank
 
@@ -172,7 +200,7 @@ def _cut(window: int, schema: T.StructType, text_at: str, out: tuple[str, str]):
         lid, start, run = (later[c].to_numpy() for c in ("id", "start", "run"))
         order = np.lexsort((start, lid))
         lid, start, run = lid[order], start[order], run[order]
-        ids, texts = _ids(docs), docs["text"].to_pylist()
+        ids, texts = _ids(docs), _texts(docs)
         kept, words_n, removed_n = [], [], []
         for i, k, text in zip(ids, _ordinals(ids, texts), texts):
             words, base = _split(text), k << ORDINAL_BITS
@@ -204,14 +232,20 @@ def dedup_substrings(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
     if window < 2:
         raise ValueError("a window has two words at least")
     buckets = bucket_count(df)
-    keyed = df.select(F.pmod(F.xxhash64(doc_id), F.lit(buckets)).cast("int").alias("bucket"), F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"), *(F.col(c).alias(f"c_{n}") for n, c in enumerate(df.columns) if c != text))
-    counted = keyed.select("text", "bucket").mapInArrow(_level_one(window), "stretch long, bucket int, n byte")
+    bucket = F.pmod(F.xxhash64(doc_id), F.lit(buckets)).cast("int").alias("bucket")
+    plain = df.select(bucket, F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"), *(F.col(c).alias(f"c_{n}") for n, c in enumerate(df.columns) if c != text))
+    keyed = plain.withColumn("text", _packed(F.col("text")))
+    counted = plain.select("text", "bucket").mapInArrow(_level_one(window), "stretch long, bucket int, n byte")
     again = counted.withColumn("all", F.sum("n").over(Window.partitionBy("stretch"))).filter("all > 1")
     everywhere = F.when(F.col("bucket") < 0, F.sequence(F.lit(0), F.lit(buckets - 1))).otherwise(F.array("bucket"))
     repeated = again.select("stretch", F.explode(everywhere).alias("bucket"))
-    found = keyed.select("bucket", "id", "text").groupBy("bucket").cogroup(repeated.groupBy("bucket")).applyInArrow(_level_two(window), OCCURRENCE)
-    place = F.rank().over(Window.partitionBy("wa", "wb", F.col("run") > 0).orderBy("id", "start"))
-    later = found.withColumn("place", place).filter("run > 0 or place > 1").select(F.pmod(F.xxhash64(F.when(F.col("id") != LAST_ID, F.col("id"))), F.lit(buckets)).cast("int").alias("bucket"), "id", "start", "run")
+    found = keyed.select("bucket", "id", "text").groupBy("bucket").cogroup(repeated.groupBy("bucket")).applyInArrow(_level_two(window), OCCURRENCE).repartition("stretch")
+    starts = F.transform("steps", lambda x, n: F.struct(F.element_at("hashes", n + 1).alias("hash"), F.aggregate(F.slice("steps", 1, n + 1), F.col("start"), lambda a, y: a + y).alias("start")))
+    windows = found.select("stretch", "id", "run", F.explode(F.when(F.col("run") > 0, F.array(F.struct(F.lit(0).cast("long").alias("hash"), F.col("start")))).otherwise(starts)).alias("w")).select("stretch", "id", "run", "w.hash", "w.start")
+    # runs are settled: each ranks apart
+    place = F.rank().over(Window.partitionBy("stretch", "hash", "run").orderBy("id", "start"))
+    owner = F.pmod(F.xxhash64(F.when(F.col("id") != LAST_ID, F.col("id"))), F.lit(buckets)).cast("int").alias("bucket")
+    later = windows.withColumn("place", place).filter("run > 0 or place > 1").select(owner, "id", "start", "run")
     kept = [f for f in df.schema if f.name not in (n_words, n_removed)]
     schema = T.StructType([*df.schema, *(T.StructField(c, T.LongType()) for c in (n_words, n_removed) if c not in df.columns)])
     schema = T.StructType([T.StructField(f.name, T.LongType() if f not in kept else f.dataType, True) for f in schema])
