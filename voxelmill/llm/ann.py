@@ -2,7 +2,7 @@
 
 Equal vectors of a label are first counted into one node. Nodes go to the shard of their nearest centre and, as guests,
 to every shard whose border is within the search angle: whatever links to a node is then a member of the node's own
-shard. A shard above ``SHARD_ROWS`` nodes is cut into parts; each task holds the nodes of one part that ask and of one
+shard. In many dimensions that angle reaches most borders of a label, so shards are as large as a task can hold. A shard above ``SHARD_ROWS`` nodes is cut into parts; each task holds the nodes of one part that ask and of one
 part that may answer, so tasks stay bounded and no pair is lost.
 
 In a task, candidates (all within the range, and the nearest) are pruned robustly: a candidate goes if a kept one is
@@ -33,11 +33,11 @@ from voxelmill.llm.topk import usable
 from voxelmill.operators.components import connected_components
 from voxelmill.session import materialize, shuffle_partitions
 
-SHARD_ROWS, MAX_CENTRES, SAMPLE_ROWS, NEAREST, ALPHA, MIN_RECALL, AUDIT_ROWS = 1500, 512, 20_000, 12, 1.1, 0.9, 20
+SHARD_ROWS, MAX_CENTRES, SAMPLE_ROWS, NEAREST, ALPHA, MIN_RECALL, AUDIT_ROWS = 6000, 512, 20_000, 12, 1.1, 0.9, 20
 MEMBERS = "shard int, node long, home boolean, unit binary"
 
 
-def centres(sample: list[tuple[str, np.ndarray]], nodes: int, rounds: int = 6) -> dict[str, np.ndarray]:
+def centres(sample: list[tuple[str, np.ndarray]], nodes: int, shard_rows: int = SHARD_ROWS, rounds: int = 6) -> dict[str, np.ndarray]:
     """Unit centres by group (label and length), from a bounded sample; at most ``MAX_CENTRES`` beyond one a group."""
     by: dict[str, list[np.ndarray]] = {}
     for g, v in sample:
@@ -46,7 +46,7 @@ def centres(sample: list[tuple[str, np.ndarray]], nodes: int, rounds: int = 6) -
     for g, vs in sorted(by.items()):
         x = np.array(sorted(map(tuple, vs)))
         share = len(x) / max(1, len(sample))
-        k = int(max(1, min(np.ceil(nodes * share / (SHARD_ROWS / 3)), MAX_CENTRES * share, len(x))))
+        k = int(max(1, min(np.ceil(nodes * share / shard_rows), MAX_CENTRES * share, len(x))))
         c = x[np.random.default_rng(11).choice(len(x), k, replace=False)]
         for _ in range(rounds):
             near = (x @ c.T).argmax(1)
@@ -236,7 +236,7 @@ def near_duplicates(df: DataFrame, vec_id: str = "vec_id", vec: str = "embedding
     nodes = materialize(nodes.mapInArrow(to_unit, ", ".join(f"`{c}` {t}" for c, t in kind.items()) + ", unit binary"), "ann-nodes")
     total = nodes.count()
     sample = [(r.grp, np.frombuffer(bytes(r.unit), "<f8")) for r in nodes.select("grp", "unit", "node").orderBy(F.xxhash64("grp", "unit"), "node").limit(SAMPLE_ROWS).select("grp", "unit").collect()]
-    shared = spark.sparkContext.broadcast(centres(sample, total))
+    shared = spark.sparkContext.broadcast(centres(sample, total, shard_rows))
     members = materialize(nodes.select("grp", "node", "unit").mapInArrow(_members(shared, cosine), MEMBERS).join(nodes.select("node", "n"), "node"), "ann-members")
     sizes = members.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / shard_rows).cast("int").alias("parts"))
     placed = members.join(sizes, "shard").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
