@@ -11,7 +11,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxelmill.operators.stencil import COORDS, neighbours
@@ -284,23 +284,66 @@ def register(frames: DataFrame, feature: str = "c0") -> DataFrame:
     return both.groupBy("t").applyInPandas(kernel, "t int, dy int, dx int")
 
 
+def template_peak(plane: np.ndarray, piece: np.ndarray) -> float:
+    """Greatest normalised correlation of ``piece`` with the windows of ``plane``, centred on its pixels; outside it is 0.
+
+    Windows' sums come from running totals, their products with the piece from one product of spectra."""
+    h, w = piece.shape
+    wide = np.pad(plane, ((h, h), (w, w)))
+    t = piece - piece.mean()
+    size = (wide.shape[0] + h - 1, wide.shape[1] + w - 1)
+    products = np.fft.irfft2(np.fft.rfft2(wide, size) * np.fft.rfft2(t[::-1, ::-1], size), size)[h - 1 : wide.shape[0], w - 1 : wide.shape[1]]
+
+    def sums(a: np.ndarray) -> np.ndarray:
+        c = np.pad(a.cumsum(0).cumsum(1), ((1, 0), (1, 0)))
+        return c[h:, w:] - c[:-h, w:] - c[h:, :-w] + c[:-h, :-w]
+
+    power = np.sqrt(np.maximum(sums(wide**2) - sums(wide) ** 2 / t.size, 0) * (t**2).sum())
+    peak = np.where(power > 1e-9, products / np.maximum(power, 1e-9), 0.0)
+    y, x = 1 + (h - 1) // 2, 1 + (w - 1) // 2
+    return float(peak[y : y + plane.shape[0], x : x + plane.shape[1]].max())
+
+
 def slice_to_volume(planes: DataFrame, piece: DataFrame, feature: str = "c0") -> DataFrame:
-    """Best normalised correlation of a plane with each plane z of a volume; the best z has ``best``."""
-    both = planes.select("z", "y", "x", F.col(feature).alias("v")).join(piece.select("y", "x", F.col(feature).alias("r")), ["y", "x"], "left")
+    """Best template correlation of a plane with each plane z of a volume; the best z (ties: the smallest) has ``best``.
+
+    Both are scaled to mean 0 and deviation 1; missing values count as 0. The piece lies within the planes' extent."""
+    both = planes.select("z", "y", "x", F.col(feature).alias("v")).join(piece.select("y", "x", F.col(feature).alias("r"), F.lit(True).alias("there")), ["y", "x"], "left")
+
+    def scaled(rows: pd.DataFrame, column: str) -> np.ndarray:
+        at = rows[["y", "x"]].to_numpy(np.int64)
+        a = np.zeros(tuple(at.max(0) + 1))
+        a[tuple(at.T)] = rows[column].fillna(0.0).to_numpy(np.float64)
+        return (a - a.mean()) / (a.std() + 1e-8)
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        at = pdf[["y", "x"]].to_numpy(np.int64)
-        a = np.zeros((*(at.max(0) + 1), 2))
-        a[tuple(at.T)] = pdf[["v", "r"]].fillna(0.0).to_numpy(np.float64)
-        v, r = ((m - m.mean()) / (m.std() or 1.0) for m in (a[..., 0], a[..., 1]))
-        c = np.fft.ifft2(np.fft.fft2(v) * np.conj(np.fft.fft2(r))).real / v.size
-        return pd.DataFrame({"z": pdf["z"].iloc[:1].to_numpy(np.int32), "correlation": [float(c.max())]})
+        part = pdf[pdf["there"].notna()]
+        found = template_peak(scaled(pdf, "v"), scaled(part, "r")) if len(part) else math.nan
+        return pd.DataFrame({"z": pdf["z"].iloc[:1].to_numpy(np.int32), "correlation": [found]})
 
     out = both.groupBy("z").applyInPandas(kernel, "z int, correlation double")
     best = out.agg(F.max_by(F.col("z"), F.struct("correlation", -F.col("z"))).alias("best_z"))
     return out.join(F.broadcast(best)).withColumn("best", F.col("z") == F.col("best_z")).drop("best_z")
 
 
+def cap_sweep(vox: DataFrame, caps: list[float], offsets, local: float, **options) -> DataFrame:
+    """Exact fills of every dataset under each cap, summed up by cap in the list's order: cells, their sizes, the share of
+    voxels claimed, cells' q95 distances to their mean, and whether the greatest of these has not risen."""
+    runs = [flood_fill(vox, offsets, local, cap=c, **options).withColumn("step", F.lit(k)).withColumn("cap", F.lit(float(c))) for k, c in enumerate(caps)]
+    every = runs[0]
+    for run in runs[1:]:
+        every = every.unionByName(run)
+    cell = ["step", "cap", "dataset_id", "label"]
+    filled = every.join(vox.select("dataset_id", *COORDS, "c0", "c1"), ["dataset_id", *COORDS])
+    counts = filled.groupBy("step", "cap").agg(F.avg((F.col("label") > 0).cast("int")).alias("claimed_fraction"))
+    own = filled.filter("label > 0")
+    means = own.groupBy(*cell).agg(F.avg("c0").alias("m0"), F.avg("c1").alias("m1"), F.count(F.lit(1)).alias("size"))
+    spread = own.join(means, cell).groupBy(*cell, "size").agg(F.percentile(F.hypot(F.col("c0") - F.col("m0"), F.col("c1") - F.col("m1")), F.lit(0.95)).alias("q"))
+    cells = spread.groupBy("step").agg(F.count(F.lit(1)).alias("n_labels"), F.avg("size").alias("size_mean"), F.stddev_pop("size").alias("size_std"), F.avg("q").alias("mean_q95"), F.max("q").alias("max_q95"))
+    before = F.lag("max_q95").over(Window.orderBy("step"))  # a row for each cap
+    return counts.join(cells, "step", "left").fillna(0, ["n_labels", "size_mean", "size_std"]).withColumn("not_risen", F.coalesce(F.col("max_q95") <= before, F.lit(True)))
+
+
 def top_down(levels: DataFrame, threshold: float, claimed_share: float = 0.1) -> DataFrame:
     """From the coarsest level to the finest, accept cells whose distances' q95 is below the threshold and that are mostly unclaimed."""
 

@@ -53,15 +53,16 @@ def interior(pads: tuple[int, int, int], shape: tuple[int, int, int], prefix: st
     return out
 
 
-def neighbours(vox: DataFrame, offsets: list[tuple[int, int, int]], carry: list[str]) -> DataFrame:
-    """Rows (voxel, neighbour): tile, coordinates, ``carry`` of the voxel and ``n_<carry>`` of the neighbour."""
+def neighbours(vox: DataFrame, offsets: list[tuple[int, int, int]], carry: list[str], others: DataFrame | None = None) -> DataFrame:
+    """Rows (voxel, neighbour): tile, coordinates, ``carry`` of the voxel and ``n_<carry>`` of the neighbour, which is a
+    voxel of ``others`` where that is given."""
     if not offsets:
         raise ValueError("an empty footprint")
     reach = [max(abs(o[k]) for o in offsets) for k in range(3)]
     tile = [F.floor(F.col(c) / TILE).cast("int").alias(t) for c, t in zip(COORDS, TILES)]
     home = vox.select(*tile, *COORDS, *carry).repartition(*TILES)
     spans = [F.explode(F.sequence(F.floor((F.col(c) - r) / TILE).cast("int"), F.floor((F.col(c) + r) / TILE).cast("int"))).alias(t) if r else t0 for c, r, t, t0 in zip(COORDS, reach, TILES, tile)]
-    halo = vox.select("*", spans[0]).select("*", spans[1]).select("*", spans[2]).select(*TILES, *COORDS, *(F.col(c).alias(f"n_{c}") for c in carry)).repartition(*TILES)
+    halo = (vox if others is None else others).select("*", spans[0]).select("*", spans[1]).select("*", spans[2]).select(*TILES, *COORDS, *(F.col(c).alias(f"n_{c}") for c in carry)).repartition(*TILES)
     steps = F.explode(F.array(*(F.struct(*(F.lit(v).alias(d) for v, d in zip(o, ("dz", "dy", "dx")))) for o in offsets))).alias("o")
     moved = halo.select("*", steps).select(*TILES, *((F.col(c) - F.col(f"o.d{c}")).alias(c) for c in COORDS), F.col("o.dz").alias("dz"), F.col("o.dy").alias("dy"), F.col("o.dx").alias("dx"), *(f"n_{c}" for c in carry))
     for c, t in zip(COORDS, TILES):

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voxelmill.operators import filters as L
 from voxelmill.operators import kernels as K
 from voxelmill.operators import regions as R
 from voxelmill.operators import stencil as S
@@ -470,3 +471,83 @@ def gaussian_fit_var(spark, sf):
 def layer_numbers(spark, sf):
     """The layer-number pattern on strings that hold a number."""
     return spark.read.parquet(f"{sf}/pages.parquet").groupBy(F.regexp_extract("url", r"/(\d+)", 1).alias("number")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    f"with {V}, {DIM.format('v')}, {offsets_sql(S.box((1, 3, 3), True))}, p as (select v.z, v.y, v.x, case when v.y + dy < 0 then -v.y - dy - 1 when v.y + dy >= ny then 2 * ny - 1 - v.y - dy else v.y + dy end as ty,"
+    " case when v.x + dx < 0 then -v.x - dx - 1 when v.x + dx >= nx then 2 * nx - 1 - v.x - dx else v.x + dx end as tx from v, d, o)"
+    " select p.z, p.y, p.x, round(quantile_cont(n.c0, 0.5), 6) as median_c0, round(quantile_cont(n.c1, 0.5), 6) as median_c1 from p join v n on n.z = p.z and n.y = ty and n.x = tx group by all"
+)
+def median_filter(spark, sf):
+    return L.median_filter(lattice_v(spark, sf), (1, 3, 3))
+
+
+TRIALS = L.trial_shifts((0, 0, 0), (0, 2, 3))
+
+
+def _next_planes(spark, sf):
+    """Each plane as the moved one of the plane before it."""
+    v = lattice_v(spark, sf)
+    return v, v.withColumn("z", F.col("z") - 1)
+
+
+@query(
+    f"with {V}, {offsets_sql(TRIALS)}, t as (select z, count(*) as total from v where mask group by 1),"
+    " s as (select a.z, dz::int as shift_z, dy::int as shift_y, dx::int as shift_x, count(*) as n, covar_pop(a.c0, b.c0) / (stddev_pop(a.c0) * stddev_pop(b.c0) + 1e-8) as corr, quantile_cont(sqrt((a.c0 - b.c0) ** 2 + (a.c1 - b.c1) ** 2), 0.5) as apart"
+    " from v a, o join v b on b.z = a.z + 1 and b.y = a.y - dy and b.x = a.x - dx where a.mask and b.mask group by all having count(*) >= 100),"
+    " c as (select s.*, corr - 0.75 * apart + 0.25 * n / total as score from s join t using (z))"
+    " select z, shift_z, shift_y, shift_x, n, round(corr, 6) as corr, round(apart, 6) as apart, round(score, 6) as score, row_number() over (partition by z order by score desc, (shift_z <> 0 or shift_y <> 0 or shift_x <> 0), shift_z, shift_y, shift_x) = 1 as best from c"
+)
+def refine_shift(spark, sf):
+    return L.refine_shift(*_next_planes(spark, sf), TRIALS, "c0", planes=True)
+
+
+@query()
+def contact_feature(spark, sf):
+    return L.contact_feature(lattice_v(spark, sf))
+
+
+@query()
+def registration_feature(spark, sf):
+    return L.registration_feature(lattice_v(spark, sf)).select("z", "y", "x", "feature")
+
+
+NEAR7 = S.cross(3, True)
+
+
+@query(
+    f"with recursive {V}, {DIM.format('v')}, {offsets_sql(NEAR7)}, cut as (select quantile_cont(c0, 0.7) as q from v where mask), w0 as materialized (select z, y, x from v, cut where mask and c0 >= q),"
+    " w1 as materialized (select a.z, a.y, a.x from w0 a, o join w0 b on b.z = a.z + dz and b.y = a.y + dy and b.x = a.x + dx group by all having count(*) = 7),"
+    " w2 as materialized (select distinct z + dz as z, y + dy as y, x + dx as x from w1, o), f as materialized (select v.*, (z::bigint * 50 + y) * 50 + x as lin from v anti join w2 using (z, y, x) where mask),"
+    " g as materialized (select a.lin as a, b.lin as b from f a, o join f b on b.z = a.z + dz and b.y = a.y + dy and b.x = a.x + dx where a.lin <> b.lin),"
+    " r(lin, root) using key (lin) as (select lin, lin from f union select g.b, min(r.root) from r join g on g.a = r.lin join recurring.r k on k.lin = g.b where r.root < k.root group by 1),"
+    " k as (select root, (row_number() over (order by root))::int as label from (select root from r group by 1 having count(*) >= 4)) select z, y, x, k.label from f join r using (lin) join k using (root)"
+)
+def kam_threshold_baseline(spark, sf):
+    return L.wall_cells(lattice_v(spark, sf), 0.7, 1, 1, 4, "c0")
+
+
+@query(f"with {V} select z, y, x, md5(concat_ws('|', z, y, x, 42)) as draw from v where mask order by draw limit 100")
+def sampled_seeds(spark, sf):
+    return L.sample_seeds(lattice_v(spark, sf), 100, 42)
+
+
+@query(f"with {EDGES}, cs as (select label, count(*) as n from e where label > 0 group by 1) select n_cells, valid_voxels, median_volume, mean_volume, std_volume, mean_misorientation, median_misorientation from (select count(*) as n_cells, sum(n)::bigint as valid_voxels, round(quantile_cont(n, 0.5), 6) as median_volume, round(avg(n), 6) as mean_volume, round(stddev_pop(n), 6) as std_volume from cs), (select round(avg(misorientation), 6) as mean_misorientation, round(quantile_cont(misorientation, 0.5), 6) as median_misorientation from t)")
+def common_region_summary(spark, sf):
+    return L.region_summary(R.cell_table(lattice_e(spark, sf)), R.neighbour_table(lattice_e(spark, sf)))
+
+
+@query(f"with {E}, s as (select label, (row_number() over (order by count(*) desc, label))::int as k from e where label > 0 group by 1) select z, y, x, k from e join s using (label) where k <= 4")
+def selected_cells(spark, sf):
+    return L.selected_cells(lattice_e(spark, sf), 4)
+
+
+@query(f"with {V} select round(quantile_cont(c0, 0.01), 6) as low, round(quantile_cont(c0, 0.99), 6) as high from v where isfinite(c0)")
+def display_window(spark, sf):
+    fine = lattice_v(spark, sf).filter(F.abs("c0") < float("inf"))
+    return fine.agg(F.percentile("c0", F.lit(0.01)).alias("low"), F.percentile("c0", F.lit(0.99)).alias("high"))
+
+
+@query()
+def global_threshold_sweep(spark, sf):
+    return K.cap_sweep(_planes(spark, sf), [-1.0, 30.0, 10.0], S.box((1, 3, 3), True), 12.0, tolerance=0.4, min_size=4, max_iterations=400, seed=42)
