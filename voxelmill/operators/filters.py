@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from itertools import product
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxelmill.operators.regions import components, median_field, robust_zscore
@@ -31,7 +31,15 @@ def median_filter(vox: DataFrame, size: Offset, channels: tuple[str, ...] = ("c0
     """Each channel's median over a box of odd sizes, as ``median_<channel>``; borders are mirrored, absent voxels left out."""
     own, pads = vox.select(*COORDS, *channels), tuple(s // 2 for s in size)
     pairs = neighbours(own, box(size, True), list(channels), mirrored(own, pads, extent(vox)))
-    return pairs.groupBy(*TILES, *COORDS).agg(*(F.percentile(f"n_{c}", F.lit(0.5)).alias(f"median_{c}") for c in channels)).drop(*TILES)
+    # a voxel's window is at most the box; one list of it serves all channels
+    windows = pairs.groupBy(*TILES, *COORDS).agg(F.collect_list(F.struct(*(F.col(f"n_{c}") for c in channels))).alias("w"))
+
+    def middle(c: str) -> Column:
+        v = F.sort_array(F.filter(F.transform("w", lambda s: s[f"n_{c}"]), lambda x: x.isNotNull()))
+        at = lambda k: F.get(v, F.floor(k / 2).cast("int"))
+        return (at(F.size(v) - 1) + at(F.size(v))) / 2
+
+    return windows.select(*COORDS, *(middle(c).alias(f"median_{c}") for c in channels))
 
 
 def gaussian(vox: DataFrame, column: str, sigma: tuple[float, float, float] = (0.5, 1.0, 1.0), reach: float = 4.0) -> DataFrame:
