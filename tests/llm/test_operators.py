@@ -92,6 +92,8 @@ def test_mixing_meets_its_targets(spark):
     assert abs(share["big"] - share["small"]) < 1 and abs(share["big"] + share["small"] - 360) < 1
     assert out.filter("n_tokens = 0 and keep_prob is null").count() == 0
     assert mixing.mix(df.limit(0)).count() == 0
+    own = mixing.mix(df.withColumn("Topic", F.lit("t")).withColumn("keep_prob", F.lit("x")), topic=F.upper("topic"), budget=1.0)
+    assert {r.topic for r in own.select(F.col("topic").alias("topic")).collect()} == {"T"} and dict(own.dtypes)["keep_prob"] == "double"
 
 
 def test_ngram_losses_equal_a_plain_model(spark):

@@ -20,7 +20,6 @@ from voxelmill.session import checkpoint
 WORD = "[^\\x20\\x09-\\x0D]+"
 MARGINS = ("source", "lang", "topic")
 SWEEPS, SWEEPS_A_JOB, ALPHA, BUDGET = 12, 4, 0.7, 0.9
-OUTPUTS = ("topic", "n_tokens", "factor", "keep_prob", "selected")
 
 
 def topic_column(text: Column) -> Column:
@@ -93,7 +92,7 @@ def mix(df: DataFrame, targets: dict[str, dict[str, float]] | None = None, budge
 
     ``targets`` gives shares by margin and value (values it leaves out get 0); a margin that it leaves out is tempered."""
     spark = df.sparkSession
-    plain = df.select(*(c for c in df.columns if c not in OUTPUTS or (topic is None and False)))
+    plain = df.drop("factor", "keep_prob", "selected")  # the other outputs are replaced in place, so ``topic`` may read a column of that name
     counted = plain.withColumn("topic", topic if topic is not None else topic_column(F.col(text))).withColumn("n_tokens", F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long"))
     keys = [F.coalesce(F.col(c).cast("string"), F.lit("\x00null")).alias(m) for c, m in ((source, "source"), (lang, "lang"), ("topic", "topic"))]
     cells = checkpoint(counted.select(*keys, "n_tokens").groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens")))
