@@ -8,6 +8,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from voxelmill.operators.numbering import number_keys
 from voxelmill.operators.regions import components, median_field, robust_zscore
 from voxelmill.operators.stencil import COORDS, TILES, box, cross, extent, halved, neighbours
 from voxelmill.session import checkpoint
@@ -138,7 +139,7 @@ def wall_cells(vox: DataFrame, percentile: float = 0.7, erosions: int = 1, dilat
     free = vox.filter("mask").select(*COORDS).join(wall, COORDS, "left_anti").withColumn("label", F.lit(1))
     parts = components(free, [(0, 0, 1), (0, 1, 0), (1, 0, 0)])
     sizes = parts.groupBy("component").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") >= min_size)
-    ranks = sizes.select("component", F.row_number().over(Window.orderBy("component")).alias("new"))
+    ranks = number_keys(sizes.select("component"), "new")
     return parts.join(ranks, "component").select(*COORDS, F.col("new").alias("label"))
 
 

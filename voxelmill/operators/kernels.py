@@ -363,30 +363,37 @@ def top_down(levels: DataFrame, threshold: float, claimed_share: float = 0.1) ->
     return _by_dataset(levels, kernel, LABELLED)
 
 
-def gaussian_variance(values: DataFrame, key: str = "label", value: str = "d") -> DataFrame:
-    """Variance of a Gaussian fitted to each group's 50-bin density; NaN below six values or without spread."""
+def gaussian_variance(values: DataFrame, key: str = "label", value: str = "d", bins: int = 50) -> DataFrame:
+    """Variance of a Gaussian fitted to each group's density over equal bins; NaN below six finite values or without spread.
+
+    Spark counts the bins, so the fit reads at most ``bins`` rows of a group, however many values it has."""
+    v = F.col(value).cast("double")
+    fine = values.select(key, F.when(F.abs(v) < float("inf"), v).alias("v"))  # neither null, NaN nor infinite
+    stats = fine.groupBy(key).agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"), F.min("v").alias("low"), F.max("v").alias("high"))
+    width = (F.col("high") - F.col("low")) / bins
+    at = F.least(F.lit(bins - 1), F.floor((F.col("v") - F.col("low")) / width)).cast("int").alias("bin")
+    usable = stats.filter("n >= 6 and high > low")
+    counts = fine.filter("v is not null").join(usable.select(key, "low", "high"), key).groupBy(key, at).agg(F.count(F.lit(1)).alias("k"))
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        v = pdf[value].to_numpy(float)
-        v = v[np.isfinite(v)]
-        result = math.nan
-        if len(v) >= 6 and v.std() > 0:
-            y, edges = np.histogram(v, 50, density=True)
-            x = (edges[1:] + edges[:-1]) / 2
-            p, damp = np.array([y.max(), v.mean(), v.std()]), 1e-2
-            model = lambda p: p[0] * np.exp(-((x - p[1]) ** 2) / (2 * p[2] ** 2))
-            for _ in range(200):
-                m = model(p)
-                j = np.stack([m / p[0], m * (x - p[1]) / p[2] ** 2, m * (x - p[1]) ** 2 / p[2] ** 3], 1)
-                step = np.linalg.lstsq(j.T @ j + damp * np.diag(np.diag(j.T @ j) + 1e-12), j.T @ (y - m), rcond=None)[0]
-                better = ((y - model(p + step)) ** 2).sum() < ((y - m) ** 2).sum() and abs((p + step)[2]) > 1e-12 and (p + step)[0] != 0
-                p, damp = (p + step, damp / 3) if better else (p, damp * 4)
-                if damp > 1e12 or (better and np.abs(step).max() < 1e-12):
-                    break
-            result = float(p[2] ** 2)
-        return pd.DataFrame({key: pdf[key].iloc[:1].to_numpy(np.int32), "gauss_var": [result]})
-
-    return values.groupBy(key).applyInPandas(kernel, f"{key} int, gauss_var double")
+        n, mean, std, low, high = (float(pdf[c].iloc[0]) for c in ("n", "mean", "std", "low", "high"))
+        wide = (high - low) / bins
+        x, y = low + (np.arange(bins) + 0.5) * wide, np.zeros(bins)
+        y[pdf["bin"].to_numpy(int)] = pdf["k"].to_numpy(float) / (n * wide)
+        p, damp = np.array([y.max(), mean, std]), 1e-2
+        model = lambda p: p[0] * np.exp(-((x - p[1]) ** 2) / (2 * p[2] ** 2))
+        for _ in range(200):
+            m = model(p)
+            j = np.stack([m / p[0], m * (x - p[1]) / p[2] ** 2, m * (x - p[1]) ** 2 / p[2] ** 3], 1)
+            step = np.linalg.lstsq(j.T @ j + damp * np.diag(np.diag(j.T @ j) + 1e-12), j.T @ (y - m), rcond=None)[0]
+            better = ((y - model(p + step)) ** 2).sum() < ((y - m) ** 2).sum() and abs((p + step)[2]) > 1e-12 and (p + step)[0] != 0
+            p, damp = (p + step, damp / 3) if better else (p, damp * 4)
+            if damp > 1e12 or (better and np.abs(step).max() < 1e-12):
+                break
+        return pd.DataFrame({key: pdf[key].iloc[:1].to_numpy(), "gauss_var": [float(p[2] ** 2)]})
+
+    fitted = counts.join(usable, key).groupBy(key).applyInPandas(kernel, f"{key} {dict(values.dtypes)[key]}, gauss_var double")
+    return stats.select(key).join(fitted, key, "left").select(key, F.coalesce("gauss_var", F.lit(math.nan)).alias("gauss_var"))
 
 
 def surface_faces(vox: DataFrame, spacing: tuple[float, float, float] = (1.0, 1.0, 1.0), min_voxels: int = 1) -> DataFrame:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxelmill.operators.components import connected_components
+from voxelmill.operators.numbering import number_keys
 from voxelmill.operators.stencil import COORDS, contacts, extent, halved, neighbours, touching
 
 
@@ -178,7 +179,7 @@ def histogram(values: DataFrame, column: str, bins: int = 50) -> DataFrame:
 
 def relabel(vox: DataFrame) -> DataFrame:
     """Positive labels renumbered without gaps, in order; ``new_label``."""
-    ranks = vox.filter("label > 0").select("label").distinct().withColumn("new_label", F.dense_rank().over(Window.orderBy("label")))
+    ranks = number_keys(vox.filter("label > 0").select("label"), "new_label")
     return vox.join(ranks, "label", "left").withColumn("new_label", F.coalesce("new_label", F.lit(0)))
 
 
@@ -198,7 +199,7 @@ def components(vox: DataFrame, offsets: list[tuple[int, int, int]] | None = None
 def split_labels(vox: DataFrame) -> DataFrame:
     """Labels cut into connected parts, numbered by (label, first voxel) as ``new_label``."""
     parts = components(vox)
-    order = parts.select("label", "component").distinct().withColumn("new_label", F.dense_rank().over(Window.orderBy("label", "component")))
+    order = number_keys(parts.select("label", "component"), "new_label")
     return parts.join(order, ["label", "component"]).select(*COORDS, "label", "new_label")
 
 

@@ -56,13 +56,13 @@ def coverage(spark, sf):
     return R.coverage(lattice_v(spark, sf))
 
 
-def kam_sql(size, border="0.0") -> str:
+def kam_sql(size, border="0.0", digits=6) -> str:
     pads = [s // 2 for s in size]
     inside = " and ".join(f"v.{c} between {p} and d.n{c} - 1 - {p}" for c, p in zip("zyx", pads) if p)
     return (
         f"with {V}, {DIM.format('v')}, {offsets_sql(S.box(size))},"
         " m as (select v.z, v.y, v.x, sum(sqrt((v.c0 - n.c0) ** 2 + (v.c1 - n.c1) ** 2)) / count(*) as m from v, o join v n on n.z = v.z + o.dz and n.y = v.y + o.dy and n.x = v.x + o.dx group by all)"
-        f" select v.z, v.y, v.x, round(case when {inside} then coalesce(m.m, 0) else {border} end, 6) as kam from v cross join d left join m on m.z = v.z and m.y = v.y and m.x = v.x"
+        f" select v.z, v.y, v.x, round(case when {inside} then coalesce(m.m, 0) else {border} end, {digits}) as kam from v cross join d left join m on m.z = v.z and m.y = v.y and m.x = v.x"
     )
 
 
@@ -255,17 +255,36 @@ def tracking_candidates(spark, sf):
     return T.candidates(steps_e(spark, sf), 1.5)
 
 
-@query()
+def greedy_sql(least: str = "-1e300") -> str:
+    """The scan by falling score: each row is taken unless one of its sides was."""
+    return (
+        CAND.replace("e as mat", "recursive e as mat", 1)
+        + ", sc as materialized (select *, 2 * dice_overlap + frac_of_a + frac_of_b + centroid_similarity + orientation_similarity + 0.5 * volume_similarity as tracking_score from cs),"
+        f" rk as materialized (select *, row_number() over (partition by pair order by tracking_score desc, label_a, label_b) as rn from sc where tracking_score >= {least}),"
+        " gr as (select distinct pair, 0::bigint as rn, []::int[] as ua, []::int[] as ub, false as ok from rk union all select pair, rn, case when ok then list_append(ua, label_a) else ua end, case when ok then list_append(ub, label_b) else ub end, ok"
+        " from (select rk.pair, rk.rn, ua, ub, label_a, label_b, not list_contains(ua, label_a) and not list_contains(ub, label_b) as ok from gr join rk on rk.pair = gr.pair and rk.rn = gr.rn + 1)),"
+        " asg as (select rk.* from gr join rk using (pair, rn) where ok)"
+    )
+
+
+@query(f"with {greedy_sql()} select pair, label_a, label_b, round(tracking_score, 6) as tracking_score from asg")
 def greedy_assignment(spark, sf):
     return T.greedy_assignment(T.candidates(steps_e(spark, sf), 1.5)).select("pair", "label_a", "label_b", "tracking_score")
 
 
-@query()
+@query(f"with {greedy_sql()} select pair, count(*) as n_assignments, round(avg(tracking_score), 6) as mean_score, round(quantile_cont(tracking_score, 0.5), 6) as median_score, round(avg(centroid_distance), 6) as mean_distance, round(avg(dice_overlap), 6) as mean_dice from asg group by 1")
 def assignment_summary(spark, sf):
     return T.assignment_summary(T.greedy_assignment(T.candidates(steps_e(spark, sf), 1.5)))
 
 
-@query()
+@query(
+    f"with {greedy_sql('1.0')}, sg as (select pair, label_a, label_b from sc where tracking_score >= 1 and (frac_of_a >= 0.1 or frac_of_b >= 0.1 or centroid_distance <= 1)), cl as (select distinct z as t, label from e where label > 0)"
+    " select pair, 'one_to_one' as event, label_a, label_b, null::bigint as n_children, null::bigint as n_parents from asg"
+    " union all select pair, 'split_candidate', label_a, null, count(distinct label_b), null from sg group by pair, label_a having count(distinct label_b) > 1"
+    " union all select pair, 'merge_candidate', null, label_b, null, count(distinct label_a) from sg group by pair, label_b having count(distinct label_a) > 1"
+    " union all select t, 'death_candidate', label, null, null, null from cl where t < (select max(z) from e) and not exists (select 1 from sg where pair = t and label_a = label)"
+    " union all select t - 1, 'birth_candidate', null, label, null, null from cl where t > (select min(z) from e) and not exists (select 1 from sg where pair = t - 1 and label_b = label)"
+)
 def feature_events(spark, sf):
     steps = steps_e(spark, sf)
     pairs = T.candidates(steps, 1.5)
@@ -373,12 +392,24 @@ def method_metrics(spark, sf):
     return R.method_summary(lattice_e(spark, sf))
 
 
-@query()
+KAM2 = f"k as materialized ({kam_sql((1, 3, 3), digits=12)}), {V}, {DIM.format('v')}, {offsets_sql(S.cross())}"
+
+
+@query(
+    f"with {KAM2}, base as (select label, count(*) as size, var_samp(c0) + var_samp(c1) as variance, min(z) as z0, max(z) as z1, min(y) as y0, max(y) as y1, min(x) as x0, max(x) as x1 from v where label > 0 group by 1),"
+    " near as (select distinct v.z, v.y, v.x, n.label from v, o join v n on n.z = v.z + o.dz and n.y = v.y + o.dy and n.x = v.x + o.dx where n.label > 0 and n.label <> v.label),"
+    " sh as (select label, avg(kam) as m, quantile_cont(kam, 0.5) as q from near join k using (z, y, x) join base using (label) where z between z0 and z1 and y between y0 and y1 and x between x0 and x1 group by 1)"
+    " select label, size, round(variance, 6) as variance, round(m, 6) as wall_mean, round(q, 6) as wall_median from base left join sh using (label)"
+)
 def method_cell_metrics(spark, sf):
     return R.cell_metrics(S.kam(lattice_v(spark, sf), (1, 3, 3)))
 
 
-@query()
+@query(
+    f"with {KAM2}, b(dz, dy, dx) as (values {', '.join(map(str, S.box((1, 3, 3), True)))}), wl as (select distinct v.z, v.y, v.x, v.label from v, o join v n on n.z = v.z + o.dz and n.y = v.y + o.dy and n.x = v.x + o.dx where v.label > 0 and n.label <> v.label),"
+    " gr as (select distinct label, z + b.dz as z, y + b.dy as y, x + b.dx as x from wl, b, d where y + b.dy between 1 and d.ny - 2 and x + b.dx between 1 and d.nx - 2)"
+    " select label, round(avg(kam), 6) as wall_kam from gr join k using (z, y, x) group by 1"
+)
 def wall_kam(spark, sf):
     return R.wall_kam(S.kam(lattice_v(spark, sf), (1, 3, 3)))
 
@@ -429,7 +460,13 @@ def collect_seeds(spark, sf):
     return K.collect_seeds(_planes(spark, sf), S.box((1, 3, 3), True), 12.0, tolerance=0.4, min_size=4, max_iterations=400, seed=42)
 
 
-@query()
+@query(
+    f"with recursive {V}, {offsets_sql(S.box((1, 3, 3), True))}, w as materialized (select *, (z::bigint * 50 + y) * 50 + x as lin from v),"
+    " pr as materialized (select a.lin, b.lin as n_lin, (a.c0 - b.c0) ** 2 + (a.c1 - b.c1) ** 2 < 288 as near from w a, o join w b on b.z = a.z + dz and b.y = a.y + dy and b.x = a.x + dx),"
+    " cr as materialized (select lin from pr group by 1 having count(*) filter (near) >= ceil(count(*) * 0.4::double)), g as materialized (select lin as a, n_lin as b from pr where near and lin <> n_lin and lin in (select lin from cr) and n_lin in (select lin from cr)),"
+    " r(lin, root) using key (lin) as (select lin, lin from cr union select g.b, min(r.root) from r join g on g.a = r.lin join recurring.r k on k.lin = g.b where r.root < k.root group by 1)"
+    " select lin, root as component, size from r join (select root, count(*) as size from r group by 1 having count(*) >= 2) using (root)"
+)
 def flood_fill_core(spark, sf):
     return K.core_components(lattice_v(spark, sf), S.box((1, 3, 3), True), 12.0, 0.4, (1, 50, 50), 2)
 
@@ -502,7 +539,27 @@ def refine_shift(spark, sf):
     return L.refine_shift(*_next_planes(spark, sf), TRIALS, "c0", planes=True)
 
 
-@query()
+def smoothed_sql(source: str, name: str, column: str, axis: int, sigma: float) -> str:
+    """One axis of a Gaussian window with mirrored borders."""
+    r, c = int(4 * sigma + 0.5), "zyx"[axis]
+    at = ", ".join(f"(((s.{c} + i) % (2 * d.n{c}) + 2 * d.n{c}) % (2 * d.n{c})) as m" if c == a else f"s.{a} as k{a}" for a in "zyx")
+    place = " and ".join(f"n.{a} = " + (f"case when m < n{c} then m else 2 * n{c} - 1 - m end" if a == c else f"k{a}") for a in "zyx")
+    return (
+        f"{name}w as (select i, exp(-0.5 * (i / {sigma}::double) ** 2) as w from range({-r}, {r + 1}) t(i)), {name} as materialized (select p.z, p.y, p.x, sum(w * n.{column}) / (select sum(w) from {name}w) as {column}"
+        f" from (select s.z, s.y, s.x, d.n{c}, w, {at} from {source} s, d, {name}w) p join {source} n on {place} group by all)"
+    )
+
+
+CONTACT = (
+    f"{V}, {DIM.format('v')}, {offsets_sql(S.halved() + [tuple(-i for i in o) for o in S.halved()])}, cells as (select * from v where mask and label > 0),"
+    " met as (select distinct a.z, a.y, a.x from cells a, o join cells b on b.z = a.z + o.dz and b.y = a.y + o.dy and b.x = a.x + o.dx where a.label <> b.label),"
+    " s0 as materialized (select v.z, v.y, v.x, (met.z is not null)::int::double as contact from v left join met using (z, y, x)), "
+    + ", ".join(smoothed_sql(f"s{k}", f"s{k + 1}", "contact", k, s) for k, s in enumerate((0.5, 1.0, 1.0)))
+    + ", inn as (select contact from s3 join v using (z, y, x) where mask), md as (select quantile_cont(contact, 0.5) as m, stddev_pop(contact) as dev from inn), ad as (select any_value(m) as m, any_value(dev) as dev, 1.4826 * quantile_cont(abs(contact - m), 0.5) as s from inn, md)"
+)
+
+
+@query(f"with {CONTACT} select z, y, x, round(case when mask then coalesce(greatest(-5, least(5, (contact - m) / case when s > 0 then s else dev end)), 0) else 0 end, 6) as contact from s3 join v using (z, y, x), ad")
 def contact_feature(spark, sf):
     return L.contact_feature(lattice_v(spark, sf))
 
