@@ -34,7 +34,7 @@ def coverage(vox: DataFrame) -> DataFrame:
     return vox.agg((F.sum(F.when(F.col("mask") & (F.col("label") > 0), 1).otherwise(0)) / F.greatest(inside, F.lit(1))).alias("coverage"))
 
 
-def cell_table(vox: DataFrame, channels: tuple[str, ...] = ("c0", "c1"), boxes: bool = False) -> DataFrame:
+def cell_table(vox: DataFrame, channels: tuple[str, ...] = ("c0", "c1"), boxes: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
     """One row per positive label: volume, median and mean of each channel, spread about the median; with ``boxes`` also
     centroid and bounding box. Rows with a non-finite channel count in the volume alone."""
     cells = vox.filter("label > 0")
@@ -44,11 +44,12 @@ def cell_table(vox: DataFrame, channels: tuple[str, ...] = ("c0", "c1"), boxes:
     cells = cells.withColumn("fine", F.coalesce(fine, F.lit(False)))
     own = lambda c: F.when(F.col("fine"), F.col(c))
     place = [f(c).alias(n + c) for n, f in (("c", F.avg), ("min_", F.min), ("max_", F.max)) for c in COORDS] if boxes else []
-    first = cells.groupBy("label").agg(F.count(F.lit(1)).alias("volume_voxels"), *(_median(own(c)).alias(f"median_{c}") for c in channels), *(F.avg(own(c)).alias(f"mean_{c}") for c in channels), *place)
+    key = [*by, "label"]
+    first = cells.groupBy(*key).agg(F.count(F.lit(1)).alias("volume_voxels"), *(_median(own(c)).alias(f"median_{c}") for c in channels), *(F.avg(own(c)).alias(f"mean_{c}") for c in channels), *place)
     spread = F.sqrt(sum(((F.col(c) - F.col(f"median_{c}")) ** 2 for c in channels), F.lit(0.0)))
-    second = cells.filter("fine").join(first.select("label", *(f"median_{c}" for c in channels)), "label").withColumn("d", spread)
-    second = second.groupBy("label").agg(_median("d").alias("internal_spread_median"), F.avg("d").alias("internal_spread_mean"), F.percentile("d", F.lit(0.95)).alias("internal_spread_q95"))
-    return first.join(second, "label", "left")
+    second = cells.filter("fine").join(first.select(*key, *(f"median_{c}" for c in channels)), key).withColumn("d", spread)
+    second = second.groupBy(*key).agg(_median("d").alias("internal_spread_median"), F.avg("d").alias("internal_spread_mean"), F.percentile("d", F.lit(0.95)).alias("internal_spread_q95"))
+    return first.join(second, key, "left")
 
 
 def orientation_stats(vox: DataFrame, channels: tuple[str, ...] = ("c0", "c1"), q: float = 0.95) -> DataFrame:
@@ -79,13 +80,13 @@ def median_field(vox: DataFrame, channels: tuple[str, ...] = ("c0", "c1")) -> Da
     return out.withColumns({f"median_{c}": F.coalesce(f"median_{c}", F.lit(0.0)) for c in channels})
 
 
-def neighbour_table(vox: DataFrame, channels: tuple[str, ...] = ("c0", "c1")) -> DataFrame:
+def neighbour_table(vox: DataFrame, channels: tuple[str, ...] = ("c0", "c1"), by: tuple[str, ...] = ()) -> DataFrame:
     """Contacts with the distance of the cells' medians and signed differences (no wrap)."""
-    med = vox.filter("label > 0").groupBy("label").agg(*(_median(c).alias(c) for c in channels))
-    side = lambda s: med.select(F.col("label").alias(f"label_{s}"), *(F.col(c).alias(f"{s}_{c}") for c in channels))
-    out = contacts(vox).join(side("a"), "label_a").join(side("b"), "label_b")
+    med = vox.filter("label > 0").groupBy(*by, "label").agg(*(_median(c).alias(c) for c in channels))
+    side = lambda s: med.select(*by, F.col("label").alias(f"label_{s}"), *(F.col(c).alias(f"{s}_{c}") for c in channels))
+    out = contacts(vox, by=by).join(side("a"), [*by, "label_a"]).join(side("b"), [*by, "label_b"])
     deltas = {f"delta_{c}": F.col(f"b_{c}") - F.col(f"a_{c}") for c in channels}
-    return out.withColumns(deltas).withColumn("misorientation", F.sqrt(sum((F.col(d) ** 2 for d in deltas), F.lit(0.0)))).filter(~F.isnan("misorientation")).select("label_a", "label_b", "misorientation", *deltas)
+    return out.withColumns(deltas).withColumn("misorientation", F.sqrt(sum((F.col(d) ** 2 for d in deltas), F.lit(0.0)))).filter(~F.isnan("misorientation")).select(*by, "label_a", "label_b", "misorientation", *deltas)
 
 
 def wrapped_misorientation(vox: DataFrame, channels: tuple[str, ...] = ("c0", "c1")) -> DataFrame:
@@ -139,19 +140,24 @@ def _digamma(x: float) -> float:
     return out + math.log(x) - 0.5 / x - y * (1 / 12 - y * (1 / 120 - y * (1 / 252 - y / 240)))
 
 
-def fit_chi(values: DataFrame, column: str) -> dict[str, float]:
-    """Degrees of freedom and scale by maximum likelihood (location 0); NaN below ten values."""
-    row = chi_statistics(values, column).first()
-    n = row["n"] or 0
+def chi_from_statistics(n: int, sum_sq: float, sum_log_sq: float) -> tuple[float, float]:
+    """Degrees of freedom and scale by maximum likelihood; NaN below ten values."""
     if n < 10:
-        return {"df": math.nan, "scale": math.nan, "n": n}
+        return math.nan, math.nan
     # squares follow a gamma distribution: log a - digamma(a) has a known value
-    s = math.log(row["sum_sq"] / n) - row["sum_log_sq"] / n
+    s = math.log(sum_sq / n) - sum_log_sq / n
     low, high = 1e-6, 1e6
     for _ in range(200):
         a = math.sqrt(low * high)
         low, high = (a, high) if math.log(a) - _digamma(a) > s else (low, a)
-    return {"df": 2 * a, "scale": math.sqrt(row["sum_sq"] / n / (2 * a)), "n": n}
+    return 2 * a, math.sqrt(sum_sq / n / (2 * a))
+
+
+def fit_chi(values: DataFrame, column: str) -> dict[str, float]:
+    """Chi distribution (location 0) of the finite positive values; NaN below ten of them."""
+    row = chi_statistics(values, column).first()
+    df, scale = chi_from_statistics(row["n"] or 0, row["sum_sq"], row["sum_log_sq"])
+    return {"df": df, "scale": scale, "n": row["n"] or 0}
 
 
 def fit_lognormal(cells: DataFrame, column: str = "size") -> DataFrame:

@@ -53,37 +53,45 @@ def interior(pads: tuple[int, int, int], shape: tuple[int, int, int], prefix: st
     return out
 
 
-def neighbours(vox: DataFrame, offsets: list[tuple[int, int, int]], carry: list[str], others: DataFrame | None = None) -> DataFrame:
+def neighbours(vox: DataFrame, offsets: list[tuple[int, int, int]], carry: list[str], others: DataFrame | None = None, by: tuple[str, ...] = ()) -> DataFrame:
     """Rows (voxel, neighbour): tile, coordinates, ``carry`` of the voxel and ``n_<carry>`` of the neighbour, which is a
-    voxel of ``others`` where that is given."""
+    voxel of ``others`` where that is given. Columns ``by`` name the grid: voxels of different grids aren't neighbours."""
     if not offsets:
         raise ValueError("an empty footprint")
     reach = [max(abs(o[k]) for o in offsets) for k in range(3)]
     tile = [F.floor(F.col(c) / TILE).cast("int").alias(t) for c, t in zip(COORDS, TILES)]
-    home = vox.select(*tile, *COORDS, *carry).repartition(*TILES)
+    home = vox.select(*by, *tile, *COORDS, *carry).repartition(*by, *TILES)
     spans = [F.explode(F.sequence(F.floor((F.col(c) - r) / TILE).cast("int"), F.floor((F.col(c) + r) / TILE).cast("int"))).alias(t) if r else t0 for c, r, t, t0 in zip(COORDS, reach, TILES, tile)]
-    halo = (vox if others is None else others).select("*", spans[0]).select("*", spans[1]).select("*", spans[2]).select(*TILES, *COORDS, *(F.col(c).alias(f"n_{c}") for c in carry)).repartition(*TILES)
+    halo = (vox if others is None else others).select("*", spans[0]).select("*", spans[1]).select("*", spans[2]).select(*by, *TILES, *COORDS, *(F.col(c).alias(f"n_{c}") for c in carry)).repartition(*by, *TILES)
     steps = F.explode(F.array(*(F.struct(*(F.lit(v).alias(d) for v, d in zip(o, ("dz", "dy", "dx")))) for o in offsets))).alias("o")
-    moved = halo.select("*", steps).select(*TILES, *((F.col(c) - F.col(f"o.d{c}")).alias(c) for c in COORDS), F.col("o.dz").alias("dz"), F.col("o.dy").alias("dy"), F.col("o.dx").alias("dx"), *(f"n_{c}" for c in carry))
+    moved = halo.select("*", steps).select(*by, *TILES, *((F.col(c) - F.col(f"o.d{c}")).alias(c) for c in COORDS), F.col("o.dz").alias("dz"), F.col("o.dy").alias("dy"), F.col("o.dx").alias("dx"), *(f"n_{c}" for c in carry))
     for c, t in zip(COORDS, TILES):
         moved = moved.filter(F.floor(F.col(c) / TILE) == F.col(t))
-    return home.join(moved, [*TILES, *COORDS])
+    return home.join(moved, [*by, *TILES, *COORDS])
 
 
-def kam(vox: DataFrame, size: tuple[int, int, int] = (3, 3, 3), channels: tuple[str, ...] = ("c0", "c1"), border: float | None = 0.0) -> DataFrame:
+def kam(vox: DataFrame, size: tuple[int, int, int] = (3, 3, 3), channels: tuple[str, ...] = ("c0", "c1"), border: float | None = 0.0, by: tuple[str, ...] = ()) -> DataFrame:
     """Mean distance of each voxel's vector to those in its window, as ``kam``.
 
     Voxels without a full window get ``border``; so does, with 0, a voxel whose first channel is NaN. Neighbours that are
-    absent or NaN in the first channel are left out; NaN in a later channel carries over."""
+    absent or NaN in the first channel are left out; NaN in a later channel carries over. Columns ``by`` name the grid."""
     if any(s < 1 or s % 2 == 0 for s in size) or max(size) < 3:
         raise ValueError("window sizes are odd and above 1")
-    shape, pads = extent(vox), tuple(s // 2 for s in size)
+    pads = tuple(s // 2 for s in size)
+    if by:
+        sizes = vox.groupBy(*by).agg(*((F.max(c) + 1).alias(f"size_{c}") for c in COORDS))
+        inside = F.lit(True)
+        for c, p in zip(COORDS, pads):
+            inside = inside & (F.col(c).between(p, F.col(f"size_{c}") - 1 - p) if p else F.lit(True))
+        vox = vox.join(sizes, list(by))
+    else:
+        inside = interior(pads, extent(vox))
     real = vox.filter(F.col(channels[0]).isNotNull() & ~F.isnan(channels[0]))
     distance = F.sqrt(sum(((F.col(c) - F.col(f"n_{c}")) ** 2 for c in channels), F.lit(0.0)))
-    pairs = neighbours(real, box(size), list(channels)).filter(interior(pads, shape))
-    means = pairs.groupBy(*TILES, *COORDS).agg((F.sum(distance) / F.greatest(F.count(F.lit(1)), F.lit(1))).alias("m")).select(*COORDS, "m")
-    inside = interior(pads, shape)
-    return vox.join(means, COORDS, "left").withColumn("kam", F.when(inside, F.coalesce("m", F.lit(0.0))).otherwise(F.lit(border).cast("double"))).drop("m")
+    pairs = neighbours(real.filter(inside), box(size), list(channels), real, by)
+    means = pairs.groupBy(*by, *TILES, *COORDS).agg((F.sum(distance) / F.greatest(F.count(F.lit(1)), F.lit(1))).alias("m")).select(*by, *COORDS, "m")
+    out = vox.join(means, [*by, *COORDS], "left").withColumn("kam", F.when(inside, F.coalesce("m", F.lit(0.0))).otherwise(F.lit(border).cast("double")))
+    return out.drop("m", *(f"size_{c}" for c in COORDS))
 
 
 def erode(vox: DataFrame, footprint: list[tuple[int, int, int]], iterations: int = 1) -> DataFrame:
@@ -114,10 +122,10 @@ def boundaries(vox: DataFrame, offsets: list[tuple[int, int, int]] | None = None
     return pairs.filter("label > 0 and label <> n_label").select(*COORDS, "label").distinct()
 
 
-def contacts(vox: DataFrame, offsets: list[tuple[int, int, int]] | None = None) -> DataFrame:
+def contacts(vox: DataFrame, offsets: list[tuple[int, int, int]] | None = None, by: tuple[str, ...] = ()) -> DataFrame:
     """Distinct pairs ``label_a < label_b`` of positive labels in contact."""
-    pairs = neighbours(vox.filter("label > 0").select(*COORDS, "label"), offsets or halved(), ["label"]).filter("label <> n_label")
-    return pairs.select(F.least("label", "n_label").alias("label_a"), F.greatest("label", "n_label").alias("label_b")).distinct()
+    pairs = neighbours(vox.filter("label > 0").select(*by, *COORDS, "label"), offsets or halved(), ["label"], by=by).filter("label <> n_label")
+    return pairs.select(*by, F.least("label", "n_label").alias("label_a"), F.greatest("label", "n_label").alias("label_b")).distinct()
 
 
 def touching(vox: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from voxelmill.operators import kernels as K
 from voxelmill.operators import regions as R
 from voxelmill.operators import stencil as S
 from voxelmill.operators import tracking as T
+from voxelmill.plans import segmentation
 from voxelmill.sources.lattice import lattice_e, lattice_v
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -608,3 +609,24 @@ def display_window(spark, sf):
 @query()
 def global_threshold_sweep(spark, sf):
     return K.cap_sweep(_planes(spark, sf), [-1.0, 30.0, 10.0], S.box((1, 3, 3), True), 12.0, tolerance=0.4, min_size=4, max_iterations=400, seed=42)
+
+
+def _volumes(spark, sf):
+    """The second lattice as volumes of four planes."""
+    v = lattice_v(spark, sf)
+    return v.withColumn("dataset_id", F.expr("z div 4").cast("string")).withColumn("z", F.expr("z % 4").cast("int"))
+
+
+def _segmented(spark, sf):
+    return segmentation.segment(_volumes(spark, sf), segmentation.Parameters(local_threshold=0.12, tolerance=0.3, min_size=3, kam_size=(1, 3, 3)))
+
+
+@query()
+def batch_segmentation(spark, sf):
+    """Every volume's cells after normalising, two-stage fill, watershed and cutting into parts."""
+    return _segmented(spark, sf).cells
+
+
+@query()
+def batch_summary(spark, sf):
+    return _segmented(spark, sf).summary
