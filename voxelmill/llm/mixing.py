@@ -4,6 +4,8 @@ Documents are counted into cells (source, language, topic) by one partial aggreg
 cells, whose number is the product of the three margins and not of the documents. A sweep scales the cells' token
 weights to each margin in turn. A cell's factor is its fitted weight over its tokens; a document is kept with
 probability ``min(1, c * factor)``, where ``c`` makes the expected tokens the budget, and the draw is a hash of its doc_id.
+The minimum takes from cells that should grow, so the margins are met only where no cell is at 1. With ``repeat`` they are
+met always: a document is expected ``budget * factor`` times, whole parts for certain and the rest by the draw.
 
 Null sources, languages and texts are values of their own. Documents without words have weight in no margin; they are
 kept with their cell's probability (1 where the cell has no words). Repeated rows get equal draws; a null doc_id draws
@@ -87,12 +89,23 @@ def keep_probabilities(cells: DataFrame, budget: float = BUDGET, rounds: int = 1
     return rated.withColumn("keep_prob", F.when(F.col("tokens") > 0, F.least(F.lit(1.0), F.col("factor") * F.lit(float(c)))).otherwise(1.0))
 
 
-def mix(df: DataFrame, targets: dict[str, dict[str, float]] | None = None, budget: float = BUDGET, doc_id: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", topic: Column | None = None) -> DataFrame:
-    """Every row of ``df`` with ``topic, n_tokens, factor, keep_prob, selected``.
+def repeat_rates(cells: DataFrame, budget: float = BUDGET) -> DataFrame:
+    """Cells with ``factor`` and ``keep_prob``, here expected copies: the kept tokens have the fitted margins, at ``budget`` of all.
+
+    Raked weights may sum to less than all tokens where targets name values without any; ``c`` makes up for that."""
+    rated = checkpoint(cells.withColumn("factor", F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(1.0)))
+    row = rated.agg(F.sum("tokens").alias("all"), F.sum("weight").alias("fitted")).first()
+    c = budget * (row["all"] or 0) / (row["fitted"] or 1.0)
+    return rated.withColumn("keep_prob", F.when(F.col("tokens") > 0, F.col("factor") * F.lit(float(c))).otherwise(1.0))
+
+
+def mix(df: DataFrame, targets: dict[str, dict[str, float]] | None = None, budget: float = BUDGET, doc_id: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", topic: Column | None = None, repeat: bool = False) -> DataFrame:
+    """Every row of ``df`` with ``topic, n_tokens, factor, keep_prob, selected``; with ``repeat`` also ``copies``, and
+    ``keep_prob`` is their expectation.
 
     ``targets`` gives shares by margin and value (values it leaves out get 0); a margin that it leaves out is tempered."""
     spark = df.sparkSession
-    plain = df.drop("factor", "keep_prob", "selected")  # the other outputs are replaced in place, so ``topic`` may read a column of that name
+    plain = df.drop("factor", "keep_prob", "selected", *(["copies"] if repeat else []))  # the other outputs are replaced in place, so ``topic`` may read a column of that name
     counted = plain.withColumn("topic", topic if topic is not None else topic_column(F.col(text))).withColumn("n_tokens", F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long"))
     keys = [F.coalesce(F.col(c).cast("string"), F.lit("\x00null")).alias(m) for c, m in ((source, "source"), (lang, "lang"), ("topic", "topic"))]
     cells = checkpoint(counted.select(*keys, "n_tokens").groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens")))
@@ -101,15 +114,19 @@ def mix(df: DataFrame, targets: dict[str, dict[str, float]] | None = None, budge
         total = float(sum(shares.values()))
         given = spark.createDataFrame([(str(k), float(v) / total) for k, v in shares.items()], f"{m} string, given double")
         aimed = aimed.join(given, m, "left").withColumn(f"t_{m}", F.coalesce("given", F.lit(0.0))).drop("given")
-    fitted = keep_probabilities(fit_cells(aimed), budget).select(*(F.col(m).alias(f"k_{m}") for m in MARGINS), "factor", "keep_prob")
+    fitted = (repeat_rates if repeat else keep_probabilities)(fit_cells(aimed), budget).select(*(F.col(m).alias(f"k_{m}") for m in MARGINS), "factor", "keep_prob")
     on = [F.coalesce(F.col(c).cast("string"), F.lit("\x00null")) == F.col(f"k_{m}") for c, m in ((source, "source"), (lang, "lang"), ("topic", "topic"))]
-    return (
+    rated = (
         counted.join(fitted, on, "left")
         .drop(*(f"k_{m}" for m in MARGINS))
         .withColumn("factor", F.round("factor", 6))
         .withColumn("keep_prob", F.round("keep_prob", 6))
-        .withColumn("selected", draw_column(F.col(doc_id)) < F.col("keep_prob"))
     )
+    draw = draw_column(F.col(doc_id))
+    if not repeat:
+        return rated.withColumn("selected", draw < F.col("keep_prob"))
+    whole = F.floor("keep_prob")
+    return rated.withColumn("copies", (whole + (draw < F.col("keep_prob") - whole).cast("long")).cast("long")).withColumn("selected", F.col("copies") > 0)
 
 
 def oracle_sql(sweeps: int = SWEEPS, alpha: float = ALPHA, budget: float = BUDGET, rounds: int = 12) -> str:

@@ -59,6 +59,11 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "topic", "n_tokens", "factor", "keep_prob", "selected")
 
 
+def op8_mixing_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Margins met in full: documents of cells that should grow repeat."""
+    return mixing.mix(spark.read.parquet(f"{sf_dir}/documents.parquet"), repeat=True).select("doc_id", "topic", "n_tokens", "factor", "keep_prob", "copies", "selected")
+
+
 def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = substring.dedup_substrings(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     # a text without removals keeps its own spacing in the operator; the digest joins words by one space
@@ -72,5 +77,5 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(spark, root).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe, op2_ann, op3_simhash, op4_topk, op5_lm, op6_toxicity, op7_urls, op8_mixing, op9_substring, op10_warc)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe, op2_ann, op3_simhash, op4_topk, op5_lm, op6_toxicity, op7_urls, op8_mixing, op8_mixing_repeats, op9_substring, op10_warc)}
 ORACLE_SQL: dict[str, str] = {"op2_ann": ann.oracle_sql(), "op4_topk": topk.oracle_sql(), "op7_urls": urlfilter.oracle_sql(), "op8_mixing": mixing.oracle_sql(), "op10_warc": warc.oracle_sql()}
