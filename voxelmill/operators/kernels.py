@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import heapq
 import math
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -62,14 +63,16 @@ def grow_region(field: np.ndarray, free: np.ndarray, seed: tuple[int, int, int],
     return region
 
 
-def flood(field: np.ndarray, mask: np.ndarray, offsets, local: float, cap: float | None = None, tolerance: float = 0.9, max_iterations: int = 250, min_size: int = 50, seeds=None, fill_remaining: bool = False, seed: int | None = None, consume: bool = False) -> tuple[np.ndarray, list[tuple[int, tuple]]]:
-    """Label a volume from seeds (last first), then from random voxels; ``consume`` also takes the small regions out."""
+def flood(field: np.ndarray, mask: np.ndarray, offsets, local: float, cap: float | None = None, tolerance: float = 0.9, max_iterations: int | None = 250, min_size: int = 50, seeds=None, fill_remaining: bool = False, seed: int | None = None, consume: bool = False) -> tuple[np.ndarray, list[tuple[int, tuple]]]:
+    """Label a volume from seeds (last first), then from random voxels; ``consume`` also takes the small regions out.
+
+    Each seed costs an iteration; with ``max_iterations`` None they go on until no seed is left."""
     field, free = field.astype(np.float32), mask.copy()
     pool_mask, out, found = mask.copy(), np.zeros(mask.shape, np.int32), []
     rng = np.random.Generator(np.random.Philox(0 if seed is None or seed < 0 else seed))
     order = rng.permutation(np.flatnonzero(mask.ravel()))
     user, k = list(seeds) if seeds is not None else [], 0
-    for _ in range(max_iterations):
+    for _ in count() if max_iterations is None else range(max_iterations):
         while user and not (free[user[-1]] and pool_mask[user[-1]]):
             user.pop()
         if user:
@@ -107,16 +110,22 @@ def _labelled(pdf: pd.DataFrame, at: np.ndarray, labels: np.ndarray) -> pd.DataF
     return pd.DataFrame({"dataset_id": pdf["dataset_id"].to_numpy(), "z": at[:, 0].astype(np.int32), "y": at[:, 1].astype(np.int32), "x": at[:, 2].astype(np.int32), "label": labels[tuple(at.T)].astype(np.int32)})
 
 
+def fillable(pdf: pd.DataFrame, a: np.ndarray, there: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Voxels that are present, finite and, where the table has a mask, inside it."""
+    mask = there & np.isfinite(a).all(-1)
+    if "mask" in pdf:
+        inside = np.zeros(mask.shape, bool)
+        inside[tuple(at.T)] = pdf["mask"].to_numpy(bool)
+        mask &= inside
+    return mask
+
+
 def flood_fill(vox: DataFrame, offsets, local: float, channels: tuple[str, ...] = ("c0", "c1"), two_stage: bool = False, **options) -> DataFrame:
     """Exact flood fill of each dataset. Two-stage: seeds are collected first and filled from the largest on."""
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
         a, there, at = dense(pdf, list(channels))
-        mask = there & np.isfinite(a).all(-1)
-        if "mask" in pdf:
-            inside = np.zeros(mask.shape, bool)
-            inside[tuple(at.T)] = pdf["mask"].to_numpy(bool)
-            mask &= inside
+        mask = fillable(pdf, a, there, at)
         own = dict(options)
         if two_stage:
             _, found = flood(a, mask, offsets, local, consume=True, **own)
@@ -133,8 +142,8 @@ def collect_seeds(vox: DataFrame, offsets, local: float, channels: tuple[str, ..
     """Regions' sizes and seeds, each region taken out once found."""
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, there, _ = dense(pdf, list(channels))
-        _, found = flood(a, there & np.isfinite(a).all(-1), offsets, local, consume=True, **options)
+        a, there, at = dense(pdf, list(channels))
+        _, found = flood(a, fillable(pdf, a, there, at), offsets, local, consume=True, **options)
         rows = [(pdf["dataset_id"].iloc[0], k, n, *s) for k, (n, s) in enumerate(found)]
         return pd.DataFrame(rows, columns=["dataset_id", "seed_rank", "size", *COORDS]).astype({"seed_rank": "int64", "size": "int64", **{c: "int32" for c in COORDS}})
 

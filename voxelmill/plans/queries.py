@@ -448,17 +448,17 @@ def _planes(spark, sf):
 
 @query()
 def flood_fill_exact(spark, sf):
-    return K.flood_fill(_planes(spark, sf), S.box((1, 3, 3), True), 12.0, tolerance=0.4, min_size=4, max_iterations=400, seed=42)
+    return K.flood_fill(_planes(spark, sf), S.box((1, 3, 3), True), 12.0, tolerance=0.4, min_size=4, max_iterations=None, seed=42)
 
 
 @query()
 def flood_fill_two_stage(spark, sf):
-    return K.flood_fill(_planes(spark, sf), S.box((1, 3, 3), True), 12.0, two_stage=True, cap=20.0, tolerance=0.4, min_size=4, max_iterations=400, seed=42)
+    return K.flood_fill(_planes(spark, sf), S.box((1, 3, 3), True), 12.0, two_stage=True, cap=20.0, tolerance=0.4, min_size=4, max_iterations=None, seed=42)
 
 
 @query()
 def collect_seeds(spark, sf):
-    return K.collect_seeds(_planes(spark, sf), S.box((1, 3, 3), True), 12.0, tolerance=0.4, min_size=4, max_iterations=400, seed=42)
+    return K.collect_seeds(_planes(spark, sf), S.box((1, 3, 3), True), 12.0, tolerance=0.4, min_size=4, max_iterations=None, seed=42)
 
 
 @query(
@@ -608,7 +608,7 @@ def display_window(spark, sf):
 
 @query()
 def global_threshold_sweep(spark, sf):
-    return K.cap_sweep(_planes(spark, sf), [-1.0, 30.0, 10.0], S.box((1, 3, 3), True), 12.0, tolerance=0.4, min_size=4, max_iterations=400, seed=42)
+    return K.cap_sweep(_planes(spark, sf), [-1.0, 30.0, 10.0], S.box((1, 3, 3), True), 12.0, tolerance=0.4, min_size=4, max_iterations=None, seed=42)
 
 
 def _volumes(spark, sf):
