@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelmill.llm import ann, bpe, lm, mixing, simhash, substring, topk, toxicity, urlfilter, warc
+from voxelmill.llm import ann, bpe, mixing, simhash, substring, topk, toxicity, urlfilter, warc, wordlm
 from voxelmill.session import scratch_path
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -42,7 +42,7 @@ def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     targets = spark.read.parquet(f"{sf_dir}/labels.parquet").filter("quality = 1")
-    return lm.score(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), targets).drop("text")
+    return wordlm.score(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), targets).drop("text")
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
