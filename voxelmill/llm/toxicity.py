@@ -2,9 +2,11 @@
 
 Terms are a text's lower-cased words and their beginnings of ``PREFIXES`` characters (inflected forms share one),
 hashed to ``SLOTS`` places. A text is the set of its places. The machine adds a bias, a weight for each place and, for
-each two places, the product of their factor vectors: an insult may weigh more, or less, beside another word. Places
-in fewer than ``MIN_TEXTS`` training texts, or whose log-likelihood ratio to the labels is below ``MIN_EVIDENCE``, have no
-weight and no factors, so the many unrelated words of a long text add nothing.
+each two places, the product of their factor vectors: an insult may weigh more, or less, beside another word. A place
+is in the machine where it stands in ``MIN_TEXTS`` training texts and its log-likelihood ratio to the labels reaches
+``MIN_EVIDENCE``, or where a pair makes texts toxic that neither of its places does (``pair_places``): a word that is
+common in clean texts may weigh beside another. Other places have no weight and no factors, so the many unrelated words
+of a long text add nothing.
 
 Training: stochastic gradients with per-place step sizes on at most ``MAX_ROWS`` labelled texts, the first in the order
 of a hash of their doc_id (the bound is for the driver's memory; scoring covers every text). Nothing but the text enters
@@ -87,6 +89,49 @@ def _evidence(k: np.ndarray, n: np.ndarray, toxic: int, total: int) -> np.ndarra
     return 2 * (part(k, n * share) + part(n - k, n * (1 - share)) + part(rest_k, rest * share) + part(rest - rest_k, rest * (1 - share)))
 
 
+def pair_places(texts: list[np.ndarray], labels: np.ndarray, used: np.ndarray, n: np.ndarray, toxic: np.ndarray, block: int = 16) -> np.ndarray:
+    """Rows of ``used`` (counts ``n``, ``toxic``) in pairs whose texts are toxic beyond those of either place.
+
+    Every two places that share ``MIN_TEXTS`` toxic texts are tried. The evidence of a pair is the lesser of two ratios,
+    each within the texts of one of its places; it must reach ``MIN_EVIDENCE`` raised for the number of pairs tried."""
+    able = np.flatnonzero(toxic >= MIN_TEXTS)
+    m = len(able)
+    if m < 2:
+        return able[:0]
+    limit = MIN_EVIDENCE + 2 * np.log(m * (m - 1) / 2)
+    spot = np.full(SLOTS, -1, np.int32)
+    spot[used[able]] = np.arange(m, dtype=np.int32)
+    bits, held = np.zeros((m, (len(texts) + 7) // 8), np.uint8), np.zeros((m, int(labels.sum())), np.float32)
+    bad = 0
+    for i, (t, y) in enumerate(zip(texts, labels)):
+        at = spot[t]
+        at = at[at >= 0]
+        bits[at, i // 8] |= np.uint8(1 << i % 8)
+        if y:
+            held[at, bad] = 1
+            bad += 1
+    na, ka, chosen = n[able].astype(float), toxic[able].astype(float), np.zeros(m, bool)
+    # pairs with the same texts as one of their places tell nothing that it doesn't tell alone
+    for a in range(0, m, block):
+        k = held[a : a + block] @ held[a:].T
+        i, j = np.nonzero(k >= MIN_TEXTS)
+        i, j, k = (x[i < j] for x in (i, j, k[i, j]))
+        i, j = i + a, j + a
+
+        def least(k, n, i, j):
+            return np.minimum(*(np.where(k * na[x] > n * ka[x], _evidence(k, n, ka[x], na[x]), 0.0) for x in (i, j)))
+
+        # a pair's texts are at least its toxic ones, and with no others its evidence is greatest
+        fine = least(k, k, i, j) >= limit
+        i, j, k = i[fine], j[fine], k[fine]
+        for c in range(0, len(i), 8_000):
+            p, q = i[c : c + 8_000], j[c : c + 8_000]
+            both = np.bitwise_count(bits[p] & bits[q]).sum(1, dtype=np.int64).astype(float)
+            good = least(k[c : c + 8_000], both, p, q) >= limit
+            chosen[p[good]] = chosen[q[good]] = True
+    return able[chosen]
+
+
 def fit(texts: list[np.ndarray], labels: np.ndarray, epochs: int = 15, step: float = 0.08, shrink: float = 1e-4, size: int = 32, seed: int = 7) -> Machine:
     """Fit a machine to sets of places, in the given order of rows."""
     slot_of = np.full(SLOTS, -1, np.int32)
@@ -94,7 +139,9 @@ def fit(texts: list[np.ndarray], labels: np.ndarray, epochs: int = 15, step: flo
         return Machine(slot_of, np.zeros(0), np.zeros((0, FACTORS)), 0.0, float(labels.mean()) if len(labels) else 0.0)
     used, n = np.unique(np.concatenate(texts), return_counts=True)
     toxic = np.bincount(np.searchsorted(used, np.concatenate([t for t, y in zip(texts, labels) if y])), minlength=len(used))
-    used = used[(n >= MIN_TEXTS) & (_evidence(toxic, n, int(labels.sum()), len(labels)) >= MIN_EVIDENCE)]
+    alone = (n >= MIN_TEXTS) & (_evidence(toxic, n, int(labels.sum()), len(labels)) >= MIN_EVIDENCE)
+    alone[pair_places(texts, labels, used, n, toxic)] = True
+    used = used[alone]
     slot_of[used] = np.arange(len(used), dtype=np.int32)
     rows = [r[r >= 0] for r in (slot_of[t] for t in texts)]
     rng = np.random.default_rng(seed)
