@@ -119,23 +119,32 @@ def refine_shift(ref: DataFrame, mov: DataFrame, trials: list[Offset], feature:
     return scored.withColumn("best", F.row_number().over(order) == 1).drop("total")
 
 
-def wall_cells(vox: DataFrame, percentile: float = 0.7, erosions: int = 1, dilations: int = 1, min_size: int = 1, value: str = "kam") -> DataFrame:
-    """Cells between walls: ``z, y, x, label`` of the 6-connected parts of the mask without the opened high-``value`` voxels.
+def opened_walls(vox: DataFrame, percentile: float, erosions: int, dilations: int, value: str, near: list[Offset], outside: bool = False) -> DataFrame:
+    """``z, y, x`` of the mask's voxels from the percentile of ``value`` in the mask on, eroded and dilated by ``near``.
 
-    Outside the grid nothing is wall. Parts below ``min_size`` go; labels follow the parts' first voxels."""
+    With ``outside`` what lies outside the grid doesn't erode."""
     shape = extent(vox)
     fine = vox.filter(F.col("mask") & F.col(value).isNotNull() & ~F.isnan(value))
     cut = fine.agg(F.percentile(value, F.lit(percentile))).first()[0]
     if cut is None:
         raise ValueError("no finite value in the mask")
     wall = fine.filter(F.col(value) >= cut).select(*COORDS)
-    near = cross(3, True)
+    inside = (" and ".join(f"{c} + {v} between 0 and {n - 1}" for c, v, n in zip(COORDS, o, shape)) for o in near)
+    need = sum((F.expr(f"({i})").cast("int") for i in inside), F.lit(0)) if outside else F.lit(len(near))
     for _ in range(erosions):
-        wall = neighbours(wall, near, []).groupBy(*TILES, *COORDS).count().filter(F.col("count") == len(near)).select(*COORDS)
+        wall = neighbours(wall, near, []).groupBy(*TILES, *COORDS).count().filter(F.col("count") == need).select(*COORDS)
     steps = F.explode(F.array(*(F.struct(*(F.lit(v).alias(d) for v, d in zip(o, COORDS))) for o in near))).alias("o")
     for _ in range(dilations):
         grown = wall.select(*COORDS, steps).select(*((F.col(c) + F.col(f"o.{c}")).alias(c) for c in COORDS))
         wall = grown.filter(" and ".join(f"{c} between 0 and {n - 1}" for c, n in zip(COORDS, shape))).distinct()
+    return wall
+
+
+def wall_cells(vox: DataFrame, percentile: float = 0.7, erosions: int = 1, dilations: int = 1, min_size: int = 1, value: str = "kam") -> DataFrame:
+    """Cells between walls: ``z, y, x, label`` of the 6-connected parts of the mask without the opened high-``value`` voxels.
+
+    Outside the grid nothing is wall. Parts below ``min_size`` go; labels follow the parts' first voxels."""
+    wall = opened_walls(vox, percentile, erosions, dilations, value, cross(3, True))
     free = vox.filter("mask").select(*COORDS).join(wall, COORDS, "left_anti").withColumn("label", F.lit(1))
     parts = components(free, [(0, 0, 1), (0, 1, 0), (1, 0, 0)])
     sizes = parts.groupBy("component").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") >= min_size)

@@ -424,8 +424,12 @@ def overthreshold(spark, sf):
 
 @query()
 def skeleton_cells(spark, sf):
-    """Cells between skeletons: 8-connected parts of the complement of each plane's skeleton, by size."""
-    over = overthreshold(spark, sf)
+    """Cells between skeletons: 8-connected parts of the complement of each plane's skeleton, by size.
+
+    The walls are the mask's high values, opened and grown by the in-plane cross."""
+    v = lattice_v(spark, sf)
+    wall = L.opened_walls(v, 0.29, 1, 1, "c0", S.cross(2, True), outside=True).withColumn("over", F.lit(True))
+    over = v.select("z", "y", "x").join(wall, ["z", "y", "x"], "left").fillna(False, ["over"])
     free = K.skeleton(over).filter("not skeleton").select("z", "y", "x", F.lit(1).alias("label"))
     parts = R.components(free, [(0, 0, 1), (0, 1, -1), (0, 1, 0), (0, 1, 1)])
     sizes = parts.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
