@@ -127,3 +127,28 @@ def test_simhash_of_odd_rows(spark):
     assert kept.columns == df.columns
     assert sorted((r.doc_id or -1) for r in kept.collect()) == [-1, 1, 3, 3, 9]
     assert simhash.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_a_text_is_encoded_once_and_all_forms_agree(spark, sf):
+    import corpus_pipeline
+
+    path, docs = tokenizer_path(), spark.read.parquet(f"{sf}/documents.parquet")
+    for df in (QUERIES["op1_bpe"](spark, sf), corpus_pipeline.tokenize(spark, docs, sf), bpe.decode(bpe.encode(docs, path), path).select("token_ids", "n_tokens", "decoded")):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        nodes = [line for line in plan.splitlines() if "ArrowEvalPython" in line]
+        assert sum(line.split("], [")[0].count("bpe_encode") for line in nodes) == 1, plan
+    df = spark.createDataFrame([(i, x, "z", "y") for i, x in enumerate(ODD)], "doc_id long, text string, decoded string, token_ids string")
+    two, one, lists = bpe.decode(bpe.encode(df, path), path), bpe.round_trip(df, path), bpe.token_lists(df, path)
+    row = lambda r: (r.doc_id, r.n_tokens, bytes(r.token_ids), r.decoded)
+    assert sorted(map(row, two.collect())) == sorted(map(row, one.collect()))
+    assert {r.doc_id: np.array(r.token_ids, "<i4").tobytes() for r in lists.collect()} == {r.doc_id: bytes(r.token_ids) for r in one.collect()}
+
+
+def test_a_small_table_gives_the_same_ids(monkeypatch):
+    texts = [f"some words {i} and others{i * 7} " * 5 for i in range(300)]
+    want = list(bpe.Vocabulary(tokenizer_path()).encode_all(texts))
+    monkeypatch.setattr(bpe, "TABLE_BYTES", 30_000)
+    monkeypatch.setattr(bpe, "SLICE_CHARS", 1000)
+    monkeypatch.setattr(bpe, "TREE_ROWS", 7)
+    v = bpe.Vocabulary(tokenizer_path())
+    assert list(v.encode_all(iter(texts))) == want and v.held <= 30_000

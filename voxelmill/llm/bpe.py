@@ -3,17 +3,21 @@
 Each pre-token is merged over a segment tree whose leaves hold the merge ranks of adjacent pairs. The root yields the
 lowest rank, the walk down to it the leftmost pair of that rank; a merge changes three leaves, each in logarithmic
 time, until the root holds no rank. The short pre-tokens of a slice of texts are merged together, one tree in each row
-of an array; a long one has a tree of its own. Results of short pre-tokens are kept in a bounded table.
-
-Texts are handled row by row in Arrow batches: no shuffle, no state between rows. Null text encodes as no tokens,
-as does empty text; null ids decode to null.
+of an array; a long one has a tree of its own. Results of short pre-tokens are kept in a table of at most
+``TABLE_BYTES``, and texts are worked on in slices, so a worker's memory is bounded whatever the texts hold (but for one
+text and its ids).
+
+Texts are handled row by row in Arrow batches: no shuffle, no state between rows. The encoder counts as not
+deterministic for Spark's optimiser, which would otherwise repeat it for each column that is made from the ids; ids and
+texts themselves are always the same. Null text encodes as no tokens, as does empty text; null ids decode to null.
+Repeated rows are coded each; an empty table gives an empty result; columns with the names of outputs are replaced.
 """
 
 from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +31,9 @@ NO_RANK = 1 << 30
 # The same pattern with its classes written out for texts of Latin-1 characters alone, which the plain engine splits faster.
 _L, _N, _S = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", r"0-9\xb2\xb3\xb9\xbc-\xbe", r"\t-\r \x85\xa0"
 LATIN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
-TABLE_ENTRIES, SHORT, SLICE_CHARS = 400_000, 32, 1_500_000
+#: Bytes of the table of pre-tokens (a Python entry takes about ``ENTRY_BYTES`` besides its characters and ids), the longest
+#: pre-token in it, characters of texts worked on together, and rows of trees worked on together.
+TABLE_BYTES, ENTRY_BYTES, SHORT, SLICE_CHARS, TREE_ROWS = 24 << 20, 200, 32, 500_000, 16_384
 
 
 def _byte_alphabet() -> dict[str, int]:
@@ -42,6 +48,7 @@ class Vocabulary(dict):
 
     def __init__(self, path: str):
         super().__init__()
+        self.held = 0
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         alphabet, vocab = _byte_alphabet(), spec["model"]["vocab"]
@@ -82,17 +89,22 @@ class Vocabulary(dict):
     def learn(self, pieces: set[str]) -> None:
         """Merge the short ones of ``pieces`` that the table lacks and put them there."""
         new = [p for p in pieces if p not in self]
-        if len(self) + len(new) > TABLE_ENTRIES:
+        size = sum(map(len, new)) * 3 + len(new) * ENTRY_BYTES
+        if self.held + size > TABLE_BYTES:
             self.clear()
-            new = list(pieces)
+            self.held, new = 0, list(pieces)
+            size = sum(map(len, new)) * 3 + len(new) * ENTRY_BYTES
+        self.held += size
         raw = [p.encode() for p in new]
         by_size: dict[int, list[int]] = {}
         for i, b in enumerate(raw):
             if len(b) <= SHORT:
                 by_size.setdefault(max(1, len(b) - 2).bit_length(), []).append(i)
         for which in by_size.values():
-            for i, packed in zip(which, self.merge_all([raw[i] for i in which])):
-                self[new[i]] = packed
+            for at in range(0, len(which), TREE_ROWS):
+                part = which[at : at + TREE_ROWS]
+                for i, packed in zip(part, self.merge_all([raw[i] for i in part])):
+                    self[new[i]] = packed
 
     def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Merge ranks of pairs of ids; ids below zero have none."""
@@ -112,8 +124,8 @@ class Vocabulary(dict):
         for i in range(size - 1, 0, -1):
             np.minimum(tree[:, 2 * i], tree[:, 2 * i + 1], out=tree[:, i])
         end = size + 1
-        after = np.minimum(np.arange(1, size + 3), end)[None].repeat(len(raw), 0)
-        before = np.arange(-1, size + 1)[None].repeat(len(raw), 0)
+        after = np.minimum(np.arange(1, size + 3, dtype=np.int32), end)[None].repeat(len(raw), 0)
+        before = np.arange(-1, size + 1, dtype=np.int32)[None].repeat(len(raw), 0)
 
         def put(rows: np.ndarray, at: np.ndarray, value: np.ndarray | int) -> None:
             at = at + size
@@ -204,19 +216,18 @@ class Vocabulary(dict):
     def encode(self, text: str) -> bytes:
         return next(self.encode_all([text]))
 
-    def encode_all(self, texts: list[str]) -> Iterator[bytes]:
+    def encode_all(self, texts: Iterable[str]) -> Iterator[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers. Special tokens' strings become those tokens."""
-        get, at = self.__getitem__, 0
-        while at < len(texts):
+        get, texts = self.__getitem__, iter(texts)
+        for text in texts:
             parts, chars = [], 0  # of each text; a part is a list of pre-tokens or a special token's packed id
-            while at < len(texts) and chars < SLICE_CHARS:
-                text = texts[at]
+            while text is not None:
                 if self.split is None or not any(s in text for s in self.special):
                     parts.append([self.pieces(text)])
                 else:
                     parts.append([self.special[p].to_bytes(4, "little") if p in self.special else self.pieces(p) for p in self.split(text) if p])
                 chars += len(text)
-                at += 1
+                text = next(texts, None) if chars < SLICE_CHARS else None
             seen: set[str] = set()
             for own in parts:
                 for p in own:
@@ -245,9 +256,9 @@ def encode_column(text: Column, path: str) -> Column:
 
     @F.arrow_udf("binary")
     def bpe_encode(texts: pa.Array) -> pa.Array:
-        return pa.array(vocabulary(path).encode_all([t or "" for t in texts.to_pylist()]), pa.binary())
+        return pa.array(vocabulary(path).encode_all(t.as_py() or "" for t in texts), pa.binary())
 
-    return bpe_encode(text)
+    return bpe_encode.asNondeterministic()(text)
 
 
 def decode_column(ids: Column, path: str) -> Column:
@@ -271,6 +282,19 @@ def decode(df: DataFrame, path: str, ids: str = "token_ids", out: str = "decoded
     return df.withColumn(out, decode_column(F.col(ids), path))
 
 
+def round_trip(df: DataFrame, path: str, text: str = "text", ids: str = "token_ids", count: str = "n_tokens", out: str = "decoded") -> DataFrame:
+    """As ``decode`` of ``encode``, in one pass through Python: a text goes there and its ids and their text come back."""
+
+    @F.arrow_udf("ids binary, decoded string")
+    def bpe_encode_decode(texts: pa.Array) -> pa.Array:
+        v = vocabulary(path)
+        coded = list(v.encode_all(t.as_py() or "" for t in texts))
+        return pa.StructArray.from_arrays([pa.array(coded, pa.binary()), pa.array(map(v.decode, coded), pa.string())], ["ids", "decoded"])
+
+    both = df.withColumn("__coded", bpe_encode_decode.asNondeterministic()(F.col(text)))
+    return both.withColumn(ids, F.col("__coded.ids")).withColumn(out, F.col("__coded.decoded")).withColumn(count, (F.octet_length(ids) / 4).cast("long")).drop("__coded")
+
+
 def unpack(ids: str = "token_ids") -> Column:
     """Packed ids as ``array<int>``."""
 
@@ -279,3 +303,15 @@ def unpack(ids: str = "token_ids") -> Column:
         return pa.array([None if (b := p.as_py()) is None else np.frombuffer(b, "<u4").astype(np.int32) for p in packed], pa.list_(pa.int32()))
 
     return bpe_unpack(F.col(ids))
+
+
+def token_lists(df: DataFrame, path: str, text: str = "text", ids: str = "token_ids", count: str = "n_tokens") -> DataFrame:
+    """As ``encode``, with the ids as ``array<int>`` straight from the encoder."""
+
+    @F.arrow_udf("array<int>")
+    def bpe_encode_lists(texts: pa.Array) -> pa.Array:
+        packed = list(vocabulary(path).encode_all(t.as_py() or "" for t in texts))
+        ends = np.cumsum([0, *(len(b) // 4 for b in packed)])
+        return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.frombuffer(b"".join(packed), "<i4")))
+
+    return df.withColumn(ids, bpe_encode_lists.asNondeterministic()(F.col(text))).withColumn(count, F.size(ids).cast("long"))
