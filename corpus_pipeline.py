@@ -35,8 +35,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text."""
-    coded = bpe.encode(docs, tokenizer_path()).select("doc_id", "lang", "source", "n_tokens", "token_ids")
-    return coded.withColumn("token_ids", bpe.unpack())
+    return bpe.token_lists(docs, tokenizer_path()).select("doc_id", "lang", "source", "n_tokens", "token_ids")
 
 
 STAGES = [("toxicity", drop_toxic), ("simhash_near_dedup", drop_near_copies), ("substring_dedup", drop_substrings), ("mixing", mix_sources), ("bpe", tokenize)]
