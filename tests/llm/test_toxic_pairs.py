@@ -31,3 +31,33 @@ def test_no_pairs_in_noise():
     used, n = np.unique(np.concatenate(texts), return_counts=True)
     toxic = np.bincount(np.searchsorted(used, np.concatenate([t for t, y in zip(texts, labels) if y])), minlength=len(used))
     assert len(toxicity.pair_places(texts, labels, used, n, toxic)) == 0
+
+
+def test_scores_equal_an_explicit_sum_over_pairs(spark):
+    rng = np.random.default_rng(2)
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(rng.choice(words, 12)) + (" vile" if i % 4 == 0 else ""), int(i % 4 == 0)) for i in range(400)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)
+    assert len(model.weight)
+    texts = [*(t for _, t, _ in rows[:40]), "", None, "vile " * 20_000 + "w1"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.s for r in df.select("doc_id", toxicity.score_column(df["text"], model, df).alias("s")).collect()}
+    for i, t in enumerate(texts):
+        own = sorted({int(model.slot_of[p]) for w in set((t or "").lower().split()) for p in toxicity.word_slots(w)} - {-1})
+        z = model.bias + sum(model.weight[a] for a in own) + sum(float(model.factor[a] @ model.factor[b]) for k, a in enumerate(own) for b in own[:k])
+        assert abs(got[i] - 1 / (1 + np.exp(-z))) < 1e-9
+
+
+def test_ids_of_any_type_and_odd_rows(spark):
+    rows = [(i, "vile thing" if i % 3 == 0 else "fine thing", int(i % 3 == 0)) for i in range(300)]
+    want = None
+    for kind in ("long", "int", "string"):
+        docs = spark.createDataFrame([r[:2] for r in rows] + [(0, "vile thing"), (None, "vile thing")], "doc_id long, text string").selectExpr(f"cast(doc_id as {kind}) as doc_id", "text", "'x' as score", "'y' as predicted")
+        labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int").selectExpr(f"cast(doc_id as {kind}) as doc_id", "toxic")
+        out = toxicity.score(docs, labels)
+        assert out.columns == docs.columns and dict(out.dtypes)["score"] == "double"
+        found = {(r.text, r.predicted) for r in out.collect()}
+        assert out.count() == len(rows) + 2 and found == {("vile thing", 1), ("fine thing", 0)}
+        assert toxicity.score(docs.limit(0), labels).count() == 0

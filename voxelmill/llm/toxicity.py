@@ -27,15 +27,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SLOTS, PREFIXES, MIN_TEXTS, MAX_ROWS, FACTORS, MIN_EVIDENCE = 1 << 20, (4, 5, 6), 3, 12_000, 8, 8.0
+SLOTS, PREFIXES, STEM, MIN_TEXTS, MAX_ROWS, FACTORS, MIN_EVIDENCE = 1 << 20, (4, 5, 6), 5, 3, 12_000, 8, 8.0
 TABLE_WORDS = 300_000
 _WORDS = re.compile(r"\w+").findall
 
 
 def word_slots(word: str) -> list[int]:
-    """Places of a word and of its beginnings."""
+    """Places of a word and of its beginnings. One of them is even, that of the ``STEM`` or the shorter word; others are odd."""
     raw = [f"w {word}", *(f"p{k} {word[:k]}" for k in PREFIXES if len(word) >= k)]
-    return [xxhash.xxh32_intdigest(x.encode()) % SLOTS for x in raw]
+    stem = f"p{STEM} {word[:STEM]}" if len(word) >= STEM else raw[0]
+    return [xxhash.xxh32_intdigest(x.encode()) % SLOTS & ~1 | (x != stem) for x in raw]
 
 
 class _Table(dict):
@@ -89,19 +90,22 @@ def _evidence(k: np.ndarray, n: np.ndarray, toxic: int, total: int) -> np.ndarra
     return 2 * (part(k, n * share) + part(n - k, n * (1 - share)) + part(rest_k, rest * share) + part(rest - rest_k, rest * (1 - share)))
 
 
-def pair_places(texts: list[np.ndarray], labels: np.ndarray, used: np.ndarray, n: np.ndarray, toxic: np.ndarray, block: int = 16) -> np.ndarray:
+def pair_places(texts: list[np.ndarray], labels: np.ndarray, used: np.ndarray, n: np.ndarray, toxic: np.ndarray, block: int = 64) -> np.ndarray:
     """Rows of ``used`` (counts ``n``, ``toxic``) in pairs whose texts are toxic beyond those of either place.
 
-    Every two places that share ``MIN_TEXTS`` toxic texts are tried. The evidence of a pair is the lesser of two ratios,
-    each within the texts of one of its places; it must reach ``MIN_EVIDENCE`` raised for the number of pairs tried."""
-    able = np.flatnonzero(toxic >= MIN_TEXTS)
+    A word has one place in the search, the even one. Every two that share ``MIN_TEXTS`` toxic texts are tried. The evidence of a pair is the lesser of two ratios,
+    each within the texts of one of its places; it must reach ``MIN_EVIDENCE`` raised for the number of pairs. Places
+    that couldn't reach it with any other, as even their toxic texts alone wouldn't, are left out before the search."""
+    able = np.flatnonzero((toxic >= MIN_TEXTS) & (used % 2 == 0))
     m = len(able)
     if m < 2:
         return able[:0]
     limit = MIN_EVIDENCE + 2 * np.log(m * (m - 1) / 2)
+    able = able[_evidence(toxic[able], toxic[able], toxic[able], n[able]) >= limit]
+    m = len(able)
     spot = np.full(SLOTS, -1, np.int32)
     spot[used[able]] = np.arange(m, dtype=np.int32)
-    bits, held = np.zeros((m, (len(texts) + 7) // 8), np.uint8), np.zeros((m, int(labels.sum())), np.float32)
+    bits, held = np.zeros((m, (len(texts) + 7) // 8), np.uint8), np.zeros((m, int(labels.sum())), np.float32)  # a bounded number of texts
     bad = 0
     for i, (t, y) in enumerate(zip(texts, labels)):
         at = spot[t]
@@ -111,19 +115,23 @@ def pair_places(texts: list[np.ndarray], labels: np.ndarray, used: np.ndarray, n
             held[at, bad] = 1
             bad += 1
     na, ka, chosen = n[able].astype(float), toxic[able].astype(float), np.zeros(m, bool)
+    # a pair's texts are at least its toxic ones, and with no others its evidence is greatest: each place needs so many
+    low, need = np.zeros(m), ka.copy()
+    while (need - low > 1).any():
+        k = np.floor((low + need) / 2)
+        enough = _evidence(k, k, ka, na) >= limit
+        low, need = np.where(enough, low, k), np.where(enough, k, need)
+    need = np.maximum(need, MIN_TEXTS).astype(np.float32)
+
+    def least(k, n, i, j):
+        return np.minimum(*(np.where(k * na[x] > n * ka[x], _evidence(k, n, ka[x], na[x]), 0.0) for x in (i, j)))
+
     # pairs with the same texts as one of their places tell nothing that it doesn't tell alone
     for a in range(0, m, block):
         k = held[a : a + block] @ held[a:].T
-        i, j = np.nonzero(k >= MIN_TEXTS)
+        i, j = np.nonzero(k >= np.maximum(need[a : a + block, None], need[a:]))
         i, j, k = (x[i < j] for x in (i, j, k[i, j]))
         i, j = i + a, j + a
-
-        def least(k, n, i, j):
-            return np.minimum(*(np.where(k * na[x] > n * ka[x], _evidence(k, n, ka[x], na[x]), 0.0) for x in (i, j)))
-
-        # a pair's texts are at least its toxic ones, and with no others its evidence is greatest
-        fine = least(k, k, i, j) >= limit
-        i, j, k = i[fine], j[fine], k[fine]
         for c in range(0, len(i), 8_000):
             p, q = i[c : c + 8_000], j[c : c + 8_000]
             both = np.bitwise_count(bits[p] & bits[q]).sum(1, dtype=np.int64).astype(float)
@@ -182,19 +190,18 @@ def held_out(doc_id: Column) -> Column:
 def train(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = MAX_ROWS) -> Machine:
     """Fit on at most ``max_rows`` labelled rows of ``df`` outside the held-out fold."""
     known = labels.select(F.col(doc_id).alias("id"), F.col(label).alias("y")).dropna().filter(~held_out(F.col("id")))
-    known = known.groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("top")).filter("y = top").select("id", "y")
+    known = known.groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("top")).filter("y = top").select("id", F.col("y").cast("int").alias("y"))
     picked = known.join(df.select(F.col(doc_id).alias("id")).distinct(), "id", "left_semi").orderBy(F.xxhash64("id"), "id").limit(max_rows)
 
     def places(batches):
         table = _Table()
         for b in batches:
-            yield pa.record_batch({"id": b["id"], "y": b["y"], "places": pa.array([table.of(t.as_py()).astype("<i4").tobytes() for t in b["text"]], pa.binary())})
+            yield pa.record_batch({"at": b["at"], "y": b["y"], "places": pa.array([table.of(t.as_py()).astype("<i4").tobytes() for t in b["text"]], pa.binary())})
 
     # at most max_rows ids go to every task
-    rows = df.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(picked), "id").select("id", F.col("y").cast("int").alias("y"), "text").mapInArrow(places, "id long, y int, places binary")
-    got = sorted({(r.id, r.y, bytes(r.places)) for r in rows.collect()})
-    got.sort(key=lambda r: xxhash.xxh64_intdigest(r[0].to_bytes(8, "little", signed=True)))
-    return fit([np.frombuffer(p, "<i4") for _, _, p in got[:max_rows]], np.array([y for _, y, _ in got[:max_rows]], np.float64))
+    rows = df.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(picked), "id").select(F.xxhash64("id").alias("at"), "y", "text").mapInArrow(places, "at long, y int, places binary")
+    got = rows.distinct().orderBy("at", "places", "y").limit(max_rows).toArrow()
+    return fit([np.frombuffer(p.as_buffer(), "<i4") for p in got["places"]], got["y"].to_numpy().astype(np.float64))
 
 
 def score_column(text: Column, machine: Machine, df: DataFrame) -> Column:
