@@ -5,12 +5,13 @@ from __future__ import annotations
 import math
 from itertools import product
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxelmill.operators.numbering import number_keys
 from voxelmill.operators.regions import components, median_field, robust_zscore
-from voxelmill.operators.stencil import COORDS, TILES, box, cross, extent, halved, neighbours
+from voxelmill.operators.stencil import COORDS, Arrays, boundaries, box, cross, extent, halved, neighbours, windows
 from voxelmill.session import checkpoint
 
 Offset = tuple[int, int, int]
@@ -30,17 +31,18 @@ def mirrored(vox: DataFrame, pads: Offset, shape: Offset) -> DataFrame:
 
 def median_filter(vox: DataFrame, size: Offset, channels: tuple[str, ...] = ("c0", "c1")) -> DataFrame:
     """Each channel's median over a box of odd sizes, as ``median_<channel>``; borders are mirrored, absent voxels left out."""
-    own, pads = vox.select(*COORDS, *channels), tuple(s // 2 for s in size)
-    pairs = neighbours(own, box(size, True), list(channels), mirrored(own, pads, extent(vox)))
-    # a voxel's window is at most the box; one list of it serves all channels
-    windows = pairs.groupBy(*TILES, *COORDS).agg(F.collect_list(F.struct(*(F.col(f"n_{c}") for c in channels))).alias("w"))
+    own, pads = vox.select(*COORDS, *(F.col(c).cast("double").alias(c) for c in channels)), tuple(s // 2 for s in size)
 
-    def middle(c: str) -> Column:
-        v = F.sort_array(F.filter(F.transform("w", lambda s: s[f"n_{c}"]), lambda x: x.isNotNull()))
-        at = lambda k: F.get(v, F.floor(k / 2).cast("int"))
-        return (at(F.size(v) - 1) + at(F.size(v))) / 2
+    def middle(_: Arrays, near: Arrays, there: np.ndarray) -> Arrays:
+        out = {}
+        for c in channels:
+            n = (there & ~np.isnan(near[c])).sum(1)
+            v = np.sort(np.where(there, near[c], np.nan), axis=1)  # NaN comes last
+            pick = lambda k: np.take_along_axis(v, np.maximum(k, 0)[:, None], 1)[:, 0]
+            out[f"median_{c}"] = np.where(n > 0, (pick((n - 1) // 2) + pick(n // 2)) / 2, np.nan)
+        return out
 
-    return windows.select(*COORDS, *(middle(c).alias(f"median_{c}") for c in channels))
+    return windows(own, box(size, True), list(channels), middle, {f"median_{c}": "double" for c in channels}, mirrored(own, pads, extent(vox)))
 
 
 def gaussian(vox: DataFrame, column: str, sigma: tuple[float, float, float] = (0.5, 1.0, 1.0), reach: float = 4.0) -> DataFrame:
@@ -50,13 +52,15 @@ def gaussian(vox: DataFrame, column: str, sigma: tuple[float, float, float] = (0
         r = int(reach * s + 0.5)
         if r < 1:
             continue
-        raw = [math.exp(-0.5 * (i / s) ** 2) for i in range(-r, r + 1)]
-        weights = F.array(*(F.lit(w / sum(raw)) for w in raw))
+        raw = np.array([math.exp(-0.5 * (i / s) ** 2) for i in range(-r, r + 1)])
+        weights = raw / raw.sum()
         along = [tuple(i if a == k else 0 for a in range(3)) for i in range(-r, r + 1)]
         pads = tuple(r if a == k else 0 for a in range(3))
-        pairs = neighbours(out, along, [column], mirrored(out, pads, shape))
-        weight = F.element_at(weights, F.col("dzdydx"[2 * k : 2 * k + 2]) + r + 1)
-        out = pairs.groupBy(*TILES, *COORDS).agg(F.sum(weight * F.col(f"n_{column}")).alias(column)).drop(*TILES)
+
+        def blend(_: Arrays, near: Arrays, there: np.ndarray, weights: np.ndarray = weights) -> Arrays:
+            return {column: np.where(there & ~np.isnan(near[column]), near[column], 0.0) @ weights}
+
+        out = windows(out, along, [column], blend, {column: "double"}, mirrored(out, pads, shape))
     return out
 
 
@@ -70,7 +74,7 @@ def contact_feature(vox: DataFrame) -> DataFrame:
     """``z, y, x, contact``: voxels at contacts of two cells (both sides, in the mask), smoothed, as a z-score."""
     both = halved() + [tuple(-v for v in o) for o in halved()]
     cells = vox.filter("mask and label > 0").select(*COORDS, "label")
-    met = neighbours(cells, both, ["label"]).filter("label <> n_label").select(*COORDS).distinct().withColumn("contact", F.lit(1.0))
+    met = boundaries(cells, both).select(*COORDS).withColumn("contact", F.lit(1.0))
     marked = vox.select(*COORDS, "mask").join(met, COORDS, "left").fillna(0.0, ["contact"])
     # the scores' scalars are found by jobs of their own: what they read is written once
     smooth = checkpoint(gaussian(marked, "contact").join(marked.drop("contact"), COORDS))
@@ -100,12 +104,12 @@ def refine_shift(ref: DataFrame, mov: DataFrame, trials: list[Offset], feature:
     The score is the features' correlation, less 0.75 of the median distance of the channels, plus 0.25 of the overlap's
     share of ``ref``; trials under ``min_voxels`` common voxels are left out. ``best`` marks the greatest score, ties the
     earlier trial. With ``planes`` every plane z is a volume of its own and trials shift within it. Shifts unfold inside
-    the tiles, so rows are shuffled once and only the sums of a trial travel."""
+    the tiles, so voxels are shuffled once and only the sums of a trial travel."""
     if planes and any(t[0] for t in trials):
         raise ValueError("planes are shifted within themselves")
     carry, key = list(dict.fromkeys([feature, *channels])), ["z"] if planes else []
     fixed, moved = (d.filter("mask").select(*COORDS, *carry) for d in (ref, mov))
-    pairs = neighbours(fixed, [tuple(-v for v in t) for t in trials], carry, moved)
+    pairs = neighbours(fixed, [tuple(-v for v in t) for t in trials], carry, moved, select=[*key, "dz", "dy", "dx", *carry, *(f"n_{c}" for c in carry)])
     distance = F.sqrt(sum(((F.col(c) - F.col(f"n_{c}")) ** 2 for c in channels), F.lit(0.0)))
     a, b = F.col(feature), F.col(f"n_{feature}")
     by = [*key, *((-F.col(d)).cast("int").alias(f"shift_{d[1]}") for d in ("dz", "dy", "dx"))]
@@ -131,8 +135,12 @@ def opened_walls(vox: DataFrame, percentile: float, erosions: int, dilations: in
     wall = fine.filter(F.col(value) >= cut).select(*COORDS)
     inside = (" and ".join(f"{c} + {v} between 0 and {n - 1}" for c, v, n in zip(COORDS, o, shape)) for o in near)
     need = sum((F.expr(f"({i})").cast("int") for i in inside), F.lit(0)) if outside else F.lit(len(near))
+
+    def held(own: Arrays, at: Arrays, there: np.ndarray) -> Arrays:
+        return {"held": there.sum(1)}
+
     for _ in range(erosions):
-        wall = neighbours(wall, near, []).groupBy(*TILES, *COORDS).count().filter(F.col("count") == need).select(*COORDS)
+        wall = windows(wall, near, [], held, {"held": "long"}).filter(F.col("held") == need).select(*COORDS)
     steps = F.explode(F.array(*(F.struct(*(F.lit(v).alias(d) for v, d in zip(o, COORDS))) for o in near))).alias("o")
     for _ in range(dilations):
         grown = wall.select(*COORDS, steps).select(*((F.col(c) + F.col(f"o.{c}")).alias(c) for c in COORDS))

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxelmill.operators.stencil import COORDS, neighbours
+from voxelmill.operators.stencil import COORDS, neighbours, same_label
 from voxelmill.operators.components import connected_components
 
 NEAR6 = [(-1, 0, 0), (1, 0, 0), (0, -1, 0), (0, 1, 0), (0, 0, -1), (0, 0, 1)]
@@ -155,7 +155,7 @@ def core_components(vox: DataFrame, offsets, local: float, tolerance: float, sha
     lin = ((F.col("z").cast("long") * shape[1] + F.col("y")) * shape[2] + F.col("x")).alias("lin")
     own = vox.select(*COORDS, lin, *channels)
     near = sum(((F.col(f"n_{c}") - F.col(c)) ** 2 for c in channels), F.lit(0.0)) < F.lit(local * local * len(channels))
-    pairs = neighbours(own, offsets, ["lin", *channels]).select("lin", "n_lin", near.alias("near"))
+    pairs = neighbours(own, offsets, ["lin", *channels], select=["lin", "n_lin", *channels, *(f"n_{c}" for c in channels)]).select("lin", "n_lin", near.alias("near"))
     core = pairs.groupBy("lin").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("near").cast("int")).alias("k")).filter(F.col("k") >= F.ceil(F.col("n") * tolerance)).select("lin")
     edges = pairs.filter("near and lin < n_lin").join(core, "lin", "left_semi").join(core.withColumnRenamed("lin", "n_lin"), "n_lin", "left_semi").select(F.col("lin").alias("a"), F.col("n_lin").alias("b"))
     found = connected_components(edges)
@@ -412,7 +412,7 @@ def surface_faces(vox: DataFrame, spacing: tuple[float, float, float] = (1.0, 1.
     own = vox.filter("label > 0").select(*COORDS, "label")
     big = own.groupBy("label").count().filter(F.col("count") >= min_voxels).select("label")
     own = own.join(big, "label", "left_semi")
-    same = neighbours(own, cross(), ["label"]).filter("label = n_label").select(*COORDS, "dz", "dy", "dx")
+    same = neighbours(own, cross(), ["label"], keep=same_label, select=[*COORDS, "dz", "dy", "dx"])
     steps = F.explode(F.array(*(F.struct(*(F.lit(v).alias(d) for v, d in zip(o, ("dz", "dy", "dx")))) for o in NEAR6))).alias("o")
     faces = own.select(*COORDS, "label", steps).select(*COORDS, "label", "o.dz", "o.dy", "o.dx").join(same, [*COORDS, "dz", "dy", "dx"], "left_anti")
     axis = F.when(F.col("dz") != 0, "z").when(F.col("dy") != 0, "y").otherwise("x")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from voxelmill.operators.components import connected_components
 from voxelmill.operators.numbering import number_keys
-from voxelmill.operators.stencil import COORDS, contacts, extent, halved, neighbours, touching
+from voxelmill.operators.stencil import COORDS, contacts, extent, halved, neighbours, other_label, same_label, touching
 
 
 def _median(c: str | Column) -> Column:
@@ -197,7 +197,7 @@ def components(vox: DataFrame, offsets: list[tuple[int, int, int]] | None = None
     """Voxels with ``component``: the least linear index that steps between equal labels reach."""
     shape = extent(vox)
     own = vox.filter("label > 0").select(*COORDS, "label", linear(shape).alias("lin"))
-    edges = neighbours(own, offsets or halved(), ["label", "lin"]).filter("label = n_label").select(F.col("lin").alias("a"), F.col("n_lin").alias("b"))
+    edges = neighbours(own, offsets or halved(), ["label", "lin"], keep=same_label, select=["lin", "n_lin"]).select(F.col("lin").alias("a"), F.col("n_lin").alias("b"))
     found = connected_components(edges)
     return own.join(found, own["lin"] == found["node"], "left").select(*COORDS, "label", F.coalesce("component", "lin").alias("component"))
 
@@ -238,7 +238,7 @@ def cell_metrics(vox: DataFrame) -> DataFrame:
 
     own = vox.filter("label > 0")
     base = own.groupBy("label").agg(F.count(F.lit(1)).alias("size"), (F.var_samp("c0") + F.var_samp("c1")).alias("variance"), *(f(c).alias(n + c) for n, f in (("lo_", F.min), ("hi_", F.max)) for c in COORDS))
-    pairs = neighbours(vox.select(*COORDS, "label", "kam"), cross(), ["label", "kam"]).filter("n_label > 0 and label <> n_label").select(*COORDS, "kam", F.col("n_label").alias("label")).distinct()
+    pairs = neighbours(vox.select(*COORDS, "label", "kam"), cross(), ["label", "kam"], keep=other_label, select=[*COORDS, "kam", "n_label"]).filter("n_label > 0").select(*COORDS, "kam", F.col("n_label").alias("label")).distinct()
     near = pairs.join(base, "label")
     for c in COORDS:
         near = near.filter(F.col(c).between(F.col("lo_" + c), F.col("hi_" + c)))

@@ -1,15 +1,21 @@
 """Neighbourhood operators on voxel tables: difference maps, morphology, contacts.
 
-Voxels are dealt by tile with a halo, so the offsets are unfolded after the shuffle: rows are shuffled once, not once per
-offset, and the sums over a voxel's neighbours need no further exchange.
+Voxels are dealt by tile with a halo, each once and those near a border to the tiles beyond it too. A task finds a tile's
+neighbours by array shifts, offset by offset, so neither a shuffle nor a broadcast sees rows unfolded by offsets:
+``windows`` gives a row per voxel, ``neighbours`` the pairs that its caller keeps, which Spark then sums inside the task.
+A tile's size is fixed, whatever the grid's; its voxels are unique.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from itertools import product
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 COORDS = ["z", "y", "x"]
 TILES = ["tz", "ty", "tx"]
@@ -53,21 +59,126 @@ def interior(pads: tuple[int, int, int], shape: tuple[int, int, int], prefix: st
     return out
 
 
-def neighbours(vox: DataFrame, offsets: list[tuple[int, int, int]], carry: list[str], others: DataFrame | None = None, by: tuple[str, ...] = ()) -> DataFrame:
-    """Rows (voxel, neighbour): tile, coordinates, ``carry`` of the voxel and ``n_<carry>`` of the neighbour, which is a
-    voxel of ``others`` where that is given. Columns ``by`` name the grid: voxels of different grids aren't neighbours."""
+def _dealt(vox: DataFrame, reach: list[int], columns: list[str], others: DataFrame | None, by: tuple[str, ...]) -> DataFrame:
+    """Voxels by tile with its halo: ``_own`` in their own tile, ``_other`` where they are neighbours of others."""
+    shape = [*by, *COORDS, *columns]
+    if others is None:
+        rows = vox.select(*shape, F.lit(True).alias("_own"), F.lit(True).alias("_other"))
+    else:
+        rows = vox.select(*shape, F.lit(True).alias("_own"), F.lit(False).alias("_other")).unionByName(others.select(*shape, F.lit(False).alias("_own"), F.lit(True).alias("_other")))
+    home = F.lit(True)
+    for c, t, r in zip(COORDS, TILES, reach):
+        own = F.floor(F.col(c) / TILE).cast("int")
+        rows = rows.withColumn(t, F.explode(F.sequence(F.floor((F.col(c) - r) / TILE).cast("int"), F.floor((F.col(c) + r) / TILE).cast("int"))) if r else own)
+        home = home & (own == F.col(t))
+    return rows.withColumn("_own", F.col("_own") & home).filter("_own or _other")
+
+
+def _place(tile: pa.Table) -> tuple[np.ndarray, Callable]:
+    """A tile's own rows, and a function from those rows and an offset to the rows of their neighbours (-1: none)."""
+    at = np.stack([tile[c].to_numpy().astype(np.int64) for c in COORDS], 1)
+    low, high = at.min(0), at.max(0)
+    size = high - low + 1
+    index = np.full(int(size.prod()), -1, np.int64)
+    other = np.flatnonzero(tile["_other"].to_numpy(zero_copy_only=False))
+    index[np.ravel_multi_index(tuple((at[other] - low).T), size)] = other
+
+    def neighbour(rows: np.ndarray, offset: tuple[int, int, int]) -> np.ndarray:
+        to = at[rows] + np.array(offset)
+        inside = ((to >= low) & (to <= high)).all(1)
+        found = np.full(len(rows), -1, np.int64)
+        found[inside] = index[np.ravel_multi_index(tuple((to[inside] - low).T), size)]
+        return found
+
+    return np.flatnonzero(tile["_own"].to_numpy(zero_copy_only=False)), neighbour
+
+
+def _values(column: pa.ChunkedArray) -> np.ndarray:
+    """Numbers of a column; null is NaN."""
+    return column.to_numpy()
+
+
+def _reach(offsets: list[tuple[int, int, int]]) -> list[int]:
     if not offsets:
         raise ValueError("an empty footprint")
-    reach = [max(abs(o[k]) for o in offsets) for k in range(3)]
-    tile = [F.floor(F.col(c) / TILE).cast("int").alias(t) for c, t in zip(COORDS, TILES)]
-    home = vox.select(*by, *tile, *COORDS, *carry).repartition(*by, *TILES)
-    spans = [F.explode(F.sequence(F.floor((F.col(c) - r) / TILE).cast("int"), F.floor((F.col(c) + r) / TILE).cast("int"))).alias(t) if r else t0 for c, r, t, t0 in zip(COORDS, reach, TILES, tile)]
-    halo = (vox if others is None else others).select("*", spans[0]).select("*", spans[1]).select("*", spans[2]).select(*by, *TILES, *COORDS, *(F.col(c).alias(f"n_{c}") for c in carry)).repartition(*by, *TILES)
-    steps = F.explode(F.array(*(F.struct(*(F.lit(v).alias(d) for v, d in zip(o, ("dz", "dy", "dx")))) for o in offsets))).alias("o")
-    moved = halo.select("*", steps).select(*by, *TILES, *((F.col(c) - F.col(f"o.d{c}")).alias(c) for c in COORDS), F.col("o.dz").alias("dz"), F.col("o.dy").alias("dy"), F.col("o.dx").alias("dx"), *(f"n_{c}" for c in carry))
-    for c, t in zip(COORDS, TILES):
-        moved = moved.filter(F.floor(F.col(c) / TILE) == F.col(t))
-    return home.join(moved, [*by, *TILES, *COORDS])
+    return [max(abs(o[k]) for o in offsets) for k in range(3)]
+
+
+Arrays = dict[str, np.ndarray]
+
+
+def windows(vox: DataFrame, offsets: list[tuple[int, int, int]], columns: list[str], reduce: Callable[[Arrays, Arrays, np.ndarray], Arrays], out: dict[str, str], others: DataFrame | None = None, by: tuple[str, ...] = (), keep: tuple[str, ...] = ()) -> DataFrame:
+    """A row per voxel: ``by``, coordinates, its columns ``keep`` and the columns ``out`` (name: type) of its window.
+
+    ``reduce`` gets the voxels' ``columns``, those of their neighbours (voxels by offsets, of ``others`` where that is
+    given) and which neighbours are there; absent and null floats are NaN. A slice of a tile's voxels is worked on at a time."""
+    carried = list(dict.fromkeys([*columns, *(c for c in keep if c not in COORDS)]))
+    dealt = _dealt(vox, _reach(offsets), carried, others, by)
+    place = [*by, *COORDS, *(c for c in keep if c not in COORDS and c not in out)]
+    schema = T.StructType([*(dealt.schema[c] for c in place), *T._parse_datatype_string(", ".join(f"`{c}` {t}" for c, t in out.items())).fields])
+    types = {c: pa.from_numpy_dtype(np.dtype({"double": "f8", "boolean": "?", "long": "i8", "int": "i4"}[t])) for c, t in out.items()}
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile = pa.Table.from_batches(list(batches))
+        own, neighbour = _place(tile)
+        values = {c: _values(tile[c]) for c in columns}
+        step = max(256, 400_000 // len(offsets))
+        for a in range(0, len(own), step):
+            rows = own[a : a + step]
+            at = np.stack([neighbour(rows, o) for o in offsets], 1)
+            there = at >= 0
+            near = {c: np.where(there, v[at], np.nan) if v.dtype.kind == "f" else v[at] for c, v in values.items()}
+            made = reduce({c: v[rows] for c, v in values.items()}, near, there)
+            kept = tile.select(place).take(pa.array(rows))
+            for batch in pa.table([*kept.columns, *(pa.array(made[c], t) for c, t in types.items())], names=[*place, *types]).combine_chunks().to_batches():
+                yield batch
+
+    return dealt.groupBy(*by, *TILES).applyInArrow(walk, schema)
+
+
+def neighbours(vox: DataFrame, offsets: list[tuple[int, int, int]], carry: list[str], others: DataFrame | None = None, by: tuple[str, ...] = (), keep: Callable[[Arrays, Arrays], np.ndarray] | None = None, select: list[str] | None = None) -> DataFrame:
+    """Rows (voxel, neighbour): coordinates, offset (``dz, dy, dx``), ``carry`` of the voxel and ``n_<carry>`` of the
+    neighbour, which is a voxel of ``others`` where that is given; or the columns ``select`` of these.
+
+    ``keep`` gets the carried columns of voxels and neighbours and marks the pairs to pass on. Columns ``by`` name the
+    grid: voxels of different grids aren't neighbours."""
+    dealt = _dealt(vox, _reach(offsets), carry, others, by)
+    steps = ["dz", "dy", "dx"]
+    named = {**{c: dealt.schema[c] for c in [*by, *COORDS, *carry]}, **{d: T.StructField(d, T.IntegerType()) for d in steps}, **{f"n_{c}": T.StructField(f"n_{c}", dealt.schema[c].dataType) for c in carry}}
+    names = [*by, *(select or [*COORDS, *steps, *carry, *(f"n_{c}" for c in carry)])]
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile = pa.Table.from_batches(list(batches))
+        own, neighbour = _place(tile)
+        values = {c: _values(tile[c]) for c in carry} if keep else {}
+        for o in offsets:
+            to = neighbour(own, o)
+            rows, to = own[to >= 0], to[to >= 0]
+            if keep and len(rows):
+                good = keep({c: v[rows] for c, v in values.items()}, {c: v[to] for c, v in values.items()})
+                rows, to = rows[good], to[good]
+            if not len(rows):
+                continue
+            cells = []
+            for n in names:
+                if n in steps:
+                    cells.append(pa.array(np.full(len(rows), o[steps.index(n)], np.int32)))
+                elif n.startswith("n_") and n[2:] in carry:
+                    cells.append(tile[n[2:]].take(pa.array(to)).combine_chunks())
+                else:
+                    cells.append(tile[n].take(pa.array(rows)).combine_chunks())
+            for batch in pa.table(cells, names=names).combine_chunks().to_batches():
+                yield batch
+
+    return dealt.groupBy(*by, *TILES).applyInArrow(walk, T.StructType([named[n] for n in names]))
+
+
+def same_label(own: Arrays, near: Arrays) -> np.ndarray:
+    return own["label"] == near["label"]
+
+
+def other_label(own: Arrays, near: Arrays) -> np.ndarray:
+    return own["label"] != near["label"]
 
 
 def kam(vox: DataFrame, size: tuple[int, int, int] = (3, 3, 3), channels: tuple[str, ...] = ("c0", "c1"), border: float | None = 0.0, by: tuple[str, ...] = ()) -> DataFrame:
@@ -86,12 +197,16 @@ def kam(vox: DataFrame, size: tuple[int, int, int] = (3, 3, 3), channels: tuple[
         vox = vox.join(sizes, list(by))
     else:
         inside = interior(pads, extent(vox))
-    real = vox.filter(F.col(channels[0]).isNotNull() & ~F.isnan(channels[0]))
-    distance = F.sqrt(sum(((F.col(c) - F.col(f"n_{c}")) ** 2 for c in channels), F.lit(0.0)))
-    pairs = neighbours(real.filter(inside), box(size), list(channels), real, by)
-    means = pairs.groupBy(*by, *TILES, *COORDS).agg((F.sum(distance) / F.greatest(F.count(F.lit(1)), F.lit(1))).alias("m")).select(*by, *COORDS, "m")
-    out = vox.join(means, [*by, *COORDS], "left").withColumn("kam", F.when(inside, F.coalesce("m", F.lit(0.0))).otherwise(F.lit(border).cast("double")))
-    return out.drop("m", *(f"size_{c}" for c in COORDS))
+
+    def mean(own: Arrays, near: Arrays, there: np.ndarray) -> Arrays:
+        there = there & ~np.isnan(near[channels[0]]) & ~np.isnan(own[channels[0]])[:, None]
+        far = np.sqrt(sum((near[c] - own[c][:, None]) ** 2 for c in channels))
+        return {"kam": np.where(there, far, 0.0).sum(1) / np.maximum(there.sum(1), 1)}
+
+    kept = tuple(c for c in vox.columns if c not in (*by, *COORDS, "kam"))
+    typed = vox.withColumns({c: F.col(c).cast("double").alias(c) for c in channels if dict(vox.dtypes)[c] != "double"})
+    out = windows(typed.withColumn("_inside", inside), box(size), list(channels), mean, {"kam": "double"}, by=by, keep=(*kept, "_inside"))
+    return out.withColumn("kam", F.when(F.col("_inside"), F.col("kam")).otherwise(F.lit(border).cast("double"))).drop("_inside", *(f"size_{c}" for c in COORDS))
 
 
 def erode(vox: DataFrame, footprint: list[tuple[int, int, int]], iterations: int = 1) -> DataFrame:
@@ -99,9 +214,12 @@ def erode(vox: DataFrame, footprint: list[tuple[int, int, int]], iterations: int
     shape = extent(vox)
     pads = tuple(max(abs(o[k]) for o in footprint) for k in range(3))
     out = vox.filter("label > 0").select("label", *COORDS)
+
+    def whole(own: Arrays, near: Arrays, there: np.ndarray) -> Arrays:
+        return {"whole": (there & (near["label"] == own["label"][:, None])).all(1)}
+
     for _ in range(iterations):
-        same = neighbours(out, footprint, ["label"]).filter(F.col("label") == F.col("n_label")).filter(interior(pads, shape))
-        out = same.groupBy(*TILES, *COORDS, "label").count().filter(F.col("count") == len(footprint)).select("label", *COORDS)
+        out = windows(out, footprint, ["label"], whole, {"whole": "boolean"}, keep=("label",)).filter("whole").filter(interior(pads, shape)).select("label", *COORDS)
     return out
 
 
@@ -118,13 +236,16 @@ def dilate(vox: DataFrame, footprint: list[tuple[int, int, int]], iterations: in
 
 def boundaries(vox: DataFrame, offsets: list[tuple[int, int, int]] | None = None) -> DataFrame:
     """Inner boundaries: labelled voxels with a neighbour of another label."""
-    pairs = neighbours(vox.select(*COORDS, "label"), offsets or cross(), ["label"])
-    return pairs.filter("label > 0 and label <> n_label").select(*COORDS, "label").distinct()
+
+    def edge(own: Arrays, near: Arrays, there: np.ndarray) -> Arrays:
+        return {"edge": (there & (near["label"] != own["label"][:, None])).any(1)}
+
+    return windows(vox.select(*COORDS, "label"), offsets or cross(), ["label"], edge, {"edge": "boolean"}, keep=("label",)).filter("edge and label > 0").select(*COORDS, "label")
 
 
 def contacts(vox: DataFrame, offsets: list[tuple[int, int, int]] | None = None, by: tuple[str, ...] = ()) -> DataFrame:
     """Distinct pairs ``label_a < label_b`` of positive labels in contact."""
-    pairs = neighbours(vox.filter("label > 0").select(*by, *COORDS, "label"), offsets or halved(), ["label"], by=by).filter("label <> n_label")
+    pairs = neighbours(vox.filter("label > 0").select(*by, *COORDS, "label"), offsets or halved(), ["label"], by=by, keep=other_label, select=["label", "n_label"])
     return pairs.select(*by, F.least("label", "n_label").alias("label_a"), F.greatest("label", "n_label").alias("label_b")).distinct()
 
 
@@ -134,5 +255,6 @@ def touching(vox: DataFrame) -> DataFrame:
     flat = shape[0] == 1
     offs = box((1 if flat else 3, 3, 3))
     pads = (0 if flat else 1, 1, 1)
-    pairs = neighbours(vox.filter("label > 0").select(*COORDS, "label"), offs, ["label"]).filter("label <> n_label").filter(interior(pads, shape))
+    cells = vox.filter("label > 0").select(*COORDS, "label")
+    pairs = neighbours(cells.filter(interior(pads, shape)), offs, ["label"], cells, keep=other_label, select=["label", "n_label"])
     return pairs.select(F.col("n_label").alias("label"), F.col("label").alias("other")).distinct()

@@ -62,7 +62,7 @@ def split_labels(vox: DataFrame) -> DataFrame:
     numbers = number_keys(vox.select(*BY), "dataset_no")
     own = vox.filter("label > 0").join(numbers, list(BY)).withColumn("lin", (F.col("dataset_no").cast("long") - 1) * (z * y * x) + R.linear((z, y, x)))
     own = materialize(own.drop("dataset_no"), "voxels-numbered")
-    pairs = S.neighbours(own, S.halved(), ["label", "lin"], by=BY).filter("label = n_label")
+    pairs = S.neighbours(own, S.halved(), ["label", "lin"], by=BY, keep=S.same_label, select=["lin", "n_lin"])
     found = connected_components(pairs.select(F.col("lin").alias("a"), F.col("n_lin").alias("b")))
     parts = own.join(found, own["lin"] == found["node"], "left").withColumn("component", F.coalesce("component", "lin")).drop("node", "lin")
     order = number_keys(parts.select(*BY, "label", "component"), "n")
