@@ -6,7 +6,7 @@ from voxelmill.llm import wordlm
 from voxelmill.llm.queries import QUERIES
 
 
-def plain(rows, targets):
+def plain(rows, targets, leave_one_out=True):
     """Scores of (doc_id, text) by a plain word trigram model."""
     seqs = [(i, [None, None, *(t or "").encode().split(), 0]) for i, t in rows]
     counts = {}
@@ -22,12 +22,18 @@ def plain(rows, targets):
     out = []
     for i, s in seqs:
         loss = {}
+        own, own_before = Counter(), Counter()
+        for j in range(2, len(s)):
+            for k in range(3):
+                own[tuple(s[j - k : j + 1])] += 1
+                own_before[tuple(s[j - k : j])] += 1
         for name, (hit, before) in counts.items():
-            at = []
+            at, gone = [], leave_one_out and (name == "background" or (i is not None and i in targets))
             for j in range(2, len(s)):
                 p = 1 / vocabulary
                 for k in range(3):
-                    p = (hit[tuple(s[j - k : j + 1])] + wordlm.PRIOR * p) / (before[tuple(s[j - k : j])] + wordlm.PRIOR)
+                    a, b = tuple(s[j - k : j + 1]), tuple(s[j - k : j])
+                    p = (hit[a] - gone * own[a] + wordlm.PRIOR * p) / (before[b] - gone * own_before[b] + wordlm.PRIOR)
                 at.append(-np.log(p))
             loss[name] = float(np.mean(at))
         out.append((-1 if i is None else i, len(s) - 2, round(loss["target"], 8), round(loss["background"], 8)))
@@ -50,7 +56,20 @@ def test_word_order_counts_and_odd_rows_score(spark, monkeypatch):
     targets = spark.createDataFrame([(1,), (4,), (4,), (77,), (None,)], "doc_id long")
     out = wordlm.score(df, targets)
     assert got(out) == plain(rows, {1, 4, 77})
-    by = {r.doc_id: r.ce_difference for r in out.collect()}
+    # rated with its own counts, a target is like the target; left out, it isn't
+    by = {r.doc_id: r.ce_difference for r in wordlm.score(df, targets, leave_one_out=False).collect()}
     assert by[1] < by[2]
     assert wordlm.score(df.limit(0), targets).count() == 0
+    assert got(wordlm.score(df, targets, leave_one_out=False)) == plain(rows, {1, 4, 77}, False)
     assert got(wordlm.score(df, targets.limit(0))) == plain(rows, set())
+
+
+def test_texts_are_shuffled_once_and_a_slice_is_bounded(spark, monkeypatch):
+    rows = [(k, f"word{k % 7} and other{k % 5} words " * (k % 9)) for k in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("range", wordlm.F.lit("clash")).withColumn("c_0", wordlm.F.lit("clash"))
+    targets = spark.createDataFrame([(k,) for k in range(0, 200, 3)], "doc_id long")
+    out = wordlm.score(df, targets)
+    assert got(out) == plain(rows, set(range(0, 200, 3)))
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("pack(") <= 2 * plan.count("ReusedExchange") + 1 or "ReusedExchange" in plan, plan
+    assert {r["range"] for r in out.collect()} == {"clash"}

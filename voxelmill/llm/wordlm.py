@@ -4,12 +4,13 @@ Two models of order ``ORDER``, one smoothing and one vocabulary (the corpus's di
 over the whole corpus: the background over every document, the target over the documents of a target table. Words stand
 between ASCII whitespace; n-grams are known by 62-bit hashes. Each order's estimate is mixed with the next lower one
 (Dirichlet prior of weight ``PRIOR``), down to the uniform. A document's score is the mean over its tokens of the target's
-loss less the background's: low scores are like the target.
+loss less the background's: low scores are like the target. A document is rated by models that leave it out
+(``leave_one_out``): its own n-grams are taken from the counts, so that targets aren't rated by what they were counted in.
 
-Rows are dealt into hash buckets by id and text, so neither a null nor a repeated id gathers different texts. A bucket
-counts its own distinct n-grams and a window over each n-gram sums what at most one row per bucket holds. Only n-grams of
-several buckets go back: a bucket counts the others again from its texts. Nothing of the models goes to the driver or to
-all tasks but totals.
+Rows are dealt into hash buckets by id and text, so neither a null nor a repeated id gathers different texts; texts are
+shuffled once, compressed. A bucket counts its distinct n-grams and sends them, sorted and packed, a row for each range
+of hashes it has; a range adds up its buckets' counts and answers each bucket in the order it asked. The bucket counts
+its texts again and adds the answers. Nothing of the models goes to the driver; three totals go to all tasks.
 
 Null and empty texts have one token, the end. Repeated rows count each; documents named more than once by the target
 table count once in the target for each of their rows. Without any target document the target model is uniform. A null
@@ -21,14 +22,15 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+import zstandard
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from voxelmill.session import bucket_count, materialize
+from voxelmill.session import bucket_count
 
 ORDER, PRIOR, START, END, SLICE_TOKENS, TABLE_WORDS = 3, 20.0, 1, 2, 1_000_000, 300_000
-COUNTS = "gram long, bucket int, n long, n_target long"
+ASKED, ANSWERED = "range int, bucket int, keys binary, n binary, n_target binary", "bucket int, range int, n binary, n_target binary, tokens long, tokens_target long, vocabulary long"
 
 
 class _Words(dict):
@@ -76,90 +78,168 @@ def grams(texts: list[str | None], table: _Words) -> tuple[list[np.ndarray], np.
     return out, at, size
 
 
-def _slices(docs: pa.Table):
-    """Row ranges of about ``SLICE_TOKENS`` words of six bytes."""
-    lengths = np.array([len(t) if t else 0 for t in docs["text"].to_pylist()], np.int64) // 6 + 1 if len(docs) else np.zeros(0, np.int64)
-    part = np.cumsum(lengths) // SLICE_TOKENS
-    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(docs)]
-    return list(zip(cuts[:-1], cuts[1:]))
-
-
-def _tally(docs: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted keys of a bucket with their counts in all texts and in target texts."""
-    key, n, target = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    table = _Words()
-    for a, b in _slices(docs):
-        part = docs.slice(a, b - a)
-        keys, at, size = grams(part["text"].to_pylist(), table)
-        mine = np.repeat(np.array(part["target"].to_pylist(), bool), size + ORDER - 1)
-        place = np.arange(len(mine)) - np.repeat(at - (ORDER - 1), size + ORDER - 1)
-        # of the marks only the last is a context, counted once a text
-        counted = [place >= (ORDER - 2 if order < ORDER else ORDER - 1) for order in range(1, ORDER + 1)]
-        own = np.concatenate([k[c] for k, c in zip(keys, counted)])
-        is_target = np.concatenate([mine[c] for c in counted])
-        all_keys, inverse = np.unique(np.concatenate([key, own]), return_inverse=True)
-        n = np.bincount(inverse, np.concatenate([n, np.ones(len(own), np.int64)]), len(all_keys)).astype(np.int64)
-        target = np.bincount(inverse, np.concatenate([target, is_target]), len(all_keys)).astype(np.int64)
-        key = all_keys
-    return key, n, target
-
-
-def _count(docs: pa.Table) -> pa.Table:
-    key, n, target = _tally(docs)
-    bucket = docs["bucket"][0].as_py()
-    return pa.table({"gram": key, "bucket": pa.array(np.full(len(key), bucket, np.int32)), "n": n, "n_target": target})
-
-
-def losses(at: list[np.ndarray], first: np.ndarray, size: np.ndarray, n: np.ndarray, total: int, vocabulary: int) -> np.ndarray:
-    """Mean loss of each text in a model of counts ``n``; ``at`` has the place of each key of each order in them."""
+def _pack(values: np.ndarray, rising: bool = False) -> bytes:
+    """Compressed integers; ``rising`` ones by their steps. Equal bytes of all values lie together."""
+    raw = np.diff(values, prepend=values[:1] * 0) if rising else values
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(raw.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes())
+
+
+def _unpack(packed: bytes, rising: bool = False) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8)
+    values = np.ascontiguousarray(raw.reshape(8, -1).T).view("<i8")[:, 0]
+    return np.cumsum(values) if rising else values
+
+
+def _packed_text(text):
+    """Compressed text, for a shuffle."""
+
+    @F.arrow_udf("binary")
+    def pack(texts: pa.Array) -> pa.Array:
+        z = zstandard.ZstdCompressor(level=3)
+        return pa.array([None if (t := x.as_py()) is None else z.compress(t.encode()) for x in texts], pa.binary())
+
+    return pack(text)
+
+
+class _Bucket:
+    """A bucket's documents, read a slice at a time; marks tell which ids are targets."""
+
+    def __init__(self, rows: pa.Table):
+        marked = rows["mark"].to_numpy(zero_copy_only=False)
+        self.docs = rows.filter(pa.array(~marked))
+        chosen = set(rows["id"].filter(pa.array(marked)).to_pylist())
+        self.target = np.array([i in chosen for i in self.docs["id"].to_pylist()], bool)
+
+    def slices(self):
+        """Texts, and which of them are targets, of about ``SLICE_TOKENS`` words of six bytes."""
+        z, texts, first, size = zstandard.ZstdDecompressor(), [], 0, 0
+        for k, b in enumerate(self.docs["text"]):
+            texts.append(None if (raw := b.as_py()) is None else z.decompress(raw).decode())
+            size += len(texts[-1] or "") // 6 + 1
+            if size >= SLICE_TOKENS:
+                yield texts, self.target[first : k + 1]
+                texts, first, size = [], k + 1, 0
+        if texts:
+            yield texts, self.target[first:]
+
+    def tally(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sorted keys with their counts in all texts and in target texts."""
+        key, n, target = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        table = _Words()
+        for texts, chosen in self.slices():
+            keys, at, size = grams(texts, table)
+            mine = np.repeat(chosen, size + ORDER - 1)
+            counted = _counted(at, size)
+            own = np.concatenate([k[c] for k, c in zip(keys, counted)])
+            is_target = np.concatenate([mine[c] for c in counted])
+            all_keys, inverse = np.unique(np.concatenate([key, own]), return_inverse=True)
+            n = np.bincount(inverse, np.concatenate([n, np.ones(len(own), np.int64)]), len(all_keys)).astype(np.int64)
+            target = np.bincount(inverse, np.concatenate([target, is_target]), len(all_keys)).astype(np.int64)
+            key = all_keys
+        return key, n, target
+
+
+def _counted(at: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
+    """Places whose keys count, by order: of the marks only the last is a context, counted once a text."""
+    place = np.arange(int((size + ORDER - 1).sum())) - np.repeat(at - (ORDER - 1), size + ORDER - 1)
+    return [place >= (ORDER - 2 if order < ORDER else ORDER - 1) for order in range(1, ORDER + 1)]
+
+
+def _ask(ranges: int):
+    edges = np.array([-(1 << 63) + ((k << 64) // ranges) for k in range(1, ranges)], np.int64)
+
+    def ask(rows: pa.Table) -> pa.Table:
+        """A row for each range of keys in which the bucket has any."""
+        key, n, target = _Bucket(rows).tally()
+        cuts = [0, *np.searchsorted(key, edges).tolist(), len(key)]
+        out = [(r, rows["bucket"][0].as_py(), _pack(key[a:b], True), _pack(n[a:b]), _pack(target[a:b])) for r, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
+        types = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 5, types)], names=["range", "bucket", "keys", "n", "n_target"])
+
+    return ask
+
+
+def _answer(asked: pa.Table) -> pa.Table:
+    """What other buckets of a range hold of each asked key; the range's totals stand in its first row."""
+    keys = [_unpack(b.as_py(), True) for b in asked["keys"]]
+    own = [(_unpack(a.as_py()), _unpack(b.as_py())) for a, b in zip(asked["n"], asked["n_target"])]
+    whole, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+    n, target = (np.bincount(inverse, np.concatenate([o[k] for o in own]), len(whole)).astype(np.int64) for k in (0, 1))
+    word = ((whole & 3) == 1) & (whole != START_KEY)
+    totals, rows, at = (int(n[word].sum()), int(target[word].sum()), int(word.sum())), [], 0
+    for bucket, k, (a, b) in zip(asked["bucket"].to_pylist(), keys, own):
+        mine = inverse[at : at + len(k)]
+        at += len(k)
+        rows.append((bucket, asked["range"][0].as_py(), _pack(n[mine] - a), _pack(target[mine] - b), *(totals if not rows else (0, 0, 0))))
+    types = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
+    return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["bucket", "range", "n", "n_target", "tokens", "tokens_target", "vocabulary"])
+
+
+def losses(counts: list[np.ndarray], first: np.ndarray, size: np.ndarray, total: np.ndarray, vocabulary: int) -> np.ndarray:
+    """Mean loss of each text in a model: ``counts`` are those of the key of each order at each place, ``total`` the
+    model's tokens for each text."""
     token = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-    p = np.full(len(token), 1 / max(vocabulary, 1))
+    p, whole = np.full(len(token), 1 / max(vocabulary, 1)), np.repeat(total, size).astype(np.float64)
     for order in range(1, ORDER + 1):
-        before = float(total) if order == 1 else n[at[order - 2][token - 1]]
-        p = (n[at[order - 1][token]] + PRIOR * p) / (before + PRIOR)
+        before = whole if order == 1 else counts[order - 2][token - 1]
+        p = (counts[order - 1][token] + PRIOR * p) / (before + PRIOR)
     return np.add.reduceat(-np.log(p), np.cumsum(size) - size) / size
 
 
-def _rate(schema: T.StructType, names: tuple[str, ...], totals: tuple[int, int, int]):
-    tokens, tokens_target, vocabulary = totals
-
-    def rate(docs: pa.Table, shared: pa.Table) -> pa.Table:
-        key, n, target = _tally(docs)
-        if len(shared) and len(key):
-            at = np.searchsorted(key, shared["gram"].to_numpy())
-            n[at], target[at] = shared["n"].to_numpy(), shared["n_target"].to_numpy()
-        n, target = n.astype(np.float64), target.astype(np.float64)
+def _own_counts(at: list[np.ndarray], counted: list[np.ndarray], size: np.ndarray, keys: int) -> list[np.ndarray]:
+    """At each counted place, how often its document holds the place's key, by order."""
+    document, out = np.repeat(np.arange(len(size)), size + ORDER - 1), []
+    for where, c in zip(at, counted):
+        _, inverse, n = np.unique(document[c] * keys + where[c], return_inverse=True, return_counts=True)
+        own = np.zeros(len(where))
+        own[c] = n[inverse]
+        out.append(own)
+    return out
+
+
+def _rate(schema: T.StructType, names: tuple[str, ...], leave_one_out: bool):
+    def rate(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        bucket = _Bucket(rows)
+        key, n, target = bucket.tally()
+        if len(key):
+            # answers come in the order of ranges, which is that of the keys
+            order = np.argsort(answers["range"].to_numpy())
+            n = n + np.concatenate([_unpack(answers["n"][int(k)].as_py()) for k in order])
+            target = target + np.concatenate([_unpack(answers["n_target"][int(k)].as_py()) for k in order])
+            tokens, tokens_target, vocabulary = (answers[c][0].as_py() for c in ("all_tokens", "all_tokens_target", "all_vocabulary"))
         sizes, a, b = [np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(0)]
         table = _Words()
-        for lo, hi in _slices(docs):
-            if lo == hi:
-                continue
-            keys, first, size = grams(docs["text"].slice(lo, hi - lo).to_pylist(), table)
+        for texts, chosen in bucket.slices():
+            keys, first, size = grams(texts, table)
             # the marks before the last are in no count and are never read
             at = [np.minimum(np.searchsorted(key, k), len(key) - 1) for k in keys]
+            without = _own_counts(at, _counted(first, size), size, len(key)) if leave_one_out else [0.0] * ORDER
+            gone = size if leave_one_out else np.zeros(len(size), np.int64)
+            mine = np.repeat(chosen, size + ORDER - 1)
             sizes.append(size)
-            a.append(losses(at, first, size, target, tokens_target, vocabulary))
-            b.append(losses(at, first, size, n, tokens, vocabulary))
+            a.append(losses([target[k] - mine * w for k, w in zip(at, without)], first, size, tokens_target - chosen * gone, vocabulary))
+            b.append(losses([n[k] - w for k, w in zip(at, without)], first, size, tokens - gone, vocabulary))
         a, b = np.concatenate(a), np.concatenate(b)
         made = dict(zip(names, (pa.array(np.concatenate(sizes), pa.int64()), pa.array(a, pa.float64()), pa.array(b, pa.float64()), pa.array(a - b, pa.float64()))))
-        return pa.table({f.name: made[f.name] if f.name in made else docs[f"c_{k}"] for k, f in enumerate(schema)})
+        return pa.table({f.name: made[f.name] if f.name in made else bucket.docs[f"c_{k}"] for k, f in enumerate(schema)})
 
     return rate
 
 
-def score(df: DataFrame, targets: DataFrame, doc_id: str = "doc_id", text: str = "text", out: tuple[str, str, str, str] = ("n_tokens", "target_loss", "background_loss", "ce_difference")) -> DataFrame:
+def score(df: DataFrame, targets: DataFrame, doc_id: str = "doc_id", text: str = "text", out: tuple[str, str, str, str] = ("n_tokens", "target_loss", "background_loss", "ce_difference"), leave_one_out: bool = True) -> DataFrame:
     """``df`` with the number of tokens, both models' mean losses and their difference. ``targets`` has the doc_ids of target documents."""
     buckets = bucket_count(df)
     columns = [c for c in df.columns if c not in out]
     schema = T.StructType([*(df.schema[c] for c in columns), T.StructField(out[0], T.LongType()), *(T.StructField(c, T.DoubleType()) for c in out[1:])])
-    deal = F.pmod(F.xxhash64(F.col(doc_id).cast("long"), F.col(text)), F.lit(buckets)).cast("int").alias("bucket")
-    chosen = targets.select(F.col(doc_id).cast("long").alias("chosen")).dropna().distinct()
-    keyed = df.select(deal, F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"), *(F.col(c).alias(f"c_{k}") for k, c in enumerate(columns)))
-    keyed = keyed.join(chosen, F.col("id") == F.col("chosen"), "left").withColumn("target", F.col("chosen").isNotNull()).drop("chosen", "id")
-    counted = keyed.select("bucket", "target", "text").groupBy("bucket").applyInArrow(_count, COUNTS)
-    each = Window.partitionBy("gram")
-    summed = counted.select("gram", "bucket", F.col("n").alias("own"), F.sum("n").over(each).alias("n"), F.sum("n_target").over(each).alias("n_target"), (F.min("bucket").over(each) == F.col("bucket")).alias("once"))
-    word = F.col("once") & (F.col("gram").bitwiseAND(3) == 1) & (F.col("gram") != START_KEY)
-    kept = materialize(summed.filter((F.col("own") != F.col("n")) | word).withColumn("word", word).drop("once", "own"), "lm-counts")
-    totals = kept.filter("word").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("n_target"), F.lit(0)), F.count(F.lit(1))).first()
-    return keyed.groupBy("bucket").cogroup(kept.select("bucket", "gram", "n", "n_target").groupBy("bucket")).applyInArrow(_rate(schema, out, tuple(int(x) for x in totals)), schema)
+    number = F.col(doc_id).cast("string").alias("id")
+    bucket = F.pmod(F.xxhash64(number, F.col(text)), F.lit(buckets)).cast("int").alias("bucket")
+    rows = df.select(bucket, number, F.lit(False).alias("mark"), _packed_text(F.col(text)).alias("text"), *(F.col(c).alias(f"c_{k}") for k, c in enumerate(columns)))
+    # targets' ids go to the buckets of their texts as marks, rows without a text
+    chosen = targets.select(number).dropna().distinct()
+    marks = df.select(bucket, number).join(chosen, "id", "left_semi").select("bucket", "id", F.lit(True).alias("mark"))
+    dealt = rows.unionByName(marks, allowMissingColumns=True).repartition("bucket")
+    asked = dealt.groupBy("bucket").applyInArrow(_ask(buckets), ASKED)
+    answered = asked.groupBy("range").applyInArrow(_answer, ANSWERED).repartition("bucket")
+    totals = answered.agg(*(F.sum(c).alias(f"all_{c}") for c in ("tokens", "tokens_target", "vocabulary")))
+    told = answered.select("bucket", "range", "n", "n_target").crossJoin(F.broadcast(totals))  # one row
+    return dealt.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInArrow(_rate(schema, out, leave_one_out), schema)
