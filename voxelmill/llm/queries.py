@@ -42,7 +42,7 @@ def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     targets = spark.read.parquet(f"{sf_dir}/labels.parquet").filter("quality = 1")
-    return wordlm.score(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), targets).drop("text")
+    return wordlm.score(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), targets, keep_text=False)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,8 @@
 
 Two models of order ``ORDER``, one smoothing and one vocabulary (the corpus's distinct words and an end mark) are counted
 over the whole corpus: the background over every document, the target over the documents of a target table. Words stand
-between ASCII whitespace; n-grams are known by 62-bit hashes. Each order's estimate is mixed with the next lower one
+between ASCII whitespace; n-grams are known by hashes of ``HASH_BITS`` bits (among
+10^10 n-grams of an order, one in a million shares its counts with another). Each order's estimate is mixed with the next lower one
 (Dirichlet prior of weight ``PRIOR``), down to the uniform. A document's score is the mean over its tokens of the target's
 loss less the background's: low scores are like the target. A document is rated by models that leave it out
 (``leave_one_out``): its own n-grams are taken from the counts, so that targets aren't rated by what they were counted in.
@@ -29,7 +30,7 @@ from pyspark.sql import types as T
 
 from voxelmill.session import bucket_count
 
-ORDER, PRIOR, START, END, SLICE_TOKENS, TABLE_WORDS = 3, 20.0, 1, 2, 1_000_000, 300_000
+ORDER, PRIOR, START, END, SLICE_TOKENS, TABLE_WORDS, HASH_BITS = 3, 20.0, 1, 2, 500_000, 200_000, 54
 ASKED, ANSWERED = "range int, bucket int, keys binary, n binary, n_target binary", "bucket int, range int, n binary, n_target binary, tokens long, tokens_target long, vocabulary long"
 
 
@@ -54,7 +55,7 @@ def _fold(before: np.ndarray, word: np.ndarray) -> np.ndarray:
 
 
 def _key(h: np.ndarray, order: int) -> np.ndarray:
-    return ((h & ~np.uint64(3)) | np.uint64(order)).view(np.int64)
+    return ((h >> np.uint64(62 - HASH_BITS) & ~np.uint64(3)) | np.uint64(order)).view(np.int64)
 
 
 START_KEY, END_KEY = (int(_key(_fold(np.zeros(1, np.uint64), np.array([w], np.uint64)), 1)[0]) for w in (START, END))
@@ -146,7 +147,7 @@ def _counted(at: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
 
 
 def _ask(ranges: int):
-    edges = np.array([-(1 << 63) + ((k << 64) // ranges) for k in range(1, ranges)], np.int64)
+    edges = np.array([(k << (HASH_BITS + 2)) // ranges for k in range(1, ranges)], np.int64)
 
     def ask(rows: pa.Table) -> pa.Table:
         """A row for each range of keys in which the bucket has any."""
@@ -197,7 +198,7 @@ def _own_counts(at: list[np.ndarray], counted: list[np.ndarray], size: np.ndarra
     return out
 
 
-def _rate(schema: T.StructType, names: tuple[str, ...], leave_one_out: bool):
+def _rate(schema: T.StructType, names: tuple[str, ...], text: str, leave_one_out: bool):
     def rate(rows: pa.Table, answers: pa.Table) -> pa.Table:
         bucket = _Bucket(rows)
         key, n, target = bucket.tally()
@@ -221,19 +222,21 @@ def _rate(schema: T.StructType, names: tuple[str, ...], leave_one_out: bool):
             b.append(losses([n[k] - w for k, w in zip(at, without)], first, size, tokens - gone, vocabulary))
         a, b = np.concatenate(a), np.concatenate(b)
         made = dict(zip(names, (pa.array(np.concatenate(sizes), pa.int64()), pa.array(a, pa.float64()), pa.array(b, pa.float64()), pa.array(a - b, pa.float64()))))
+        if text in schema.names:
+            made[text] = pa.array([t for texts, _ in bucket.slices() for t in texts], pa.string())
         return pa.table({f.name: made[f.name] if f.name in made else bucket.docs[f"c_{k}"] for k, f in enumerate(schema)})
 
     return rate
 
 
-def score(df: DataFrame, targets: DataFrame, doc_id: str = "doc_id", text: str = "text", out: tuple[str, str, str, str] = ("n_tokens", "target_loss", "background_loss", "ce_difference"), leave_one_out: bool = True) -> DataFrame:
-    """``df`` with the number of tokens, both models' mean losses and their difference. ``targets`` has the doc_ids of target documents."""
+def score(df: DataFrame, targets: DataFrame, doc_id: str = "doc_id", text: str = "text", out: tuple[str, str, str, str] = ("n_tokens", "target_loss", "background_loss", "ce_difference"), leave_one_out: bool = True, keep_text: bool = True) -> DataFrame:
+    """``df`` (with ``keep_text`` False, without its texts) with the number of tokens, both models' mean losses and their difference. ``targets`` has the doc_ids of target documents."""
     buckets = bucket_count(df)
-    columns = [c for c in df.columns if c not in out]
+    columns = [c for c in df.columns if c not in out and (keep_text or c != text)]
     schema = T.StructType([*(df.schema[c] for c in columns), T.StructField(out[0], T.LongType()), *(T.StructField(c, T.DoubleType()) for c in out[1:])])
     number = F.col(doc_id).cast("string").alias("id")
     bucket = F.pmod(F.xxhash64(number, F.col(text)), F.lit(buckets)).cast("int").alias("bucket")
-    rows = df.select(bucket, number, F.lit(False).alias("mark"), _packed_text(F.col(text)).alias("text"), *(F.col(c).alias(f"c_{k}") for k, c in enumerate(columns)))
+    rows = df.select(bucket, number, F.lit(False).alias("mark"), _packed_text(F.col(text)).alias("text"), *(F.col(c).alias(f"c_{k}") for k, c in enumerate(columns) if c != text))
     # targets' ids go to the buckets of their texts as marks, rows without a text
     chosen = targets.select(number).dropna().distinct()
     marks = df.select(bucket, number).join(chosen, "id", "left_semi").select("bucket", "id", F.lit(True).alias("mark"))
@@ -242,4 +245,4 @@ def score(df: DataFrame, targets: DataFrame, doc_id: str = "doc_id", text: str =
     answered = asked.groupBy("range").applyInArrow(_answer, ANSWERED).repartition("bucket")
     totals = answered.agg(*(F.sum(c).alias(f"all_{c}") for c in ("tokens", "tokens_target", "vocabulary")))
     told = answered.select("bucket", "range", "n", "n_target").crossJoin(F.broadcast(totals))  # one row
-    return dealt.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInArrow(_rate(schema, out, leave_one_out), schema)
+    return dealt.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInArrow(_rate(schema, out, text, leave_one_out), schema)
