@@ -172,6 +172,25 @@ def test_top_k_frame(spark):
     assert topk.top_k(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_top_k_of_large_components_is_exact(spark):
+    big = [(0, [1.0, 0.0]), (1, [2.0**31, 0.0]), (2, [2.0**30 + 1024, 0.0]), (3, [-(2.0**31), 5.0])]
+    df = spark.createDataFrame(big, "vec_id long, embedding array<double>")
+    got = [(r.vec_id, r.score) for r in topk.top_k(df, df.filter("vec_id = 0")).orderBy("rank").collect()]
+    assert got == [(1, 2251799813685248), (2, 1125900980584448), (3, -2251799813685248)]
+    rng = np.random.default_rng(6)
+    for scale in (2.0**14, 2.0**17, 2.0**18):
+        rows = [(i, (rng.normal(size=3) * scale).tolist()) for i in range(120)]
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in topk.top_k(df, df.filter("vec_id % 100 = 0"), 5).collect()}
+        z = [[int(np.floor(1024 * v)) for v in x] for _, x in rows]
+        for q in (0, 100):
+            best = sorted((-sum(a * b for a, b in zip(z[q], z[i])), i) for i in range(120) if i != q)[:5]
+            assert [got[q, k + 1] for k in range(5)] == [(i, -s) for s, i in best]
+    over = spark.createDataFrame([(0, [2.0**40]), (1, [2.0**40])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="does not fit a long"):
+        topk.top_k(over, over).collect()
+
+
 def test_urls(spark):
     rows = [(1, "HTTP://A.Example.NET/en/x?casino"), (2, "https://example.net/fr/"), (3, "https://b.example.com/de/1#x"), (4, "x.org/fr/"), (5, None), (6, "http://q.org/fr/casino"), (7, "http://casinos.org/"), (8, "http://my-casino.org"), (9, "http://free.bets.org"), (10, "http://free-free.org"), (11, "http://net"), (12, "")]
     df = spark.createDataFrame(rows, "page_id long, url string").withColumn("host", F.lit(1))
@@ -188,7 +207,7 @@ def test_archives_roll_and_come_back(spark, tmp_path):
     files = []
     for name, parts in (("a", 1), ("b", 5)):
         root = (tmp_path / name).as_uri()
-        files.append(sorted((r.path, r.records, r.bytes, r.sha1) for r in warc.write_archives(df.repartition(parts), root, shard_ids=16, roll_bytes=1500).collect()))
+        files.append(sorted((r.path, r.records, r.bytes, r.sha1) for r in warc.write_archives(df.repartition(parts), root, shard_bytes=6000, roll_bytes=700).collect()))
     assert files[0] == files[1] and len(files[0]) > 6 and sum(f[1] for f in files[0]) == len(rows)
     got = warc.read_archives(spark, root).collect()
     assert sorted(r.page_id for r in got if r.page_id is not None) == sorted(r[0] for r in rows if r[0] is not None) and len(got) == len(rows)
@@ -206,6 +225,21 @@ def test_archives_roll_and_come_back(spark, tmp_path):
     assert warc.write_archives(df.limit(0), empty).count() == 0 and warc.read_archives(spark, empty).count() == 0
 
 
+def test_sparse_hot_and_rewritten_archives(spark, tmp_path):
+    root = (tmp_path / "w").as_uri()
+    sparse = spark.createDataFrame([(k * 1_000_003, f"u{k}", f"<p>{k}") for k in range(300)], "page_id long, url string, html string")
+    assert warc.write_archives(sparse, root).count() == 1 and warc.read_archives(spark, root).count() == 300
+    assert warc.write_archives(sparse.limit(5), root).count() == 1 and warc.read_archives(spark, root).count() == 5
+    hot = spark.createDataFrame([(None if k % 2 else 7, f"u{k}", f"<p>{k}" * 20) for k in range(400)] + [(9, "long", "é" * 300_000)], "page_id long, url string, html string")
+    files = warc.write_archives(hot, root, shard_bytes=20_000).collect()
+    sizes = {}
+    for f in files:
+        sizes[f["shard"]] = sizes.get(f["shard"], 0) + f["records"]
+    assert len(sizes) > 8 and max(sizes.values()) < 60
+    got = warc.read_archives(spark, root)
+    assert got.count() == 401 and {(r.url, r.html) for r in got.collect()} == {(r.url, r.html) for r in hot.collect()}
+
+
 def test_pipeline_stages_take_effect(spark, sf):
     import corpus_pipeline as P
 

@@ -7,11 +7,13 @@ matrix), and a query stops when the next bound falls below its k-th score.
 
 The index is written once. Queries go to every task in slices of at most ``SLICE`` rows (a fixed size), each slice
 passes over the index once, and only k rows for each query and task are shuffled. Results are exact: ties go to the
-smaller id, and a block whose bound equals the k-th score is still scored.
+smaller id, and a block whose bound equals the k-th score is still scored. How much is pruned is up to the vectors:
+blocks of vectors that spread evenly over a sphere have bounds above every k-th score, and all of them are scored.
 
 Rows whose id is null, or whose vector is null, empty or holds null or non-finite components take no part. A vector meets
 only vectors of its length. A query never meets rows with its own id; repeated candidates count each, repeated query
-rows once. Integers beyond 2**40 and sums beyond a long are clipped. Other columns are ignored.
+rows once. Integers and sums are exact whatever their size; a score among the k best that doesn't fit a long is an error,
+as is a component beyond 1e305. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 
 from voxelmill.session import materialize, scratch_path, shuffle_partitions
 
-BLOCK_ROWS, SLICE, LIMIT = 256, 4096, 1 << 40
+BLOCK_ROWS, SLICE, SEARCHED, TOP = 256, 16_384, 2048, (1 << 63) - 1
 BLOCKS = "dims int, n int, ids binary, rows binary, low binary, high binary"
 
 
@@ -35,8 +37,12 @@ def usable(vec: Column) -> Column:
 
 
 def to_integers(values: np.ndarray, scale: int) -> np.ndarray:
+    """Whole numbers as doubles: those of a double times a power of two are exact."""
     with np.errstate(over="ignore"):
-        return np.clip(np.floor(scale * values.astype(np.float64)), -LIMIT, LIMIT).astype(np.int64)
+        whole = np.floor(scale * values.astype(np.float64))
+    if not np.isfinite(whole).all():
+        raise OverflowError("a scaled component is beyond a double")
+    return whole
 
 
 def _matrices(batch: pa.RecordBatch, scale: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -60,26 +66,30 @@ def build_index(df: DataFrame, scale: int, block_rows: int = BLOCK_ROWS) -> Data
             for ids, m in _matrices(batch, scale):
                 for at in range(0, len(ids), block_rows):
                     i, x = ids[at : at + block_rows], m[at : at + block_rows]
-                    cell = {"dims": [x.shape[1]], "n": [len(i)], "ids": [i.astype("<i8").tobytes()], "rows": [x.astype("<i8").tobytes()], "low": [x.min(0).astype("<i8").tobytes()], "high": [x.max(0).astype("<i8").tobytes()]}
+                    cell = {"dims": [x.shape[1]], "n": [len(i)], "ids": [i.astype("<i8").tobytes()], "rows": [x.astype("<f8").tobytes()], "low": [x.min(0).astype("<f8").tobytes()], "high": [x.max(0).astype("<f8").tobytes()]}
                     yield pa.RecordBatch.from_pydict(cell, pa.schema([("dims", pa.int32()), ("n", pa.int32()), *((c, pa.binary()) for c in ("ids", "rows", "low", "high"))]))
 
     return ranged.select("id", "vec").mapInArrow(cut, BLOCKS)
 
 
 def _product(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Integer inner products of all rows, exact."""
-    if float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * q.shape[1] < 2**53:
-        return (q.astype(np.float64) @ x.astype(np.float64).T).astype(np.int64)
-    top = (1 << 63) - 1
-    whole = q.astype(object) @ x.astype(object).T
-    return np.array([[max(-top, min(top, int(v))) for v in row] for row in whole], np.int64).reshape(len(q), len(x))
+    """Integer inner products of all rows; exact, or ``TOP`` with their sign where a long doesn't hold them."""
+    with np.errstate(over="ignore"):
+        most = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * q.shape[1]
+    if most < 2**53:
+        return (q @ x.T).astype(np.int64)
+    if most < 2**62:
+        return q.astype(np.int64) @ x.astype(np.int64).T
+    whole = np.frompyfunc(int, 1, 1)
+    return np.array([[max(-TOP, min(TOP, v)) for v in row] for row in whole(q) @ whole(x).T], np.int64).reshape(len(q), len(x))
 
 
 def _bounds(q: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     """Upper bounds of each query on each block, a little above the exact sums."""
-    up, down = np.maximum(q, 0).astype(np.float64), np.minimum(q, 0).astype(np.float64)
-    bound = up @ high.astype(np.float64).T + down @ low.astype(np.float64).T
-    return bound + np.abs(bound) * 1e-9 + 1
+    with np.errstate(over="ignore", invalid="ignore"):
+        bound = np.maximum(q, 0) @ high.T + np.minimum(q, 0) @ low.T
+        size = np.abs(q) @ np.maximum(np.abs(low), np.abs(high)).T
+        return np.nan_to_num(bound + size * 1e-9 + 1, nan=np.inf, posinf=np.inf, neginf=-np.inf)
 
 
 class Best:
@@ -88,6 +98,12 @@ class Best:
     def __init__(self, n: int, k: int):
         self.k, self.score, self.id, self.n = k, np.full((n, k), np.iinfo(np.int64).min), np.full((n, k), np.iinfo(np.int64).max), np.zeros(n, np.int64)
 
+    def part(self, a: int, b: int) -> Best:
+        """A view of some queries."""
+        out = object.__new__(Best)
+        out.k, out.score, out.id, out.n = self.k, self.score[a:b], self.id[a:b], self.n[a:b]
+        return out
+
     def kth(self, rows: np.ndarray) -> np.ndarray:
         return np.where(self.n[rows] >= self.k, self.score[rows, -1].astype(np.float64), -np.inf)
 
@@ -128,9 +144,10 @@ def _searched(shared, k: int):
         for batch in batches:
             dims = batch["dims"].to_numpy()
             for d, (q_ids, q) in shared.value.items():
-                cells = [tuple(np.frombuffer(batch[c][int(r)].as_buffer(), "<i8") for c in ("ids", "rows", "low", "high")) for r in np.flatnonzero(dims == d)]
-                if cells:
-                    search_blocks(q_ids, q, [(i, x.reshape(-1, d), lo, hi) for i, x, lo, hi in cells], best[d])
+                cells = [tuple(np.frombuffer(batch[c][int(r)].as_buffer(), t) for c, t in (("ids", "<i8"), ("rows", "<f8"), ("low", "<f8"), ("high", "<f8"))) for r in np.flatnonzero(dims == d)]
+                blocks = [(i, x.reshape(-1, d), lo, hi) for i, x, lo, hi in cells]
+                for at in range(0, len(q_ids) if blocks else 0, SEARCHED):
+                    search_blocks(q_ids[at : at + SEARCHED], q[at : at + SEARCHED], blocks, best[d].part(at, at + SEARCHED))
         for d, (q_ids, _) in shared.value.items():
             b = best[d]
             real = np.arange(k)[None] < b.n[:, None]
@@ -164,7 +181,8 @@ def top_k(df: DataFrame, queries: DataFrame, k: int = 10, vec_id: str = "vec_id"
 
     found = spark.read.schema("query_id long, vec_id long, score long").parquet(*parts)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    held = F.when(F.abs("score") < TOP, F.col("score")).otherwise(F.raise_error(F.lit("a score does not fit a long")).cast("long"))
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", held.alias("score"))
 
 
 def oracle_sql(k: int = 10) -> str:

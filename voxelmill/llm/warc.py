@@ -1,7 +1,10 @@
 """Deterministic sharded WARC writer and reader.
 
-A shard is a range of ``shard_ids`` record ids, so what it holds, and every file's bytes, follow from the rows alone
-and not from the cluster. One shuffle brings a shard's rows together; inside it they are sorted by id and written as one
+Records are ordered by id and, within one, by a hash of their content; a shard is a range of that order with about
+``shard_bytes`` of payload, cut at exact running sums, so what it holds, and every file's bytes, follow from the rows
+alone and not from the cluster. Sparse ids share shards, and a null or repeated id is cut like any other; only rows that
+are equal throughout stay together. The sums are taken over ids, hashes and sizes; the cuts (two numbers for each
+``shard_bytes``) go to all tasks. One shuffle brings a shard's rows together; inside it they are sorted and written as one
 gzip member each, with regenerated HTTP and WARC headers and digests; a file is closed once its compressed size reaches
 ``roll_bytes``. Files are written under temporary names and moved to their own, the shard's manifest last; a retried or
 doubled task makes the same bytes again. The list of files is the job's result, written as the whole archive's manifest.
@@ -10,8 +13,9 @@ Equal payloads of at least ``min_revisit_bytes`` are stored once: the least id i
 that share that least id are responses all). Payloads are compared by SHA-1, found by a partial aggregate and a join
 over ids and digests alone, which adaptive execution can split at a hot digest.
 
-Null html is an empty payload, a null url a urn of the record. Rows without an id form a shard of their own and never
-name a response. An empty table writes no file and reads as no rows. Further columns are ignored. The folder must be one
+Null html is an empty payload, a null url a urn of the record. Rows without an id come first and never name a response.
+Ids are whole numbers (others fail when they are cast). Repeated rows are written each. An empty table writes no file and
+reads as no rows; what a folder held before isn't read again. Further columns are ignored. The folder must be one
 that ``pyarrow.fs`` opens from every executor: a shared mount, S3, GCS, or HDFS with its native library.
 """
 
@@ -25,14 +29,15 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from voxelmill.session import shuffle_partitions
+from voxelmill.session import materialize
 
-SHARD_IDS, ROLL_BYTES, LEVEL, DATE = 1024, 64 << 20, 6, "1970-01-01T00:00:00Z"
+SHARD_BYTES, ROLL_BYTES, LEVEL, DATE, READ_BYTES = 32 << 20, 64 << 20, 6, "1970-01-01T00:00:00Z", 16 << 20
 FILES = "shard long, path string, records long, bytes long, sha1 string"
 _LINES = re.compile(r"[\x00-\x20\x7f]")
 
@@ -76,7 +81,7 @@ class _ShardWriter:
 
     def add(self, raw: bytes) -> None:
         if self.out is None:
-            self.name = f"shard-{self.shard + (1 << 62):020d}-{len(self.done):05d}.warc.gz"
+            self.name = f"shard-{self.shard:010d}-{len(self.done):05d}.warc.gz"
             self.out, self.size, self.n, self.sha = self.fs.open_output_stream(f"{self.root}/_tmp/{self.attempt}-{self.name}", compression=None), 0, 0, hashlib.sha1()
             self._put(record("warcinfo", [("WARC-Record-ID", record_id(self.name)), ("WARC-Filename", self.name), ("Content-Type", "application/warc-fields")], b"software: voxelmill\r\nformat: WARC File Format 1.1\r\n"))
         self._put(raw)
@@ -103,18 +108,52 @@ class _ShardWriter:
         tmp = f"{self.root}/_tmp/{self.attempt}.json"
         with self.fs.open_output_stream(tmp) as f:
             f.write("".join(json.dumps(x) + "\n" for x in self.done).encode())
-        self.fs.move(tmp, f"{self.root}/manifest/shard-{self.shard + (1 << 62):020d}.json")
+        self.fs.move(tmp, f"{self.root}/manifest/shard-{self.shard:010d}.json")
         return self.done
 
 
-def write_archives(df: DataFrame, root: str, page_id: str = "page_id", url: str = "url", html: str = "html", shard_ids: int = SHARD_IDS, roll_bytes: int = ROLL_BYTES, min_revisit_bytes: int = 0) -> DataFrame:
+def shard_cuts(light: DataFrame, shard_bytes: int) -> tuple[np.ndarray, np.ndarray]:
+    """First (id, tie) of every shard but the first, from rows ``id, tie, size``: exact running sums over range partitions."""
+    keys = light.groupBy("id", "tie").agg(F.sum("size").alias("size"))
+    ranged = materialize(keys.repartitionByRange("id", "tie").withColumn("part", F.spark_partition_id()), "warc-keys")
+    parts = ranged.groupBy("part").agg(F.sum("size").alias("whole"))
+    before = parts.select("part", (F.sum("whole").over(Window.orderBy("part")) - F.col("whole")).alias("before"))  # a row a partition
+    upto = F.sum("size").over(Window.partitionBy("part").orderBy("id", "tie")) + F.col("before")
+    summed = ranged.join(F.broadcast(before), "part").withColumn("upto", upto)
+    shard = lambda c: F.floor(c / shard_bytes)
+    crossed = summed.withColumn("n", shard(F.col("upto") - F.col("size"))).withColumn("last", F.lag("n").over(Window.partitionBy("part").orderBy("id", "tie")))
+    first = F.coalesce(F.col("last"), shard(F.col("before") - F.lit(1)))
+    cuts = crossed.filter((F.col("n") > first) & (F.col("upto") > F.col("size"))).select("id", "tie").orderBy("id", "tie").toArrow()
+    return cuts["id"].to_numpy(), cuts["tie"].to_numpy()
+
+
+def shard_column(id: Column, tie: Column, cuts: tuple[np.ndarray, np.ndarray]) -> Column:
+    """Number of cuts at or before (id, tie)."""
+    at_id, at_tie = cuts
+
+    @F.arrow_udf("long")
+    def warc_shard(ids: pa.Array, ties: pa.Array) -> pa.Array:
+        i, t = ids.to_numpy(zero_copy_only=False), ties.to_numpy(zero_copy_only=False)
+        low, high = np.searchsorted(at_id, i, "left"), np.searchsorted(at_id, i, "right")
+        for k in np.flatnonzero(high > low):
+            low[k] += np.searchsorted(at_tie[low[k] : high[k]], t[k], "right")
+        return pa.array(low, pa.int64())
+
+    return warc_shard(id, tie)
+
+
+def write_archives(df: DataFrame, root: str, page_id: str = "page_id", url: str = "url", html: str = "html", shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES, min_revisit_bytes: int = 0) -> DataFrame:
     """Write ``df`` below ``root`` (a URI) and return the manifest: one row per file. Runs the job."""
     spark = df.sparkSession
     payload = F.coalesce(F.col(html), F.lit("")).cast("binary")
-    rows = df.select(F.col(page_id).cast("long").alias("id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"), F.coalesce(F.floor(F.col(page_id) / shard_ids), F.lit(-(1 << 61))).cast("long").alias("shard"))
-    marks = df.select(F.col(page_id).cast("long").alias("id"), F.sha1(payload).alias("sha"), F.octet_length(payload).alias("size")).filter(F.col("size") >= min_revisit_bytes)
+    place, tie = F.coalesce(F.col("id"), F.lit(-(1 << 63)).cast("long")), F.xxhash64(F.col(url), F.col(html))
+    base = df.select(F.col(page_id).cast("long").alias("id"), tie.alias("tie"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"))
+    cuts = shard_cuts(base.select(place.alias("id"), "tie", (F.octet_length("html") + 512).cast("long").alias("size")), shard_bytes)
+    shard = shard_column(place, F.col("tie"), cuts).alias("shard")
+    rows = base.select("id", "url", "html", shard)
+    marks = df.select(F.col(page_id).cast("long").alias("id"), tie.alias("tie"), F.sha1(payload).alias("sha"), F.octet_length(payload).alias("size")).filter(F.col("size") >= min_revisit_bytes)
     firsts = marks.groupBy("sha").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("sha", "first")
-    again = marks.join(firsts, "sha").filter("first is not null and (id is null or id > first)").select(F.coalesce(F.floor(F.col("id") / shard_ids), F.lit(-(1 << 61))).cast("long").alias("shard"), "id", "sha", "first")
+    again = marks.join(firsts, "sha").filter("first is not null and (id is null or id > first)").select(shard, "id", "sha", "first")
 
     def write(key, pages: pa.Table, revisits: pa.Table) -> pa.Table:
         refers = {(i, s): f for i, s, f in zip(*(revisits[c].to_pylist() for c in ("id", "sha", "first")))}
@@ -154,29 +193,37 @@ def read_archives(spark: SparkSession, root: str) -> DataFrame:
     """Rows of the committed files: ``page_id, url, record_type, refers_to, payload_bytes, payload_digest, html`` (null for
     revisits). Blocks and payloads are held against their digests."""
 
+    kinds = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("html", pa.string())])
+
+    def row(h: dict[str, str], block: bytes) -> dict:
+        if h["warc-block-digest"] != "sha1:" + digest(block):
+            raise ValueError(f"{h['warc-record-id']}: the block does not have its digest")
+        head, _, payload = block.partition(b"\r\n\r\n")
+        length = int(re.search(rb"(?im)^content-length:\s*(\d+)", head)[1])
+        whole = h["warc-type"] == "response"
+        if whole and (len(payload) != length or h["warc-payload-digest"] != "sha1:" + digest(payload)):
+            raise ValueError(f"{h['warc-record-id']}: the payload does not have its digest")
+        number = lambda k: int(h[k]) if k in h else None
+        return {"page_id": number("warc-x-page-id"), "url": h["warc-target-uri"], "record_type": h["warc-type"], "refers_to": number("warc-x-refers-to-page-id"), "payload_bytes": length, "payload_digest": h["warc-payload-digest"].removeprefix("sha1:"), "html": payload.decode() if whole else None}
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data in batch["content"]:
-                out = []
+                out, held = [], 0
                 for h, block in parse_records(data.as_py()):
-                    if h["warc-type"] == "warcinfo":
-                        continue
-                    if h["warc-block-digest"] != "sha1:" + digest(block):
-                        raise ValueError(f"{h['warc-record-id']}: the block does not have its digest")
-                    head, _, payload = block.partition(b"\r\n\r\n")
-                    length = int(re.search(rb"(?im)^content-length:\s*(\d+)", head)[1])
-                    whole = h["warc-type"] == "response"
-                    if whole and (len(payload) != length or h["warc-payload-digest"] != "sha1:" + digest(payload)):
-                        raise ValueError(f"{h['warc-record-id']}: the payload does not have its digest")
-                    number = lambda k: int(h[k]) if k in h else None
-                    out.append({"page_id": number("warc-x-page-id"), "url": h["warc-target-uri"], "record_type": h["warc-type"], "refers_to": number("warc-x-refers-to-page-id"), "payload_bytes": length, "payload_digest": h["warc-payload-digest"].removeprefix("sha1:"), "html": payload.decode() if whole else None})
-                yield pa.RecordBatch.from_pylist(out, pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("html", pa.string())]))
+                    if h["warc-type"] != "warcinfo":
+                        out.append(row(h, block))
+                        held += len(block)
+                    if held >= READ_BYTES:
+                        yield pa.RecordBatch.from_pylist(out, kinds)
+                        out, held = [], 0
+                yield pa.RecordBatch.from_pylist(out, kinds)
 
     schema = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, html string"
-    if not spark.read.schema(FILES).json(f"{root}/_manifest").head(1):
+    paths = [f"{root}/{r.path}" for r in spark.read.schema(FILES).json(f"{root}/_manifest").select("path").collect()]  # as many as files that Spark lists
+    if not paths:
         return spark.createDataFrame([], schema)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(f"{root}/data").select("path", "content")
-    return files.repartition(shuffle_partitions(spark), "path").mapInArrow(read, schema)
+    return spark.read.format("binaryFile").load(paths).select("content").mapInArrow(read, schema)
 
 
 def oracle_sql() -> str:

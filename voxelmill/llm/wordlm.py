@@ -123,27 +123,61 @@ class _Bucket:
         if texts:
             yield texts, self.target[first:]
 
-    def tally(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Sorted keys with their counts in all texts and in target texts."""
-        key, n, target = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        table = _Words()
-        for texts, chosen in self.slices():
-            keys, at, size = grams(texts, table)
-            mine = np.repeat(chosen, size + ORDER - 1)
-            counted = _counted(at, size)
-            own = np.concatenate([k[c] for k, c in zip(keys, counted)])
-            is_target = np.concatenate([mine[c] for c in counted])
-            all_keys, inverse = np.unique(np.concatenate([key, own]), return_inverse=True)
-            n = np.bincount(inverse, np.concatenate([n, np.ones(len(own), np.int64)]), len(all_keys)).astype(np.int64)
-            target = np.bincount(inverse, np.concatenate([target, is_target]), len(all_keys)).astype(np.int64)
-            key = all_keys
-        return key, n, target
-
-
-def _counted(at: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
-    """Places whose keys count, by order: of the marks only the last is a context, counted once a text."""
-    place = np.arange(int((size + ORDER - 1).sum())) - np.repeat(at - (ORDER - 1), size + ORDER - 1)
-    return [place >= (ORDER - 2 if order < ORDER else ORDER - 1) for order in range(1, ORDER + 1)]
+    def grams(self) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        """As ``grams`` over all texts, read slice by slice."""
+        table, parts, before = _Words(), [], 0
+        for texts, _ in self.slices():
+            keys, first, size = grams(texts, table)
+            parts.append((keys, first + before, size))
+            before += len(keys[0])
+        if not parts:
+            return [np.zeros(0, np.int64)] * ORDER, np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return [np.concatenate([p[0][k] for p in parts]) for k in range(ORDER)], *(np.concatenate([p[k] for p in parts]) for k in (1, 2))
+
+
+class _Tally:
+    """Distinct keys of a bucket in their order, from one stable sort of the places that count.
+
+    Places of one key lie together, and among them those of one document: ``own`` is how often it holds the key."""
+
+    def __init__(self, bucket: _Bucket):
+        keys, self.first, self.size = bucket.grams()
+        length = self.size + ORDER - 1
+        place = np.arange(int(length.sum())) - np.repeat(self.first - (ORDER - 1), length)
+        # of the marks only the last is a context, counted once a text
+        self.where = [np.flatnonzero(place >= (ORDER - 2 if order < ORDER else ORDER - 1)) for order in range(1, ORDER + 1)]
+        document = np.repeat(np.arange(len(length), dtype=np.int32), length)
+        all_keys = np.concatenate([k[w] for k, w in zip(keys, self.where)])
+        documents = np.concatenate([document[w] for w in self.where])
+        self.places = len(place)
+        del keys, place
+        self.order = np.argsort(all_keys, kind="stable")
+        sorted_keys, documents = all_keys[self.order], documents[self.order]
+        new = np.ones(len(sorted_keys), bool)
+        new[1:] = sorted_keys[1:] != sorted_keys[:-1]
+        at = np.flatnonzero(new)
+        self.key = sorted_keys[at]
+        self.n = np.diff(at, append=len(new))
+        self.target = np.add.reduceat(bucket.target[documents].astype(np.int64), at) if len(at) else np.zeros(0, np.int64)
+        self.new, self.documents = new, documents
+
+    def at_places(self, values: np.ndarray) -> list[np.ndarray]:
+        """Values of the sorted places, by order of the key and place (0 where a place doesn't count)."""
+        flat = np.empty(len(self.order))
+        flat[self.order] = values
+        out, a = [], 0
+        for w in self.where:
+            v = np.zeros(self.places)
+            v[w] = flat[a : a + len(w)]
+            out.append(v)
+            a += len(w)
+        return out
+
+    def own(self) -> np.ndarray:
+        new = self.new.copy()
+        new[1:] |= self.documents[1:] != self.documents[:-1]
+        n = np.diff(np.flatnonzero(new), append=len(new))
+        return np.repeat(n, n)
 
 
 def _ask(ranges: int):
@@ -151,7 +185,8 @@ def _ask(ranges: int):
 
     def ask(rows: pa.Table) -> pa.Table:
         """A row for each range of keys in which the bucket has any."""
-        key, n, target = _Bucket(rows).tally()
+        tally = _Tally(_Bucket(rows))
+        key, n, target = tally.key, tally.n, tally.target
         cuts = [0, *np.searchsorted(key, edges).tolist(), len(key)]
         out = [(r, rows["bucket"][0].as_py(), _pack(key[a:b], True), _pack(n[a:b]), _pack(target[a:b])) for r, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
         types = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
@@ -187,41 +222,25 @@ def losses(counts: list[np.ndarray], first: np.ndarray, size: np.ndarray, total:
     return np.add.reduceat(-np.log(p), np.cumsum(size) - size) / size
 
 
-def _own_counts(at: list[np.ndarray], counted: list[np.ndarray], size: np.ndarray, keys: int) -> list[np.ndarray]:
-    """At each counted place, how often its document holds the place's key, by order."""
-    document, out = np.repeat(np.arange(len(size)), size + ORDER - 1), []
-    for where, c in zip(at, counted):
-        _, inverse, n = np.unique(document[c] * keys + where[c], return_inverse=True, return_counts=True)
-        own = np.zeros(len(where))
-        own[c] = n[inverse]
-        out.append(own)
-    return out
-
-
 def _rate(schema: T.StructType, names: tuple[str, ...], text: str, leave_one_out: bool):
     def rate(rows: pa.Table, answers: pa.Table) -> pa.Table:
         bucket = _Bucket(rows)
-        key, n, target = bucket.tally()
-        if len(key):
+        tally = _Tally(bucket)
+        size, a, b = tally.size, np.zeros(0), np.zeros(0)
+        if len(size):
             # answers come in the order of ranges, which is that of the keys
             order = np.argsort(answers["range"].to_numpy())
-            n = n + np.concatenate([_unpack(answers["n"][int(k)].as_py()) for k in order])
-            target = target + np.concatenate([_unpack(answers["n_target"][int(k)].as_py()) for k in order])
             tokens, tokens_target, vocabulary = (answers[c][0].as_py() for c in ("all_tokens", "all_tokens_target", "all_vocabulary"))
-        sizes, a, b = [np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(0)]
-        table = _Words()
-        for texts, chosen in bucket.slices():
-            keys, first, size = grams(texts, table)
-            # the marks before the last are in no count and are never read
-            at = [np.minimum(np.searchsorted(key, k), len(key) - 1) for k in keys]
-            without = _own_counts(at, _counted(first, size), size, len(key)) if leave_one_out else [0.0] * ORDER
+            which, chosen, own = np.cumsum(tally.new) - 1, bucket.target, tally.own() if leave_one_out else np.zeros(1, np.int64)
             gone = size if leave_one_out else np.zeros(len(size), np.int64)
-            mine = np.repeat(chosen, size + ORDER - 1)
-            sizes.append(size)
-            a.append(losses([target[k] - mine * w for k, w in zip(at, without)], first, size, tokens_target - chosen * gone, vocabulary))
-            b.append(losses([n[k] - w for k, w in zip(at, without)], first, size, tokens - gone, vocabulary))
-        a, b = np.concatenate(a), np.concatenate(b)
-        made = dict(zip(names, (pa.array(np.concatenate(sizes), pa.int64()), pa.array(a, pa.float64()), pa.array(b, pa.float64()), pa.array(a - b, pa.float64()))))
+
+            def mean(column: str, n: np.ndarray, mine: np.ndarray | int, total: np.ndarray) -> np.ndarray:
+                n = n + np.concatenate([_unpack(answers[column][int(k)].as_py()) for k in order])
+                return losses(tally.at_places(n[which] - own * mine), tally.first, size, total, vocabulary)
+
+            a = mean("n_target", tally.target, chosen[tally.documents], tokens_target - chosen * gone)
+            b = mean("n", tally.n, 1, tokens - gone)
+        made = dict(zip(names, (pa.array(size, pa.int64()), pa.array(a, pa.float64()), pa.array(b, pa.float64()), pa.array(a - b, pa.float64()))))
         if text in schema.names:
             made[text] = pa.array([t for texts, _ in bucket.slices() for t in texts], pa.string())
         return pa.table({f.name: made[f.name] if f.name in made else bucket.docs[f"c_{k}"] for k, f in enumerate(schema)})
