@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -40,5 +41,9 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def bucket_count(df: DataFrame) -> int:
-    """Hash buckets for work done a bucket at a time: follows the input's splits, so that a bucket's size doesn't grow with the input."""
-    return max(shuffle_partitions(df.sparkSession), 4 * df.rdd.getNumPartitions())
+    """Hash buckets for work done a bucket at a time: follows the input's splits and their greatest size (a bucket has
+    about 4 MiB of stored input), so that a bucket's size doesn't grow with the input."""
+    spark = df.sparkSession
+    size = re.fullmatch(r"(\d+)\s*([kmgt]?)i?b?", str(spark.conf.get("spark.sql.files.maxPartitionBytes", "128m")).lower())
+    split = int(size[1]) << {"": 0, "k": 10, "m": 20, "g": 30, "t": 40}[size[2]] if size else 128 << 20
+    return max(shuffle_partitions(spark), 4 * max(1, split >> 24) * df.rdd.getNumPartitions())
