@@ -266,31 +266,35 @@ def skeleton(planes: DataFrame, over: str = "over") -> DataFrame:
 
 
 def phase_shift(ref: np.ndarray, mov: np.ndarray) -> tuple[int, ...]:
-    """Whole-step shift that brings ``mov`` onto ``ref``, by the peak of their cross-correlation."""
-    c = np.fft.ifftn(np.fft.fftn(ref) * np.conj(np.fft.fftn(mov))).real
+    """Whole-step shift that brings ``mov`` onto ``ref``: the peak of their cross-correlation, every frequency weighing alike."""
+    product = np.fft.fftn(ref) * np.conj(np.fft.fftn(mov))
+    product /= np.maximum(np.abs(product), 100 * np.finfo(np.float64).eps)
+    c = np.abs(np.fft.ifftn(product))
     peak = np.array(np.unravel_index(int(np.round(c, 9).argmax()), c.shape))
     size = np.array(c.shape)
     return tuple(int(v) for v in np.where(peak > size // 2, peak - size, peak))
 
 
 def register(frames: DataFrame, feature: str = "c0") -> DataFrame:
-    """Shift (dy, dx) of each frame t onto the middle frame; frames are scaled by one range, NaN counts as 0.
+    """Shift (dy, dx; with a column z also dz) of each frame t onto the middle frame; frames are scaled by one range, NaN
+    counts as 0.
 
-    The middle frame is one plane; it goes to the tasks by a join on its own key."""
+    The middle frame goes to the tasks by a join on its own key."""
+    axes = [c for c in COORDS if c in frames.columns]
     row = frames.agg(F.min(feature).alias("lo"), F.max(feature).alias("hi"), F.countDistinct("t").alias("n"), F.min("t").alias("t0")).first()
     middle, span = row["t0"] + row["n"] // 2, (row["hi"] - row["lo"]) or 1.0
-    scaled = frames.select("t", "y", "x", F.coalesce(F.nanvl((F.col(feature) - row["lo"]) / F.lit(span), F.lit(0.0)), F.lit(0.0)).alias("v"))
-    ref = scaled.filter(F.col("t") == middle).select("y", "x", F.col("v").alias("r"))
-    both = scaled.join(ref, ["y", "x"], "left")
+    scaled = frames.select("t", *axes, F.coalesce(F.nanvl((F.col(feature) - row["lo"]) / F.lit(span), F.lit(0.0)), F.lit(0.0)).alias("v"))
+    ref = scaled.filter(F.col("t") == middle).select(*axes, F.col("v").alias("r"))
+    both = scaled.join(ref, axes, "left")
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        at = pdf[["y", "x"]].to_numpy(np.int64)
+        at = pdf[axes].to_numpy(np.int64)
         a = np.zeros((*(at.max(0) + 1), 2))
         a[tuple(at.T)] = pdf[["r", "v"]].fillna(0.0).to_numpy(np.float64)
-        dy, dx = phase_shift(a[..., 0], a[..., 1])
-        return pd.DataFrame({"t": pdf["t"].iloc[:1].to_numpy(np.int32), "dy": np.array([dy], np.int32), "dx": np.array([dx], np.int32)})
+        moved = phase_shift(a[..., 0], a[..., 1])
+        return pd.DataFrame({"t": pdf["t"].iloc[:1].to_numpy(np.int32), **{f"d{c}": np.array([d], np.int32) for c, d in zip(axes, moved)}})
 
-    return both.groupBy("t").applyInPandas(kernel, "t int, dy int, dx int")
+    return both.groupBy("t").applyInPandas(kernel, "t int, " + ", ".join(f"d{c} int" for c in axes))
 
 
 def template_peak(plane: np.ndarray, piece: np.ndarray) -> float:
@@ -354,19 +358,19 @@ def cap_sweep(vox: DataFrame, caps: list[float], offsets, local: float, **option
 
 
 def top_down(levels: DataFrame, threshold: float, claimed_share: float = 0.1) -> DataFrame:
-    """From the coarsest level to the finest, accept cells whose distances' q95 is below the threshold and that are mostly unclaimed."""
+    """From the coarsest level to the finest, accept cells whose distances' q95 is below the threshold and that are mostly
+    unclaimed; an accepted cell takes all its voxels, those of cells before it too."""
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, claimed, number = [], set(), 0
+        claimed, number = {}, 0
         for _, level in sorted(pdf.groupby("level"), key=lambda g: -g[0]):
             for _, cell in level[level["label"] > 0].groupby("label"):
                 v = cell[["c0", "c1"]].to_numpy(float)
                 places = list(map(tuple, cell[COORDS].to_numpy()))
                 if np.percentile(np.linalg.norm(v - v.mean(0), axis=1), 95) < threshold and sum(p in claimed for p in places) < claimed_share * len(places):
                     number += 1
-                    free = [p for p in places if p not in claimed]
-                    claimed.update(free)
-                    out += [(pdf["dataset_id"].iloc[0], *map(int, p), number) for p in free]
+                    claimed.update(dict.fromkeys(places, number))
+        out = [(pdf["dataset_id"].iloc[0], *map(int, p), n) for p, n in claimed.items()]
         return pd.DataFrame(out, columns=["dataset_id", *COORDS, "label"]).astype({**{c: "int32" for c in COORDS}, "label": "int32"})
 
     return _by_dataset(levels, kernel, LABELLED)

@@ -109,11 +109,16 @@ def delta_stats(edges: DataFrame) -> DataFrame:
 
 
 def normalise(vox: DataFrame, channels: tuple[str, ...] = ("c0", "c1"), low: float = 0.01, high: float = 0.99) -> DataFrame:
-    """Channels scaled by their percentiles, without clipping; a flat channel is an error."""
-    row = vox.agg(*(F.percentile(c, F.array(F.lit(low), F.lit(high))).alias(c) for c in channels)).first()
+    """Channels scaled by their percentiles, without clipping; a flat channel is an error.
+
+    The percentiles are those of voxels whose channels are all finite; values that aren't become 0."""
+    fine = F.lit(True)
+    for c in channels:
+        fine = fine & F.coalesce(F.abs(F.col(c)) < float("inf"), F.lit(False))
+    row = vox.agg(*(F.percentile(F.when(fine, F.col(c)), F.array(F.lit(low), F.lit(high))).alias(c) for c in channels)).first()
     if any(row[c] is None or not row[c][1] > row[c][0] for c in channels):
         raise ValueError("a channel has no spread")
-    return vox.withColumns({c: (F.col(c) - row[c][0]) / (row[c][1] - row[c][0]) for c in channels})
+    return vox.withColumns({c: F.when(F.abs(F.col(c)) < float("inf"), (F.col(c) - row[c][0]) / (row[c][1] - row[c][0])).otherwise(0.0) for c in channels})
 
 
 def robust_zscore(vox: DataFrame, column: str = "c0", clip: float | None = 5.0, mad: bool = True) -> DataFrame:

@@ -13,28 +13,32 @@ SIDES = ("a", "b")
 
 
 def step_overlaps(steps: DataFrame, min_overlap: int = 1) -> DataFrame:
-    """``pair, label_a, label_b, overlap_voxels`` of steps t and t + 1 (columns t, y, x, label; further keys z)."""
+    """``pair, label_a, label_b, overlap_voxels`` of steps t and t + 1 (columns t, y, x, label; further keys z).
+
+    With a column ``mask`` only voxels inside the mask of both steps count."""
     keys = [c for c in ("z", "y", "x") if c in steps.columns]
-    own = steps.filter("label > 0").select("t", *keys, "label")
+    own = (steps.filter("mask") if "mask" in steps.columns else steps).filter("label > 0").select("t", *keys, "label")
     later = own.select((F.col("t") - 1).alias("t"), *keys, F.col("label").alias("label_b"))
     out = own.withColumnRenamed("label", "label_a").join(later, ["t", *keys]).groupBy(F.col("t").alias("pair"), "label_a", "label_b").agg(F.count(F.lit(1)).alias("overlap_voxels"))
     return out.filter(F.col("overlap_voxels") >= min_overlap)
 
 
 def step_features(steps: DataFrame) -> DataFrame:
-    """Per step and label: volume, centroid and median channels."""
-    return steps.filter("label > 0").groupBy("t", "label").agg(F.count(F.lit(1)).alias("volume"), F.avg("y").alias("cy"), F.avg("x").alias("cx"), F.percentile("c0", F.lit(0.5)).alias("m0"), F.percentile("c1", F.lit(0.5)).alias("m1"))
+    """Per step and label: volume, centroid (with ``cz`` where the steps are volumes) and median channels."""
+    place = [F.avg(c).alias(f"c{c}") for c in ("z", "y", "x") if c in steps.columns]
+    return steps.filter("label > 0").groupBy("t", "label").agg(F.count(F.lit(1)).alias("volume"), *place, F.percentile("c0", F.lit(0.5)).alias("m0"), F.percentile("c1", F.lit(0.5)).alias("m1"))
 
 
 def centroid_pairs(features: DataFrame, radius: float) -> DataFrame:
     """Pairs of consecutive steps' cells whose centroids are within ``radius``: an equi-join of grid buckets, then the distance."""
-    cell = lambda c: F.floor(F.col(c) / radius).cast("long")
-    a = features.select(F.col("t").alias("pair"), F.col("label").alias("label_a"), F.col("cy").alias("ay"), F.col("cx").alias("ax"), cell("cy").alias("gy"), cell("cx").alias("gx"))
-    around = F.array(*(F.lit(k) for k in (-1, 0, 1)))
-    b = features.select((F.col("t") - 1).alias("pair"), F.col("label").alias("label_b"), F.col("cy").alias("by"), F.col("cx").alias("bx"), cell("cy").alias("hy"), cell("cx").alias("hx"))
-    b = b.select("*", F.explode(around).alias("dy")).select("*", F.explode(around).alias("dx")).select("pair", "label_b", "by", "bx", (F.col("hy") + F.col("dy")).alias("gy"), (F.col("hx") + F.col("dx")).alias("gx"))
-    d = F.sqrt((F.col("ay") - F.col("by")) ** 2 + (F.col("ax") - F.col("bx")) ** 2)
-    return a.join(b, ["pair", "gy", "gx"]).withColumn("centroid_distance", d).filter(F.col("centroid_distance") <= radius).select("pair", "label_a", "label_b", "centroid_distance")
+    axes = [c for c in "zyx" if f"c{c}" in features.columns]
+    cell = lambda c: F.floor(F.col(f"c{c}") / radius).cast("long")
+    a = features.select(F.col("t").alias("pair"), F.col("label").alias("label_a"), *(F.col(f"c{c}").alias(f"a{c}") for c in axes), *(cell(c).alias(f"g{c}") for c in axes))
+    b = features.select((F.col("t") - 1).alias("pair"), F.col("label").alias("label_b"), *(F.col(f"c{c}").alias(f"b{c}") for c in axes), *(cell(c).alias(f"g{c}") for c in axes))
+    for c in axes:
+        b = b.withColumn(f"g{c}", F.explode(F.array(*(F.col(f"g{c}") + k for k in (-1, 0, 1)))))
+    d = F.sqrt(sum(((F.col(f"a{c}") - F.col(f"b{c}")) ** 2 for c in axes), F.lit(0.0)))
+    return a.join(b, ["pair", *(f"g{c}" for c in axes)]).withColumn("centroid_distance", d).filter(F.col("centroid_distance") <= radius).select("pair", "label_a", "label_b", "centroid_distance")
 
 
 def candidates(steps: DataFrame, radius: float, min_overlap: int = 1, distance_scale: float = 10.0, orientation_scale: float = 0.25) -> DataFrame:
@@ -42,19 +46,20 @@ def candidates(steps: DataFrame, radius: float, min_overlap: int = 1, distance_s
     f = step_features(steps)
     over = step_overlaps(steps, min_overlap)
     pairs = over.select("pair", "label_a", "label_b").unionByName(centroid_pairs(f, radius).select("pair", "label_a", "label_b")).distinct()
-    side = lambda s, t: f.select(t.alias("pair"), F.col("label").alias(f"label_{s}"), *(F.col(c).alias(f"{c}_{s}") for c in ("volume", "cy", "cx", "m0", "m1")))
+    place = [c for c in ("cz", "cy", "cx") if c in f.columns]
+    side = lambda s, t: f.select(t.alias("pair"), F.col("label").alias(f"label_{s}"), *(F.col(c).alias(f"{c}_{s}") for c in ("volume", *place, "m0", "m1")))
     out = pairs.join(over, ["pair", "label_a", "label_b"], "left").withColumn("overlap_voxels", F.coalesce("overlap_voxels", F.lit(0)))
     out = out.join(side("a", F.col("t")), ["pair", "label_a"]).join(side("b", F.col("t") - 1), ["pair", "label_b"])
     out = out.withColumns({
         "frac_of_a": F.col("overlap_voxels") / F.col("volume_a"), "frac_of_b": F.col("overlap_voxels") / F.col("volume_b"),
         "dice_overlap": 2 * F.col("overlap_voxels") / (F.col("volume_a") + F.col("volume_b")),
-        "centroid_distance": F.sqrt((F.col("cy_a") - F.col("cy_b")) ** 2 + (F.col("cx_a") - F.col("cx_b")) ** 2),
+        "centroid_distance": F.sqrt(sum(((F.col(f"{c}_a") - F.col(f"{c}_b")) ** 2 for c in place), F.lit(0.0))),
         "orientation_difference": F.sqrt((F.col("m0_a") - F.col("m0_b")) ** 2 + (F.col("m1_a") - F.col("m1_b")) ** 2),
         "volume_similarity": F.least("volume_a", "volume_b") / F.greatest("volume_a", "volume_b"),
     })
     out = out.withColumns({"centroid_similarity": F.exp(-F.col("centroid_distance") / distance_scale), "orientation_similarity": F.exp(-F.col("orientation_difference") / orientation_scale)})
     score = 2 * F.col("dice_overlap") + F.col("frac_of_a") + F.col("frac_of_b") + F.col("centroid_similarity") + F.col("orientation_similarity") + 0.5 * F.col("volume_similarity")
-    return out.withColumn("tracking_score", score).drop(*(f"{c}_{s}" for c in ("cy", "cx", "m0", "m1") for s in SIDES))
+    return out.withColumn("tracking_score", score).drop(*(f"{c}_{s}" for c in (*place, "m0", "m1") for s in SIDES))
 
 
 def greedy_assignment(pairs: DataFrame, min_score: float = -math.inf, score: str = "tracking_score") -> DataFrame:
@@ -95,15 +100,18 @@ def classify_events(steps: DataFrame, pairs: DataFrame, assigned: DataFrame, min
     sig = pairs.filter((F.col("tracking_score") >= min_score) & fits).select("pair", "label_a", "label_b")
     none = F.lit(None)
     row = lambda d, name, a, b, c, p: d.select("pair", F.lit(name).alias("event"), a.cast("int").alias("label_a"), b.cast("int").alias("label_b"), c.cast("long").alias("n_children"), p.cast("long").alias("n_parents"))
-    splits = sig.groupBy("pair", "label_a").agg(F.countDistinct("label_b").alias("n")).filter("n > 1")
-    merges = sig.groupBy("pair", "label_b").agg(F.countDistinct("label_a").alias("n")).filter("n > 1")
+    children = sig.groupBy("pair", "label_a").agg(F.countDistinct("label_b").alias("n"))
+    parents = sig.groupBy("pair", "label_b").agg(F.countDistinct("label_a").alias("n"))
+    splits, merges = children.filter("n > 1"), parents.filter("n > 1")
+    tied = assigned.select("pair", "label_a", "label_b").join(children.withColumnRenamed("n", "c"), ["pair", "label_a"], "left").join(parents.withColumnRenamed("n", "p"), ["pair", "label_b"], "left").fillna(0, ["c", "p"])
+    zero = F.lit(0)
     cells = steps.filter("label > 0").select("t", "label").distinct()
     last = steps.agg(F.min("t"), F.max("t")).first()
     dead = cells.filter(F.col("t") < F.lit(last[1])).select(F.col("t").alias("pair"), F.col("label").alias("label_a")).join(sig, ["pair", "label_a"], "left_anti")
     born = cells.filter(F.col("t") > F.lit(last[0])).select((F.col("t") - 1).alias("pair"), F.col("label").alias("label_b")).join(sig, ["pair", "label_b"], "left_anti")
     parts = [
-        row(assigned, "one_to_one", F.col("label_a"), F.col("label_b"), none, none), row(splits, "split_candidate", F.col("label_a"), none, F.col("n"), none),
-        row(merges, "merge_candidate", none, F.col("label_b"), none, F.col("n")), row(dead, "death_candidate", F.col("label_a"), none, none, none), row(born, "birth_candidate", none, F.col("label_b"), none, none),
+        row(tied, "one_to_one", F.col("label_a"), F.col("label_b"), F.col("c"), F.col("p")), row(splits, "split_candidate", F.col("label_a"), none, F.col("n"), none),
+        row(merges, "merge_candidate", none, F.col("label_b"), none, F.col("n")), row(dead, "death_candidate", F.col("label_a"), none, zero, none), row(born, "birth_candidate", none, F.col("label_b"), none, zero),
     ]
     out = parts[0]
     for p in parts[1:]:

@@ -280,11 +280,11 @@ def assignment_summary(spark, sf):
 
 @query(
     f"with {greedy_sql('1.0')}, sg as (select pair, label_a, label_b from sc where tracking_score >= 1 and (frac_of_a >= 0.1 or frac_of_b >= 0.1 or centroid_distance <= 1)), cl as (select distinct z as t, label from e where label > 0)"
-    " select pair, 'one_to_one' as event, label_a, label_b, null::bigint as n_children, null::bigint as n_parents from asg"
+    " select pair, 'one_to_one' as event, label_a, label_b, (select count(distinct s.label_b) from sg s where s.pair = asg.pair and s.label_a = asg.label_a) as n_children, (select count(distinct s.label_a) from sg s where s.pair = asg.pair and s.label_b = asg.label_b) as n_parents from asg"
     " union all select pair, 'split_candidate', label_a, null, count(distinct label_b), null from sg group by pair, label_a having count(distinct label_b) > 1"
     " union all select pair, 'merge_candidate', null, label_b, null, count(distinct label_a) from sg group by pair, label_b having count(distinct label_a) > 1"
-    " union all select t, 'death_candidate', label, null, null, null from cl where t < (select max(z) from e) and not exists (select 1 from sg where pair = t and label_a = label)"
-    " union all select t - 1, 'birth_candidate', null, label, null, null from cl where t > (select min(z) from e) and not exists (select 1 from sg where pair = t - 1 and label_b = label)"
+    " union all select t, 'death_candidate', label, null, 0, null from cl where t < (select max(z) from e) and not exists (select 1 from sg where pair = t and label_a = label)"
+    " union all select t - 1, 'birth_candidate', null, label, null, 0 from cl where t > (select min(z) from e) and not exists (select 1 from sg where pair = t - 1 and label_b = label)"
 )
 def feature_events(spark, sf):
     steps = steps_e(spark, sf)
@@ -320,22 +320,22 @@ def split_parents(spark, sf):
     return T.split_parents(T.step_overlaps(steps_e(spark, sf)))
 
 
-MASKS = f"{V}, full_ as (select * from v where z < (select max(z) from v)), cm as (select y, x from full_ where mask group by all having count(distinct z) = (select count(distinct z) from full_))"
+MASKS = f"{V}, cm as (select y, x from v where mask group by all having count(distinct z) = (select count(distinct z) from v))"
 
 
-def _full_planes(spark, sf):
-    v = lattice_v(spark, sf)
-    return v.filter(F.col("z") < v.agg(F.max("z")).first()[0]).withColumnRenamed("z", "t")
+def _steps_v(spark, sf):
+    """Planes of the second lattice as time steps; places that a plane lacks are outside its mask."""
+    return lattice_v(spark, sf).withColumnRenamed("z", "t")
 
 
 @query(f"with {MASKS} select y, x from cm")
 def common_mask(spark, sf):
-    return T.common_mask(_full_planes(spark, sf))
+    return T.common_mask(_steps_v(spark, sf))
 
 
 @query(f"with {MASKS} select min(y) as min_y, max(y) as max_y, min(x) as min_x, max(x) as max_x from cm")
 def bounding_box_crop(spark, sf):
-    return T.bounding_box(T.common_mask(_full_planes(spark, sf)))
+    return T.bounding_box(T.common_mask(_steps_v(spark, sf)))
 
 
 @query(f"with {V} select (z + 0)::int as z, (y + 2)::int as y, (x - 3)::int as x, c0 from v where y + 2 between 0 and 49 and x - 3 between 0 and 49")
@@ -415,11 +415,21 @@ def wall_kam(spark, sf):
     return R.wall_kam(S.kam(lattice_v(spark, sf), (1, 3, 3)))
 
 
-@query(f"with {V}, q as (select quantile_cont(c0, 0.29) as q from v) select z, y, x, c0 >= q as over from v, q")
+NEAR5 = S.cross(2, True)
+
+
+@query(
+    f"with {V}, {DIM.format('v')}, {offsets_sql(NEAR5)}, q as (select quantile_cont(c0, 0.29) as q from v where mask), w0 as materialized (select z, y, x from v, q where mask and c0 >= q),"
+    " w1 as materialized (select a.z, a.y, a.x from w0 a, d, o left join w0 b on b.z = a.z + dz and b.y = a.y + dy and b.x = a.x + dx where a.y + dy between 0 and ny - 1 and a.x + dx between 0 and nx - 1 group by all having count(*) = count(b.z)),"
+    " w2 as materialized (select distinct w1.z + dz as z, w1.y + dy as y, w1.x + dx as x from w1, o)"
+    " select v.z, v.y, v.x, w0.z is not null as over, w2.z is not null as opened from v left join w0 using (z, y, x) left join w2 using (z, y, x)"
+)
 def overthreshold(spark, sf):
+    """The mask's values from their percentile on, and those walls eroded and grown by the in-plane cross."""
     v = lattice_v(spark, sf)
-    cut = v.agg(F.percentile("c0", F.lit(0.29))).first()[0]
-    return v.select("z", "y", "x", (F.col("c0") >= cut).alias("over"))
+    mark = lambda times, name: L.opened_walls(v, 0.29, times, times, "c0", NEAR5, outside=True).withColumn(name, F.lit(True))
+    out = v.select("z", "y", "x").join(mark(0, "over"), ["z", "y", "x"], "left").join(mark(1, "opened"), ["z", "y", "x"], "left")
+    return out.fillna(False, ["over", "opened"])
 
 
 @query()

@@ -42,6 +42,7 @@ class Segmentation:
     cells: DataFrame
     edges: DataFrame
     summary: DataFrame  # a row a dataset
+    failures: DataFrame  # datasets that can't be segmented: dataset_id, error
 
 
 def normalise(vox: DataFrame, channels: tuple[str, ...], low: float = 0.01, high: float = 0.99) -> DataFrame:
@@ -105,4 +106,6 @@ def segment(vox: DataFrame, parameters: Parameters | None = None) -> Segmentatio
     grown = K.watershed(checkpoint(kam.join(seeds, [*BY, *S.COORDS])), "kam")
     labelled = materialize(split_labels(grown.join(scaled, [*BY, *S.COORDS])), "segmented")
     cells, edges = R.cell_table(labelled, p.channels, by=BY), R.neighbour_table(labelled, p.channels, by=BY)
-    return Segmentation(labelled, cells, edges, summarise(scaled, labelled, cells, edges))
+    failed = vox.select(*BY).distinct().join(scaled.select(*BY).distinct(), list(BY), "left_anti").join(inside.select(*BY, F.lit(True).alias("some")).distinct(), list(BY), "left")
+    failures = failed.select(*BY, F.when(F.col("some"), "a channel has no spread").otherwise("no voxel in the mask").alias("error"))
+    return Segmentation(labelled, cells, edges, summarise(scaled, labelled, cells, edges), failures)
