@@ -119,8 +119,6 @@ def mix(df: DataFrame, targets: dict[str, dict[str, float]] | None = None, budge
     rated = (
         counted.join(fitted, on, "left")
         .drop(*(f"k_{m}" for m in MARGINS))
-        .withColumn("factor", F.round("factor", 6))
-        .withColumn("keep_prob", F.round("keep_prob", 6))
     )
     draw = draw_column(F.col(doc_id))
     if not repeat:
@@ -152,9 +150,9 @@ def oracle_sql(sweeps: int = SWEEPS, alpha: float = ALPHA, budget: float = BUDGE
     ctes.append("c0 as materialized (select 1.0::double as c)")
     for r in range(1, rounds + 1):
         ctes.append(f"c{r} as materialized (select case when s.rest > 0 and {budget} * s.total > s.kept then ({budget} * s.total - s.kept) / s.rest else s.c end as c from (select any_value(c) as c, sum(tokens) as total, sum(case when factor * c >= 1 then tokens else 0 end) as kept, sum(case when factor * c < 1 then tokens * factor else 0 end) as rest from rated, c{r - 1}) s)")
-    ctes.append(f"final as (select source, lang, topic, round(factor, 6) as factor, round(case when tokens > 0 then least(1.0, factor * c) else 1 end, 6) as keep_prob from rated, c{rounds})")
+    ctes.append(f"final as (select source, lang, topic, factor, case when tokens > 0 then least(1.0, factor * c) else 1 end as keep_prob from rated, c{rounds})")
     return (
-        "with " + ",\n".join(ctes) + "\nselect d.doc_id, d.topic, d.n_tokens, f.factor, f.keep_prob,"
+        "with " + ",\n".join(ctes) + "\nselect d.doc_id, d.topic, d.n_tokens, round(f.factor, 6) as factor, round(f.keep_prob, 6) as keep_prob,"
         " ('0x' || substr(md5(d.doc_id::varchar), 1, 8))::bigint / 4294967296.0 < f.keep_prob as selected"
         " from docs d join final f on d.source is not distinct from f.source and d.lang is not distinct from f.lang and d.topic = f.topic"
     )

@@ -56,12 +56,12 @@ def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "topic", "n_tokens", "factor", "keep_prob", "selected")
+    return mixing.mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "topic", "n_tokens", F.round("factor", 6).alias("factor"), F.round("keep_prob", 6).alias("keep_prob"), "selected")
 
 
 def op8_mixing_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Margins met in full: documents of cells that should grow repeat."""
-    return mixing.mix(spark.read.parquet(f"{sf_dir}/documents.parquet"), repeat=True).select("doc_id", "topic", "n_tokens", "factor", "keep_prob", "copies", "selected")
+    return mixing.mix(spark.read.parquet(f"{sf_dir}/documents.parquet"), repeat=True).select("doc_id", "topic", "n_tokens", F.round("factor", 6).alias("factor"), F.round("keep_prob", 6).alias("keep_prob"), "copies", "selected")
 
 
 def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
