@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from voxelmill.operators import kernels as K
 from voxelmill.operators import regions as R
 from voxelmill.operators import tracking as T
+from voxelmill.operators.numbering import exact_quantiles
 from voxelmill.plans import segmentation
 
 
@@ -71,3 +72,15 @@ def test_datasets_that_fail_are_listed(spark):
     vox = spark.createDataFrame(rows, "dataset_id string, z int, y int, x int, c0 double, c1 double, mask boolean")
     found = segmentation.segment(vox, segmentation.Parameters(local_threshold=0.3, kam_size=(1, 3, 3)))
     assert {(r.dataset_id, r.error) for r in found.failures.collect()} == {("flat", "a channel has no spread"), ("out", "no voxel in the mask")}
+
+
+def test_exact_quantiles_by_ranges_equal_the_aggregate(spark):
+    rng = np.random.default_rng(3)
+    values = [float(v) for v in rng.integers(0, 40, 500) / 7] + [None, None]
+    df = spark.createDataFrame([(v,) for v in values], "v double").repartition(6)
+    probs = [0.0, 0.01, 0.29, 0.5, 0.95, 1.0]
+    want = np.quantile([v for v in values if v is not None], probs)
+    for most in (1_000_000, 0):
+        assert np.allclose(exact_quantiles(df, "v", probs, most), want, atol=1e-12)
+    assert exact_quantiles(df.limit(0), "v", [0.5]) == [None]
+    assert math.isnan(exact_quantiles(df.limit(3).selectExpr("double('nan') as v"), "v", [1.0], 0)[0])

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxelmill.operators.numbering import number_keys
+from voxelmill.operators.numbering import exact_quantiles, number_keys
 from voxelmill.operators.regions import components, median_field, robust_zscore
 from voxelmill.operators.stencil import COORDS, Arrays, boundaries, box, cross, extent, halved, neighbours, windows
 from voxelmill.session import checkpoint
@@ -129,7 +129,7 @@ def opened_walls(vox: DataFrame, percentile: float, erosions: int, dilations: in
     With ``outside`` what lies outside the grid doesn't erode."""
     shape = extent(vox)
     fine = vox.filter(F.col("mask") & F.col(value).isNotNull() & ~F.isnan(value))
-    cut = fine.agg(F.percentile(value, F.lit(percentile))).first()[0]
+    cut = exact_quantiles(fine, value, [percentile])[0]
     if cut is None:
         raise ValueError("no finite value in the mask")
     wall = fine.filter(F.col(value) >= cut).select(*COORDS)

@@ -1,7 +1,9 @@
-"""Numbers without gaps in key order, by range partitions: no task sees all keys."""
+"""Numbers without gaps in key order, and exact quantiles, by range partitions: no task sees all keys or values."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,3 +23,31 @@ def number_keys(keys: DataFrame, name: str) -> DataFrame:
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = sizes.select("_part", before.alias("_start"))  # a row a partition
     return kept.join(F.broadcast(starts), "_part").select(*columns, (F.col("_at") + F.col("_start") + 1).cast("int").alias(name))
+
+
+def exact_quantiles(values: DataFrame, column: str, probs: list[float], in_one_task: int = 1_000_000) -> list[float | None]:
+    """Quantiles (linear between neighbours) of a column's non-null values, NaN being the greatest; None without any.
+
+    Up to ``in_one_task`` values are summed up by one aggregate. More are sorted by range and written once; the partitions'
+    sizes, one row each, tell where the wanted places lie, and only those values come back."""
+    own = values.select(F.col(column).cast("double").alias("v")).filter("v is not null")
+    n = own.count()
+    if not n:
+        return [None] * len(probs)
+    if n <= in_one_task:
+        return list(own.agg(F.percentile("v", F.array(*(F.lit(float(p)) for p in probs)))).first()[0])
+    ranged = own.repartitionByRange("v").sortWithinPartitions("v")
+    kept = materialize(ranged.select("v", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("_at")), "ranged")
+    places, before = {}, 0
+    wanted = sorted({k for p in probs for k in (math.floor(p * (n - 1)), math.ceil(p * (n - 1)))})
+    for part, size in kept.groupBy("_part").count().orderBy("_part").collect():
+        places.update({(part, k - before): k for k in wanted if before <= k < before + size})
+        before += size
+    spot = values.sparkSession.createDataFrame([(p, a, k) for (p, a), k in places.items()], "_part int, _at long, k long")
+    at = {r.k: r.v for r in kept.join(F.broadcast(spot), ["_part", "_at"]).select("k", "v").collect()}  # two rows a quantile
+    out = []
+    for p in probs:
+        x = p * (n - 1)
+        a, b = at[math.floor(x)], at[math.ceil(x)]
+        out.append(a if a == b else a + (x - math.floor(x)) * (b - a))
+    return out

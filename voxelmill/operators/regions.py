@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxelmill.operators.components import connected_components
-from voxelmill.operators.numbering import number_keys
+from voxelmill.operators.numbering import exact_quantiles, number_keys
 from voxelmill.operators.stencil import COORDS, contacts, extent, halved, neighbours, other_label, same_label, touching
 
 
@@ -115,18 +115,19 @@ def normalise(vox: DataFrame, channels: tuple[str, ...] = ("c0", "c1"), low: flo
     fine = F.lit(True)
     for c in channels:
         fine = fine & F.coalesce(F.abs(F.col(c)) < float("inf"), F.lit(False))
-    row = vox.agg(*(F.percentile(F.when(fine, F.col(c)), F.array(F.lit(low), F.lit(high))).alias(c) for c in channels)).first()
-    if any(row[c] is None or not row[c][1] > row[c][0] for c in channels):
+    row = {c: exact_quantiles(vox.filter(fine), c, [low, high]) for c in channels}
+    if any(row[c][0] is None or not row[c][1] > row[c][0] for c in channels):
         raise ValueError("a channel has no spread")
     return vox.withColumns({c: F.when(F.abs(F.col(c)) < float("inf"), (F.col(c) - row[c][0]) / (row[c][1] - row[c][0])).otherwise(0.0) for c in channels})
 
 
 def robust_zscore(vox: DataFrame, column: str = "c0", clip: float | None = 5.0, mad: bool = True) -> DataFrame:
     """``zscore`` about the median, by 1.4826 MAD (the deviation where that is 0) or, without ``mad``, by the deviation."""
-    row = vox.agg(_median(column).alias("m"), F.stddev_pop(column).alias("s")).first()
-    scale = 1.4826 * (vox.agg(_median(F.abs(F.col(column) - row["m"])).alias("d")).first()["d"] or 0.0) if mad else 0.0
-    scale = scale or row["s"] or 1.0
-    z = (F.col(column) - row["m"]) / F.lit(scale)
+    middle, spread = exact_quantiles(vox, column, [0.5])[0], vox.agg(F.stddev_pop(column)).first()[0]
+    apart = F.abs(F.col(column) - F.lit(middle)).alias("apart")
+    scale = 1.4826 * (exact_quantiles(vox.select(apart), "apart", [0.5])[0] or 0.0) if mad else 0.0
+    scale = scale or spread or 1.0
+    z = (F.col(column) - F.lit(middle)) / F.lit(scale)
     return vox.withColumn("zscore", F.greatest(F.lit(-clip), F.least(F.lit(clip), z)) if clip else z)
 
 
@@ -174,8 +175,8 @@ def fit_lognormal(cells: DataFrame, column: str = "size") -> DataFrame:
 
 def quantiles(values: DataFrame, column: str, n: int = 99) -> DataFrame:
     """Empirical quantiles k / (n + 1)."""
-    probs = F.array(*(F.lit((k + 1) / (n + 1)) for k in range(n)))
-    return values.agg(F.percentile(column, probs).alias("q")).select(F.posexplode("q").alias("k", "quantile")).select((F.col("k") + 1).cast("int").alias("k"), "quantile")
+    found = exact_quantiles(values, column, [(k + 1) / (n + 1) for k in range(n)])
+    return values.sparkSession.createDataFrame([(k + 1, q) for k, q in enumerate(found)], "k int, quantile double")
 
 
 def histogram(values: DataFrame, column: str, bins: int = 50) -> DataFrame:

@@ -12,6 +12,7 @@ from voxelmill.operators import kernels as K
 from voxelmill.operators import regions as R
 from voxelmill.operators import stencil as S
 from voxelmill.operators import tracking as T
+from voxelmill.operators.numbering import exact_quantiles
 from voxelmill.plans import segmentation
 from voxelmill.sources.lattice import lattice_e, lattice_v
 
@@ -617,7 +618,7 @@ def selected_cells(spark, sf):
 @query(f"with {V} select round(quantile_cont(c0, 0.01), 6) as low, round(quantile_cont(c0, 0.99), 6) as high from v where isfinite(c0)")
 def display_window(spark, sf):
     fine = lattice_v(spark, sf).filter(F.abs("c0") < float("inf"))
-    return fine.agg(F.percentile("c0", F.lit(0.01)).alias("low"), F.percentile("c0", F.lit(0.99)).alias("high"))
+    return spark.createDataFrame([tuple(exact_quantiles(fine, "c0", [0.01, 0.99]))], "low double, high double")
 
 
 @query()
