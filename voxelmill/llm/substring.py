@@ -3,18 +3,20 @@
 A window is ``window`` consecutive words of one document. A word goes if a window that covers it has a word sequence
 that also starts earlier (smaller doc_id, or same document and earlier start); windows are judged on the input.
 
-Level one counts half windows. Of each window only the half-length stretch with the least hash stands for it, so equal
-windows agree on their stretch and about a sixth of all stretches are counted. Windows whose stretch occurs once are
-settled; the others alone are doubled to the full length, known by both hashes (128 bits) and ranked by their place.
-Windows that stand at one stretch travel as one row. With no candidates left, a level passes nothing on.
-
-Documents are dealt into hash buckets by doc_id. Tasks sum what one bucket or one map task repeats before anything is
-shuffled, so a passage in a third of all documents is a row per bucket (level two) or per map task (level one), not per
-document. Text is shuffled by bucket twice, compressed, and nothing is collected.
-
-Null text has no words. Repeated rows (same doc_id and text) are one place, so neither is earlier; texts that differ
-under one doc_id stand in order of their bytes. A null doc_id sorts last. Input columns with the names of outputs are
-replaced; all others pass through.
+The levels are stretches of a length that doubles up to the window's (5, 10, then 20 words). At a level, of each window
+only the stretch with the least hash stands for it, so equal windows agree on their stretch and a sixth to an eighth of
+all stretches are counted. Windows whose stretch occurs once are settled; only the others go to the next level. At the
+full length windows are known by two hashes (128 bits) and ranked by their place. Windows that stand at one stretch
+travel as one row. With no candidates left, a level passes nothing on.
+
+Documents are dealt into hash buckets by doc_id and text. Tasks sum what one bucket or one map task repeats before
+anything is shuffled, so a passage in a third of all documents is a row per map task (first level; the buckets that hold
+it are a list, unfolded after the count) or per bucket (later levels), not per document. Text is shuffled once,
+compressed; all levels and the cut read that one exchange. Nothing is collected.
+
+Null text has no words. Repeated rows (same doc_id and text) are one place, so neither is earlier, and stay in one
+bucket; texts that differ under one doc_id stand in order of their 64-bit hash. A null doc_id is the greatest long.
+doc_id is of an integer type. Input columns with the names of outputs are replaced; all others pass through.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from pyspark.sql import types as T
 
 from voxelmill.session import bucket_count
 
-LAST_ID, ORDINAL_BITS, FLUSH_ROWS, WIDE = (1 << 63) - 1, 40, 2_000_000, 8
+LAST_ID, FLUSH_ROWS, WIDE, SHORTEST = (1 << 63) - 1, 2_000_000, 8, 4
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
@@ -57,10 +59,18 @@ def gram_hashes(h: np.ndarray, length: int, kind: int = 0) -> np.ndarray:
     return _pair(z[: len(z) - 1], h[2 * half :], kind) if length % 2 else z
 
 
-def window_stretches(h: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each window its half-length stretch of least hash (the first of them): hash and place."""
-    g = gram_hashes(h, window // 2)
-    at = np.lib.stride_tricks.sliding_window_view(g, window - window // 2 + 1).argmin(axis=1)
+def stretch_lengths(window: int) -> list[int]:
+    """Lengths of the levels below ``window``: each half of the next, the first of ``SHORTEST`` words at least if it can."""
+    lengths = [max(1, window // 2)]
+    while lengths[0] // 2 >= SHORTEST:
+        lengths.insert(0, lengths[0] // 2)
+    return lengths
+
+
+def window_stretches(h: np.ndarray, window: int, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each window its stretch of ``length`` words with the least hash (the first of them): hash and place."""
+    g = gram_hashes(h, length)
+    at = np.lib.stride_tricks.sliding_window_view(g, window - length + 1).argmin(axis=1)
     at += np.arange(len(at))
     return g[at], at
 
@@ -69,9 +79,14 @@ def _split(text: str | None) -> list[bytes]:
     return (text or "").encode().split()
 
 
-def _level_one(window: int):
+#: A stretch, the bucket that holds it (or a list of them), and how often it occurs (2 stands for more).
+COUNT = "stretch long, bucket int, more array<int>, n byte"
+COUNT_SCHEMA = pa.schema([("stretch", pa.int64()), ("bucket", pa.int32()), ("more", pa.list_(pa.int32())), ("n", pa.int8())])
+
+
+def _first_level(window: int, length: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (stretch, bucket, n) of this task; bucket -1 stands for all where a stretch is in many."""
+        """Counts of this task's stretches; a stretch in many buckets is one row with their list."""
         held: list[tuple[np.ndarray, np.ndarray]] = []
         rows = 0
 
@@ -79,25 +94,26 @@ def _level_one(window: int):
             key, bucket = (np.concatenate(x) for x in zip(*held))
             order = np.lexsort((bucket, key))
             key, bucket = key[order], bucket[order]
-            new = np.r_[True, (key[1:] != key[:-1]) | (bucket[1:] != bucket[:-1])]
-            at = np.flatnonzero(new)
-            n, key, bucket = np.diff(np.r_[at, len(new)]), key[at], bucket[at]
+            at = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (bucket[1:] != bucket[:-1])])
+            n, key, bucket = np.diff(np.r_[at, len(key)]), key[at], bucket[at].astype(np.int32)
             first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             width = np.diff(np.r_[first, len(key)])
             wide, total = width > WIDE, np.add.reduceat(n, first)
             narrow = np.repeat(~wide, width)
-            return pa.record_batch({
-                "stretch": np.concatenate([key[narrow], key[first[wide]]]).view(np.int64),
-                "bucket": np.concatenate([bucket[narrow], np.full(wide.sum(), -1)]).astype(np.int32),
-                "n": np.minimum(np.concatenate([n[narrow], total[wide]]), 2).astype(np.int8),
-            })
+            lists = np.r_[0, np.cumsum(np.r_[np.zeros(narrow.sum(), np.int64), width[wide]])].astype(np.int32)
+            none = np.r_[np.ones(narrow.sum(), bool), np.zeros(wide.sum(), bool)]
+            stretch = np.concatenate([key[narrow], key[first[wide]]]).view(np.int64)
+            times = np.minimum(np.concatenate([n[narrow], total[wide]]), 2).astype(np.int8)
+            one = pa.array(np.concatenate([bucket[narrow], np.zeros(wide.sum(), np.int32)]), mask=~none)
+            more = pa.ListArray.from_arrays(lists, bucket[~narrow], mask=pa.array(none))
+            return pa.record_batch([pa.array(stretch), one, more, pa.array(times)], schema=COUNT_SCHEMA)
 
         for batch in batches:
             for text, bucket in zip(batch["text"], batch["bucket"].to_pylist()):
                 words = _split(text.as_py())
                 if len(words) < window:
                     continue
-                least, at = window_stretches(word_hashes(words), window)
+                least, at = window_stretches(word_hashes(words), window, length)
                 # one count for each place of a stretch, however many windows it stands for
                 places = least[np.r_[True, at[1:] != at[:-1]]]
                 held.append((places, np.full(len(places), bucket, np.int64)))
@@ -111,6 +127,41 @@ def _level_one(window: int):
     return count
 
 
+def _known(repeated: pa.Table) -> np.ndarray:
+    return np.unique(repeated["stretch"].to_numpy().view(np.uint64))
+
+
+def _candidates(h: np.ndarray, window: int, length: int, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of the windows whose stretch is among the known ones, and those stretches."""
+    least, _ = window_stretches(h, window, length)
+    at = np.searchsorted(known, least)
+    at[at == len(known)] = 0
+    starts = np.flatnonzero(known[at] == least)
+    return starts, least[starts]
+
+
+def _next_level(window: int, length: int, longer: int):
+    def count(docs: pa.Table, repeated: pa.Table) -> pa.Table:
+        """Counts of a bucket's longer stretches, for windows whose shorter one is repeated."""
+        known, held = _known(repeated), []
+        for text in _texts(docs) if len(known) else ():
+            words = _split(text)
+            if len(words) < window:
+                continue
+            h = word_hashes(words)
+            starts, _ = _candidates(h, window, length, known)
+            if len(starts):
+                least, at = (x[starts] for x in window_stretches(h, window, longer))
+                held.append(least[np.r_[True, at[1:] != at[:-1]]])
+        if not held:
+            return COUNT_SCHEMA.empty_table()
+        stretch, n = np.unique(np.concatenate(held), return_counts=True)
+        bucket = np.full(len(stretch), docs["bucket"][0].as_py(), np.int32)
+        return pa.table([pa.array(stretch.view(np.int64)), pa.array(bucket), pa.nulls(len(stretch), pa.list_(pa.int32())), pa.array(np.minimum(n, 2).astype(np.int8))], schema=COUNT_SCHEMA)
+
+    return count
+
+
 def _packed(text: Column) -> Column:
     """Compressed text, for a shuffle."""
 
@@ -127,68 +178,53 @@ def _texts(table: pa.Table) -> list[str | None]:
     return [None if (b := x.as_py()) is None else z.decompress(b).decode() for x in table["text"]]
 
 
-def _ids(table: pa.Table) -> list[int]:
-    return [LAST_ID if i is None else i for i in table["id"].to_pylist()]
-
+#: Windows of one stretch and document: their second hashes, the document's id and text hash, the first window's start,
+#: how far each is from the last; or, with a run, starts that are known to be later ones.
+OCCURRENCE = "stretch long, hashes array<long>, id long, t long, start long, steps array<byte>, run int"
+SCHEMA = pa.schema([("stretch", pa.int64()), ("hashes", pa.list_(pa.int64())), ("id", pa.int64()), ("t", pa.int64()), ("start", pa.int64()), ("steps", pa.list_(pa.int8())), ("run", pa.int32())])
 
-def _ordinals(ids: list[int], texts: list[str | None]) -> list[int]:
-    """0, but for texts that differ under one doc_id: their place in byte order."""
-    if len(set(ids)) == len(ids):
-        return [0] * len(ids)
-    own: dict[int, set[bytes]] = {}
-    for i, t in zip(ids, texts):
-        own.setdefault(i, set()).add((t or "").encode())
-    place = {i: {t: k for k, t in enumerate(sorted(ts))} for i, ts in own.items()}
-    return [place[i][(t or "").encode()] for i, t in zip(ids, texts)]
 
+def _changes(*columns: np.ndarray) -> np.ndarray:
+    """True where a row differs from the one before."""
+    return np.r_[np.ones(min(1, len(columns[0])), bool), np.logical_or.reduce([c[1:] != c[:-1] for c in columns])]
 
-#: Windows of one stretch and document: their second hashes, the first one's id and start, how far each is from the last;
-#: or, with a run, starts that are known to be later ones.
-OCCURRENCE = "stretch long, hashes array<long>, id long, start long, steps array<byte>, run int"
-SCHEMA = pa.schema([("stretch", pa.int64()), ("hashes", pa.list_(pa.int64())), ("id", pa.int64()), ("start", pa.int64()), ("steps", pa.list_(pa.int8())), ("run", pa.int32())])
 
-
-def _level_two(window: int):
+def _last_level(window: int, length: int):
     def rank(docs: pa.Table, repeated: pa.Table) -> pa.Table:
         """Of a bucket's candidate windows, the first place of each sequence (run 0), and the later ones as runs of starts."""
-        known = np.unique(repeated["stretch"].to_numpy().view(np.uint64))
-        ids, texts = _ids(docs), _texts(docs)
-        parts = []
-        for i, k, text in zip(ids, _ordinals(ids, texts), texts):
+        known, parts = _known(repeated), []
+        for i, t, text in zip(docs["id"].to_pylist(), docs["t"].to_pylist(), _texts(docs)) if len(known) else ():
             words = _split(text)
-            if len(words) < window or not len(known):
+            if len(words) < window:
                 continue
             h = word_hashes(words)
-            least, _ = window_stretches(h, window)
-            at = np.searchsorted(known, least)
-            at[at == len(known)] = 0
-            starts = np.flatnonzero(known[at] == least)
+            starts, least = _candidates(h, window, length, known)
             if len(starts):
-                parts.append((least[starts], gram_hashes(h, window, 1)[starts], np.full(len(starts), i, np.int64), starts + (k << ORDINAL_BITS)))
+                parts.append((least, gram_hashes(h, window, 1)[starts], np.full(len(starts), i, np.int64), np.full(len(starts), t, np.int64), starts))
         if not parts:
             return SCHEMA.empty_table()
-        wa, wb, i, s = (np.concatenate(x) for x in zip(*parts))
-        order = np.lexsort((s, i, wb, wa))
-        wa, wb, i, s = wa[order], wb[order], i[order], s[order]
-        new = np.r_[True, (wa[1:] != wa[:-1]) | (wb[1:] != wb[:-1])]
+        wa, wb, i, t, s = (np.concatenate(x) for x in zip(*parts))
+        order = np.lexsort((s, t, i, wb, wa))
+        wa, wb, i, t, s = wa[order], wb[order], i[order], t[order], s[order]
+        new = _changes(wa, wb)
         group = np.cumsum(new) - 1
         first = np.flatnonzero(new)
-        later = (i != i[first][group]) | (s != s[first][group])
-        order = np.lexsort((s[later], i[later]))
-        li, ls = i[later][order], s[later][order]
-        cut = np.flatnonzero(np.r_[True, (li[1:] != li[:-1]) | (ls[1:] > ls[:-1] + 1)]) if len(li) else np.zeros(0, int)
+        later = (i != i[first][group]) | (t != t[first][group]) | (s != s[first][group])
+        order = np.lexsort((s[later], t[later], i[later]))
+        li, lt, ls = i[later][order], t[later][order], s[later][order]
+        cut = np.flatnonzero(_changes(li, lt) | np.r_[np.zeros(min(1, len(ls)), bool), ls[1:] > ls[:-1] + 1])
         run = (ls[np.r_[cut[1:] - 1, len(ls) - 1]] - ls[cut] + 1).astype(np.int32) if len(li) else np.zeros(0, np.int32)
         rows = np.flatnonzero(new)
-        rows = rows[np.lexsort((s[rows], i[rows], wa[rows]))]
-        fa, fb, fi, fs = wa[rows], wb[rows], i[rows], s[rows]
+        rows = rows[np.lexsort((s[rows], t[rows], i[rows], wa[rows]))]
+        fa, fb, fi, ft, fs = wa[rows], wb[rows], i[rows], t[rows], s[rows]
         step = np.diff(fs, prepend=fs[:1])
-        head = np.flatnonzero(np.r_[True, (fa[1:] != fa[:-1]) | (fi[1:] != fi[:-1]) | (step[1:] > 100)])
+        head = np.flatnonzero(_changes(fa, fi, ft) | (step > 100))
         step[head] = 0
         ends = np.r_[head, len(rows)].astype(np.int32)
-        none = np.zeros(len(li) + 1, np.int32)
+        none = np.zeros(len(cut) + 1, np.int32)
         return pa.concat_tables([
-            pa.table([pa.array(fa[head].view(np.int64)), pa.ListArray.from_arrays(ends, fb.view(np.int64)), pa.array(fi[head]), pa.array(fs[head]), pa.ListArray.from_arrays(ends, step.astype(np.int8)), pa.array(np.zeros(len(head), np.int32))], schema=SCHEMA),
-            pa.table([pa.array(li[cut]), pa.ListArray.from_arrays(none[: len(cut) + 1], np.zeros(0, np.int64)), pa.array(li[cut]), pa.array(ls[cut]), pa.ListArray.from_arrays(none[: len(cut) + 1], np.zeros(0, np.int8)), pa.array(run)], schema=SCHEMA),
+            pa.table([pa.array(fa[head].view(np.int64)), pa.ListArray.from_arrays(ends, fb.view(np.int64)), pa.array(fi[head]), pa.array(ft[head]), pa.array(fs[head]), pa.ListArray.from_arrays(ends, step.astype(np.int8)), pa.array(np.zeros(len(head), np.int32))], schema=SCHEMA),
+            pa.table([pa.array(li[cut]), pa.ListArray.from_arrays(none, np.zeros(0, np.int64)), pa.array(li[cut]), pa.array(lt[cut]), pa.array(ls[cut]), pa.ListArray.from_arrays(none, np.zeros(0, np.int8)), pa.array(run)], schema=SCHEMA),
         ])
 
     return rank
@@ -197,17 +233,16 @@ def _level_two(window: int):
 def _cut(window: int, schema: T.StructType, text_at: str, out: tuple[str, str]):
     def cut(docs: pa.Table, later: pa.Table) -> pa.Table:
         """The bucket's rows with the words of later windows taken out."""
-        lid, start, run = (later[c].to_numpy() for c in ("id", "start", "run"))
-        order = np.lexsort((start, lid))
-        lid, start, run = lid[order], start[order], run[order]
-        ids, texts = _ids(docs), _texts(docs)
+        lid, lt, start, run = (later[c].to_numpy() for c in ("id", "t", "start", "run"))
+        order = np.lexsort((start, lt, lid))
+        lid, lt, start, run = lid[order], lt[order], start[order], run[order]
+        head = np.flatnonzero(_changes(lid, lt))
+        found = dict(zip(zip(lid[head].tolist(), lt[head].tolist()), zip(head, np.r_[head[1:], len(lid)])))
         kept, words_n, removed_n = [], [], []
-        for i, k, text in zip(ids, _ordinals(ids, texts), texts):
-            words, base = _split(text), k << ORDINAL_BITS
-            lo, hi = np.searchsorted(lid, i), np.searchsorted(lid, i, "right")
-            own, n = start[lo:hi] - base, run[lo:hi]
-            mine = (own >= 0) & (own < len(words))
-            own, n = own[mine], n[mine]
+        for i, t, text in zip(docs["id"].to_pylist(), docs["t"].to_pylist(), _texts(docs)):
+            words = _split(text)
+            lo, hi = found.get((i, t), (0, 0))
+            own, n = start[lo:hi], run[lo:hi]
             gone = 0
             if len(own):
                 edge = np.zeros(len(words) + 1, np.int64)
@@ -231,22 +266,26 @@ def dedup_substrings(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
     A text that loses words is what is left of it, joined by single spaces; others stay as they are."""
     if window < 2:
         raise ValueError("a window has two words at least")
+    if not isinstance(df.schema[doc_id].dataType, T.IntegralType):
+        raise TypeError(f"{doc_id} is not of an integer type")
     buckets = bucket_count(df)
-    bucket = F.pmod(F.xxhash64(doc_id), F.lit(buckets)).cast("int").alias("bucket")
-    plain = df.select(bucket, F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"), *(F.col(c).alias(f"c_{n}") for n, c in enumerate(df.columns) if c != text))
-    keyed = plain.withColumn("text", _packed(F.col("text")))
-    counted = plain.select("text", "bucket").mapInArrow(_level_one(window), "stretch long, bucket int, n byte")
-    again = counted.withColumn("all", F.sum("n").over(Window.partitionBy("stretch"))).filter("all > 1")
-    everywhere = F.when(F.col("bucket") < 0, F.sequence(F.lit(0), F.lit(buckets - 1))).otherwise(F.array("bucket"))
-    repeated = again.select("stretch", F.explode(everywhere).alias("bucket"))
-    found = keyed.select("bucket", "id", "text").groupBy("bucket").cogroup(repeated.groupBy("bucket")).applyInArrow(_level_two(window), OCCURRENCE).repartition("stretch")
+    bucket = F.pmod(F.xxhash64("id", "t"), F.lit(buckets)).cast("int").alias("bucket")
+    plain = df.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST_ID)).alias("id"), F.xxhash64(text).alias("t"), F.col(text).alias("text"), *(F.col(c).alias(f"c_{n}") for n, c in enumerate(df.columns) if c != text)).withColumn("bucket", bucket)
+    by_bucket = plain.withColumn("text", _packed(F.col("text"))).groupBy("bucket")
+    lengths = stretch_lengths(window)
+    counted = plain.select("text", "bucket").mapInArrow(_first_level(window, lengths[0]), COUNT)
+    for length, longer in zip(lengths, [*lengths[1:], None]):
+        again = counted.withColumn("all", F.sum("n").over(Window.partitionBy("stretch"))).filter("all > 1")
+        repeated = again.select("stretch", F.explode(F.coalesce("more", F.array("bucket"))).alias("bucket")).groupBy("bucket")
+        if longer:
+            counted = by_bucket.cogroup(repeated).applyInArrow(_next_level(window, length, longer), COUNT)
+    found = by_bucket.cogroup(repeated).applyInArrow(_last_level(window, length), OCCURRENCE).repartition("stretch")
     starts = F.transform("steps", lambda x, n: F.struct(F.element_at("hashes", n + 1).alias("hash"), F.aggregate(F.slice("steps", 1, n + 1), F.col("start"), lambda a, y: a + y).alias("start")))
-    windows = found.select("stretch", "id", "run", F.explode(F.when(F.col("run") > 0, F.array(F.struct(F.lit(0).cast("long").alias("hash"), F.col("start")))).otherwise(starts)).alias("w")).select("stretch", "id", "run", "w.hash", "w.start")
+    windows = found.select("stretch", "id", "t", "run", F.explode(F.when(F.col("run") > 0, F.array(F.struct(F.lit(0).cast("long").alias("hash"), F.col("start")))).otherwise(starts)).alias("w")).select("stretch", "id", "t", "run", "w.hash", "w.start")
     # runs are settled: each ranks apart
-    place = F.rank().over(Window.partitionBy("stretch", "hash", "run").orderBy("id", "start"))
-    owner = F.pmod(F.xxhash64(F.when(F.col("id") != LAST_ID, F.col("id"))), F.lit(buckets)).cast("int").alias("bucket")
-    later = windows.withColumn("place", place).filter("run > 0 or place > 1").select(owner, "id", "start", "run")
+    place = F.rank().over(Window.partitionBy("stretch", "hash", "run").orderBy("id", "t", "start"))
+    later = windows.withColumn("place", place).filter("run > 0 or place > 1").select(bucket, "id", "t", "start", "run")
     kept = [f for f in df.schema if f.name not in (n_words, n_removed)]
     schema = T.StructType([*df.schema, *(T.StructField(c, T.LongType()) for c in (n_words, n_removed) if c not in df.columns)])
     schema = T.StructType([T.StructField(f.name, T.LongType() if f not in kept else f.dataType, True) for f in schema])
-    return keyed.groupBy("bucket").cogroup(later.groupBy("bucket")).applyInArrow(_cut(window, schema, text, (n_words, n_removed)), schema)
+    return by_bucket.cogroup(later.groupBy("bucket")).applyInArrow(_cut(window, schema, text, (n_words, n_removed)), schema)
