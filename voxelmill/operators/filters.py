@@ -92,6 +92,20 @@ def registration_feature(vox: DataFrame, channels: tuple[str, ...] = ("c0", "c1"
     return masked_zscore(both, "feature").drop("size", "contact", *(f"s_{c}" for c in channels))
 
 
+def plain_feature(vox: DataFrame, mode: str) -> DataFrame:
+    """``feature`` without scores: ``mask`` or ``label_binary`` as 0 and 1, or the values of a channel (``channel0``, ...), absent ones 0."""
+    if mode == "mask":
+        value = F.col("mask").cast("double")
+    elif mode == "label_binary":
+        value = (F.col("label") > 0).cast("double")
+    elif mode.startswith("channel"):
+        c = F.col(f"c{int(mode[7:])}")
+        value = F.when(c.isNull() | F.isnan(c), 0.0).otherwise(c)
+    else:
+        raise ValueError(f"no mode {mode}")
+    return vox.withColumn("feature", F.coalesce(value, F.lit(0.0)))
+
+
 def trial_shifts(initial: Offset = (0, 0, 0), radius: Offset = (1, 4, 8), step: int = 1) -> list[Offset]:
     """Shifts around ``initial``: itself first, then in rising order."""
     around = product(*(range(i - r, i + r + 1, step) for i, r in zip(initial, radius)))

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voxelmill.functions import chi_pdf, chi_quantile
 from voxelmill.operators.components import connected_components
 from voxelmill.operators.numbering import exact_quantiles, number_keys
 from voxelmill.operators.stencil import COORDS, contacts, extent, halved, neighbours, other_label, same_label, touching
@@ -179,6 +180,15 @@ def quantiles(values: DataFrame, column: str, n: int = 99) -> DataFrame:
     return values.sparkSession.createDataFrame([(k + 1, q) for k, q in enumerate(found)], "k int, quantile double")
 
 
+def chi_quantiles(values: DataFrame, column: str, n: int = 99) -> DataFrame:
+    """Empirical quantiles k / (n + 1) of the finite positive values beside those of the fitted chi distribution, and its density there."""
+    fine = values.filter((F.col(column) > 0) & (F.col(column) < float("inf")))
+    fit = fit_chi(fine, column)
+    fitted = [chi_quantile((k + 1) / (n + 1), fit["df"], fit["scale"]) if fit["n"] >= 10 else None for k in range(n)]
+    both = quantiles(fine, column, n).join(values.sparkSession.createDataFrame(list(enumerate(fitted, 1)), "k int, fitted double"), "k")
+    return both.withColumn("density", chi_pdf(F.col("fitted"), fit["df"], fit["scale"]) if fit["n"] >= 10 else F.lit(None).cast("double"))
+
+
 def histogram(values: DataFrame, column: str, bins: int = 50) -> DataFrame:
     """Equal-width bins between least and greatest value: ``bin`` from 0, ``n`` and density."""
     row = values.agg(F.min(column).alias("a"), F.max(column).alias("b"), F.count(column).alias("n")).first()

@@ -175,9 +175,36 @@ def shift_linear(vox: DataFrame, d: tuple[float, float, float], channels: tuple[
 
 
 def expand_layers(vox: DataFrame, layers: DataFrame) -> DataFrame:
-    """Voxels aligned to the union of layers: absent layers filled with NaN, label 0 and mask false."""
-    ranks = layers.distinct().withColumn("new_z", F.dense_rank().over(Window.orderBy("layer")) - 1)
-    plane = vox.select("y", "x").distinct()
-    # one row per layer and place of a plane: the grid itself
-    grid = ranks.withColumn("one", F.lit(1)).join(plane.withColumn("one", F.lit(1)), "one").drop("one")
-    return grid.join(vox, ["layer", "y", "x"], "left").select("layer", F.col("new_z").cast("int").alias("z"), "y", "x", F.coalesce("c0", F.lit(float("nan"))).alias("c0"), F.coalesce("label", F.lit(0)).alias("label"), F.coalesce("mask", F.lit(False)).alias("mask"))
+    """Voxels aligned to the union of layers: absent layers have NaN in fractional columns, 0 in whole ones and false in flags."""
+    ranks = layers.select("layer").distinct().withColumn("z", (F.dense_rank().over(Window.orderBy("layer")) - 1).cast("int"))
+    # every place of a plane unfolds to the layers' ranks
+    grid = vox.select("y", "x").distinct().withColumn("z", F.explode(F.expr(f"sequence(0, {ranks.count() - 1})"))).join(ranks, "z")
+    fills = {"double": F.lit(math.nan), "float": F.lit(math.nan).cast("float"), "boolean": F.lit(False)}
+    own = [(c, fills.get(t, F.lit(0).cast(t))) for c, t in vox.dtypes if c not in ("layer", "z", "y", "x")]
+    found = grid.join(vox.drop("z").withColumn("found", F.lit(True)), ["layer", "y", "x"], "left")
+    return found.select("layer", "z", "y", "x", *(F.when(F.col("found"), F.col(c)).otherwise(fill).alias(c) for c, fill in own))
+
+
+def layer_shapes(layers: DataFrame) -> DataFrame:
+    """Rows and columns of each layer, and whether they are those of the first one."""
+    own = layers.groupBy("layer").agg((F.max("y") + 1).alias("ny"), (F.max("x") + 1).alias("nx"))
+    first = own.agg(F.min_by(F.struct("ny", "nx"), "layer").alias("f")).first()["f"]
+    ny, nx = (first["ny"], first["nx"]) if first else (0, 0)
+    return own.withColumn("fits", (F.col("ny") == ny) & (F.col("nx") == nx))
+
+
+def stack_layers(layers: DataFrame) -> DataFrame:
+    """Layers as one volume, z by rising layer number; layers of another shape than the first are an error."""
+    shapes = layer_shapes(layers)
+    odd = shapes.filter("not fits").orderBy("layer").first()
+    if odd:
+        raise ValueError(f"layer {odd['layer']} has {odd['ny']} x {odd['nx']} places, the first one others")
+    ranks = shapes.select("layer", (F.dense_rank().over(Window.orderBy("layer")) - 1).cast("int").alias("z"))
+    return layers.drop("z").join(ranks, "layer")
+
+
+def split_children(over: DataFrame) -> DataFrame:
+    """The children of each pair's parent with the greatest overlap, in falling order."""
+    top = split_parents(over).filter("rank = 1").select("pair", "label_a")
+    own = over.join(top, ["pair", "label_a"], "left_semi").select("pair", "label_a", "label_b", "overlap_voxels")
+    return own.withColumn("place", F.row_number().over(Window.partitionBy("pair").orderBy(F.desc("overlap_voxels"), "label_b")))

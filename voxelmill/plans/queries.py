@@ -201,6 +201,11 @@ def chi_fit(spark, sf):
     return spark.createDataFrame([R.fit_chi(edges, "misorientation")], "df double, scale double, n long")
 
 
+@query()
+def chi_quantiles(spark, sf):
+    return R.chi_quantiles(R.neighbour_table(lattice_e(spark, sf)), "misorientation")
+
+
 @query(f"with {E}, s as (select label, count(*) as size from e where label <> 0 group by 1) select round(avg(ln(size)), 6) as mu, round(stddev_pop(ln(size)), 6) as sigma, count(*) as n_used from s")
 def lognormal_fit(spark, sf):
     return R.fit_lognormal(R.cell_sizes(lattice_e(spark, sf)))
@@ -321,6 +326,11 @@ def split_parents(spark, sf):
     return T.split_parents(T.step_overlaps(steps_e(spark, sf)))
 
 
+@query(f"with {OVER}, r as (select pair, label_a, row_number() over (partition by pair order by sum(overlap_voxels) desc, label_a) as k from ov group by 1, 2) select pair, label_a, label_b, overlap_voxels, (row_number() over (partition by pair order by overlap_voxels desc, label_b))::int as place from ov join r using (pair, label_a) where k = 1")
+def split_children(spark, sf):
+    return T.split_children(T.step_overlaps(steps_e(spark, sf)))
+
+
 MASKS = f"{V}, cm as (select y, x from v where mask group by all having count(distinct z) = (select count(distinct z) from v))"
 
 
@@ -352,7 +362,12 @@ def fractional_shift(spark, sf):
 @query(f"with {V}, l as (select distinct z * 2 as layer from v union select 1), r as (select layer, (dense_rank() over (order by layer) - 1)::int as z from l), p as (select distinct y, x from v) select r.layer::int as layer, r.z, p.y, p.x, coalesce(v.c0, 'nan'::double) as c0, coalesce(v.label, 0) as label, coalesce(v.mask, false) as mask from r cross join p left join v on v.z * 2 = r.layer and v.y = p.y and v.x = p.x")
 def expand_layers(spark, sf):
     v = lattice_v(spark, sf).withColumn("layer", F.col("z") * 2)
-    return T.expand_layers(v, v.select("layer").unionByName(spark.range(1, 2).select(F.col("id").cast("int").alias("layer"))))
+    return T.expand_layers(v, v.select("layer").unionByName(spark.range(1, 2).select(F.col("id").cast("int").alias("layer")))).select("layer", "z", "y", "x", "c0", "label", "mask")
+
+
+@query(f"with {E}, l as (select z as layer, max(y) + 1 as ny, max(x) + 1 as nx from e group by 1) select layer, ny, nx, ny = first_value(ny) over w and nx = first_value(nx) over w as fits from l window w as (order by layer)")
+def layer_shapes(spark, sf):
+    return T.layer_shapes(lattice_e(spark, sf).withColumnRenamed("z", "layer"))
 
 
 COMP = (
@@ -600,6 +615,24 @@ def kam_threshold_baseline(spark, sf):
     return L.wall_cells(lattice_v(spark, sf), 0.7, 1, 1, 4, "c0")
 
 
+@query(f"with {V} select z, y, x, mask::int::double as by_mask, (label > 0)::int::double as by_label, c0 as by_channel from v")
+def plain_features(spark, sf):
+    out = lattice_v(spark, sf)
+    for mode, name in (("mask", "by_mask"), ("label_binary", "by_label"), ("channel0", "by_channel")):
+        out = L.plain_feature(out, mode).withColumnRenamed("feature", name)
+    return out.select("z", "y", "x", "by_mask", "by_label", "by_channel")
+
+
+#: A ball of 100 nm where voxels measure 400 x 50 x 50 nm: difference maps take the box around it.
+BALL = S.physical((400.0, 50.0, 50.0), 100.0)
+BALL_BOX = tuple(2 * max(o[k] for o in BALL) + 1 for k in range(3))
+
+
+@query(kam_sql(BALL_BOX))
+def kam_physical(spark, sf):
+    return S.kam(lattice_v(spark, sf), BALL_BOX).select("z", "y", "x", "kam")
+
+
 @query(f"with {V} select z, y, x, md5(concat_ws('|', z, y, x, 42)) as draw from v where mask order by draw limit 100")
 def sampled_seeds(spark, sf):
     return L.sample_seeds(lattice_v(spark, sf), 100, 42)

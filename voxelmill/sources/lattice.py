@@ -48,6 +48,28 @@ def read_npy_layers(spark: SparkSession, glob: str, channels: int = 2) -> DataFr
     return files.mapInArrow(parse, schema).join(F.broadcast(layers), "layer").select("z", "y", "x", *(f"c{c}" for c in range(channels)), "layer")
 
 
+def read_npy_volumes(spark: SparkSession, glob: str, channels: int = 2) -> DataFrame:
+    """Volumes (Z, Y, X, C) in ``.npy`` files as voxels, ``dataset_id`` being the file's name. One file is one row of the binary source."""
+    files = spark.read.format("binaryFile").load(glob).select(F.regexp_extract("path", r"([^/]+)\.npy$", 1).alias("dataset_id"), "content")
+    schema = "dataset_id string, z int, y int, x int, " + ", ".join(f"c{c} double" for c in range(channels))
+
+    def parse(batches):
+        for batch in batches:
+            for name, content in zip(batch["dataset_id"].to_pylist(), batch["content"]):
+                # a plane at a time, so that the voxels' rows are never all in memory
+                for z, plane in enumerate(np.load(io.BytesIO(content.as_py()))):
+                    y, x = np.indices(plane.shape[:2], np.int32)
+                    yield pa.record_batch({"dataset_id": pa.array([name] * y.size), "z": pa.array(np.full(y.size, z, np.int32)), "y": y.ravel(), "x": x.ravel(), **{f"c{c}": plane[..., c].ravel().astype(np.float64) for c in range(channels)}})
+
+    return files.mapInArrow(parse, schema)
+
+
+def read_table(spark: SparkSession, path: str, kind: str = "csv", schema: str | None = None) -> DataFrame:
+    """A result table again: CSV with header, JSON (an object may span lines) or Parquet; CSV without a schema is text."""
+    reader = spark.read.format(kind).option("header", True).option("multiLine", True)
+    return (reader.schema(schema) if schema else reader).load(path)
+
+
 def write_table(df: DataFrame, path: str, kind: str = "csv") -> None:
     """Result tables as CSV (with header), JSON or Parquet."""
     (df.write.option("header", True) if kind == "csv" else df.write).mode("overwrite").format(kind).save(path)
