@@ -13,7 +13,7 @@ def duck(sf):
     import duckdb
 
     c = duckdb.connect()
-    for t in ("documents", "embeddings", "pages", "labels"):
+    for t in ("documents", "embeddings", "pages", "labels", "benchmark"):
         c.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
     return c
 

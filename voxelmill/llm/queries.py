@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelmill.llm import ann, bpe, mixing, simhash, substring, topk, toxicity, urlfilter, warc, wordlm
+from voxelmill.llm import ann, bpe, centroids, decontaminate, merkle, mixing, simhash, substring, topk, toxicity, urlfilter, warc, wordlm
 from voxelmill.session import scratch_path
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -77,5 +77,18 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(spark, root).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe, op2_ann, op3_simhash, op4_topk, op5_lm, op6_toxicity, op7_urls, op8_mixing, op8_mixing_repeats, op9_substring, op10_warc)}
-ORACLE_SQL: dict[str, str] = {"op2_ann": ann.oracle_sql(), "op4_topk": topk.oracle_sql(), "op7_urls": urlfilter.oracle_sql(), "op8_mixing": mixing.oracle_sql(), "op10_warc": warc.oracle_sql()}
+def op11_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, bench = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontaminate.digests(decontaminate.find_hits(docs, bench))
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.with_digest(*centroids.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet")))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe, op2_ann, op3_simhash, op4_topk, op5_lm, op6_toxicity, op7_urls, op8_mixing, op8_mixing_repeats, op9_substring, op10_warc, op11_decontaminate, op12_centroids, op13_merkle)}
+ORACLE_SQL: dict[str, str] = {"op2_ann": ann.oracle_sql(), "op4_topk": topk.oracle_sql(), "op7_urls": urlfilter.oracle_sql(), "op8_mixing": mixing.oracle_sql(), "op10_warc": warc.oracle_sql(), "op11_decontaminate": decontaminate.oracle_sql(), "op12_centroids": centroids.oracle_sql(), "op13_merkle": merkle.oracle_sql()}
