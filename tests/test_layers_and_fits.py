@@ -66,8 +66,11 @@ def test_chi_fit_query(spark, sf):
 
 
 def test_plain_features(spark):
-    vox = spark.createDataFrame([(True, 2, 1.5), (False, 0, math.nan), (None, None, None)], "mask boolean, label int, c0 double")
-    assert [[r.feature for r in L.plain_feature(vox, m).collect()] for m in ("mask", "label_binary", "channel0")] == [[1, 0, 0], [1, 0, 0], [1.5, 0, 0]]
+    vox = spark.createDataFrame([(True, 2, 2.0), (True, 0, 4.0), (True, 0, math.nan), (False, 0, 9.0), (None, None, None)], "mask boolean, label int, c0 double")
+    got = [[r.feature for r in L.plain_feature(vox, m).collect()] for m in ("mask", "label_binary", "channel0")]
+    filled = np.array([2.0, 4.0, 4.0, 9.0, 4.0])  # missing values are the median of 2, 4 and 9
+    z = (filled - filled.mean()) / (filled.std() + 1e-8)
+    assert got[:2] == [[1, 1, 1, 0, 0], [1, 0, 0, 0, 0]] and np.allclose(got[2], [*z[:3], 0, 0])
     with pytest.raises(ValueError):
         L.plain_feature(vox, "other")
 

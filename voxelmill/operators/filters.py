@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from voxelmill.operators.numbering import exact_quantiles, number_keys
 from voxelmill.operators.regions import components, median_field, robust_zscore
-from voxelmill.operators.stencil import COORDS, Arrays, boundaries, box, cross, extent, halved, neighbours, windows
+from voxelmill.operators.stencil import COORDS, Arrays, boundaries, box, cross, extent, halved, neighbours, spread, windows
 from voxelmill.session import checkpoint
 
 Offset = tuple[int, int, int]
@@ -93,14 +93,19 @@ def registration_feature(vox: DataFrame, channels: tuple[str, ...] = ("c0", "c1"
 
 
 def plain_feature(vox: DataFrame, mode: str) -> DataFrame:
-    """``feature`` without scores: ``mask`` or ``label_binary`` as 0 and 1, or the values of a channel (``channel0``, ...), absent ones 0."""
+    """``feature`` of one kind: ``mask`` or ``label_binary`` as 0 and 1, or a channel (``channel0``, ...) as plain z-scores of all
+    voxels, whose missing and infinite values are the finite ones' median; 0 outside the mask."""
     if mode == "mask":
         value = F.col("mask").cast("double")
     elif mode == "label_binary":
         value = (F.col("label") > 0).cast("double")
     elif mode.startswith("channel"):
-        c = F.col(f"c{int(mode[7:])}")
-        value = F.when(c.isNull() | F.isnan(c), 0.0).otherwise(c)
+        c = f"c{int(mode[7:])}"
+        fine = F.abs(F.col(c)) < float("inf")  # neither null, NaN nor infinite
+        middle = exact_quantiles(vox.filter(fine), c, [0.5])[0]
+        filled = F.when(fine, F.col(c)).otherwise(F.lit(middle)).cast("double")
+        row = vox.agg(F.avg(filled).alias("mean"), F.stddev_pop(filled).alias("dev")).first()
+        value = F.when(F.col("mask"), (filled - F.lit(row["mean"])) / F.lit((row["dev"] or 0.0) + 1e-8)).otherwise(0.0)
     else:
         raise ValueError(f"no mode {mode}")
     return vox.withColumn("feature", F.coalesce(value, F.lit(0.0)))
@@ -155,10 +160,8 @@ def opened_walls(vox: DataFrame, percentile: float, erosions: int, dilations: in
 
     for _ in range(erosions):
         wall = windows(wall, near, [], held, {"held": "long"}).filter(F.col("held") == need).select(*COORDS)
-    steps = F.explode(F.array(*(F.struct(*(F.lit(v).alias(d) for v, d in zip(o, COORDS))) for o in near))).alias("o")
-    for _ in range(dilations):
-        grown = wall.select(*COORDS, steps).select(*((F.col(c) + F.col(f"o.{c}")).alias(c) for c in COORDS))
-        wall = grown.filter(" and ".join(f"{c} between 0 and {n - 1}" for c, n in zip(COORDS, shape))).distinct()
+    if dilations:
+        wall = spread(wall.withColumn("label", F.lit(1)), near, (0, 0, 0), tuple(n - 1 for n in shape), dilations).select(*COORDS)
     return wall
 
 

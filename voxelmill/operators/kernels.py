@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxelmill.operators.stencil import COORDS, neighbours, same_label
+from voxelmill.operators.stencil import COORDS, neighbours, windows
 from voxelmill.operators.components import connected_components
 
 NEAR6 = [(-1, 0, 0), (1, 0, 0), (0, -1, 0), (0, 1, 0), (0, 0, -1), (0, 0, 1)]
@@ -276,13 +276,16 @@ def phase_shift(ref: np.ndarray, mov: np.ndarray) -> tuple[int, ...]:
 
 
 def register(frames: DataFrame, feature: str = "c0") -> DataFrame:
-    """Shift (dy, dx; with a column z also dz) of each frame t onto the middle frame; frames are scaled by one range, NaN
+    """Shift (dy, dx; with a column z also dz) of each frame t onto the middle one of the sorted steps; frames are scaled by one range, NaN
     counts as 0.
 
     The middle frame goes to the tasks by a join on its own key."""
     axes = [c for c in COORDS if c in frames.columns]
-    row = frames.agg(F.min(feature).alias("lo"), F.max(feature).alias("hi"), F.countDistinct("t").alias("n"), F.min("t").alias("t0")).first()
-    middle, span = row["t0"] + row["n"] // 2, (row["hi"] - row["lo"]) or 1.0
+    row = frames.agg(F.min(feature).alias("lo"), F.max(feature).alias("hi"), F.countDistinct("t").alias("n")).first()
+    if not row["n"]:
+        return frames.select("t", *(F.lit(0).alias(f"d{c}") for c in axes)).limit(0)
+    middle = frames.select("t").distinct().orderBy("t").offset(row["n"] // 2).first()["t"]
+    span = (row["hi"] - row["lo"]) or 1.0
     scaled = frames.select("t", *axes, F.coalesce(F.nanvl((F.col(feature) - row["lo"]) / F.lit(span), F.lit(0.0)), F.lit(0.0)).alias("v"))
     ref = scaled.filter(F.col("t") == middle).select(*axes, F.col("v").alias("r"))
     both = scaled.join(ref, axes, "left")
@@ -411,14 +414,18 @@ def gaussian_variance(values: DataFrame, key: str = "label", value: str = "d", b
 
 def surface_faces(vox: DataFrame, spacing: tuple[float, float, float] = (1.0, 1.0, 1.0), min_voxels: int = 1) -> DataFrame:
     """Surface quads of each label (label, axis, side, corner in physical units): voxel faces without an equal neighbour."""
-    from voxelmill.operators.stencil import cross
-
     own = vox.filter("label > 0").select(*COORDS, "label")
     big = own.groupBy("label").count().filter(F.col("count") >= min_voxels).select("label")
     own = own.join(big, "label", "left_semi")
-    same = neighbours(own, cross(), ["label"], keep=same_label, select=[*COORDS, "dz", "dy", "dx"])
-    steps = F.explode(F.array(*(F.struct(*(F.lit(v).alias(d) for v, d in zip(o, ("dz", "dy", "dx")))) for o in NEAR6))).alias("o")
-    faces = own.select(*COORDS, "label", steps).select(*COORDS, "label", "o.dz", "o.dy", "o.dx").join(same, [*COORDS, "dz", "dy", "dx"], "left_anti")
+
+    def bare(voxels, near, there: np.ndarray) -> dict[str, np.ndarray]:
+        alone = ~(there & (near["label"] == voxels["label"][:, None]))
+        return {"bare": (alone << np.arange(6)).sum(1).astype(np.int32)}
+
+    # a voxel's six sides are bits, unfolded where they lie
+    sides = windows(own, NEAR6, ["label"], bare, {"bare": "int"}, keep=("label",)).filter("bare > 0")
+    steps = F.explode(F.filter(F.array(*(F.struct(*(F.lit(v).alias(d) for v, d in zip(o, ("dz", "dy", "dx"))), F.lit(1 << k).alias("bit")) for k, o in enumerate(NEAR6))), lambda o: F.col("bare").bitwiseAND(o["bit"]) > 0)).alias("o")
+    faces = sides.select(*COORDS, "label", steps).select(*COORDS, "label", "o.dz", "o.dy", "o.dx")
     axis = F.when(F.col("dz") != 0, "z").when(F.col("dy") != 0, "y").otherwise("x")
     side = F.col("dz") + F.col("dy") + F.col("dx")
     place = [((F.col(c) + F.when(F.col(f"d{c}") > 0, 1).otherwise(0)) * float(s)).alias(f"p{c}") for c, s in zip(COORDS, spacing)]

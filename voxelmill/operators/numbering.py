@@ -51,3 +51,32 @@ def exact_quantiles(values: DataFrame, column: str, probs: list[float], in_one_t
         a, b = at[math.floor(x)], at[math.ceil(x)]
         out.append(a if a == b else a + (x - math.floor(x)) * (b - a))
     return out
+
+
+def group_quantiles(values: DataFrame, keys: list[str], wants: dict[str, tuple[str, float]], in_one_task: int = 1_000_000) -> DataFrame:
+    """``keys`` and, for each ``name: (column, share)``, that exact quantile of the group's non-null values, NaN being the greatest.
+
+    Groups of up to ``in_one_task`` rows are one aggregate each. With a greater group, equal values are counted together
+    and sorted by range over (group, column, value), so a hot group is split over tasks; the ranges' sizes tell in which
+    one a wanted place lies, and only there values are numbered. Both ways give the same numbers."""
+    columns = list(dict.fromkeys(c for c, _ in wants.values()))
+    own = values.select(*keys, *(F.col(c).cast("double").alias(c) for c in columns))
+    if (own.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0) <= in_one_task:
+        return own.groupBy(*keys).agg(*(F.percentile(c, F.lit(p)).alias(n) for n, (c, p) in wants.items()))
+    key = F.struct(*keys).alias("_k")  # nulls in a struct are equal to each other
+    counted = own.select(key, F.posexplode(F.array(*columns)).alias("_c", "_v")).filter("_v is not null").groupBy("_k", "_c", "_v").agg(F.count(F.lit(1)).alias("_n"))
+    kept = materialize(counted.repartitionByRange("_k", "_c", "_v").withColumn("_part", F.spark_partition_id()), "by-group")
+    group = Window.partitionBy("_k", "_c")
+    before = F.coalesce(F.sum("_size").over(group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = kept.groupBy("_k", "_c", "_part").agg(F.sum("_n").alias("_size")).select("_k", "_c", "_part", "_size", before.alias("_before"), F.sum("_size").over(group).alias("_total"))
+    places = F.array(*(F.struct(F.lit(columns.index(c)).alias("c"), F.lit(i).alias("want"), (F.lit(p) * (F.col("_total") - 1)).alias("x")) for i, (c, p) in enumerate(wants.values())))
+    asked = sizes.withColumn("w", F.explode(places)).filter("w.c = _c").withColumn("k", F.explode(F.array_distinct(F.array(F.floor("w.x"), F.ceil("w.x")))))
+    asked = asked.filter((F.col("k") >= F.col("_before")) & (F.col("k") < F.col("_before") + F.col("_size"))).select("_k", "_c", "_part", "w.want", "w.x", "k", (F.col("k") - F.col("_before")).alias("at"))
+    upto = F.sum("_n").over(Window.partitionBy("_k", "_c", "_part").orderBy("_v"))  # within a range
+    found = kept.withColumn("upto", upto).join(asked, ["_k", "_c", "_part"]).filter((F.col("at") < F.col("upto")) & (F.col("at") >= F.col("upto") - F.col("_n")))
+    low, high = F.min_by("_v", "k"), F.max_by("_v", "k")
+    each = found.groupBy("_k", "want").agg(F.when(low.eqNullSafe(high), low).otherwise(low + (F.first("x") - F.min("k")) * (high - low)).alias("q"))
+    table = each.groupBy("_k").pivot("want", list(range(len(wants)))).agg(F.first("q"))
+    # groups without values have a row of nulls
+    table = own.select(key).distinct().join(table, "_k", "left")
+    return table.select(*(F.col("_k")[k].alias(k) for k in keys), *(F.col(str(i)).alias(n) for i, n in enumerate(wants)))

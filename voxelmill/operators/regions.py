@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from voxelmill.functions import chi_pdf, chi_quantile
 from voxelmill.operators.components import connected_components
-from voxelmill.operators.numbering import exact_quantiles, number_keys
+from voxelmill.operators.numbering import exact_quantiles, group_quantiles, number_keys
+from voxelmill.session import materialize
 from voxelmill.operators.stencil import COORDS, contacts, extent, halved, neighbours, other_label, same_label, touching
 
 
@@ -35,6 +36,10 @@ def coverage(vox: DataFrame) -> DataFrame:
     return vox.agg((F.sum(F.when(F.col("mask") & (F.col("label") > 0), 1).otherwise(0)) / F.greatest(inside, F.lit(1))).alias("coverage"))
 
 
+def group_medians(values: DataFrame, keys: list[str], columns: tuple[str, ...], prefix: str = "median_") -> DataFrame:
+    return group_quantiles(values, keys, {f"{prefix}{c}": (c, 0.5) for c in columns})
+
+
 def cell_table(vox: DataFrame, channels: tuple[str, ...] = ("c0", "c1"), boxes: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
     """One row per positive label: volume, median and mean of each channel, spread about the median; with ``boxes`` also
     centroid and bounding box. Rows with a non-finite channel count in the volume alone."""
@@ -46,20 +51,52 @@ def cell_table(vox: DataFrame, channels: tuple[str, ...] = ("c0", "c1"), boxes:
     own = lambda c: F.when(F.col("fine"), F.col(c))
     place = [f(c).alias(n + c) for n, f in (("c", F.avg), ("min_", F.min), ("max_", F.max)) for c in COORDS] if boxes else []
     key = [*by, "label"]
-    first = cells.groupBy(*key).agg(F.count(F.lit(1)).alias("volume_voxels"), *(_median(own(c)).alias(f"median_{c}") for c in channels), *(F.avg(own(c)).alias(f"mean_{c}") for c in channels), *place)
+    counts = cells.groupBy(*key).agg(F.count(F.lit(1)).alias("volume_voxels"), *(F.avg(own(c)).alias(f"mean_{c}") for c in channels), *place)
+    middle = group_medians(cells.filter("fine").select(*key, *channels), key, channels)
     spread = F.sqrt(sum(((F.col(c) - F.col(f"median_{c}")) ** 2 for c in channels), F.lit(0.0)))
-    second = cells.filter("fine").join(first.select(*key, *(f"median_{c}" for c in channels)), key).withColumn("d", spread)
-    second = second.groupBy(*key).agg(_median("d").alias("internal_spread_median"), F.avg("d").alias("internal_spread_mean"), F.percentile("d", F.lit(0.95)).alias("internal_spread_q95"))
-    return first.join(second, key, "left")
-
-
-def orientation_stats(vox: DataFrame, channels: tuple[str, ...] = ("c0", "c1"), q: float = 0.95) -> DataFrame:
-    """Per label: mean vector, variance and quantile of the distances to it."""
-    cells = vox.filter("label > 0")
-    means = cells.groupBy("label").agg(*(F.avg(c).alias(f"mean_{c}") for c in channels))
-    d = F.sqrt(sum(((F.col(c) - F.col(f"mean_{c}")) ** 2 for c in channels), F.lit(0.0)))
-    spread = cells.join(means, "label").withColumn("d", d).groupBy("label").agg(F.var_pop("d").alias("variance"), F.percentile("d", F.lit(q)).alias("q"))
-    return means.join(spread, "label")
+    apart = cells.filter("fine").select(*key, *channels).join(middle, key).select(*key, spread.alias("d"))
+    mean = apart.groupBy(*key).agg(F.avg("d").alias("internal_spread_mean"))
+    share = group_quantiles(apart, key, {"internal_spread_median": ("d", 0.5), "internal_spread_q95": ("d", 0.95)})
+    out = counts.join(middle, key, "left").join(mean, key, "left").join(share, key, "left")
+    return out.select(*key, "volume_voxels", *(f"median_{c}" for c in channels), *(f"mean_{c}" for c in channels), *(n + c for n in ("c", "min_", "max_") for c in COORDS if boxes), "internal_spread_median", "internal_spread_mean", "internal_spread_q95")
+
+
+def orientation_stats(vox: DataFrame, channels: tuple[str, ...] = ("c0", "c1"), q: float = 0.95, by: tuple[str, ...] = ()) -> DataFrame:
+    """Per label (and ``by``, e.g. a level): mean vector, variance and quantile of the distances to it."""
+    key, apart = [*by, "label"], distances(vox, channels, by)
+    spread = apart.groupBy(*key).agg(*(F.first(f"mean_{c}").alias(f"mean_{c}") for c in channels), F.var_pop("d").alias("variance"))
+    return spread.join(group_quantiles(apart, key, {"q": ("d", q)}), key)
+
+
+def distances(vox: DataFrame, channels: tuple[str, ...] = ("c0", "c1"), by: tuple[str, ...] = ()) -> DataFrame:
+    """Labelled voxels with their cell's mean vector (``mean_<channel>``) and their distance ``d`` to it."""
+    key, cells = [*by, "label"], vox.filter("label > 0")
+    means = cells.groupBy(*key).agg(*(F.avg(c).alias(f"mean_{c}") for c in channels))
+    return cells.join(means, key).withColumn("d", F.sqrt(sum(((F.col(c) - F.col(f"mean_{c}")) ** 2 for c in channels), F.lit(0.0))))
+
+
+def cell_statistics(vox: DataFrame, channels: tuple[str, ...] = ("c0", "c1"), q: float = 0.95, fit: bool = False, wall: bool = False, erosions: int = 1) -> DataFrame:
+    """One table per label: mean vector, variance and quantile ``q`` of the distances to it, ``fit_var`` (with ``fit``: the
+    variance of a Gaussian fitted to their density) and, with ``wall``, ``wall_kam``.
+
+    With ``wall`` the distances are those of the cell's eroded inner part (a cell without one is left out), and ``wall_kam``
+    is the mean of ``kam`` over the cell's inner boundary grown as often, inside the cell's bounding box."""
+    from voxelmill.operators.kernels import gaussian_variance
+    from voxelmill.operators.stencil import boundaries, box, cross, dilate, erode
+
+    inner = erode(vox.select(*COORDS, "label"), cross(2, True), erosions).join(vox.drop("label"), COORDS) if wall else vox
+    inner = materialize(distances(inner, channels), "inner-distances")
+    out = inner.groupBy("label").agg(*(F.first(f"mean_{c}").alias(f"mean_{c}") for c in channels), F.when(F.count(F.lit(1)) > 1, F.var_pop("d")).alias("variance"))
+    out = out.join(group_quantiles(inner, ["label"], {"q": ("d", q)}), "label")
+    if fit:
+        out = out.join(gaussian_variance(inner.select("label", "d")).withColumnRenamed("gauss_var", "fit_var"), "label", "left")
+    if wall:
+        edges = vox.filter("label > 0").groupBy("label").agg(*(f(c).alias(n + c) for n, f in (("lo_", F.min), ("hi_", F.max)) for c in COORDS))
+        grown = dilate(boundaries(vox), box((1, 3, 3), True), erosions).join(edges, "label")
+        for c in COORDS:
+            grown = grown.filter(F.col(c).between(F.col("lo_" + c), F.col("hi_" + c)))
+        out = out.join(grown.join(vox.select(*COORDS, "kam"), COORDS).groupBy("label").agg(F.avg(F.nanvl("kam", F.lit(None))).alias("wall_kam")), "label", "left")
+    return out
 
 
 def quantile_cutoff(stats: DataFrame, q: float = 0.95) -> DataFrame:
@@ -76,14 +113,14 @@ def wall_kam(vox: DataFrame) -> DataFrame:
 
 def median_field(vox: DataFrame, channels: tuple[str, ...] = ("c0", "c1")) -> DataFrame:
     """Every voxel with its cell's medians, 0 in the background."""
-    med = vox.filter("label > 0").groupBy("label").agg(*(_median(c).alias(f"median_{c}") for c in channels))
+    med = group_medians(vox.filter("label > 0"), ["label"], channels)
     out = vox.join(med, "label", "left")
     return out.withColumns({f"median_{c}": F.coalesce(f"median_{c}", F.lit(0.0)) for c in channels})
 
 
 def neighbour_table(vox: DataFrame, channels: tuple[str, ...] = ("c0", "c1"), by: tuple[str, ...] = ()) -> DataFrame:
     """Contacts with the distance of the cells' medians and signed differences (no wrap)."""
-    med = vox.filter("label > 0").groupBy(*by, "label").agg(*(_median(c).alias(c) for c in channels))
+    med = group_medians(vox.filter("label > 0"), [*by, "label"], channels, "")
     side = lambda s: med.select(*by, F.col("label").alias(f"label_{s}"), *(F.col(c).alias(f"{s}_{c}") for c in channels))
     out = contacts(vox, by=by).join(side("a"), [*by, "label_a"]).join(side("b"), [*by, "label_b"])
     deltas = {f"delta_{c}": F.col(f"b_{c}") - F.col(f"a_{c}") for c in channels}
@@ -92,7 +129,7 @@ def neighbour_table(vox: DataFrame, channels: tuple[str, ...] = ("c0", "c1"), by
 
 def wrapped_misorientation(vox: DataFrame, channels: tuple[str, ...] = ("c0", "c1")) -> DataFrame:
     """Neighbour pairs ``other > label`` with differences wrapped at 360 degrees."""
-    med = vox.filter("label > 0").groupBy("label").agg(*(_median(c).alias(c) for c in channels))
+    med = group_medians(vox.filter("label > 0"), ["label"], channels, "")
     pairs = touching(vox).filter("other > label")
     out = pairs.join(med.select("label", *(F.col(c).alias(f"a_{c}") for c in channels)), "label").join(med.select(F.col("label").alias("other"), *(F.col(c).alias(f"b_{c}") for c in channels)), "other")
     wrapped = [F.least(F.abs(F.col(f"a_{c}") - F.col(f"b_{c}")), 360 - F.abs(F.col(f"a_{c}") - F.col(f"b_{c}"))) for c in channels]
@@ -258,5 +295,5 @@ def cell_metrics(vox: DataFrame) -> DataFrame:
     near = pairs.join(base, "label")
     for c in COORDS:
         near = near.filter(F.col(c).between(F.col("lo_" + c), F.col("hi_" + c)))
-    shell = near.groupBy("label").agg(F.avg("kam").alias("wall_mean"), _median("kam").alias("wall_median"))
+    shell = near.groupBy("label").agg(F.avg("kam").alias("wall_mean")).join(group_quantiles(near, ["label"], {"wall_median": ("kam", 0.5)}), "label")
     return base.select("label", "size", "variance").join(shell, "label", "left")

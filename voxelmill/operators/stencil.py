@@ -223,15 +223,41 @@ def erode(vox: DataFrame, footprint: list[tuple[int, int, int]], iterations: int
     return out
 
 
+def spread(vox: DataFrame, footprint: list[tuple[int, int, int]], low: tuple[int, int, int], high: tuple[int, int, int], iterations: int = 1) -> DataFrame:
+    """``label, z, y, x``, each once: places that a label reaches by ``iterations`` steps of the footprint, all from ``low`` to ``high``.
+
+    A voxel is dealt to the tiles that its label may reach, however many steps; a tile writes its own places alone."""
+    if iterations < 1:
+        return vox.select("label", *COORDS)
+    reach = [iterations * r for r in _reach(footprint)]
+    dealt = _dealt(vox, reach, ["label"], None, ())
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile = pa.Table.from_batches(list(batches))
+        at = np.stack([tile[c].to_numpy().astype(np.int64) for c in COORDS], 1)
+        names, label = np.unique(tile["label"].to_numpy(), return_inverse=True)
+        first = np.array([tile[t][0].as_py() for t in TILES]) * TILE
+        # the tile with its halo: no step leads out of it and back in
+        corner, size = first - reach, TILE + 2 * np.array(reach)
+        for _ in range(iterations):
+            moved = (at[None] + np.array(footprint)[:, None]).reshape(-1, 3)
+            owner = np.tile(label, len(footprint))
+            good = ((moved >= np.maximum(low, corner)) & (moved <= np.minimum(high, corner + size - 1))).all(1)
+            code = np.unique(owner[good] * int(size.prod()) + np.ravel_multi_index(tuple((moved[good] - corner).T), size))
+            label, place = np.divmod(code, int(size.prod()))
+            at = np.stack(np.unravel_index(place, size), 1) + corner
+        own = ((at >= first) & (at < first + TILE)).all(1)
+        for batch in pa.table([pa.array(names[label[own]].astype(np.int32)), *(pa.array(at[own, k].astype(np.int32)) for k in range(3))], names=["label", *COORDS]).to_batches():
+            yield batch
+
+    return dealt.groupBy(*TILES).applyInArrow(walk, "label int, z int, y int, x int")
+
+
 def dilate(vox: DataFrame, footprint: list[tuple[int, int, int]], iterations: int = 1) -> DataFrame:
     """``label, z, y, x`` of each label grown by the footprint; labels may overlap and borders are never written."""
     shape = extent(vox)
-    pads = tuple(max(abs(o[k]) for o in footprint) for k in range(3))
-    out = vox.filter("label > 0").select("label", *COORDS)
-    steps = F.explode(F.array(*(F.struct(*(F.lit(v).alias(d) for v, d in zip(o, COORDS))) for o in footprint))).alias("o")
-    for _ in range(iterations):
-        out = out.select("label", *COORDS, steps).select("label", *((F.col(c) + F.col(f"o.{c}")).alias(c) for c in COORDS)).filter(interior(pads, shape)).distinct()
-    return out
+    pads = _reach(footprint)
+    return spread(vox.filter("label > 0"), footprint, tuple(pads), tuple(n - 1 - p for n, p in zip(shape, pads)), iterations)
 
 
 def boundaries(vox: DataFrame, offsets: list[tuple[int, int, int]] | None = None) -> DataFrame:

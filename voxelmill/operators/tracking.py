@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
+from itertools import product
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxelmill.session import checkpoint
+from voxelmill.operators.components import connected_components
+from voxelmill.operators.numbering import group_quantiles
+from voxelmill.session import materialize
 
 SIDES = ("a", "b")
 
@@ -26,7 +32,8 @@ def step_overlaps(steps: DataFrame, min_overlap: int = 1) -> DataFrame:
 def step_features(steps: DataFrame) -> DataFrame:
     """Per step and label: volume, centroid (with ``cz`` where the steps are volumes) and median channels."""
     place = [F.avg(c).alias(f"c{c}") for c in ("z", "y", "x") if c in steps.columns]
-    return steps.filter("label > 0").groupBy("t", "label").agg(F.count(F.lit(1)).alias("volume"), *place, F.percentile("c0", F.lit(0.5)).alias("m0"), F.percentile("c1", F.lit(0.5)).alias("m1"))
+    cells = steps.filter("label > 0")
+    return cells.groupBy("t", "label").agg(F.count(F.lit(1)).alias("volume"), *place).join(group_quantiles(cells, ["t", "label"], {"m0": ("c0", 0.5), "m1": ("c1", 0.5)}), ["t", "label"])
 
 
 def centroid_pairs(features: DataFrame, radius: float) -> DataFrame:
@@ -62,17 +69,48 @@ def candidates(steps: DataFrame, radius: float, min_overlap: int = 1, distance_s
     return out.withColumn("tracking_score", score).drop(*(f"{c}_{s}" for c in (*place, "m0", "m1") for s in SIDES))
 
 
-def greedy_assignment(pairs: DataFrame, min_score: float = -math.inf, score: str = "tracking_score") -> DataFrame:
-    """One-to-one pairs by falling score (ties by labels): rounds of pairs that are best for both sides, which equals the scan."""
-    left = checkpoint(pairs.filter(F.col(score) >= min_score))
-    out = None
+def _scanned(pairs: DataFrame, key: list[str], score: str) -> DataFrame:
+    """The scan by falling score within each group of ``key``, a group a task."""
+
+    def walk(table: pa.Table) -> pa.Table:
+        a, b, s = (table[c].to_numpy() for c in ("label_a", "label_b", score))
+        taken, used = [], (set(), set())
+        for k in np.lexsort((b, a, np.where(np.isnan(s), -np.inf, -s))).tolist():
+            if a[k] not in used[0] and b[k] not in used[1]:
+                used[0].add(a[k])
+                used[1].add(b[k])
+                taken.append(k)
+        return table.take(pa.array(taken, pa.int64()))
+
+    return pairs.groupBy(*key).applyInArrow(walk, pairs.schema)
+
+
+def greedy_assignment(pairs: DataFrame, min_score: float = -math.inf, score: str = "tracking_score", scan: int = 1_000_000) -> DataFrame:
+    """One-to-one pairs by falling score (ties by labels, NaN first), each step ``pair`` on its own; pairs without a score are left out.
+
+    A step's candidates are scanned in one task up to ``scan`` rows. Those of greater steps are cut into connected parts,
+    which don't touch each other's choices, and each part is scanned; only parts above ``scan`` rows go by rounds of pairs that are
+    best for both their sides. All three ways choose the same pairs."""
+    own = pairs.filter(F.col(score) >= min_score)
+    if (own.groupBy("pair").count().agg(F.max("count")).first()[0] or 0) <= scan:
+        return _scanned(own, ["pair"], score)
+    own = materialize(own, "candidates")
+    great = own.groupBy("pair").count().filter(F.col("count") > scan).select("pair")
+    out = [_scanned(own.join(great, "pair", "left_anti"), ["pair"], score)]
+    node = lambda s: F.concat_ws(":", F.col("pair"), F.lit(s), F.col(f"label_{s}"))
+    wide = own.join(great, "pair", "left_semi").withColumn("_node", node("a"))
+    parts = connected_components(wide.select(F.col("_node").alias("a"), node("b").alias("b")))
+    wide = materialize(wide.join(parts.withColumnRenamed("node", "_node"), "_node").drop("_node"), "candidate-parts")
+    giant = wide.groupBy("component").count().filter(F.col("count") > scan).select("component")
+    out.append(_scanned(wide.join(giant, "component", "left_anti"), ["component"], score).drop("component"))
+    left = materialize(wide.join(giant, "component", "left_semi").drop("component"), "candidates-left")
     while left.head(1):
         best = lambda s: F.row_number().over(Window.partitionBy("pair", f"label_{s}").orderBy(F.desc(score), "label_a", "label_b"))
-        taken = checkpoint(left.withColumn("ra", best("a")).withColumn("rb", best("b")).filter("ra = 1 and rb = 1").drop("ra", "rb"))
-        out = taken if out is None else out.unionByName(taken)
+        taken = materialize(left.withColumn("ra", best("a")).withColumn("rb", best("b")).filter("ra = 1 and rb = 1").drop("ra", "rb"), "assigned")
+        out.append(taken)
         left = left.join(taken.select("pair", "label_a"), ["pair", "label_a"], "left_anti").join(taken.select("pair", "label_b"), ["pair", "label_b"], "left_anti")
-        left = checkpoint(left)
-    return left if out is None else out
+        left = materialize(left, "candidates-left")
+    return reduce(DataFrame.unionByName, (d.select(*pairs.columns) for d in out))
 
 
 def overlap_events(steps: DataFrame, min_overlap: int = 1, min_fraction: float = 0.1) -> DataFrame:
@@ -131,8 +169,14 @@ def event_pivot(events: DataFrame, fractions: bool = False) -> DataFrame:
     return out
 
 
-def assignment_summary(assigned: DataFrame) -> DataFrame:
-    return assigned.groupBy("pair").agg(F.count(F.lit(1)).alias("n_assignments"), F.avg("tracking_score").alias("mean_score"), F.percentile("tracking_score", F.lit(0.5)).alias("median_score"), F.avg("centroid_distance").alias("mean_distance"), F.avg("dice_overlap").alias("mean_dice"))
+def assignment_summary(assigned: DataFrame, pairs: DataFrame) -> DataFrame:
+    """By step ``pair``: candidates, assignments, and mean and median of the assignments' scores, orientation differences,
+    centroid distances and dice overlaps (null without assignments)."""
+    named = {"assignment_score": "tracking_score", "orientation_difference": "orientation_difference", "centroid_distance": "centroid_distance", "dice_overlap": "dice_overlap"}
+    counts = pairs.groupBy("pair").agg(F.count(F.lit(1)).alias("n_candidates"))
+    means = assigned.groupBy("pair").agg(F.count(F.lit(1)).alias("n_assignments"), *(F.avg(c).alias(f"mean_{n}") for n, c in named.items()))
+    medians = group_quantiles(assigned, ["pair"], {f"median_{n}": (c, 0.5) for n, c in named.items()})
+    return counts.join(means, "pair", "left").join(medians, "pair", "left").fillna(0, ["n_assignments"])
 
 
 def split_parents(over: DataFrame) -> DataFrame:
@@ -142,13 +186,37 @@ def split_parents(over: DataFrame) -> DataFrame:
 
 
 def common_mask(steps: DataFrame) -> DataFrame:
-    """Places that every step holds inside its mask."""
-    n = steps.select("t").distinct().count()
-    return steps.filter("mask").groupBy("y", "x").agg(F.countDistinct("t").alias("n")).filter(F.col("n") == n).select("y", "x")
-
-
-def bounding_box(places: DataFrame) -> DataFrame:
-    return places.agg(*(f(c).alias(f"{n}_{c}") for c in ("y", "x") for n, f in (("min", F.min), ("max", F.max))))
+    """Places (y, x; of volumes also z) that every step holds inside its mask."""
+    n, place = steps.select("t").distinct().count(), [c for c in ("z", "y", "x") if c in steps.columns]
+    return steps.filter("mask").groupBy(*place).agg(F.countDistinct("t").alias("n")).filter(F.col("n") == n).select(*place)
+
+
+def common_fractions(steps: DataFrame) -> DataFrame:
+    """By step: voxels of its mask and the common mask's share of them."""
+    common = common_mask(steps).withColumn("common", F.lit(1))
+    place = [c for c in common.columns if c != "common"]
+    both = steps.filter("mask").select("t", *place).join(common, place, "left")
+    return both.groupBy("t").agg(F.count(F.lit(1)).alias("n_mask"), (F.count("common") / F.count(F.lit(1))).alias("common_fraction"))
+
+
+def bounding_box(places: DataFrame, pad: int = 0, shape: dict[str, int] | None = None) -> DataFrame:
+    """Least and greatest coordinates (both inside), moved apart by ``pad`` but not below 0 nor beyond the grid's ``shape``
+    (sizes by axis). No place at all is an error."""
+    axes = [c for c in ("z", "y", "x") if c in places.columns]
+    out = places.agg(*(f(c).alias(f"{n}_{c}") for c in axes for n, f in (("min", F.min), ("max", F.max))))
+    held = lambda v: F.when(v.isNotNull(), v).otherwise(F.raise_error(F.lit("an empty mask has no box")).cast("int"))
+    low = lambda c: F.greatest(held(F.col(f"min_{c}")) - pad, F.lit(0))
+    high = lambda c: held(F.col(f"max_{c}")) + pad if not shape else F.least(held(F.col(f"max_{c}")) + pad, F.lit(shape[c] - 1))
+    return out.select(*(f(c).cast("int").alias(f"{n}_{c}") for c in axes for n, f in (("min", low), ("max", high))))
+
+
+def crop(vox: DataFrame, box: DataFrame, moved: bool = True) -> DataFrame:
+    """Voxels inside a box of one row; with ``moved`` their coordinates count from its corner."""
+    row = box.first()
+    axes = [c for c in ("z", "y", "x") if f"min_{c}" in box.columns]
+    for c in axes:
+        vox = vox.filter(F.col(c).between(row[f"min_{c}"], row[f"max_{c}"]))
+    return vox.withColumns({c: (F.col(c) - row[f"min_{c}"]).cast("int") for c in axes}) if moved else vox
 
 
 def shift(vox: DataFrame, dz: int, dy: int, dx: int, shape: tuple[int, int, int]) -> DataFrame:
@@ -161,8 +229,6 @@ def shift(vox: DataFrame, dz: int, dy: int, dx: int, shape: tuple[int, int, int]
 
 def shift_linear(vox: DataFrame, d: tuple[float, float, float], channels: tuple[str, ...], shape: tuple[int, int, int]) -> DataFrame:
     """Voxels moved by fractions of a step: weighted sums of at most eight corners; voxels without all corners are absent."""
-    from itertools import product
-
     low = [math.floor(v) for v in d]
     part = [v - k for v, k in zip(d, low)]
     corners = [(o, math.prod(p if s else 1 - p for s, p in zip(o, part))) for o in product((0, 1), repeat=3)]
@@ -174,6 +240,27 @@ def shift_linear(vox: DataFrame, d: tuple[float, float, float], channels: tuple[
     return moved.groupBy("z", "y", "x").agg(*(F.sum(c).alias(c) for c in channels), F.count(F.lit(1)).alias("n")).filter(F.col("n") == len(corners)).drop("n")
 
 
+def apply_shifts(frames: DataFrame, shifts: DataFrame, columns: tuple[str, ...], shape: tuple[int, int, int], order: int = 1, pad_z: int = 0) -> DataFrame:
+    """Frames ``t`` moved by their own row (``t, dz, dy, dx``; null: not moved, as is a frame without a row) of a table of shifts.
+
+    Order 1 blends ``columns`` from up to eight corners, whose weights follow from the frame's shift; a voxel that lacks a
+    corner with weight, or has NaN there, is absent or NaN. Order 0, for labels and masks, takes the nearest voxel. What leaves the grid is
+    dropped; ``pad_z`` planes more are kept on both sides in z."""
+    axes = ("z", "y", "x")
+    own = frames.select("t", *axes, *columns).join(shifts.select("t", *(F.coalesce(F.col(f"d{c}"), F.lit(0.0)).cast("double").alias(f"d{c}") for c in axes)), "t", "left").fillna(0.0, [f"d{c}" for c in axes])
+    inside = F.lit(True)
+    for c, n, pad in zip(axes, shape, (pad_z, 0, 0)):
+        inside = inside & F.col(c).between(-pad, n - 1 + pad)
+    if order == 0:
+        return own.select("t", *((F.col(c) + F.ceil(F.col(f"d{c}") - 0.5)).cast("int").alias(c) for c in axes), *columns).filter(inside)
+    ends = [F.array(F.struct(F.floor(f"d{c}").alias("k"), (1 - F.col(f"d{c}") + F.floor(f"d{c}")).alias("w")), F.struct((F.floor(f"d{c}") + 1).alias("k"), (F.col(f"d{c}") - F.floor(f"d{c}")).alias("w"))) for c in axes]
+    corners = [F.struct(*(ends[k][s]["k"].alias(c) for k, (c, s) in enumerate(zip(axes, o))), (ends[0][o[0]]["w"] * ends[1][o[1]]["w"] * ends[2][o[2]]["w"]).alias("w")) for o in product((0, 1), repeat=3)]
+    moved = own.withColumn("o", F.filter(F.array(*corners), lambda o: o["w"] > 0)).withColumn("need", F.size("o")).withColumn("o", F.explode("o"))
+    moved = moved.select("t", *((F.col(c) + F.col(f"o.{c}")).cast("int").alias(c) for c in axes), "need", *((F.col(c) * F.col("o.w")).alias(c) for c in columns)).filter(inside)
+    out = moved.groupBy("t", *axes).agg(*(F.sum(c).alias(c) for c in columns), F.count(F.lit(1)).alias("n"), F.first("need").alias("need"))
+    return out.filter(F.col("n") == F.col("need")).select("t", *axes, *columns)
+
+
 def expand_layers(vox: DataFrame, layers: DataFrame) -> DataFrame:
     """Voxels aligned to the union of layers: absent layers have NaN in fractional columns, 0 in whole ones and false in flags."""
     ranks = layers.select("layer").distinct().withColumn("z", (F.dense_rank().over(Window.orderBy("layer")) - 1).cast("int"))

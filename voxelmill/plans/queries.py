@@ -279,9 +279,17 @@ def greedy_assignment(spark, sf):
     return T.greedy_assignment(T.candidates(steps_e(spark, sf), 1.5)).select("pair", "label_a", "label_b", "tracking_score")
 
 
-@query(f"with {greedy_sql()} select pair, count(*) as n_assignments, round(avg(tracking_score), 6) as mean_score, round(quantile_cont(tracking_score, 0.5), 6) as median_score, round(avg(centroid_distance), 6) as mean_distance, round(avg(dice_overlap), 6) as mean_dice from asg group by 1")
+SUMMED = {"assignment_score": "tracking_score", "orientation_difference": "orientation_difference", "centroid_distance": "centroid_distance", "dice_overlap": "dice_overlap"}
+
+
+@query(
+    f"with {greedy_sql('1.0')}, n as (select pair, count(*) as n_candidates from sc group by 1), m as (select pair, count(*) as n_assignments, "
+    + ", ".join(f"round(avg({c}), 6) as mean_{n}, round(quantile_cont({c}, 0.5), 6) as median_{n}" for n, c in SUMMED.items())
+    + " from asg group by 1) select pair, n_candidates, coalesce(n_assignments, 0) as n_assignments, m.* exclude (pair, n_assignments) from n left join m using (pair)"
+)
 def assignment_summary(spark, sf):
-    return T.assignment_summary(T.greedy_assignment(T.candidates(steps_e(spark, sf), 1.5)))
+    pairs = T.candidates(steps_e(spark, sf), 1.5)
+    return T.assignment_summary(T.greedy_assignment(pairs, 1.0), pairs)
 
 
 @query(
@@ -354,6 +362,58 @@ def integer_shift(spark, sf):
     return T.shift(lattice_v(spark, sf), 0, 2, -3, (1 << 30, 50, 50)).select("z", "y", "x", "c0")
 
 
+VOLUMES2 = f"{V}, w as materialized (select (z // 2)::int as t, (z % 2)::int as z, y, x, c0, c1, mask, label from v)"
+
+
+def _steps_of_two(spark, sf):
+    """The second lattice as time steps, volumes of two planes."""
+    v = lattice_v(spark, sf)
+    return v.withColumn("t", F.expr("z div 2").cast("int")).withColumn("z", (F.col("z") % 2).cast("int"))
+
+
+MASKS3 = f"{VOLUMES2}, cm as (select z, y, x from w where mask group by all having count(distinct t) = (select count(distinct t) from w))"
+
+
+@query(f"with {MASKS3} select z, y, x from cm")
+def common_mask_volumes(spark, sf):
+    return T.common_mask(_steps_of_two(spark, sf))
+
+
+@query(f"with {MASKS3} select t, count(*) as n_mask, round(count(cm.z) / count(*), 6) as common_fraction from w left join cm using (z, y, x) where mask group by 1")
+def common_fractions(spark, sf):
+    return T.common_fractions(_steps_of_two(spark, sf))
+
+
+@query(f"with {MASKS3}, k as (select * from cm where y >= 3 and x < 45), b as (select greatest(min(z) - 2, 0) as z0, least(max(z) + 2, 1) as z1, greatest(min(y) - 2, 0) as y0, least(max(y) + 2, 49) as y1, greatest(min(x) - 2, 0) as x0, least(max(x) + 2, 49) as x1 from k) select t, (z - z0)::int as z, (y - y0)::int as y, (x - x0)::int as x, c0 from w, b where z between z0 and z1 and y between y0 and y1 and x between x0 and x1")
+def padded_crop(spark, sf):
+    """Volumes cut to the box of a part of the common mask, two steps wider where the grid allows it."""
+    steps = _steps_of_two(spark, sf)
+    box = T.bounding_box(T.common_mask(steps).filter("y >= 3 and x < 45"), 2, {"z": 2, "y": 50, "x": 50})
+    return T.crop(steps, box).select("t", "z", "y", "x", "c0")
+
+
+@query(
+    f"with {VOLUMES2}, s as (select t, case when t % 4 = 3 then 0 else (t % 3 - 1) * 0.5 end as dz, case when t % 4 = 3 then 0 else (t % 5) * 0.75 - 1 end as dy, case when t % 4 = 3 then 0 else 1.25 - t % 2 end as dx from (select distinct t from w)),"
+    " e(i, j, k) as (select * from range(2) a, range(2) b, range(2) c), o as (select t, floor(dz) + i as kz, floor(dy) + j as ky, floor(dx) + k as kx,"
+    " (case i when 1 then dz - floor(dz) else 1 - dz + floor(dz) end) * (case j when 1 then dy - floor(dy) else 1 - dy + floor(dy) end) * (case k when 1 then dx - floor(dx) else 1 - dx + floor(dx) end) as g from s, e), p as (select *, count(*) over (partition by t) as need from o where g > 0)"
+    " select t, (z + kz)::int as z, (y + ky)::int as y, (x + kx)::int as x, round(sum(c0 * g), 6) as c0 from w join p using (t) where z + kz between -1 and 2 and y + ky between 0 and 49 and x + kx between 0 and 49 group by 1, 2, 3, 4 having count(*) = any_value(need)"
+)
+def apply_transforms(spark, sf):
+    """Every step moved by its own fractional shift; each fourth one is not moved."""
+    steps = _steps_of_two(spark, sf)
+    own = lambda e: F.when(F.col("t") % 4 != 3, F.expr(e))
+    shifts = steps.select("t").distinct().select("t", own("(t % 3 - 1) * 0.5").alias("dz"), own("(t % 5) * 0.75 - 1").alias("dy"), own("1.25 - t % 2").alias("dx"))
+    return T.apply_shifts(steps, shifts, ("c0",), (2, 50, 50), pad_z=1)
+
+
+@query(f"with {VOLUMES2} select t, z, (y + ceil((t % 5) * 0.75 - 1.5))::int as y, (x + ceil(0.75 - t % 2))::int as x, label, mask from w where y + ceil((t % 5) * 0.75 - 1.5) between 0 and 49 and x + ceil(0.75 - t % 2) between 0 and 49")
+def apply_transforms_labels(spark, sf):
+    """Labels and masks take the nearest voxel."""
+    steps = _steps_of_two(spark, sf)
+    shifts = steps.select("t").distinct().select("t", F.lit(0.0).alias("dz"), F.expr("(t % 5) * 0.75 - 1").alias("dy"), F.expr("1.25 - t % 2").alias("dx"))
+    return T.apply_shifts(steps, shifts, ("label", "mask"), (2, 50, 50), order=0)
+
+
 @query(f"with {V}, m as (select z, y, x, 0.5 * c0 as c0 from v union all select z, y, x + 1, 0.5 * c0 from v where x + 1 <= 49) select z, y, x, round(sum(c0), 6) as c0 from m group by all having count(*) = 2")
 def fractional_shift(spark, sf):
     return T.shift_linear(lattice_v(spark, sf), (0.0, 0.0, 0.5), ("c0",), (1 << 30, 50, 50))
@@ -431,6 +491,20 @@ def wall_kam(spark, sf):
     return R.wall_kam(S.kam(lattice_v(spark, sf), (1, 3, 3)))
 
 
+@query(
+    f"with {KAM2}, f(dz, dy, dx) as (values {', '.join(map(str, S.cross(2, True)))}), b(dz, dy, dx) as (values {', '.join(map(str, S.box((1, 3, 3), True)))}),"
+    " er as (select v.z, v.y, v.x, v.label, v.c0, v.c1 from v, d, f join v n on n.z = v.z + f.dz and n.y = v.y + f.dy and n.x = v.x + f.dx and n.label = v.label where v.label > 0 and v.y between 1 and d.ny - 2 and v.x between 1 and d.nx - 2 group by all having count(*) = 5),"
+    " me as (select label, avg(c0) as mean_c0, avg(c1) as mean_c1 from er group by 1), st as (select label, var_pop(h) as variance, quantile_cont(h, 0.95) as q from (select label, sqrt((c0 - mean_c0) ** 2 + (c1 - mean_c1) ** 2) as h from er join me using (label)) group by 1),"
+    " bb as (select label, min(z) as z0, max(z) as z1, min(y) as y0, max(y) as y1, min(x) as x0, max(x) as x1 from v where label > 0 group by 1), wl as (select distinct v.z, v.y, v.x, v.label from v, o join v n on n.z = v.z + o.dz and n.y = v.y + o.dy and n.x = v.x + o.dx where v.label > 0 and n.label <> v.label),"
+    " gr as (select distinct label, z + b.dz as z, y + b.dy as y, x + b.dx as x from wl, b, d where y + b.dy between 1 and d.ny - 2 and x + b.dx between 1 and d.nx - 2),"
+    " wk as (select label, avg(kam) as wall_kam from gr join bb using (label) join k using (z, y, x) where z between z0 and z1 and y between y0 and y1 and x between x0 and x1 group by 1)"
+    " select label, round(mean_c0, 6) as mean_c0, round(mean_c1, 6) as mean_c1, round(variance, 6) as variance, round(q, 6) as q, round(wall_kam, 6) as wall_kam from me join st using (label) left join wk using (label)"
+)
+def cell_statistics(spark, sf):
+    """Distances in the eroded cells and KAM on their walls, in one table."""
+    return R.cell_statistics(S.kam(lattice_v(spark, sf), (1, 3, 3)), wall=True)
+
+
 NEAR5 = S.cross(2, True)
 
 
@@ -532,7 +606,8 @@ def slice_to_volume(spark, sf):
 
 @query()
 def gaussian_fit_var(spark, sf):
-    return K.gaussian_variance(lattice_v(spark, sf).select("label", F.col("c0").alias("d")))
+    """Of the voxels' distances to their cell's mean vector."""
+    return K.gaussian_variance(R.distances(lattice_v(spark, sf)).select("label", "d"))
 
 
 @query("select (regexp_extract(url, '/(\\d+)', 1)) as number, count(*) as n from pages group by 1")
@@ -615,7 +690,7 @@ def kam_threshold_baseline(spark, sf):
     return L.wall_cells(lattice_v(spark, sf), 0.7, 1, 1, 4, "c0")
 
 
-@query(f"with {V} select z, y, x, mask::int::double as by_mask, (label > 0)::int::double as by_label, c0 as by_channel from v")
+@query(f"with {V}, s as (select avg(c0) as m, stddev_pop(c0) as d from v) select z, y, x, mask::int::double as by_mask, (label > 0)::int::double as by_label, case when mask then round((c0 - m) / (d + 1e-8), 6) else 0 end as by_channel from v, s")
 def plain_features(spark, sf):
     out = lattice_v(spark, sf)
     for mode, name in (("mask", "by_mask"), ("label_binary", "by_label"), ("channel0", "by_channel")):
