@@ -3,6 +3,7 @@ import pytest
 
 from voxelmill.operators import filters as L
 from voxelmill.operators import kernels as K
+from voxelmill.operators import shifts as H
 
 
 def table(spark, shape=(3, 7, 9), seed=3):
@@ -32,7 +33,7 @@ def test_refine_shift_finds_a_known_shift(spark):
     _, c, _, _ = table(spark, (4, 12, 14))
     rows = lambda a: spark.createDataFrame([(*map(int, p), *map(float, a[tuple(p)]), True) for p in np.indices(a.shape[:3]).reshape(3, -1).T], "z int, y int, x int, c0 double, c1 double, mask boolean")
     ref, mov = rows(c), rows(np.roll(c, (0, -2, 1), (0, 1, 2)))
-    out = L.refine_shift(ref, mov, L.trial_shifts((0, 1, 0), (1, 2, 2)), "c0").collect()
+    out = H.refine_shift(ref, mov, (1, 2, 2), initial=spark.createDataFrame([(0, 1, 0)], "dz int, dy int, dx int"), feature="c0").collect()
     best = [(r.shift_z, r.shift_y, r.shift_x) for r in out if r.best]
     assert best == [(0, 2, -1)] and len(out) == 75
     got = {(r.shift_z, r.shift_y, r.shift_x): r for r in out}[(1, 0, 1)]
@@ -40,9 +41,8 @@ def test_refine_shift_finds_a_known_shift(spark):
     a, b = c[1:, :, 1:].reshape(-1, 2), moved[:-1, :, :-1].reshape(-1, 2)
     want = np.corrcoef(a[:, 0], b[:, 0])[0, 1] - 0.75 * np.median(np.linalg.norm(a - b, axis=1)) + 0.25 * len(a) / c[..., 0].size
     assert got.n == len(a) and abs(got.score - want) < 1e-6
-    assert L.refine_shift(ref, mov, [(0, 0, 0)], "c0", min_voxels=10_000).count() == 0
-    with pytest.raises(ValueError):
-        L.refine_shift(ref, mov, [(1, 0, 0)], "c0", planes=True)
+    assert H.refine_shift(ref, mov, (0, 0, 0), feature="c0", min_voxels=10_000).count() == 0
+    assert H.refine_shift(ref.limit(0), mov, (0, 0, 0), feature="c0").count() == 0
 
 
 def test_contacts_and_registration_feature(spark):

@@ -111,37 +111,6 @@ def plain_feature(vox: DataFrame, mode: str) -> DataFrame:
     return vox.withColumn("feature", F.coalesce(value, F.lit(0.0)))
 
 
-def trial_shifts(initial: Offset = (0, 0, 0), radius: Offset = (1, 4, 8), step: int = 1) -> list[Offset]:
-    """Shifts around ``initial``: itself first, then in rising order."""
-    around = product(*(range(i - r, i + r + 1, step) for i, r in zip(initial, radius)))
-    return [initial, *(o for o in around if o != initial)]
-
-
-def refine_shift(ref: DataFrame, mov: DataFrame, trials: list[Offset], feature: str = "feature", channels: tuple[str, ...] = ("c0", "c1"), min_voxels: int = 100, planes: bool = False) -> DataFrame:
-    """Scores of all trial shifts of ``mov`` onto ``ref`` (its coordinate plus the shift is that of ``ref``).
-
-    The score is the features' correlation, less 0.75 of the median distance of the channels, plus 0.25 of the overlap's
-    share of ``ref``; trials under ``min_voxels`` common voxels are left out. ``best`` marks the greatest score, ties the
-    earlier trial. With ``planes`` every plane z is a volume of its own and trials shift within it. Shifts unfold inside
-    the tiles, so voxels are shuffled once and only the sums of a trial travel."""
-    if planes and any(t[0] for t in trials):
-        raise ValueError("planes are shifted within themselves")
-    carry, key = list(dict.fromkeys([feature, *channels])), ["z"] if planes else []
-    fixed, moved = (d.filter("mask").select(*COORDS, *carry) for d in (ref, mov))
-    pairs = neighbours(fixed, [tuple(-v for v in t) for t in trials], carry, moved, select=[*key, "dz", "dy", "dx", *carry, *(f"n_{c}" for c in carry)])
-    distance = F.sqrt(sum(((F.col(c) - F.col(f"n_{c}")) ** 2 for c in channels), F.lit(0.0)))
-    a, b = F.col(feature), F.col(f"n_{feature}")
-    by = [*key, *((-F.col(d)).cast("int").alias(f"shift_{d[1]}") for d in ("dz", "dy", "dx"))]
-    sums = pairs.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), (F.covar_pop(a, b) / (F.stddev_pop(a) * F.stddev_pop(b) + 1e-8)).alias("corr"), F.percentile(F.when(~F.isnan(distance), distance), F.lit(0.5)).alias("apart"))
-    total = fixed.groupBy(*key).agg(F.count(F.lit(1)).alias("total"))
-    sums = (sums.join(total, key) if key else sums.crossJoin(F.broadcast(total))).filter(F.col("n") >= min_voxels)
-    first = trials[0]
-    place = F.when((F.col("shift_z") == first[0]) & (F.col("shift_y") == first[1]) & (F.col("shift_x") == first[2]), 0).otherwise(1)
-    scored = sums.withColumn("score", F.col("corr") - 0.75 * F.col("apart") + 0.25 * F.col("n") / F.col("total"))
-    order = Window.partitionBy(*key).orderBy(F.desc_nulls_last("score"), place, "shift_z", "shift_y", "shift_x")
-    return scored.withColumn("best", F.row_number().over(order) == 1).drop("total")
-
-
 def opened_walls(vox: DataFrame, percentile: float, erosions: int, dilations: int, value: str, near: list[Offset], outside: bool = False) -> DataFrame:
     """``z, y, x`` of the mask's voxels from the percentile of ``value`` in the mask on, eroded and dilated by ``near``.
 

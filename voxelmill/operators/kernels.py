@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from voxelmill.operators.stencil import COORDS, neighbours, windows
 from voxelmill.operators.components import connected_components
+from voxelmill.operators.shifts import correlate
 
 NEAR6 = [(-1, 0, 0), (1, 0, 0), (0, -1, 0), (0, 1, 0), (0, 0, -1), (0, 0, 1)]
 
@@ -267,12 +268,7 @@ def skeleton(planes: DataFrame, over: str = "over") -> DataFrame:
 
 def phase_shift(ref: np.ndarray, mov: np.ndarray) -> tuple[int, ...]:
     """Whole-step shift that brings ``mov`` onto ``ref``: the peak of their cross-correlation, every frequency weighing alike."""
-    product = np.fft.fftn(ref) * np.conj(np.fft.fftn(mov))
-    product /= np.maximum(np.abs(product), 100 * np.finfo(np.float64).eps)
-    c = np.abs(np.fft.ifftn(product))
-    peak = np.array(np.unravel_index(int(np.round(c, 9).argmax()), c.shape))
-    size = np.array(c.shape)
-    return tuple(int(v) for v in np.where(peak > size // 2, peak - size, peak))
+    return correlate(ref, mov)[0]
 
 
 def register(frames: DataFrame, feature: str = "c0") -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from voxelmill.operators import filters as L
 from voxelmill.operators import kernels as K
 from voxelmill.operators import regions as R
+from voxelmill.operators import shifts as H
 from voxelmill.operators import stencil as S
 from voxelmill.operators import tracking as T
 from voxelmill.operators.numbering import exact_quantiles
@@ -625,24 +626,48 @@ def median_filter(spark, sf):
     return L.median_filter(lattice_v(spark, sf), (1, 3, 3))
 
 
-TRIALS = L.trial_shifts((0, 0, 0), (0, 2, 3))
+#: Circular correlation of each volume with the one before it, whole grids: the greatest sum's shift, ties to the first.
+PEAK = (
+    f"{VOLUMES2}, cc as (select a.t, (a.z - b.z + 2) % 2 as z, (a.y - b.y + 50) % 50 as y, (a.x - b.x + 50) % 50 as x, sum(a.c0 * b.c0) as s from w a join w b on b.t = a.t + 1 group by all),"
+    " pk as materialized (select t, z::int as dz, (case when y > 25 then y - 50 else y end)::int as dy, (case when x > 25 then x - 50 else x end)::int as dx from (select *, row_number() over (partition by t order by abs(s) desc, z, y, x) as r from cc) where r = 1)"
+)
 
 
-def _next_planes(spark, sf):
-    """Each plane as the moved one of the plane before it."""
-    v = lattice_v(spark, sf)
-    return v, v.withColumn("z", F.col("z") - 1)
+@query(
+    f"with {PEAK}, {offsets_sql(H.trial_steps())}, n as (select t, count(*) as total from w where mask group by 1),"
+    " tr as materialized (select t, (pk.dz + o.dz)::int as sz, (pk.dy + o.dy)::int as sy, (pk.dx + o.dx)::int as sx, o.dz <> 0 or o.dy <> 0 or o.dx <> 0 as off from pk, o),"
+    " ax as materialized (select t, sz, sy, sx, off, z - sz as pz, y - sy as py, x - sx as px, c0, c1 from w join tr using (t) where mask and z - sz between 0 and 1 and y - sy between 0 and 49 and x - sx between 0 and 49), mv as materialized (select t - 1 as t, z as pz, y as py, x as px, c0, c1 from w where mask),"
+    " s as (select a.t, sz as shift_z, sy as shift_y, sx as shift_x, off, count(*) as n, covar_pop(a.c0, b.c0) / (stddev_pop(a.c0) * stddev_pop(b.c0) + 1e-8) as corr, quantile_cont(sqrt((a.c0 - b.c0) ** 2 + (a.c1 - b.c1) ** 2), 0.5) as apart"
+    " from ax a join mv b using (t, pz, py, px) group by all having count(*) >= 100),"
+    " c as (select s.*, corr - 0.75 * apart + 0.25 * n / total as score from s join n using (t))"
+    " select t, shift_z, shift_y, shift_x, n, round(corr, 6) as corr, round(apart, 6) as apart, round(score, 6) as score, row_number() over (partition by t order by score desc, off, shift_z, shift_y, shift_x) = 1 as best from c"
+)
+def refine_shift(spark, sf):
+    """459 trials about the correlation's shift, for each volume of two planes and the one before it."""
+    ref = _steps_of_two(spark, sf)
+    mov = ref.withColumn("t", F.col("t") - 1)
+    start = H.correlate_pairs(ref, mov, ["t"], ["c0"], phase=False)
+    return H.refine_shift(ref, mov, initial=start, by=("t",), feature="c0")
+
+
+MODES = {"by_mask": "mask::int::double", "by_label": "(label > 0)::int::double", "by_channel": "case when mask then (c0 - m) / (d + 1e-8) else 0 end"}
 
 
 @query(
-    f"with {V}, {offsets_sql(TRIALS)}, t as (select z, count(*) as total from v where mask group by 1),"
-    " s as (select a.z, dz::int as shift_z, dy::int as shift_y, dx::int as shift_x, count(*) as n, covar_pop(a.c0, b.c0) / (stddev_pop(a.c0) * stddev_pop(b.c0) + 1e-8) as corr, quantile_cont(sqrt((a.c0 - b.c0) ** 2 + (a.c1 - b.c1) ** 2), 0.5) as apart"
-    " from v a, o join v b on b.z = a.z + 1 and b.y = a.y - dy and b.x = a.x - dx where a.mask and b.mask group by all having count(*) >= 100),"
-    " c as (select s.*, corr - 0.75 * apart + 0.25 * n / total as score from s join t using (z))"
-    " select z, shift_z, shift_y, shift_x, n, round(corr, 6) as corr, round(apart, 6) as apart, round(score, 6) as score, row_number() over (partition by z order by score desc, (shift_z <> 0 or shift_y <> 0 or shift_x <> 0), shift_z, shift_y, shift_x) = 1 as best from c"
+    f"with {V}, g as (select avg(c0) as m, stddev_pop(c0) as d from v), p as materialized (select z as t, y, x, {', '.join(f'{e} as {n}' for n, e in MODES.items())} from v, g),"
+    " md as (select t from (select distinct t from p) order by t offset (select count(distinct t) // 2 from p) limit 1), rf as materialized (select y, x, " + ", ".join(f"{n} as r{n}" for n in MODES) + " from p where t = (select t from md)),"
+    " cc as materialized (select p.t, (rf.y - p.y + 50) % 50 as y, (rf.x - p.x + 50) % 50 as x, " + ", ".join(f"sum(r{n} * {n}) as {n}" for n in MODES) + " from p, rf group by all),"
+    " en as (select t, " + ", ".join(f"sum({n} * {n}) * (select sum(r{n} * r{n}) from rf) as {n}" for n in MODES) + " from p group by 1),"
+    " sh as (" + " union all ".join(f"select t, '{n}' as feature, y, x, sqrt(abs(1 - cc.{n} * cc.{n} / en.{n})) as error from cc join en using (t) qualify row_number() over (partition by t order by round(abs(cc.{n}), 9) desc, y, x) = 1" for n in MODES) + "),"
+    " fx as (select t, feature, 0 as dz, (case when y > 25 then y - 50 else y end)::int as dy, (case when x > 25 then x - 50 else x end)::int as dx, error from sh)"
+    " select t, feature, dz, dy, dx, round(error, 6) as error, count(distinct (dy, dx)) over (partition by t) = 1 as agree from fx"
 )
-def refine_shift(spark, sf):
-    return L.refine_shift(*_next_planes(spark, sf), TRIALS, "c0", planes=True)
+def correlation_table(spark, sf):
+    """Shifts of every plane onto the middle one by three features, plain products of spectra, with errors."""
+    frames = lattice_v(spark, sf)
+    for mode, name in (("mask", "by_mask"), ("label_binary", "by_label"), ("channel0", "by_channel")):
+        frames = L.plain_feature(frames, mode).withColumnRenamed("feature", name)
+    return H.correlation_table(frames.withColumnRenamed("z", "t").select("t", "y", "x", *MODES), list(MODES))
 
 
 def smoothed_sql(source: str, name: str, column: str, axis: int, sigma: float) -> str:
