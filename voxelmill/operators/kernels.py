@@ -23,8 +23,12 @@ NEAR6 = [(-1, 0, 0), (1, 0, 0), (0, -1, 0), (0, 1, 0), (0, 0, -1), (0, 0, 1)]
 
 
 def dense(pdf: pd.DataFrame, columns: list[str], fill: float = np.nan) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Arrays (Z, Y, X, columns), presence and the rows' coordinates."""
+    """Arrays (Z, Y, X, columns), presence and the rows' coordinates. Negative or repeated places are an error."""
     at = pdf[COORDS].to_numpy(np.int64)
+    if (at < 0).any():
+        raise ValueError("a coordinate is negative")
+    if len(np.unique(at, axis=0)) < len(at):
+        raise ValueError("a voxel is given twice")
     shape = tuple(at.max(0) + 1)
     a = np.full((*shape, len(columns)), fill, np.float64)
     a[tuple(at.T)] = pdf[columns].to_numpy(np.float64)
@@ -103,8 +107,20 @@ def flood(field: np.ndarray, mask: np.ndarray, offsets, local: float, cap: float
 LABELLED = "dataset_id string, z int, y int, x int, label int"
 
 
-def _by_dataset(vox: DataFrame, kernel, schema: str) -> DataFrame:
-    return vox.groupBy("dataset_id").applyInPandas(kernel, schema)
+def _by_dataset(vox: DataFrame, kernel, schema: str, errors: bool = False) -> DataFrame:
+    """The kernel's rows of each dataset. With ``errors`` there is a column ``error``: a dataset whose kernel raises gives one
+    row with the exception and nulls, and the others aren't touched."""
+    if not errors:
+        return vox.groupBy("dataset_id").applyInPandas(kernel, schema)
+    names = [part.split()[0] for part in schema.split(", ")]
+
+    def guarded(pdf: pd.DataFrame) -> pd.DataFrame:
+        try:
+            return kernel(pdf).assign(error=None)
+        except Exception as failure:  # whatever a dataset does belongs to that dataset
+            return pd.DataFrame({n: [pdf["dataset_id"].iloc[0] if n == "dataset_id" else repr(failure) if n == "error" else None] for n in [*names, "error"]})
+
+    return vox.groupBy("dataset_id").applyInPandas(guarded, schema + ", error string")
 
 
 def _labelled(pdf: pd.DataFrame, at: np.ndarray, labels: np.ndarray) -> pd.DataFrame:
@@ -121,8 +137,8 @@ def fillable(pdf: pd.DataFrame, a: np.ndarray, there: np.ndarray, at: np.ndarray
     return mask
 
 
-def flood_fill(vox: DataFrame, offsets, local: float, channels: tuple[str, ...] = ("c0", "c1"), two_stage: bool = False, **options) -> DataFrame:
-    """Exact flood fill of each dataset. Two-stage: seeds are collected first and filled from the largest on."""
+def flood_fill(vox: DataFrame, offsets, local: float, channels: tuple[str, ...] = ("c0", "c1"), two_stage: bool = False, errors: bool = False, **options) -> DataFrame:
+    """Exact flood fill of each dataset. Two-stage: seeds are collected first and filled from the largest on. ``errors`` as in ``_by_dataset``."""
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
         a, there, at = dense(pdf, list(channels))
@@ -136,7 +152,7 @@ def flood_fill(vox: DataFrame, offsets, local: float, channels: tuple[str, ...]
         labels, _ = flood(a, mask, offsets, local, **own)
         return _labelled(pdf, at, labels)
 
-    return _by_dataset(vox, kernel, LABELLED)
+    return _by_dataset(vox, kernel, LABELLED, errors)
 
 
 def collect_seeds(vox: DataFrame, offsets, local: float, channels: tuple[str, ...] = ("c0", "c1"), **options) -> DataFrame:
@@ -183,7 +199,7 @@ def priority_flood(feature: np.ndarray, markers: np.ndarray, mask: np.ndarray) -
     return out
 
 
-def watershed(vox: DataFrame, feature: str = "c0") -> DataFrame:
+def watershed(vox: DataFrame, feature: str = "c0", errors: bool = False) -> DataFrame:
     """Labels grown over each dataset by rising ``feature``; NaN counts as the greatest finite value."""
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -193,7 +209,7 @@ def watershed(vox: DataFrame, feature: str = "c0") -> DataFrame:
         f[~np.isfinite(f)] = f[finite].max() if finite.any() else 1.0
         return _labelled(pdf, at, priority_flood(f, a[..., 1].astype(np.int32), there))
 
-    return _by_dataset(vox, kernel, LABELLED)
+    return _by_dataset(vox, kernel, LABELLED, errors)
 
 
 def region_grow(vox: DataFrame, channels: tuple[str, str] = ("c0", "c1")) -> DataFrame:
@@ -237,21 +253,27 @@ def region_grow(vox: DataFrame, channels: tuple[str, str] = ("c0", "c1")) -> Dat
 
 def thin(image: np.ndarray) -> np.ndarray:
     """Skeleton of a plane by alternating boundary passes (Zhang and Suen)."""
+    return thinned(image)
+
+
+def thinned(image: np.ndarray, most: int | None = None) -> np.ndarray:
+    """A plane after at most ``most`` pairs of passes; None: until nothing changes."""
     img = np.pad(image.astype(np.uint8), 1)
-    while True:
+    for _ in count() if most is None else range(most):
         changed = False
         for step in (0, 1):
             p = [img[0:-2, 1:-1], img[0:-2, 2:], img[1:-1, 2:], img[2:, 2:], img[2:, 1:-1], img[2:, 0:-2], img[1:-1, 0:-2], img[0:-2, 0:-2]]
-            count = sum(x.astype(int) for x in p)
+            around = sum(x.astype(int) for x in p)
             turns = sum(((p[k] == 0) & (p[(k + 1) % 8] == 1)).astype(int) for k in range(8))
             north, east, south, west = p[0], p[2], p[4], p[6]
             sides = (north * east * south == 0) & (east * south * west == 0) if step == 0 else (north * east * west == 0) & (north * south * west == 0)
-            gone = (img[1:-1, 1:-1] == 1) & (count >= 2) & (count <= 6) & (turns == 1) & sides
+            gone = (img[1:-1, 1:-1] == 1) & (around >= 2) & (around <= 6) & (turns == 1) & sides
             if gone.any():
                 img[1:-1, 1:-1][gone] = 0
                 changed = True
         if not changed:
-            return img[1:-1, 1:-1].astype(bool)
+            break
+    return img[1:-1, 1:-1].astype(bool)
 
 
 def skeleton(planes: DataFrame, over: str = "over") -> DataFrame:

@@ -12,6 +12,7 @@ from voxelmill.operators import kernels as K
 from voxelmill.operators import regions as R
 from voxelmill.operators import shifts as H
 from voxelmill.operators import stencil as S
+from voxelmill.operators import tiled as D
 from voxelmill.operators import tracking as T
 from voxelmill.operators.numbering import exact_quantiles
 from voxelmill.plans import segmentation
@@ -530,8 +531,7 @@ def skeleton_cells(spark, sf):
     The walls are the mask's high values, opened and grown by the in-plane cross."""
     v = lattice_v(spark, sf)
     wall = L.opened_walls(v, 0.29, 1, 1, "c0", S.cross(2, True), outside=True).withColumn("over", F.lit(True))
-    over = v.select("z", "y", "x").join(wall, ["z", "y", "x"], "left").fillna(False, ["over"])
-    free = K.skeleton(over).filter("not skeleton").select("z", "y", "x", F.lit(1).alias("label"))
+    free = v.select("z", "y", "x").join(D.thin(wall), ["z", "y", "x"], "left_anti").withColumn("label", F.lit(1))
     parts = R.components(free, [(0, 0, 1), (0, 1, -1), (0, 1, 0), (0, 1, 1)])
     sizes = parts.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     return sizes.filter(F.col("size").between(10, 4000))
@@ -587,11 +587,39 @@ def region_grow(spark, sf):
     return K.region_grow(_planes(spark, sf).withColumn("label", F.when(F.col("c1") == 3, F.col("x") + 1).otherwise(0)))
 
 
-@query()
-def top_down_cells(spark, sf):
+def _levels(spark, sf):
+    """Each plane in two segmentations: columns of ten as the coarse level, squares of five as the fine one."""
     v = _planes(spark, sf)
-    levels = v.withColumn("level", F.lit(0)).unionByName(v.withColumn("level", F.lit(1)).withColumn("label", (F.col("x") / 10).cast("int") + 1))
-    return K.top_down(levels.withColumn("label", F.when(F.col("level") == 0, (F.col("y") / 5).cast("int") * 10 + (F.col("x") / 5).cast("int") + 1).otherwise(F.col("label"))), 60.0)
+    coarse = v.withColumn("level", F.lit(1)).withColumn("label", (F.col("x") / 10).cast("int") + 1)
+    fine = v.withColumn("level", F.lit(0)).withColumn("label", (F.col("y") / 5).cast("int") * 10 + (F.col("x") / 5).cast("int") + 1)
+    return coarse.unionByName(fine)
+
+
+LEVELS = f"{V}, lv as materialized (select z as d, 1 as level, y, x, c0, c1, (x // 10 + 1)::int as label from v union all select z, 0, y, x, c0, c1, (y // 5 * 10 + x // 5 + 1)::int from v)"
+
+
+@query(
+    f"with {LEVELS}, m as (select d, level, label, avg(c0) as m0, avg(c1) as m1 from lv group by all), ok as materialized (select d, level, label from lv join m using (d, level, label) group by all having quantile_cont(sqrt((c0 - m0) ** 2 + (c1 - m1) ** 2), 0.95) < 90),"
+    " c1 as materialized (select d, y, x, label from lv join ok using (d, level, label) where level = 1), fr as materialized (select lv.d, lv.label from lv join ok using (d, level, label) left join c1 on c1.d = lv.d and c1.y = lv.y and c1.x = lv.x where level = 0 group by all having count(c1.label) / count(*) < 0.1),"
+    " nr as (select d, o, label, (row_number() over (partition by d order by o, label))::int as n from (select d, 0 as o, label from ok where level = 1 union all select d, 1, label from fr))"
+    " select d::varchar as dataset_id, 0 as z, y, x, n as label from (select d, y, x, 1 as o, label from lv join fr using (d, label) where level = 0 union all select d, y, x, 0, label from c1 where not exists (select 1 from lv join fr using (d, label) where level = 0 and lv.d = c1.d and lv.y = c1.y and lv.x = c1.x)) join nr using (d, o, label)"
+)
+def top_down_cells(spark, sf):
+    """Cells of two levels, the coarse ones first."""
+    return D.top_down(_levels(spark, sf), 90.0)
+
+
+@query(f"with {LEVELS}, m as (select d, level, label, avg(c0) as mean_c0, avg(c1) as mean_c1 from lv group by all) select d::varchar as dataset_id, level, label, round(any_value(mean_c0), 6) as mean_c0, round(any_value(mean_c1), 6) as mean_c1, round(var_pop(sqrt((c0 - mean_c0) ** 2 + (c1 - mean_c1) ** 2)), 6) as variance, round(quantile_cont(sqrt((c0 - mean_c0) ** 2 + (c1 - mean_c1) ** 2), 0.95), 6) as q from lv join m using (d, level, label) group by d, level, label")
+def level_statistics(spark, sf):
+    """Statistics of every level's cells in one aggregate."""
+    return R.orientation_stats(_levels(spark, sf), by=("dataset_id", "level"))
+
+
+@query()
+def watershed_tiles(spark, sf):
+    """The second lattice as one volume, flooded in tiles."""
+    v = lattice_v(spark, sf).withColumn("dataset_id", F.lit("v"))
+    return D.watershed(v.withColumn("label", F.when(F.col("c1") == 3, F.col("x") + 1).otherwise(0)))
 
 
 @query()
@@ -778,3 +806,27 @@ def batch_segmentation(spark, sf):
 @query()
 def batch_summary(spark, sf):
     return _segmented(spark, sf).summary
+
+
+FAULTS = "plane 0 without spread, with its voxels twice, outside the mask; and a dataset that isn't there"
+
+
+def _faulty(spark, sf):
+    """Every plane as a dataset, three copies of the first one with a fault each, and a registry that names one more."""
+    planes = _planes(spark, sf).select("dataset_id", "z", "y", "x", "c0", "c1", "mask")
+    first = planes.filter("dataset_id = '0'")
+    name = lambda d, n: d.withColumn("dataset_id", F.lit(n))
+    vox = planes.unionByName(name(first, "flat").withColumn("c1", F.lit(1.0))).unionByName(name(first.unionByName(first), "twice")).unionByName(name(first, "outside").withColumn("mask", F.lit(False)))
+    registry = vox.select("dataset_id").unionByName(spark.range(1).select(F.lit("absent").alias("dataset_id"))).distinct()
+    return vox, registry.withColumn("strain", F.length("dataset_id").cast("double"))
+
+
+@query(
+    f"with {V}, n as (select z::varchar as dataset_id, count(*) filter (mask) as valid_voxels from v group by 1), f(dataset_id, error) as (values ('flat', 'a channel has no spread'), ('twice', 'ValueError(''a voxel is given twice'')'), ('outside', 'no voxel in the mask'), ('absent', 'missing')),"
+    " every as (select dataset_id, valid_voxels, null as error from n where valid_voxels > 0 union all select dataset_id, null, error from f) select dataset_id, length(dataset_id)::double as strain, valid_voxels, error from every"
+)
+def batch_registry(spark, sf):
+    """The registry's datasets: what became of each, those with faults (``FAULTS``) beside the others."""
+    vox, registry = _faulty(spark, sf)
+    found = segmentation.segment(vox, segmentation.Parameters(local_threshold=0.12, tolerance=0.3, min_size=3, kam_size=(1, 3, 3)), registry)
+    return registry.join(found.summary.select("dataset_id", "valid_voxels"), "dataset_id", "left").join(found.failures, "dataset_id", "left")
