@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from voxelmill.operators import filters as L
 from voxelmill.operators import kernels as K
+from voxelmill.operators import meshes as M
 from voxelmill.operators import regions as R
 from voxelmill.operators import shifts as H
 from voxelmill.operators import stencil as S
@@ -547,6 +548,38 @@ def surface_mesh(spark, sf):
     return K.surface_faces(lattice_e(spark, sf))
 
 
+MESH = (
+    f"{E}, {offsets_sql(K.NEAR6)}, q as materialized (select e.label, case when dz <> 0 then 'z' when dy <> 0 then 'y' else 'x' end as axis, (e.z + (dz > 0)::int) as z, (e.y + (dy > 0)::int) as y, (e.x + (dx > 0)::int) as x"
+    " from e, o left join e n on n.z = e.z + o.dz and n.y = e.y + o.dy and n.x = e.x + o.dx and n.label = e.label where e.label > 0 and n.label is null), tn(k, i, j) as (values (0, 0, 0), (1, 0, 1), (2, 1, 1), (3, 1, 0)),"
+    " co as materialized (select label, row_number() over () as f, list((case axis when 'z' then (z, y + i, x + j) when 'y' then (z + i, y, x + j) else (z + i, y + j, x) end) order by k) as c from (select *, row_number() over () as id from q), tn group by id, label),"
+    " ed as materialized (select label, least(c[k], c[k % 4 + 1]) as a, greatest(c[k], c[k % 4 + 1]) as b, count(*) as faces from co, range(1, 5) t(k) group by all)"
+)
+
+
+@query(f"with {MESH} select label, a[1]::int as az, a[2]::int as ay, a[3]::int as ax, b[1]::int as bz, b[2]::int as by, b[3]::int as bx, faces from ed".replace("as by,", "as b_y,"))
+def mesh_edges(spark, sf):
+    """Every edge of the cells' surfaces with the number of its faces: even, so the surfaces are closed."""
+    e = M.edges(M.quads(lattice_e(spark, sf)))
+    return e.select("label", F.col("a.vz").alias("az"), F.col("a.vy").alias("ay"), F.col("a.vx").alias("ax"), F.col("b.vz").alias("bz"), F.col("b.vy").alias("b_y"), F.col("b.vx").alias("bx"), "faces")
+
+
+@query(
+    f"with {MESH}, ln as (select label, a, b from ed union all select label, b, a from ed), sm as (select label, a, (sum(b[1]) + a[1]) * 400.0 / (count(*) + 1) as pz, (sum(b[2]) + a[2]) * 50.0 / (count(*) + 1) as py, (sum(b[3]) + a[3]) * 50.0 / (count(*) + 1) as px from ln group by label, a)"
+    " select label, a[1]::int as vz, a[2]::int as vy, a[3]::int as vx, round(pz, 6)::double as pz, round(py, 6)::double as py, round(px, 6)::double as px from sm"
+)
+def mesh_smoothed(spark, sf):
+    """Corners of the cells' surfaces after one step towards their neighbours' mean."""
+    return M.smooth(M.quads(lattice_e(spark, sf)), "laplacian", 1, (400.0, 50.0, 50.0))
+
+
+@query(f"with {E}, m as (select label, least(1, greatest(0, avg(c0 * 4 + 0.5))) as r, least(1, greatest(0, avg(c1 * 4 + 0.5))) as g, least(1, greatest(0, avg(c0 + c1 + 0.5))) as b from e where label > 0 group by 1) select (x * 50.0)::double as px, (y * 50.0)::double as py, (z * 400.0)::double as pz, label, round(r, 6) as r, round(g, 6) as g, round(b, 6) as b from e join m using (label)")
+def coloured_points(spark, sf):
+    """The cells' voxels as points in their cell's mean colour."""
+    e = lattice_e(spark, sf).withColumns({"r": F.col("c0") * 4 + 0.5, "g": F.col("c1") * 4 + 0.5, "b": F.col("c0") + F.col("c1") + 0.5})
+    points = e.filter("label > 0").select((F.col("x") * 50.0).alias("px"), (F.col("y") * 50.0).alias("py"), (F.col("z") * 400.0).alias("pz"), "label")
+    return points.join(M.colours(e, ("r", "g", "b")), "label")
+
+
 def _planes(spark, sf):
     return lattice_v(spark, sf).withColumn("dataset_id", F.col("z").cast("string")).withColumn("z", F.lit(0))
 
