@@ -86,3 +86,20 @@ def test_a_fault_stays_with_its_dataset(spark):
     alone = segment(vox.filter("dataset_id = 'good'"), p)
     near = lambda s: sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in s.cells.collect())
     assert near(alone) == near(found)
+
+
+def test_sampled_seeds_are_filled_in_one_stage(spark):
+    rng = np.random.default_rng(42)
+    rows = [(d, z, y, x, float(y > 7) + rng.normal(0, 1e-3), float(x > 7) + rng.normal(0, 1e-3)) for d in "ab" for z in range(3) for y in range(16) for x in range(16)]
+    vox = spark.createDataFrame(rows, "dataset_id string, z int, y int, x int, c0 double, c1 double")
+    found = segment(vox, Parameters(local_threshold=0.1, tolerance=0.85, min_size=50, kam_size=(1, 3, 3), seeds=300))
+    summary = {r.dataset_id: r for r in found.summary.collect()}
+    assert set(summary) == {"a", "b"} and all(r.n_markers >= 4 and r.coverage == 1.0 and r.n_cells == 4 for r in summary.values())
+    labels = {}
+    for r in found.voxels.collect():
+        labels.setdefault((r.dataset_id, r.y > 7, r.x > 7), []).append(r.label)
+    main = {q: max(set(v), key=v.count) for q, v in labels.items()}
+    assert all(v.count(main[q]) > 0.9 * len(v) for q, v in labels.items()) and len({main[q] for q in main if q[0] == "a"}) == 4
+    # one seed of each dataset gives at most one marker
+    alone = segment(vox, Parameters(local_threshold=0.1, tolerance=0.85, min_size=1, kam_size=(1, 3, 3), seeds=1)).summary.collect()
+    assert [r.n_markers for r in alone] == [1, 1]

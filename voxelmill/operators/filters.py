@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxelmill.operators.numbering import exact_quantiles, number_keys
-from voxelmill.operators.regions import components, median_field, robust_zscore
+from voxelmill.operators.regions import components, fit_chi, median_field, robust_zscore
 from voxelmill.operators.stencil import COORDS, Arrays, boundaries, box, cross, extent, halved, neighbours, spread, windows
 from voxelmill.session import checkpoint
 
@@ -146,17 +146,25 @@ def wall_cells(vox: DataFrame, percentile: float = 0.7, erosions: int = 1, dilat
     return parts.join(ranks, "component").select(*COORDS, F.col("new").alias("label"))
 
 
-def sample_seeds(vox: DataFrame, n: int, seed: int = 0) -> DataFrame:
-    """``n`` voxels of the mask without replacement, the first in the order of a hash of place and seed."""
+def sample_seeds(vox: DataFrame, n: int, seed: int = 0, by: tuple[str, ...] = ()) -> DataFrame:
+    """``n`` voxels of the mask (of each ``by``) without replacement, the first in the order of a hash of place and seed."""
     word = F.concat_ws("|", *COORDS, F.lit(seed))
-    return vox.filter("mask").select(*COORDS, F.md5(word.cast("binary")).alias("draw")).orderBy("draw").limit(n)
+    drawn = vox.filter("mask").select(*by, *COORDS, F.md5(word.cast("binary")).alias("draw"))
+    if not by:
+        return drawn.orderBy("draw").limit(n)
+    # the limit on ranks is applied before the shuffle too
+    return drawn.withColumn("seed_rank", F.row_number().over(Window.partitionBy(*by).orderBy("draw", *COORDS))).filter(F.col("seed_rank") <= n)
 
 
 def region_summary(cells: DataFrame, edges: DataFrame) -> DataFrame:
-    """One row: cells, voxels, median, mean and deviation of volumes, mean and median of neighbours' misorientations."""
-    a = cells.agg(F.count(F.lit(1)).alias("n_cells"), F.sum("volume_voxels").alias("valid_voxels"), F.percentile("volume_voxels", F.lit(0.5)).alias("median_volume"), F.avg("volume_voxels").alias("mean_volume"), F.stddev_pop("volume_voxels").alias("std_volume"))
-    b = edges.agg(F.avg("misorientation").alias("mean_misorientation"), F.percentile("misorientation", F.lit(0.5)).alias("median_misorientation"))
-    return a.crossJoin(F.broadcast(b))  # a row each
+    """One row: cells, voxels, median, mean and deviation of volumes, mean and median of neighbours' misorientations and
+    their chi fit (null below ten)."""
+    fit = fit_chi(edges, "misorientation")
+    middle = [exact_quantiles(d, c, [0.5])[0] for d, c in ((cells, "volume_voxels"), (edges, "misorientation"))]
+    held = lambda v: F.lit(None if v is None or math.isnan(v) else v).cast("double")
+    b = edges.agg(F.avg("misorientation").alias("m")).first()["m"]
+    a = cells.agg(F.count(F.lit(1)).alias("n_cells"), F.sum("volume_voxels").alias("valid_voxels"), F.avg("volume_voxels").alias("mean_volume"), F.stddev_pop("volume_voxels").alias("std_volume"))
+    return a.select("n_cells", "valid_voxels", held(middle[0]).alias("median_volume"), "mean_volume", "std_volume", held(b).alias("mean_misorientation"), held(middle[1]).alias("median_misorientation"), held(fit["df"]).alias("chi_df"), held(fit["scale"]).alias("chi_scale"))
 
 
 def selected_cells(vox: DataFrame, n: int) -> DataFrame:

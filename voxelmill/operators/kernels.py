@@ -138,12 +138,17 @@ def fillable(pdf: pd.DataFrame, a: np.ndarray, there: np.ndarray, at: np.ndarray
 
 
 def flood_fill(vox: DataFrame, offsets, local: float, channels: tuple[str, ...] = ("c0", "c1"), two_stage: bool = False, errors: bool = False, **options) -> DataFrame:
-    """Exact flood fill of each dataset. Two-stage: seeds are collected first and filled from the largest on. ``errors`` as in ``_by_dataset``."""
+    """Exact flood fill of each dataset. Two-stage: seeds are collected first and filled from the largest on. A column ``seed_rank`` (null: no seed)
+    names the seeds, the first of which is filled first. ``errors`` as in ``_by_dataset``."""
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
         a, there, at = dense(pdf, list(channels))
         mask = fillable(pdf, a, there, at)
         own = dict(options)
+        if "seed_rank" in pdf:
+            picked = pdf["seed_rank"].notna().to_numpy()
+            # the last seed of a list is filled first
+            own |= {"seeds": [tuple(map(int, p)) for p in at[picked][np.argsort(-pdf["seed_rank"].to_numpy(float)[picked])]]}
         if two_stage:
             _, found = flood(a, mask, offsets, local, consume=True, **own)
             own |= {"seeds": [s for _, s in sorted(found, key=lambda f: f[0])]}

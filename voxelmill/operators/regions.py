@@ -226,6 +226,18 @@ def chi_quantiles(values: DataFrame, column: str, n: int = 99) -> DataFrame:
     return both.withColumn("density", chi_pdf(F.col("fitted"), fit["df"], fit["scale"]) if fit["n"] >= 10 else F.lit(None).cast("double"))
 
 
+def chi_density(values: DataFrame, column: str, points: int = 500, top: float = 0.995) -> DataFrame:
+    """The fitted chi density at equal steps from 0 to the quantile ``top`` of the finite positive values: ``k, x, density``;
+    no rows below ten of them."""
+    fine = values.filter((F.col(column) > 0) & (F.col(column) < float("inf")))
+    fit = fit_chi(fine, column)
+    if fit["n"] < 10:
+        return values.sparkSession.createDataFrame([], "k int, x double, density double")
+    high = exact_quantiles(fine, column, [top])[0]
+    steps = values.sparkSession.range(points).select(F.col("id").cast("int").alias("k"), (F.col("id") * F.lit(high / (points - 1))).alias("x"))
+    return steps.withColumn("density", F.when(F.col("x") > 0, chi_pdf(F.col("x"), fit["df"], fit["scale"])).otherwise(0.0))
+
+
 def histogram(values: DataFrame, column: str, bins: int = 50) -> DataFrame:
     """Equal-width bins between least and greatest value: ``bin`` from 0, ``n`` and density."""
     row = values.agg(F.min(column).alias("a"), F.max(column).alias("b"), F.count(column).alias("n")).first()

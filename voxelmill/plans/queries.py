@@ -198,12 +198,30 @@ def chi_sufficient_stats(spark, sf):
     return s.select("n", F.round("sum_sq", 4).alias("sum_sq"), F.round("sum_log_sq", 4).alias("sum_log_sq"))
 
 
-@query()
+#: The fit's degrees of freedom by bisection: ln a - digamma(a), the latter by its series at a + 6.
+PSI = "(ln(a + 6) - 0.5 / (a + 6) - (1 / 12 - (1 / 120 - (1 / 252 - 1 / (240 * (a + 6) ** 2)) / (a + 6) ** 2) / (a + 6) ** 2) / (a + 6) ** 2 - 1 / a - 1 / (a + 1) - 1 / (a + 2) - 1 / (a + 3) - 1 / (a + 4) - 1 / (a + 5))"
+CHI = (
+    f"{EDGES}, cs as (select count(*) as n, avg(misorientation ** 2) as sq, ln(avg(misorientation ** 2)) - avg(2 * ln(misorientation)) as s from t where misorientation > 0 and isfinite(misorientation)),"
+    f" bi(i, lo, hi) as (select 0, 1e-6::double, 1e6::double union all select i + 1, case when ln(a) - {PSI} > s then a else lo end, case when ln(a) - {PSI} > s then hi else a end from (select i, lo, hi, sqrt(lo * hi) as a from bi where i < 200), cs),"
+    " ch as (select case when n >= 10 then 2 * lo end as df, case when n >= 10 then sqrt(sq / (2 * lo)) end as scale, n from bi, cs where i = 200)"
+)
+
+
+@query(f"with recursive {CHI} select round(df, 6) as df, round(scale, 6) as scale, n from ch")
 def chi_fit(spark, sf):
     edges = R.neighbour_table(lattice_e(spark, sf))
     return spark.createDataFrame([R.fit_chi(edges, "misorientation")], "df double, scale double, n long")
 
 
+@query(
+    f"with recursive {CHI}, hi as (select quantile_cont(misorientation, 0.995) as h from t where misorientation > 0), xs as (select k::int as k, k * h / 499 as x from range(500) r(k), hi)"
+    " select k, round(x, 6) as x, case when k = 0 then 0 else round(exp((1 - df / 2) * ln(2::double) + (df - 1) * ln(greatest(x, 1e-300) / scale) - x * x / (2 * scale * scale) - lgamma(df / 2)) / scale, 6) end as density from xs, ch where ch.n >= 10"
+)
+def chi_density(spark, sf):
+    """The fitted density on 500 points."""
+    return R.chi_density(R.neighbour_table(lattice_e(spark, sf)), "misorientation")
+
+
 @query()
 def chi_quantiles(spark, sf):
     return R.chi_quantiles(R.neighbour_table(lattice_e(spark, sf)), "misorientation")
@@ -799,7 +817,10 @@ def sampled_seeds(spark, sf):
     return L.sample_seeds(lattice_v(spark, sf), 100, 42)
 
 
-@query(f"with {EDGES}, cs as (select label, count(*) as n from e where label > 0 group by 1) select n_cells, valid_voxels, median_volume, mean_volume, std_volume, mean_misorientation, median_misorientation from (select count(*) as n_cells, sum(n)::bigint as valid_voxels, round(quantile_cont(n, 0.5), 6) as median_volume, round(avg(n), 6) as mean_volume, round(stddev_pop(n), 6) as std_volume from cs), (select round(avg(misorientation), 6) as mean_misorientation, round(quantile_cont(misorientation, 0.5), 6) as median_misorientation from t)")
+@query(
+    f"with recursive {CHI}, vo as (select label, count(*) as n from e where label > 0 group by 1) select n_cells, valid_voxels, median_volume, mean_volume, std_volume, mean_misorientation, median_misorientation, round(df, 6) as chi_df, round(scale, 6) as chi_scale"
+    " from (select count(*) as n_cells, sum(n)::bigint as valid_voxels, round(quantile_cont(n, 0.5), 6) as median_volume, round(avg(n), 6) as mean_volume, round(stddev_pop(n), 6) as std_volume from vo), (select round(avg(misorientation), 6) as mean_misorientation, round(quantile_cont(misorientation, 0.5), 6) as median_misorientation from t), ch"
+)
 def common_region_summary(spark, sf):
     return L.region_summary(R.cell_table(lattice_e(spark, sf)), R.neighbour_table(lattice_e(spark, sf)))
 
@@ -836,6 +857,13 @@ def batch_segmentation(spark, sf):
     return _segmented(spark, sf).cells
 
 
+@query()
+def batch_sampled_seeds(spark, sf):
+    """Markers and cells of every volume from 300 seeds drawn beforehand."""
+    p = segmentation.Parameters(local_threshold=0.12, tolerance=0.3, min_size=3, kam_size=(1, 3, 3), seeds=300)
+    return segmentation.segment(_volumes(spark, sf), p).summary.select("dataset_id", "valid_voxels", "n_markers", "marker_coverage", "n_cells", "coverage")
+
+
 @query()
 def batch_summary(spark, sf):
     return _segmented(spark, sf).summary

@@ -13,6 +13,7 @@ from voxelmill.operators import kernels as K
 from voxelmill.operators import regions as R
 from voxelmill.operators import stencil as S
 from voxelmill.operators.components import connected_components
+from voxelmill.operators.filters import sample_seeds
 from voxelmill.operators.numbering import group_quantiles, number_keys
 from voxelmill.session import checkpoint, materialize
 
@@ -34,6 +35,8 @@ class Parameters:
     low: float = 0.01
     high: float = 0.99
     seed: int = 42
+    #: So many seeds of each dataset, drawn from its voxels beforehand, are filled in one stage; None: the two-stage fill.
+    seeds: int | None = None
 
 
 @dataclass
@@ -110,7 +113,11 @@ def segment(vox: DataFrame, parameters: Parameters | None = None, registry: Data
         vox = vox.join(registry.select(*BY), key, "left_semi")
     inside = vox.filter("mask") if "mask" in vox.columns else vox
     scaled = materialize(normalise(inside.select(*BY, *S.COORDS, *p.channels), p.channels, p.low, p.high), "normalised")
-    filled = K.flood_fill(scaled, p.footprint, p.local_threshold, p.channels, two_stage=True, errors=True, cap=p.global_threshold, tolerance=p.tolerance, min_size=p.min_size, max_iterations=p.max_iterations, seed=p.seed)
+    start = scaled
+    if p.seeds is not None:
+        drawn = sample_seeds(scaled.withColumn("mask", F.lit(True)), p.seeds, p.seed, BY).drop("draw")
+        start = scaled.join(drawn, [*BY, *S.COORDS], "left")
+    filled = K.flood_fill(start, p.footprint, p.local_threshold, p.channels, two_stage=p.seeds is None, errors=True, cap=p.global_threshold, tolerance=p.tolerance, min_size=p.min_size, max_iterations=p.max_iterations, seed=p.seed)
     filled = materialize(filled, "filled")
     seeds = filled.filter("error is null").drop("error")
     markers = seeds.filter("label > 0").groupBy(*BY).agg(F.countDistinct("label").alias("n_markers"), F.count(F.lit(1)).alias("marker_voxels"))
