@@ -27,81 +27,118 @@ def dense(pdf: pd.DataFrame, columns: list[str], fill: float = np.nan) -> tuple[
     at = pdf[COORDS].to_numpy(np.int64)
     if (at < 0).any():
         raise ValueError("a coordinate is negative")
-    if len(np.unique(at, axis=0)) < len(at):
-        raise ValueError("a voxel is given twice")
     shape = tuple(at.max(0) + 1)
     a = np.full((*shape, len(columns)), fill, np.float64)
     a[tuple(at.T)] = pdf[columns].to_numpy(np.float64)
     there = np.zeros(shape, bool)
     there[tuple(at.T)] = True
+    if there.sum() < len(at):
+        raise ValueError("a voxel is given twice")
     return a, there, at
 
 
-def grow_region(field: np.ndarray, free: np.ndarray, seed: tuple[int, int, int], offsets, local: float, cap: float, tolerance: float) -> list[tuple[int, int, int]]:
-    """Voxels of one region, depth first. A voxel joins where enough of its free neighbours are near to it (and, with a
-    cap above 0, near to the region's running mean); single precision throughout."""
-    shape = free.shape
-    if any(not 0 <= c < n for c, n in zip(seed, shape)) or not free[seed]:
-        return []
-    channels = field.shape[-1]
-    limit, cap_limit, tol = np.float32(local) ** 2 * np.float32(channels), np.float32(cap) ** 2 * np.float32(channels), np.float32(tolerance)
-    mean, n, region, seen, stack = field[seed].astype(np.float32), 0, [], {seed}, [seed]
-    while stack:
-        at = stack.pop()
-        valid, passing = 0, []
-        for o in offsets:
-            to = (at[0] + o[0], at[1] + o[1], at[2] + o[2])
-            if not all(0 <= c < m for c, m in zip(to, shape)) or not free[to]:
+def near_bits(field: np.ndarray, offsets, local: float) -> list[np.ndarray]:
+    """For each offset, the flat array of voxels whose neighbour there is near to them."""
+    limit, shape, out = np.float32(local) ** 2 * np.float32(field.shape[-1]), field.shape[:-1], []
+    for o in offsets:
+        near = np.zeros(shape, bool)
+        own = tuple(slice(max(0, -d), n - max(0, d)) for d, n in zip(o, shape))
+        to = tuple(slice(max(0, d), n - max(0, -d)) for d, n in zip(o, shape))
+        if all(abs(d) < n for d, n in zip(o, shape)):
+            near[own] = ((field[to] - field[own]) ** 2).sum(-1, dtype=np.float32) < limit
+        out.append(near.ravel())
+    return out
+
+
+class Growth:
+    """Regions of one field, each grown depth first. A voxel joins where enough of its free neighbours are near to it (and, with a cap
+    above 0, near to the region's running mean); single precision throughout. Which neighbours are near to a voxel doesn't
+    depend on the region, so it is found once, by array shifts, over a frame that is never free."""
+
+    def __init__(self, field: np.ndarray, offsets, local: float, cap: float, tolerance: float) -> None:
+        self.pads = [max((abs(o[k]) for o in offsets), default=0) for k in range(3)]
+        wide = np.pad(field.astype(np.float32), [*((p, p) for p in self.pads), (0, 0)])
+        self.shape = wide.shape[:-1]
+        strides = (self.shape[1] * self.shape[2], self.shape[2], 1)
+        steps = [sum(d * s for d, s in zip(o, strides)) for o in offsets]
+        # neighbours in the offsets' order, each with its nearness as a byte string, which plain Python reads fast
+        self.around = [(step, near.tobytes()) for step, near in zip(steps, near_bits(wide, offsets, local))]
+        self.flat = wide.reshape(-1, wide.shape[-1])
+        self.cap, self.tolerance = cap, np.float32(tolerance)
+        self.cap_limit = np.float32(cap) ** 2 * np.float32(field.shape[-1])
+        self.need = [math.ceil(self.tolerance * np.float32(n)) for n in range(len(offsets) + 1)]
+
+    def wide(self, free: np.ndarray) -> bytearray:
+        return bytearray(np.pad(free.astype(np.uint8), [(p, p) for p in self.pads]).tobytes())
+
+    def place(self, at: tuple[int, int, int]) -> int:
+        z, y, x = (c + p for c, p in zip(at, self.pads))
+        return (z * self.shape[1] + y) * self.shape[2] + x
+
+    def grow(self, free: bytearray, seed: int) -> list[int]:
+        if not free[seed]:
+            return []
+        around, need, capped, flat = self.around, self.need, self.cap > 0, self.flat
+        mean, n, region, seen, stack = flat[seed], 0, [], {seed}, [seed]
+        while stack:
+            at = stack.pop()
+            valid, passing = 0, []
+            for step, near in around:
+                to = at + step
+                if free[to]:
+                    valid += 1
+                    if near[at] and (not capped or ((flat[to] - mean) ** 2).sum(dtype=np.float32) < self.cap_limit):
+                        passing.append(to)
+            if at != seed and len(passing) < need[valid]:
                 continue
-            valid += 1
-            if ((field[to] - field[at]) ** 2).sum(dtype=np.float32) < limit and (cap <= 0 or ((field[to] - mean) ** 2).sum(dtype=np.float32) < cap_limit):
-                passing.append(to)
-        if at != seed and len(passing) < math.ceil(tol * np.float32(valid)):
-            continue
-        region.append(at)
-        n += 1
-        mean = mean + (field[at] - mean) / np.float32(n)
-        for to in passing:
-            if to not in seen:
-                seen.add(to)
-                stack.append(to)
-    return region
+            region.append(at)
+            n += 1
+            if capped:
+                mean = mean + (flat[at] - mean) / np.float32(n)
+            for to in passing:
+                if to not in seen:
+                    seen.add(to)
+                    stack.append(to)
+        return region
 
 
 def flood(field: np.ndarray, mask: np.ndarray, offsets, local: float, cap: float | None = None, tolerance: float = 0.9, max_iterations: int | None = 250, min_size: int = 50, seeds=None, fill_remaining: bool = False, seed: int | None = None, consume: bool = False) -> tuple[np.ndarray, list[tuple[int, tuple]]]:
     """Label a volume from seeds (last first), then from random voxels; ``consume`` also takes the small regions out.
 
     Each seed costs an iteration; with ``max_iterations`` None they go on until no seed is left."""
-    field, free = field.astype(np.float32), mask.copy()
-    pool_mask, out, found = mask.copy(), np.zeros(mask.shape, np.int32), []
+    growth = Growth(field, offsets, local, cap or -1.0, tolerance)
+    free, pool = growth.wide(mask), growth.wide(mask)
+    out, found = np.zeros(len(free), np.int32), []
+    inside = lambda at: all(0 <= c < n for c, n in zip(at, mask.shape))
     rng = np.random.Generator(np.random.Philox(0 if seed is None or seed < 0 else seed))
     order = rng.permutation(np.flatnonzero(mask.ravel()))
     user, k = list(seeds) if seeds is not None else [], 0
+    drawn = [growth.place(p) for p in np.stack(np.unravel_index(order, mask.shape), 1).tolist()]
     for _ in count() if max_iterations is None else range(max_iterations):
-        while user and not (free[user[-1]] and pool_mask[user[-1]]):
+        while user and not (inside(user[-1]) and free[growth.place(user[-1])] and pool[growth.place(user[-1])]):
             user.pop()
         if user:
-            at = user.pop()
+            at = growth.place(user.pop())
         elif seeds is not None and not fill_remaining:
             break
         else:
-            while k < len(order) and not pool_mask[np.unravel_index(order[k], mask.shape)]:
+            while k < len(drawn) and not pool[drawn[k]]:
                 k += 1
-            if k == len(order):
+            if k == len(drawn):
                 break
-            at = tuple(int(v) for v in np.unravel_index(order[k], mask.shape))
-        region = grow_region(field, free, at, offsets, local, cap or -1.0, tolerance)
-        where = tuple(np.array(region).T) if region else ()
-        if region:
-            pool_mask[where] = False
-        pool_mask[at] = False
+            at = drawn[k]
+        region = growth.grow(free, at)
+        for p in region:
+            pool[p] = 0
+        pool[at] = 0
         if len(region) >= min_size and region:
-            found.append((len(region), at))
-            out[where] = len(found)
-            free[where] = False
-        elif consume and region:
-            free[where] = False
-    return out, found
+            found.append((len(region), tuple(int(v) - p for v, p in zip(np.unravel_index(at, growth.shape), growth.pads))))
+            out[region] = len(found)
+        if region and (consume or len(region) >= min_size):
+            for p in region:
+                free[p] = 0
+    own = tuple(slice(p, n - p) for p, n in zip(growth.pads, growth.shape))
+    return out.reshape(growth.shape)[own].copy(), found
 
 
 LABELLED = "dataset_id string, z int, y int, x int, label int"

@@ -53,15 +53,21 @@ def exact_quantiles(values: DataFrame, column: str, probs: list[float], in_one_t
     return out
 
 
-def group_quantiles(values: DataFrame, keys: list[str], wants: dict[str, tuple[str, float]], in_one_task: int = 1_000_000) -> DataFrame:
+def greatest_group(rows: DataFrame, keys: list[str]) -> int:
+    return rows.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+
+
+def group_quantiles(values: DataFrame, keys: list[str], wants: dict[str, tuple[str, float]], in_one_task: int = 1_000_000, most: int | None = None) -> DataFrame:
     """``keys`` and, for each ``name: (column, share)``, that exact quantile of the group's non-null values, NaN being the greatest.
 
     Groups of up to ``in_one_task`` rows are one aggregate each. With a greater group, equal values are counted together
     and sorted by range over (group, column, value), so a hot group is split over tasks; the ranges' sizes tell in which
-    one a wanted place lies, and only there values are numbered. Both ways give the same numbers."""
+    one a wanted place lies, and only there values are numbered. Both ways give the same numbers. ``most`` is the greatest group's size, where it is known."""
     columns = list(dict.fromkeys(c for c, _ in wants.values()))
     own = values.select(*keys, *(F.col(c).cast("double").alias(c) for c in columns))
-    if (own.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0) <= in_one_task:
+    if most is None:
+        most = greatest_group(own, keys)
+    if most <= in_one_task:
         return own.groupBy(*keys).agg(*(F.percentile(c, F.lit(p)).alias(n) for n, (c, p) in wants.items()))
     key = F.struct(*keys).alias("_k")  # nulls in a struct are equal to each other
     counted = own.select(key, F.posexplode(F.array(*columns)).alias("_c", "_v")).filter("_v is not null").groupBy("_k", "_c", "_v").agg(F.count(F.lit(1)).alias("_n"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from voxelmill.functions import chi_pdf, chi_quantile
 from voxelmill.operators.components import connected_components
-from voxelmill.operators.numbering import exact_quantiles, group_quantiles, number_keys
+from voxelmill.operators.numbering import exact_quantiles, greatest_group, group_quantiles, number_keys
 from voxelmill.session import materialize
 from voxelmill.operators.stencil import COORDS, contacts, extent, halved, neighbours, other_label, same_label, touching
 
@@ -52,11 +52,12 @@ def cell_table(vox: DataFrame, channels: tuple[str, ...] = ("c0", "c1"), boxes:
     place = [f(c).alias(n + c) for n, f in (("c", F.avg), ("min_", F.min), ("max_", F.max)) for c in COORDS] if boxes else []
     key = [*by, "label"]
     counts = cells.groupBy(*key).agg(F.count(F.lit(1)).alias("volume_voxels"), *(F.avg(own(c)).alias(f"mean_{c}") for c in channels), *place)
-    middle = group_medians(cells.filter("fine").select(*key, *channels), key, channels)
+    most = greatest_group(cells.select(*key), key)
+    middle = group_quantiles(cells.filter("fine").select(*key, *channels), key, {f"median_{c}": (c, 0.5) for c in channels}, most=most)
     spread = F.sqrt(sum(((F.col(c) - F.col(f"median_{c}")) ** 2 for c in channels), F.lit(0.0)))
     apart = cells.filter("fine").select(*key, *channels).join(middle, key).select(*key, spread.alias("d"))
     mean = apart.groupBy(*key).agg(F.avg("d").alias("internal_spread_mean"))
-    share = group_quantiles(apart, key, {"internal_spread_median": ("d", 0.5), "internal_spread_q95": ("d", 0.95)})
+    share = group_quantiles(apart, key, {"internal_spread_median": ("d", 0.5), "internal_spread_q95": ("d", 0.95)}, most=most)
     out = counts.join(middle, key, "left").join(mean, key, "left").join(share, key, "left")
     return out.select(*key, "volume_voxels", *(f"median_{c}" for c in channels), *(f"mean_{c}" for c in channels), *(n + c for n in ("c", "min_", "max_") for c in COORDS if boxes), "internal_spread_median", "internal_spread_mean", "internal_spread_q95")
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 from itertools import product
 
 import numpy as np
@@ -12,12 +11,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxelmill.operators.stencil import COORDS, TILES, _dealt, _place
+from voxelmill.operators.stencil import COORDS, TILES, _dealt
 from voxelmill.session import materialize
 
 Offset = tuple[int, int, int]
-#: A distance's 64 bits are told apart 16 at a time.
-BITS = 16
+#: Leading bits of a distance that the first pass counts by: sign, exponent and six more.
+BITS = 18
 
 
 def correlate(ref: np.ndarray, mov: np.ndarray, phase: bool = True) -> tuple[tuple[int, ...], float]:
@@ -86,8 +85,9 @@ def refine_shift(ref: DataFrame, mov: DataFrame, radius: Offset = (1, 4, 8), ste
     median distance of the channels, plus 0.25 of the overlap's share of ``ref``; trials under ``min_voxels`` common voxels are
     left out. ``best`` marks the greatest score, ties the initial shift, then the earlier trial.
 
-    No row per voxel and trial leaves a tile. Moments are summed there; the exact median is found digit by digit: each of four
-    passes counts, in the tiles, the next 16 bits of the distances that begin like the median, so a pass sends counts alone."""
+    No row per voxel and trial leaves a tile: voxels and neighbours are slices of dense arrays. Moments are summed there; the
+    exact median takes two passes, the first of which counts distances by their leading bits, the second the values of those alone
+    that begin like the median (about one in a hundred and fifty)."""
     key = list(by) or ["_all"]
     if not by:
         ref, mov = ref.withColumn("_all", F.lit(0)), mov.withColumn("_all", F.lit(0))
@@ -105,20 +105,35 @@ def refine_shift(ref: DataFrame, mov: DataFrame, radius: Offset = (1, 4, 8), ste
 
     def parts(tile: pa.Table) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
         """By trial: the voxels' and neighbours' feature and the bits of their distance (no NaN), which sort like it."""
-        rows, neighbour = _place(tile)
+        at = np.stack([tile[c].to_numpy().astype(np.int64) for c in COORDS], 1)
+        home, away = (np.flatnonzero(tile[c].to_numpy(zero_copy_only=False)) for c in ("_own", "_other"))
+        if not len(home) or not len(away):
+            return
+        low, size = at[home].min(0), at[home].max(0) - at[home].min(0) + 1
+        wide = size + 2 * np.array(reach)
+        near = away[((at[away] >= low - reach) & (at[away] < low + size + reach)).all(1)]
         v = {c: tile[c].to_numpy() for c in carry}
+        fixed_there, moved_there = np.zeros(size, bool), np.zeros(wide, bool)
+        fixed_there[tuple((at[home] - low).T)] = True
+        moved_there[tuple((at[near] - low + reach).T)] = True
+        a, b = {}, {}
+        for c in carry:
+            a[c], b[c] = np.zeros(size), np.zeros(wide)
+            a[c][tuple((at[home] - low).T)] = v[c][home] - (about if c == feature else 0.0)
+            b[c][tuple((at[near] - low + reach).T)] = v[c][near] - (about if c == feature else 0.0)
         for k, t in enumerate(trials):
-            to = neighbour(rows, tuple(-s for s in t))
-            a, b = rows[to >= 0], to[to >= 0]
-            if len(a):
-                d = np.sqrt(sum((v[c][a] - v[c][b]) ** 2 for c in channels))
-                yield k, v[feature][a] - about, v[feature][b] - about, d[~np.isnan(d)].view(np.int64)
+            box = tuple(slice(r - s, r - s + n) for r, s, n in zip(reach, t, size))
+            both = fixed_there & moved_there[box]
+            if both.any():
+                x, y = {c: a[c][both] for c in carry}, {c: b[c][box][both] for c in carry}
+                d = np.sqrt(sum((x[c] - y[c]) ** 2 for c in channels))
+                yield k, x[feature], y[feature], d[~np.isnan(d)].view(np.int64)
 
     def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tile, out = pa.Table.from_batches(list(batches)), []
         for k, a, b, bits in parts(tile):
             code, n = np.unique(bits >> (64 - BITS), return_counts=True)
-            out.append((k, len(a), a.sum(), b.sum(), (a * a).sum(), (b * b).sum(), (a * b).sum(), code.tolist(), n.tolist()))
+            out.append((k, len(a), a.sum(), b.sum(), a @ a, b @ b, a @ b, code.tolist(), n.tolist()))
         if out:
             names = ["k", "n", "a", "b", "aa", "bb", "ab", "code", "c"]
             types = [pa.int32(), pa.int64(), *[pa.float64()] * 5, pa.list_(pa.int64()), pa.list_(pa.int64())]
@@ -140,35 +155,33 @@ def refine_shift(ref: DataFrame, mov: DataFrame, radius: Offset = (1, 4, 8), ste
 
     def settled(rows: DataFrame, name: str) -> DataFrame:
         """The code that holds each wanted place, and the place among its own."""
-        upto = F.sum("c").over(Window.partitionBy(*key, "k", "side").orderBy("code"))  # at most 2^16 codes
+        upto = F.sum("c").over(Window.partitionBy(*key, "k", "side").orderBy("code"))  # of one trial
         found = rows.withColumn("upto", upto).filter((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("c")))
         return materialize(found.select(*key, "k", "side", "code", (F.col("rank") - F.col("upto") + F.col("c")).alias("rank"), "value"), name)
 
-    wanted = settled(wanted, "trial-digit-1")
+    wanted = settled(wanted, "trial-beginnings")
     tiles = dealt.select(*(F.col(c).alias(c) for c in (*key, *TILES))).distinct()  # columns of its own beside those of dealt
-    def counter(shift: int):
-        def count(tile: pa.Table, want: pa.Table) -> pa.Table:
-            codes, out = {}, ([], [], [], [])
-            for w in want["asked"][0].as_py() if len(want) else []:
-                codes.setdefault(w["k"], []).append(w["code"])
-            for k, _, _, bits in parts(tile) if codes and len(tile) else []:
-                own = np.sort(bits[np.isin(bits >> (shift + BITS), codes.get(k, []))])
-                if len(own):
-                    code, at, c = np.unique(own >> shift, return_index=True, return_counts=True)
-                    for x, y in zip(out, (np.full(len(code), k), code, c, own[at].view(np.float64))):
-                        x.append(y)
-            flat = [np.concatenate(x) if x else np.zeros(0, t) for x, t in zip(out, (np.int64, np.int64, np.int64, np.float64))]
-            source = tile if len(tile) else want
-            first = [pa.array([source[c][0].as_py()] * len(flat[0]), source.schema.field(c).type) for c in key]
-            return pa.table([*first, pa.array(flat[0].astype(np.int32)), *map(pa.array, flat[1:])], names=[*key, "k", "code", "c", "value"])
-
-        return count
-
-    for digit in range(2, 64 // BITS + 1):
-        asked = tiles.join(wanted.groupBy(*key).agg(F.collect_set(F.struct("k", "code")).alias("asked")), key)  # two codes a trial
-        found = dealt.groupBy(*key, *TILES).cogroup(asked.groupBy(*key, *TILES)).applyInArrow(counter(64 - BITS * digit), f"{names}, k int, code long, c long, value double")
-        found = found.groupBy(*key, "k", "code").agg(F.sum("c").alias("c"), F.min("value").alias("value")).withColumn("above", F.shiftright("code", BITS))
-        wanted = settled(found.join(wanted.select(*key, "k", "side", "rank", F.col("code").alias("above")), [*key, "k", "above"]), f"trial-digit-{digit}")
+    def values(tile: pa.Table, want: pa.Table) -> pa.Table:
+        """Counts of the whole distances that begin like a wanted place's."""
+        codes, out = {}, ([], [], [], [])
+        for w in want["asked"][0].as_py() if len(want) else []:
+            codes.setdefault(w["k"], []).append(w["code"])
+        for k, _, _, bits in parts(tile) if codes and len(tile) else []:
+            begin = bits >> (64 - BITS)
+            own = bits[np.logical_or.reduce([begin == c for c in codes.get(k, [-1])])]
+            if len(own):
+                code, c = np.unique(own, return_counts=True)
+                for x, y in zip(out, (np.full(len(code), k), code, c, code.view(np.float64))):
+                    x.append(y)
+        flat = [np.concatenate(x) if x else np.zeros(0, t) for x, t in zip(out, (np.int64, np.int64, np.int64, np.float64))]
+        source = tile if len(tile) else want
+        first = [pa.array([source[c][0].as_py()] * len(flat[0]), source.schema.field(c).type) for c in key]
+        return pa.table([*first, pa.array(flat[0].astype(np.int32)), *map(pa.array, flat[1:])], names=[*key, "k", "code", "c", "value"])
+
+    asked = tiles.join(wanted.groupBy(*key).agg(F.collect_set(F.struct("k", "code")).alias("asked")), key)  # two codes a trial
+    found = dealt.groupBy(*key, *TILES).cogroup(asked.groupBy(*key, *TILES)).applyInArrow(values, f"{names}, k int, code long, c long, value double")
+    found = found.groupBy(*key, "k", "code").agg(F.sum("c").alias("c"), F.min("value").alias("value")).withColumn("above", F.shiftright("code", 64 - BITS))
+    wanted = settled(found.join(wanted.select(*key, "k", "side", "rank", F.col("code").alias("above")), [*key, "k", "above"]), "trial-middles")
     middle = wanted.groupBy(*key, "k").agg(F.avg("value").alias("apart"))
 
     places = ref.sparkSession.createDataFrame([(k, *t) for k, t in enumerate(trials)], "k int, sz int, sy int, sx int")

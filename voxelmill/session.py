@@ -10,10 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """Folder shared by driver and executors: ``spark.checkpoint.dir``, or a temporary one where that is unset (tests)."""
+    """Folder shared by driver and executors: ``spark.checkpoint.dir``, or a temporary one where that is unset and driver and
+    executors are one process (tests). On a cluster an unset folder is an error."""
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
+        if root is None and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir names no shared folder for scratch tables")
         sc.setCheckpointDir(root or tempfile.mkdtemp(prefix="voxelmill-checkpoint-"))
     return root or sc.getCheckpointDir()
 
