@@ -54,6 +54,35 @@ def test_contacts_and_registration_feature(spark):
     assert {r.contact for r in alone} == {0.0}
 
 
+def test_registration_feature_by_arrays(spark):
+    vox, c, label, mask = table(spark, (3, 8, 9), 11)
+    label = np.where(mask, label, 0)
+
+    def score(v):
+        middle = np.median(v[mask])
+        scale = 1.4826 * np.median(np.abs(v[mask] - middle)) or v[mask].std() or 1.0
+        return np.where(mask, np.clip((v - middle) / scale, -5, 5), 0.0)
+
+    painted = np.zeros_like(c)
+    for k in (1, 2):
+        painted[label == k] = np.median(c[label == k], axis=0)
+    size = score(np.hypot(score(painted[..., 0]), score(painted[..., 1])))
+    met = np.zeros(mask.shape)
+    for p in np.argwhere(label > 0):
+        for o in [(0, dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1)] + [(1, 0, 0), (-1, 0, 0)]:
+            q = p + o
+            if (q >= 0).all() and (q < mask.shape).all() and label[tuple(q)] not in (0, label[tuple(p)]):
+                met[tuple(p)] = 1.0
+    for k, s in enumerate((0.5, 1.0, 1.0)):
+        r = int(4 * s + 0.5)
+        w = np.exp(-0.5 * (np.arange(-r, r + 1) / s) ** 2)
+        wide = np.pad(met, [(r, r) if a == k else (0, 0) for a in range(3)], mode="symmetric")
+        met = sum(x * np.take(wide, range(i, i + mask.shape[k]), axis=k) for i, x in enumerate(w / w.sum()))
+    want = score(size + 0.35 * score(met))
+    got = L.registration_feature(vox).collect()
+    assert len(got) == want.size and all(abs(r.feature - want[r.z, r.y, r.x]) < 1e-8 for r in got)
+
+
 def test_walls_and_empty_masks(spark):
     vox, c, _, mask = table(spark)
     wall = mask & (c[..., 0] >= np.percentile(c[..., 0][mask], 80))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
@@ -49,8 +49,3 @@ def chi_quantile(q: float, df: float, scale: float) -> float:
         mid = (low + high) / 2
         low, high = (mid, high) if gamma_p(df / 2, mid * mid / 2) < q else (low, mid)
     return scale * (low + high) / 2
-
-
-def sampled_seeds(vox: DataFrame, n: int, seed: int = 0) -> DataFrame:
-    """n voxels of the mask without replacement, in an order that no partitioning changes."""
-    return vox.filter("mask").orderBy(F.xxhash64("z", "y", "x", F.lit(seed)), "z", "y", "x").limit(n).select("z", "y", "x")

@@ -31,10 +31,12 @@ def _columns(rows: pa.Table, names: list[str]) -> list[list]:
     return [rows[c].to_pylist() for c in names]
 
 
-def _near(at: list[tuple[int, int, int]]) -> list[list[int]]:
-    """Each voxel's neighbours that are in the tile or its halo."""
-    where = {p: k for k, p in enumerate(at)}
-    return [[where[q] for dz, dy, dx in NEAR6 if (q := (p[0] + dz, p[1] + dy, p[2] + dx)) in where] for p in at]
+def _frame(rows: pa.Table) -> tuple[list[int], list[int], int]:
+    """Each voxel's place in a flat box with a free border, the steps to its six neighbours there, and the box's size."""
+    at = np.stack([rows[c].to_numpy().astype(np.int64) for c in S.COORDS], 1)
+    size = at.max(0) - at.min(0) + 3
+    strides = (int(size[1] * size[2]), int(size[2]), 1)
+    return np.ravel_multi_index(tuple((at - at.min(0) + 1).T), size).tolist(), [sum(d * t for d, t in zip(o, strides)) for o in NEAR6], int(size.prod())
 
 
 def _rounds(state: DataFrame, kernel, name: str) -> DataFrame:
@@ -57,50 +59,64 @@ def _kept(tile: pa.Table, values: dict[str, list]) -> pa.Table:
     return out.take(own)
 
 
+UNSEEN = (math.inf, 0)
+
+
 def _passes(tile: pa.Table) -> pa.Table:
     """The least height, as (feature, place) of its voxel, over which each voxel can be reached from a marker."""
     own, f, place, label, pass_f, pass_place, changed = _columns(tile, ["_own", *STATE])
     if not any(c and not o for c, o in zip(changed, own)) and not any(k and p is None for p, k in zip(pass_f, label)):
         return _kept(tile, {"changed": [False] * len(own)})
-    at = list(zip(*_columns(tile, S.COORDS)))
-    near, key = _near(at), list(zip(f, place))
-    best = [key[k] if label[k] else (pass_f[k], pass_place[k]) if pass_f[k] is not None else (math.inf, 0) for k in range(len(at))]
-    now = [False] * len(at)
-    for k in range(len(at)):
-        if label[k] and pass_f[k] is None:
-            now[k] = True
-    heap = [(best[k], k) for k in range(len(at)) if best[k][0] < math.inf and (not own[k] or label[k])]
+    at, steps, size = _frame(tile)
+    open_, key, best, now = bytearray(size), [UNSEEN] * size, [UNSEEN] * size, bytearray(size)
+    heap = []
+    for k, p in enumerate(at):
+        key[p] = (f[k], place[k])
+        if own[k] and not label[k]:
+            open_[p] = 1
+        if label[k]:
+            best[p], now[p] = key[p], pass_f[k] is None
+        elif pass_f[k] is not None:
+            best[p] = (pass_f[k], pass_place[k])
+        if best[p] is not UNSEEN and not open_[p]:
+            heap.append((best[p], p))
     heapq.heapify(heap)
     while heap:
-        height, k = heapq.heappop(heap)
-        if height > best[k]:
+        height, p = heapq.heappop(heap)
+        if height > best[p]:
             continue
-        for n in near[k]:
-            if own[n] and not label[n]:
-                over = max(height, key[n])
+        for step in steps:
+            n = p + step
+            if open_[n]:
+                over = key[n] if key[n] > height else height
                 if over < best[n]:
-                    best[n], now[n] = over, True
+                    best[n], now[n] = over, 1
                     heapq.heappush(heap, (over, n))
-    reached = [b[0] < math.inf for b in best]
-    return _kept(tile, {"pass_f": [b[0] if r else None for b, r in zip(best, reached)], "pass_place": [b[1] if r else None for b, r in zip(best, reached)], "changed": now})
+    found = [best[p] for p in at]
+    return _kept(tile, {"pass_f": [None if b is UNSEEN else b[0] for b in found], "pass_place": [None if b is UNSEEN else b[1] for b in found], "changed": [bool(now[p]) for p in at]})
 
 
 def _labels(tile: pa.Table) -> pa.Table:
     """Labels handed on: along one pass to the voxels beyond it, and to a voxel that is a pass itself from its least neighbour."""
     own, f, place, label, pass_f, pass_place, changed = _columns(tile, ["_own", *STATE])
-    at = list(zip(*_columns(tile, S.COORDS)))
-    near, key = _near(at), list(zip(f, place))
-    best = [(a, b) if a is not None else None for a, b in zip(pass_f, pass_place)]
-    now, queue = [False] * len(at), deque(k for k in range(len(at)) if label[k])
+    if not any(changed):
+        return _kept(tile, {"changed": changed})
+    at, steps, size = _frame(tile)
+    open_, key, best, marks, now = bytearray(size), [UNSEEN] * size, [UNSEEN] * size, [0] * size, bytearray(size)
+    for k, p in enumerate(at):
+        key[p], marks[p] = (f[k], place[k]), label[k]
+        if pass_f[k] is not None:
+            best[p] = (pass_f[k], pass_place[k])
+            open_[p] = own[k] and not label[k]
+    queue = deque(p for p in at if marks[p])
     while queue:
-        k = queue.popleft()
-        for n in near[k]:
-            if own[n] and not label[n] and best[n] is not None:
-                wanted = min(best[m] for m in near[n] if best[m] is not None) if best[n] == key[n] else best[n]
-                if best[k] == wanted:
-                    label[n], now[n] = label[k], True
-                    queue.append(n)
-    return _kept(tile, {"label": label, "changed": now})
+        p = queue.popleft()
+        for step in steps:
+            n = p + step
+            if open_[n] and best[p] == (min(best[n + t] for t in steps) if best[n] == key[n] else best[n]):
+                marks[n], now[n], open_[n] = marks[p], 1, 0
+                queue.append(n)
+    return _kept(tile, {"label": [marks[p] for p in at], "changed": [bool(now[p]) for p in at]})
 
 
 def watershed(vox: DataFrame, feature: str = "c0") -> DataFrame:
@@ -114,7 +130,7 @@ def watershed(vox: DataFrame, feature: str = "c0") -> DataFrame:
     most = vox.groupBy(*BY).agg(F.coalesce(F.max(fine), F.lit(1.0)).alias("_most"))
     state = vox.join(most, list(BY)).select(*BY, *S.COORDS, F.coalesce(fine, "_most").alias("f"), F.expr("(cast(z as long) << 42) | (cast(y as long) << 21) | x").alias("place"), F.coalesce(F.col("label"), F.lit(0)).cast("int").alias("label"), F.lit(None).cast("double").alias("pass_f"), F.lit(None).cast("long").alias("pass_place"), F.lit(True).alias("changed"))
     state = _rounds(materialize(state, "flood-start"), _passes, "flood-passes")
-    return _rounds(state, _labels, "flood-labels").select(*BY, *S.COORDS, "label")
+    return _rounds(state.withColumn("changed", F.lit(True)), _labels, "flood-labels").select(*BY, *S.COORDS, "label")
 
 
 HALO = 16
