@@ -61,3 +61,30 @@ def test_ids_of_any_type_and_odd_rows(spark):
         found = {(r.text, r.predicted) for r in out.collect()}
         assert out.count() == len(rows) + 2 and found == {("vile thing", 1), ("fine thing", 0)}
         assert toxicity.score(docs.limit(0), labels).count() == 0
+
+
+def test_a_word_takes_toxicity_away(spark):
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(300)]
+    rows = []
+    for i in range(3000):
+        kind = i % 25
+        # "quote" stands in toxic and clean texts at the general rate, but never beside "vile" in a toxic one
+        extra = {0: "vile", 1: "vile", 2: "vile", 3: "vile quote", 4: "vile quote", 5: "grim quote", 6: "quote", 7: "quote"}.get(kind, "")
+        toxic = extra in ("vile", "grim quote")
+        rows.append((i, " ".join([*rng.choice(words, 30), *extra.split()]), toxic, extra))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(y)) for i, _, y, _ in rows], "doc_id long, toxic int")
+    got = {r.doc_id: r for r in toxicity.score(docs, labels).collect()}
+    held = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5 == 0]
+    share = {e: np.mean([got[r[0]].predicted for r in held if r[3] == e]) for e in {r[3] for r in rows}}
+    assert share["vile"] > 0.9 and share["grim quote"] > 0.9, share
+    assert share["vile quote"] < 0.1 and share["quote"] < 0.1 and share[""] < 0.05, share
+
+
+def test_nothing_soothes_in_noise():
+    rng = np.random.default_rng(6)
+    texts = [np.unique(rng.integers(0, 400, 40)).astype("<i4") for _ in range(1500)]
+    labels = (rng.random(1500) < 0.15).astype(float)
+    used, n = np.unique(np.concatenate(texts), return_counts=True)
+    assert len(toxicity.soothing_places(texts, labels, used, n, np.arange(len(used)))) == 0

@@ -4,9 +4,9 @@ Terms are a text's lower-cased words and their beginnings of ``PREFIXES`` charac
 hashed to ``SLOTS`` places. A text is the set of its places. The machine adds a bias, a weight for each place and, for
 each two places, the product of their factor vectors: an insult may weigh more, or less, beside another word. A place
 is in the machine where it stands in ``MIN_TEXTS`` training texts and its log-likelihood ratio to the labels reaches
-``MIN_EVIDENCE``, or where a pair makes texts toxic that neither of its places does (``pair_places``): a word that is
-common in clean texts may weigh beside another. Other places have no weight and no factors, so the many unrelated words
-of a long text add nothing.
+``MIN_EVIDENCE``, or where a pair makes texts toxic that neither of its places does (``pair_places``), or takes away the
+toxicity of a place (``soothing_places``): a word that tells nothing alone may weigh beside another. Other places have no
+weight and no factors, so the many unrelated words of a long text add nothing.
 
 Training: stochastic gradients with per-place step sizes on at most ``MAX_ROWS`` labelled texts, the first in the order
 of a hash of their doc_id (the bound is for the driver's memory; scoring covers every text). Nothing but the text enters
@@ -140,6 +140,39 @@ def pair_places(texts: list[np.ndarray], labels: np.ndarray, used: np.ndarray, n
     return able[chosen]
 
 
+def soothing_places(texts: list[np.ndarray], labels: np.ndarray, used: np.ndarray, n: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """Rows of ``used`` beside which a place of ``hot`` (rows of toxic evidence) is toxic less often than elsewhere.
+
+    A word has one place in the search, the even one, on either side. Every two that share ``MIN_TEXTS`` texts are tried;
+    the evidence is that of their texts within the hot place's, raised for the number of pairs. Places in every text of
+    the hot place tell nothing."""
+    hot = hot[used[hot] % 2 == 0]
+    able = np.flatnonzero((n >= MIN_TEXTS) & (used % 2 == 0))
+    if not len(hot) or not len(able):
+        return able[:0]
+    limit = MIN_EVIDENCE + 2 * np.log(max(1, len(hot) * len(able)))
+    row_of = np.full(SLOTS, -1, np.int32)
+    row_of[used] = np.arange(len(used), dtype=np.int32)
+    hot_row = np.zeros(len(used), bool)
+    hot_row[hot] = True
+    rows = [row_of[t[t % 2 == 0]] for t in texts]
+    holders: dict[int, list[int]] = {}
+    for i, r in enumerate(rows):
+        for h in r[hot_row[r]].tolist():
+            holders.setdefault(h, []).append(i)
+    chosen = np.zeros(len(used), bool)
+    for h, at in holders.items():
+        y = labels[at] > 0
+        size, toxic = len(at), int(y.sum())
+        if not 0 < toxic < size:  # one kind of texts alone: no place tells them apart
+            continue
+        flat, bad = np.concatenate([rows[i] for i in at]), np.repeat(y, [len(rows[i]) for i in at])
+        both, k = np.bincount(flat, minlength=len(used)), np.bincount(flat[bad], minlength=len(used))
+        tried = np.flatnonzero((both >= MIN_TEXTS) & (both < size) & (k * size < both * toxic))
+        chosen[tried[_evidence(k[tried], both[tried], toxic, size) >= limit]] = True
+    return np.flatnonzero(chosen)
+
+
 def fit(texts: list[np.ndarray], labels: np.ndarray, epochs: int = 15, step: float = 0.08, shrink: float = 1e-4, size: int = 32, seed: int = 7) -> Machine:
     """Fit a machine to sets of places, in the given order of rows."""
     slot_of = np.full(SLOTS, -1, np.int32)
@@ -148,7 +181,9 @@ def fit(texts: list[np.ndarray], labels: np.ndarray, epochs: int = 15, step: flo
     used, n = np.unique(np.concatenate(texts), return_counts=True)
     toxic = np.bincount(np.searchsorted(used, np.concatenate([t for t, y in zip(texts, labels) if y])), minlength=len(used))
     alone = (n >= MIN_TEXTS) & (_evidence(toxic, n, int(labels.sum()), len(labels)) >= MIN_EVIDENCE)
-    alone[pair_places(texts, labels, used, n, toxic)] = True
+    hot = np.flatnonzero(alone & (toxic * len(labels) > n * labels.sum()))
+    pairs = pair_places(texts, labels, used, n, toxic)
+    alone[np.concatenate([pairs, soothing_places(texts, labels, used, n, hot)])] = True
     used = used[alone]
     slot_of[used] = np.arange(len(used), dtype=np.int32)
     rows = [r[r >= 0] for r in (slot_of[t] for t in texts)]
