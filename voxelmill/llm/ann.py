@@ -1,9 +1,10 @@
 """Embedding near-duplicates over robust-pruned flat graphs.
 
-Equal vectors of a label are first counted into one node. Nodes go to the shard of their nearest centre and, as guests,
-to every shard whose border is within the search angle: whatever links to a node is then a member of the node's own
-shard. In many dimensions that angle reaches most borders of a label, so shards are as large as a task can hold. A shard above ``SHARD_ROWS`` nodes is cut into parts; each task holds the nodes of one part that ask and of one
-part that may answer, so tasks stay bounded and no pair is lost.
+Equal vectors of a label are first counted into one node. Nodes go to the shard of their nearest centre and to every
+shard whose border is within half the search angle: the middle of two linked nodes lies in some shard and is within half
+the angle of both, so both are members of that shard. Where they share several, the least numbered one counts the link. A
+shard above ``SHARD_ROWS`` nodes is cut into parts; each task holds the nodes of one part that ask and of one part that
+may answer, so tasks stay bounded and no pair is lost.
 
 In a task, candidates (all within the range, and the nearest) are pruned robustly: a candidate goes if a kept one is
 nearer to it by the factor ``ALPHA`` than the node is. Adjacency lists of all tasks are united. Each asking node walks
@@ -31,10 +32,10 @@ from pyspark.sql import functions as F
 from voxelmill.llm.simhash import _union
 from voxelmill.llm.topk import usable
 from voxelmill.operators.components import connected_components
-from voxelmill.session import materialize, shuffle_partitions
+from voxelmill.session import materialize
 
-SHARD_ROWS, MAX_CENTRES, SAMPLE_ROWS, NEAREST, ALPHA, MIN_RECALL, AUDIT_ROWS = 6000, 512, 20_000, 12, 1.1, 0.9, 20
-MEMBERS = "shard int, node long, home boolean, unit binary"
+SHARD_ROWS, MAX_CENTRES, SAMPLE_ROWS, NEAREST, ALPHA, MIN_RECALL, AUDIT_ROWS = 6000, 4096, 65_536, 12, 1.1, 0.9, 20
+MEMBERS = "shard int, node long, homes binary, unit binary"
 
 
 def centres(sample: list[tuple[str, np.ndarray]], nodes: int, shard_rows: int = SHARD_ROWS, rounds: int = 6) -> dict[str, np.ndarray]:
@@ -49,7 +50,7 @@ def centres(sample: list[tuple[str, np.ndarray]], nodes: int, shard_rows: int =
         k = int(max(1, min(np.ceil(nodes * share / shard_rows), MAX_CENTRES * share, len(x))))
         c = x[np.random.default_rng(11).choice(len(x), k, replace=False)]
         for _ in range(rounds):
-            near = (x @ c.T).argmax(1)
+            near = np.concatenate([(x[a : a + 4096] @ c.T).argmax(1) for a in range(0, len(x), 4096)])
             for j in range(k):
                 own = x[near == j]
                 if len(own) and (norm := np.linalg.norm(s := own.sum(0))) > 0:
@@ -59,8 +60,8 @@ def centres(sample: list[tuple[str, np.ndarray]], nodes: int, shard_rows: int =
 
 
 def _members(shared, cosine: float):
-    """Deal nodes to their own shard and, as guests, to shards whose border is within the angle."""
-    reach = float(np.sqrt(1 - cosine * cosine)) + 1e-9
+    """Deal nodes to their own shard and to shards whose border is within half the angle; ``homes`` lists them all."""
+    reach = float(np.sqrt((1 - cosine) / 2)) + 1e-9
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, first = {}, 0
@@ -68,23 +69,21 @@ def _members(shared, cosine: float):
             table[g] = (c, first)
             first += len(c)
         for batch in batches:
-            out = {"shard": [], "node": [], "home": [], "unit": []}
+            out = {"shard": [], "node": [], "homes": [], "unit": []}
             for g, node, unit in zip(batch["grp"].to_pylist(), batch["node"].to_pylist(), batch["unit"].to_pylist()):
                 x = np.frombuffer(unit, "<f8")
                 if g not in table:  # a group that the sample missed has a shard of its own
-                    homes, own = [-1 - (hash_of(g) % (1 << 30))], 0
+                    homes = np.array([-1 - (hash_of(g) % (1 << 30))])
                 else:
                     c, base = table[g]
                     s = c @ x
                     own = int(s.argmax())
-                    gap = np.linalg.norm(c - c[own], axis=1)
-                    near = (s[own] - s) <= reach * gap + 1e-12
-                    near[own] = False
-                    homes = [base + own, *(base + np.flatnonzero(near)).tolist()]
-                for k, shard in enumerate(homes):
-                    for name, v in zip(out, (shard, node, k == 0, unit)):
+                    homes = base + np.flatnonzero(s[own] - s <= reach * np.linalg.norm(c - c[own], axis=1) + 1e-12)
+                packed = homes.astype("<i4").tobytes()
+                for shard in homes.tolist():
+                    for name, v in zip(out, (shard, node, packed, unit)):
                         out[name].append(v)
-            yield pa.RecordBatch.from_pydict(out, pa.schema([("shard", pa.int32()), ("node", pa.int64()), ("home", pa.bool_()), ("unit", pa.binary())]))
+            yield pa.RecordBatch.from_pydict(out, pa.schema([("shard", pa.int32()), ("node", pa.int64()), ("homes", pa.binary()), ("unit", pa.binary())]))
 
     return deal
 
@@ -177,6 +176,27 @@ def _build(cosine: float):
     return build
 
 
+class _Duty:
+    """Which pairs of a shard's nodes it counts: those that share no shard of a lesser number."""
+
+    def __init__(self, shard: int, homes: list[bytes]):
+        lists = [np.frombuffer(h, "<i4") for h in homes]
+        size = np.array([len(h) for h in lists])
+        self.several = size > 1  # other nodes are here alone
+        flat = np.concatenate(lists)
+        lesser, column = np.unique(flat[flat < shard], return_inverse=True)
+        self.held = np.zeros((len(lists), (len(lesser) + 7) // 8), np.uint8)
+        np.bitwise_or.at(self.held, (np.repeat(np.arange(len(lists)), size)[flat < shard], column // 8), (1 << column % 8).astype(np.uint8))
+
+    def of(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        out = np.ones(len(i), bool)
+        both = np.flatnonzero(self.several[i] & self.several[j]) if self.held.shape[1] else np.zeros(0, np.int64)
+        for at in range(0, len(both), 1 << 16):
+            k = both[at : at + (1 << 16)]
+            out[k] = ~(self.held[i[k]] & self.held[j[k]]).any(1)
+        return out
+
+
 def _search(cosine: float, audit_rows: int):
     def search(key, members: pa.Table, edges: pa.Table) -> pa.Table:
         """Per asking node: its links to answering nodes (weighted), and spanning edges of what was linked."""
@@ -189,6 +209,7 @@ def _search(cosine: float, audit_rows: int):
         np.logical_or.at(asks, inverse, members["asks"].to_numpy(zero_copy_only=False))
         np.logical_or.at(answers, inverse, members["answers"].to_numpy(zero_copy_only=False))
         weight = members["n"].to_numpy()[at]
+        duty = _Duty(members["shard"][0].as_py(), members["homes"].take(pa.array(at)).to_pylist())
         x = np.stack([np.frombuffer(b.as_buffer(), "<f8") for b in members["unit"].take(pa.array(at))])
         a, b = edges["src"].to_numpy(), edges["to"].to_numpy()
         ia, ib = np.minimum(np.searchsorted(node, a), len(node) - 1), np.minimum(np.searchsorted(node, b), len(node) - 1)
@@ -199,11 +220,14 @@ def _search(cosine: float, audit_rows: int):
         links, parent = np.zeros(len(node), np.int64), np.arange(len(node))
         for i, j in range_search(x, ptr, adj, np.flatnonzero(asks), cosine):
             keep = answers[j]
+            keep[keep] = duty.of(i[keep], j[keep])
             np.add.at(links, i[keep], weight[j[keep]])
             _union(parent, i[keep], j[keep])
         sample = np.flatnonzero(asks)[:: max(1, int(asks.sum()) // audit_rows)]
         near = (x[sample] @ x.T >= cosine + 1e-12) & answers[None]
         near[np.arange(len(sample)), sample] = False
+        row, other = np.nonzero(near)
+        near[row, other] = duty.of(sample[row], other)
         exact = (near * weight[None]).sum()
         if exact and links[sample].sum() < MIN_RECALL * exact:
             raise RuntimeError(f"recall {links[sample].sum() / exact:.3f} in task {key}")
@@ -218,7 +242,6 @@ def _search(cosine: float, audit_rows: int):
 def near_duplicates(df: DataFrame, vec_id: str = "vec_id", vec: str = "embedding", label: str = "label", cosine: float = 0.98, shard_rows: int = SHARD_ROWS, audit_rows: int = AUDIT_ROWS) -> DataFrame:
     """One row per vector: ``vec_id, n_links, component_id, kept``."""
     spark = df.sparkSession
-    parts = shuffle_partitions(spark)
     rows = df.select(F.col(vec_id).alias("id"), F.col(label).alias("label"), F.col(vec).alias("vec"))
     ok = F.coalesce(F.col("label").isNotNull() & usable(F.col("vec")) & F.exists("vec", lambda x: x != 0), F.lit(False))
     whole = rows.withColumn("ok", ok)
@@ -241,10 +264,12 @@ def near_duplicates(df: DataFrame, vec_id: str = "vec_id", vec: str = "embedding
     sizes = members.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / shard_rows).cast("int").alias("parts"))
     placed = members.join(sizes, "shard").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
-    asking = placed.filter("home").select("shard", "node", "unit", "n", F.col("part").alias("i"), other).select("shard", "i", F.col("other").alias("j"), "node", "unit", "n", F.lit(True).alias("asks"), F.lit(False).alias("answers"))
-    answering = placed.select("shard", "node", "unit", "n", F.col("part").alias("j"), other).select("shard", F.col("other").alias("i"), "j", "node", "unit", "n", F.lit(False).alias("asks"), F.lit(True).alias("answers"))
-    task = F.xxhash64("shard", "i", "j").alias("task")
-    dealt = materialize(asking.unionByName(answering).select(task, "node", "unit", "n", "asks", "answers").repartition(parts, "task"), "ann-tasks")
+    kept = ("node", "unit", "homes", "n")
+    asking = placed.select("shard", F.col("part").alias("i"), other, *kept).withColumnRenamed("other", "j").withColumns({"asks": F.lit(True), "answers": F.lit(False)})
+    answering = placed.select("shard", F.col("part").alias("j"), other, *kept).withColumnRenamed("other", "i").withColumns({"asks": F.lit(False), "answers": F.lit(True)})
+    # a part that asks itself is sent once
+    once = asking.unionByName(answering).filter("asks or i <> j").withColumn("answers", F.col("answers") | (F.col("i") == F.col("j")))
+    dealt = materialize(once.withColumn("task", F.xxhash64("shard", "i", "j")).select("task", "shard", *kept, "asks", "answers").repartition("task"), "ann-tasks")
     graph = materialize(dealt.groupBy("task").applyInArrow(_build(cosine), "node long, to long").distinct(), "ann-graph")
     placed_at = dealt.select(F.col("task").alias("at"), F.col("node").alias("member")).distinct()
     routed = placed_at.join(graph, F.col("member") == F.col("node")).select("at", F.col("member").alias("src"), "to")
