@@ -2,6 +2,7 @@ import hashlib
 import zlib
 
 import numpy as np
+import pyarrow.fs as pafs
 import pytest
 from pyspark.sql import functions as F
 
@@ -230,6 +231,9 @@ def test_sparse_hot_and_rewritten_archives(spark, tmp_path):
     sparse = spark.createDataFrame([(k * 1_000_003, f"u{k}", f"<p>{k}") for k in range(300)], "page_id long, url string, html string")
     assert warc.write_archives(sparse, root).count() == 1 and warc.read_archives(spark, root).count() == 300
     assert warc.write_archives(sparse.limit(5), root).count() == 1 and warc.read_archives(spark, root).count() == 5
+    # the former version is gone, with what it held
+    held = [f for f in (tmp_path / "w").rglob("*") if f.is_file() and not f.name.startswith((".", "_"))]
+    assert len([f for f in held if f.name.endswith(".warc.gz")]) == 1 and len([f for f in held if f.parent.name == "manifest"]) == 1
     hot = spark.createDataFrame([(None if k % 2 else 7, f"u{k}", f"<p>{k}" * 20) for k in range(400)] + [(9, "long", "é" * 300_000)], "page_id long, url string, html string")
     files = warc.write_archives(hot, root, shard_bytes=20_000).collect()
     sizes = {}
@@ -240,6 +244,44 @@ def test_sparse_hot_and_rewritten_archives(spark, tmp_path):
     assert got.count() == 401 and {(r.url, r.html) for r in got.collect()} == {(r.url, r.html) for r in hot.collect()}
 
 
+def test_a_retried_shard_and_an_unfinished_version(spark, tmp_path, monkeypatch):
+    rows = [(k, f"u{k}", f"<p>{k}" * 30) for k in range(50)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    root = (tmp_path / "r").as_uri()
+    warc.write_archives(df, root)
+
+    def attempt(fails):
+        out = warc._ShardWriter(root, "version-0000000002", 0, 400)
+        for k, (i, u, h) in enumerate(rows):
+            if k == fails:
+                return None  # lost with its executor
+            out.add(warc.page_record(i, u, h.encode(), None))
+
+        class Strict:  # a file system whose move refuses a name that is taken
+            def __init__(self, fs):
+                self.fs = fs
+
+            def __getattr__(self, name):
+                return getattr(self.fs, name)
+
+            def move(self, a, b):
+                if self.fs.get_file_info(b).type == pafs.FileType.File:
+                    raise FileExistsError(b)
+                self.fs.move(a, b)
+
+        out.fs = Strict(out.fs)
+        return out.commit()
+
+    assert attempt(30) is None
+    first = attempt(None)
+    data = {f.name: f.read_bytes() for f in (tmp_path / "r/version-0000000002/data").iterdir()}
+    assert attempt(None) == first and {f.name: f.read_bytes() for f in (tmp_path / "r/version-0000000002/data").iterdir()} == data
+    # files without the archive's manifest are no version: the former one is read, and the next write goes past them
+    assert warc.read_archives(spark, root).count() == 50
+    assert {r.path.split("/")[0] for r in warc.write_archives(df.limit(7), root).collect()} == {"version-0000000003"}
+    assert warc.read_archives(spark, root).count() == 7 and sorted(f.name for f in (tmp_path / "r").iterdir()) == ["_manifest", "version-0000000003"]
+
+
 def test_pipeline_stages_take_effect(spark, sf):
     import corpus_pipeline as P
 
@@ -257,3 +299,23 @@ def test_pipeline_stages_take_effect(spark, sf):
     kept = {r.doc_id for r in P.mix_sources(spark, docs, sf).collect()}
     assert kept == {r.doc_id for r in QUERIES["op8_mixing"](spark, sf).filter("selected").collect()}
     assert 0 < P.run(spark, sf).count() <= len(one)
+
+
+def test_links_across_borders_are_counted_once():
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(400, 16))
+    x = np.concatenate([base, base + rng.normal(size=base.shape) * 0.03 * np.linalg.norm(base, axis=1, keepdims=True) / 4])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    c = ann.centres([("g", v) for v in x], len(x), shard_rows=40)
+    assert len(c["g"]) > 10
+    batch = ann.pa.record_batch({"grp": ["g"] * len(x), "node": range(len(x)), "unit": [v.tobytes() for v in x]})
+    rows = [r for b in ann._members(type("B", (), {"value": c}), 0.98)([batch]) for r in b.to_pylist()]
+    want = {(int(i), int(j)) for i, j in zip(*np.nonzero(x @ x.T >= 0.98)) if i != j}
+    found = []
+    for shard in {r["shard"] for r in rows}:
+        own = [r for r in rows if r["shard"] == shard]
+        node, duty = np.array([r["node"] for r in own]), ann._Duty(shard, [r["homes"] for r in own])
+        i, j = np.nonzero((x[node] @ x[node].T >= 0.98) & ~np.eye(len(node), dtype=bool))
+        keep = duty.of(i, j)
+        found += zip(node[i[keep]].tolist(), node[j[keep]].tolist())
+    assert len(want) > 300 and len(found) == len(set(found)) and set(found) == want

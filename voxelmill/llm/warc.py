@@ -7,7 +7,9 @@ are equal throughout stay together. The sums are taken over ids, hashes and size
 ``shard_bytes``) go to all tasks. One shuffle brings a shard's rows together; inside it they are sorted and written as one
 gzip member each, with regenerated HTTP and WARC headers and digests; a file is closed once its compressed size reaches
 ``roll_bytes``. Files are written under temporary names and moved to their own, the shard's manifest last; a retried or
-doubled task makes the same bytes again. The list of files is the job's result, written as the whole archive's manifest.
+doubled task makes the same bytes again and leaves those that stand. The list of files is the job's result, written as the
+whole archive's manifest. Each write has a version's folder of its own, numbered on from those that are there: readers
+take the last version whose manifest is whole, and only then do the folders before it go.
 
 Equal payloads of at least ``min_revisit_bytes`` are stored once: the least id is the response, others revisit it (rows
 that share that least id are responses all). Payloads are compared by SHA-1, found by a partial aggregate and a join
@@ -15,7 +17,7 @@ over ids and digests alone, which adaptive execution can split at a hot digest.
 
 Null html is an empty payload, a null url a urn of the record. Rows without an id come first and never name a response.
 Ids are whole numbers (others fail when they are cast). Repeated rows are written each. An empty table writes no file and
-reads as no rows; what a folder held before isn't read again. Further columns are ignored. The folder must be one
+reads as no rows; what a folder held before goes. Further columns are ignored. The folder must be one
 that ``pyarrow.fs`` opens from every executor: a shared mount, S3, GCS, or HDFS with its native library.
 """
 
@@ -72,8 +74,9 @@ def page_record(page_id: int | None, url: str | None, payload: bytes, refers_to:
 class _ShardWriter:
     """Rolling files of one shard, each moved to its name when whole."""
 
-    def __init__(self, root: str, shard: int, roll_bytes: int):
+    def __init__(self, root: str, version: str, shard: int, roll_bytes: int):
         self.fs, self.root = pafs.FileSystem.from_uri(root)
+        self.root, self.version = f"{self.root}/{version}", version
         self.shard, self.roll_bytes, self.done, self.out = shard, roll_bytes, [], None
         self.attempt = uuid.uuid4().hex
         for d in ("data", "manifest", "_tmp"):
@@ -100,17 +103,34 @@ class _ShardWriter:
         if self.out is not None:
             self.out.close()
             self.out = None
-            self.fs.move(f"{self.root}/_tmp/{self.attempt}-{self.name}", f"{self.root}/data/{self.name}")
-            self.done.append({"shard": self.shard, "path": f"data/{self.name}", "records": self.n, "bytes": self.size, "sha1": self.sha.hexdigest()})
+            self._settle(f"{self.root}/_tmp/{self.attempt}-{self.name}", f"{self.root}/data/{self.name}")
+            self.done.append({"shard": self.shard, "path": f"{self.version}/data/{self.name}", "records": self.n, "bytes": self.size, "sha1": self.sha.hexdigest()})
 
     def commit(self) -> list[dict]:
         self.close()
         tmp = f"{self.root}/_tmp/{self.attempt}.json"
         with self.fs.open_output_stream(tmp) as f:
             f.write("".join(json.dumps(x) + "\n" for x in self.done).encode())
-        self.fs.move(tmp, f"{self.root}/manifest/shard-{self.shard:010d}.json")
+        self._settle(tmp, f"{self.root}/manifest/shard-{self.shard:010d}.json")
         return self.done
 
+    def _settle(self, tmp: str, name: str) -> None:
+        """Move to the own name. Some file systems refuse where another attempt's file stands: it has the same bytes."""
+        try:
+            self.fs.move(tmp, name)
+        except OSError:
+            if self.fs.get_file_info(name).size != self.fs.get_file_info(tmp).size:
+                raise
+            self.fs.delete_file(tmp)
+
+
+def versions(root: str) -> tuple[list[str], list[str]]:
+    """All versions below ``root``, and those whose manifest is whole, ascending."""
+    fs, base = pafs.FileSystem.from_uri(root)
+    listed = lambda d: sorted(f.base_name for f in fs.get_file_info(pafs.FileSelector(d, allow_not_found=True)) if f.base_name.startswith("version-"))
+    known = listed(f"{base}/_manifest")
+    return sorted({*listed(base), *known}), [v for v in known if fs.get_file_info(f"{base}/_manifest/{v}/_SUCCESS").type == pafs.FileType.File]
+
 
 def shard_cuts(light: DataFrame, shard_bytes: int) -> tuple[np.ndarray, np.ndarray]:
     """First (id, tie) of every shard but the first, from rows ``id, tie, size``: exact running sums over range partitions."""
@@ -143,15 +163,19 @@ def shard_column(id: Column, tie: Column, cuts: tuple[np.ndarray, np.ndarray]) -
 
 
 def write_archives(df: DataFrame, root: str, page_id: str = "page_id", url: str = "url", html: str = "html", shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES, min_revisit_bytes: int = 0) -> DataFrame:
-    """Write ``df`` below ``root`` (a URI) and return the manifest: one row per file. Runs the job."""
+    """Write ``df`` below ``root`` (a URI) and return the manifest: one row per file. Runs the job. One writer a root at a time."""
     spark = df.sparkSession
+    before = versions(root)[0]
+    version = f"version-{int(before[-1].rpartition('-')[2]) + 1 if before else 1:010d}"
     payload = F.coalesce(F.col(html), F.lit("")).cast("binary")
     place, tie = F.coalesce(F.col("id"), F.lit(-(1 << 63)).cast("long")), F.xxhash64(F.col(url), F.col(html))
     base = df.select(F.col(page_id).cast("long").alias("id"), tie.alias("tie"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"))
-    cuts = shard_cuts(base.select(place.alias("id"), "tie", (F.octet_length("html") + 512).cast("long").alias("size")), shard_bytes)
+    # ids, hashes and sizes alone; the payloads are read once more, to be written
+    light = materialize(df.select(F.col(page_id).cast("long").alias("id"), tie.alias("tie"), F.sha1(payload).alias("sha"), F.octet_length(payload).cast("long").alias("size")), "warc-light")
+    cuts = shard_cuts(light.select(place.alias("id"), "tie", (F.col("size") + 512).alias("size")), shard_bytes)
     shard = shard_column(place, F.col("tie"), cuts).alias("shard")
     rows = base.select("id", "url", "html", shard)
-    marks = df.select(F.col(page_id).cast("long").alias("id"), tie.alias("tie"), F.sha1(payload).alias("sha"), F.octet_length(payload).alias("size")).filter(F.col("size") >= min_revisit_bytes)
+    marks = light.filter(F.col("size") >= min_revisit_bytes)
     firsts = marks.groupBy("sha").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("sha", "first")
     again = marks.join(firsts, "sha").filter("first is not null and (id is null or id > first)").select(shard, "id", "sha", "first")
 
@@ -160,7 +184,7 @@ def write_archives(df: DataFrame, root: str, page_id: str = "page_id", url: str
         ids, urls = pages["id"].to_pylist(), pages["url"].to_pylist()
         text = pages["html"].combine_chunks() if pages["html"].num_chunks != 1 else pages["html"].chunk(0)
         order = sorted(range(len(ids)), key=lambda k: (ids[k] is not None, ids[k] or 0, urls[k] or "", text[k].as_py()) if len(set(ids)) < len(ids) else (ids[k] is not None, ids[k] or 0))
-        out = _ShardWriter(root, key[0].as_py(), roll_bytes)
+        out = _ShardWriter(root, version, key[0].as_py(), roll_bytes)
         for k in order:
             data = text[k].as_py().encode()
             out.add(page_record(ids[k], urls[k], data, refers.get((ids[k], hashlib.sha1(data).hexdigest()))))
@@ -168,8 +192,12 @@ def write_archives(df: DataFrame, root: str, page_id: str = "page_id", url: str
         return pa.Table.from_pylist(files, pa.schema([("shard", pa.int64()), ("path", pa.string()), ("records", pa.int64()), ("bytes", pa.int64()), ("sha1", pa.string())]))
 
     files = rows.groupBy("shard").cogroup(again.groupBy("shard")).applyInArrow(write, FILES)
-    files.write.mode("overwrite").json(f"{root}/_manifest")
-    return spark.read.schema(FILES).json(f"{root}/_manifest")
+    files.write.json(f"{root}/_manifest/{version}")
+    fs, folder = pafs.FileSystem.from_uri(root)
+    for gone in (*(f"{folder}/{kind}{v}" for v in before for kind in ("_manifest/", "")), f"{folder}/{version}/_tmp"):
+        if fs.get_file_info(gone).type == pafs.FileType.Directory:
+            fs.delete_dir(gone)
+    return spark.read.schema(FILES).json(f"{root}/_manifest/{version}")
 
 
 def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -220,7 +248,10 @@ def read_archives(spark: SparkSession, root: str) -> DataFrame:
                 yield pa.RecordBatch.from_pylist(out, kinds)
 
     schema = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, html string"
-    paths = [f"{root}/{r.path}" for r in spark.read.schema(FILES).json(f"{root}/_manifest").select("path").collect()]  # as many as files that Spark lists
+    whole = versions(root)[1]
+    if not whole:
+        raise FileNotFoundError(f"{root} holds no whole archive")
+    paths = [f"{root}/{r.path}" for r in spark.read.schema(FILES).json(f"{root}/_manifest/{whole[-1]}").select("path").collect()]  # as many as files that Spark lists
     if not paths:
         return spark.createDataFrame([], schema)
     return spark.read.format("binaryFile").load(paths).select("content").mapInArrow(read, schema)
