@@ -278,6 +278,8 @@ def test_a_retried_shard_and_an_unfinished_version(spark, tmp_path, monkeypatch)
     assert attempt(None) == first and {f.name: f.read_bytes() for f in (tmp_path / "r/version-0000000002/data").iterdir()} == data
     # files without the archive's manifest are no version: the former one is read, and the next write goes past them
     assert warc.read_archives(spark, root).count() == 50
+    with pytest.raises(ValueError, match="ends early"):
+        list(warc.parse_records(next(iter(data.values()))[:-20]))
     assert {r.path.split("/")[0] for r in warc.write_archives(df.limit(7), root).collect()} == {"version-0000000003"}
     assert warc.read_archives(spark, root).count() == 7 and sorted(f.name for f in (tmp_path / "r").iterdir()) == ["_manifest", "version-0000000003"]
 

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from voxelmill.session import materialize
 
-SHARD_BYTES, ROLL_BYTES, LEVEL, DATE, READ_BYTES = 32 << 20, 64 << 20, 6, "1970-01-01T00:00:00Z", 16 << 20
+SHARD_BYTES, ROLL_BYTES, LEVEL, DATE, READ_BYTES, PIECE = 32 << 20, 64 << 20, 6, "1970-01-01T00:00:00Z", 16 << 20, 16 << 10
 FILES = "shard long, path string, records long, bytes long, sha1 string"
 _LINES = re.compile(r"[\x00-\x20\x7f]")
 
@@ -183,7 +183,8 @@ def write_archives(df: DataFrame, root: str, page_id: str = "page_id", url: str
         refers = {(i, s): f for i, s, f in zip(*(revisits[c].to_pylist() for c in ("id", "sha", "first")))}
         ids, urls = pages["id"].to_pylist(), pages["url"].to_pylist()
         text = pages["html"].combine_chunks() if pages["html"].num_chunks != 1 else pages["html"].chunk(0)
-        order = sorted(range(len(ids)), key=lambda k: (ids[k] is not None, ids[k] or 0, urls[k] or "", text[k].as_py()) if len(set(ids)) < len(ids) else (ids[k] is not None, ids[k] or 0))
+        ties = len(set(ids)) < len(ids)
+        order = sorted(range(len(ids)), key=lambda k: (ids[k] is not None, ids[k] or 0, *((urls[k] or "", text[k].as_py()) if ties else ())))
         out = _ShardWriter(root, version, key[0].as_py(), roll_bytes)
         for k in order:
             data = text[k].as_py().encode()
@@ -202,12 +203,17 @@ def write_archives(df: DataFrame, root: str, page_id: str = "page_id", url: str
 
 def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """Headers (lower-cased names) and block of each record of a file, member by member."""
-    rest = memoryview(data)
-    while rest:
-        z = zlib.decompressobj(31)
-        raw = z.decompress(rest) + z.flush()
-        rest = memoryview(z.unused_data)
-        at = 0
+    rest, start = memoryview(data), 0
+    while start < len(rest):
+        # piece by piece: what lies behind a member is copied when it ends
+        z, parts = zlib.decompressobj(31), []
+        while not z.eof:
+            if start >= len(rest):
+                raise ValueError("a member of the archive ends early")
+            piece = rest[start : start + PIECE]
+            parts.append(z.decompress(piece))
+            start += len(piece) - len(z.unused_data)
+        raw, at = b"".join(parts), 0
         while at < len(raw):
             end = raw.index(b"\r\n\r\n", at)
             lines = raw[at:end].decode().split("\r\n")
