@@ -6,7 +6,7 @@ import pyarrow.fs as pafs
 import pytest
 from pyspark.sql import functions as F
 
-from voxelmill.llm import ann, lm, mixing, substring, topk, toxicity, urlfilter, warc
+from voxelmill.llm import ann, mixing, substring, topk, toxicity, urlfilter, warc
 from voxelmill.llm.queries import ORACLE_SQL, QUERIES
 
 
@@ -97,35 +97,6 @@ def test_mixing_meets_its_targets(spark):
     assert {r.topic for r in own.select(F.col("topic").alias("topic")).collect()} == {"T"} and dict(own.dtypes)["keep_prob"] == "double"
 
 
-def test_ngram_losses_equal_a_plain_model(spark):
-    texts = [(1, "abab"), (2, "abba"), (3, None), (4, "é"), (2, "abba"), (None, "abc")]
-    df = spark.createDataFrame(texts, "doc_id long, text string")
-    targets = spark.createDataFrame([(1,), (4,), (4,), (77,)], "doc_id long")
-    got = sorted((r.doc_id or 0, r.n_tokens, round(r.target_loss, 9), round(r.background_loss, 9)) for r in lm.score(df, targets).collect())
-
-    def model(own):
-        seqs = [bytes([0xFE] * 3) + (t or "").encode() + b"\xff" for t in own]
-
-        def p(ctx, b):
-            est = 1 / 257
-            for k in range(1, 5):
-                c = ctx[len(ctx) - k + 1 :] if k > 1 else b""
-                n = sum(s[j - k + 1 : j] == c for s in seqs for j in range(3, len(s)))
-                hit = sum(s[j - k + 1 : j + 1] == c + bytes([b]) for s in seqs for j in range(3, len(s)))
-                est = (hit + lm.PRIOR * est) / (n + lm.PRIOR)
-            return est
-
-        def loss(t):
-            s = bytes([0xFE] * 3) + (t or "").encode() + b"\xff"
-            return float(np.mean([-np.log(p(s[j - 3 : j], s[j])) for j in range(3, len(s))]))
-
-        return loss
-
-    background, target = model([t for _, t in texts]), model(["abab", "é"])
-    assert got == sorted((d or 0, len((t or "").encode()) + 1, round(target(t), 9), round(background(t), 9)) for d, t in texts)
-    assert lm.score(df.limit(0), targets).count() == 0
-
-
 def test_near_duplicate_vectors_with_many_shards_and_odd_rows(spark):
     rng = np.random.default_rng(1)
     base = rng.normal(size=(12, 8))

@@ -73,3 +73,22 @@ def test_texts_are_shuffled_once_and_a_slice_is_bounded(spark, monkeypatch):
     plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert plan.count("pack(") <= 2 * plan.count("ReusedExchange") + 1 or "ReusedExchange" in plan, plan
     assert {r["range"] for r in out.collect()} == {"clash"}
+
+
+def test_parties_of_buckets_ask_in_messages_that_grow_with_the_buckets(spark, monkeypatch):
+    rows = [(k % 190, f"w{k % 7} x{k * k % 31} y{k} again w{k % 3} " * (1 + k % 4)) for k in range(200)] + [(None, None), (7, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    targets = spark.createDataFrame([(k,) for k in range(0, 200, 3)], "doc_id long")
+    want, sent = plain(rows, set(range(0, 200, 3))), {}
+    monkeypatch.setattr(wordlm, "FAN", 4)
+    for buckets in (3, 16, 23):
+        monkeypatch.setattr(wordlm, "bucket_count", lambda df, n=buckets: n)
+        assert got(wordlm.score(df, targets)) == want
+        assert wordlm.score(df.limit(0), targets).count() == 0
+    # a bucket of many n-grams sends a message for each of its ranges, or for FAN runs of neighbouring ones
+    text = " ".join(f"w{k}" for k in range(20_000))
+    packed = wordlm.zstandard.ZstdCompressor().compress(text.encode())
+    bucket = wordlm.pa.table({"bucket": wordlm.pa.array([0], "int32"), "id": ["1"], "mark": [False], "text": wordlm.pa.array([packed], "binary")})
+    for buckets in (16, 64, 256):
+        sent[buckets] = buckets * wordlm._ask(buckets, -(-buckets // 4))(bucket).num_rows
+    assert sent == {16: 64, 64: 256, 256: 1024} and wordlm._ask(256, 1)(bucket).num_rows == 256

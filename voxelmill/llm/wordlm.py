@@ -10,8 +10,8 @@ loss less the background's: low scores are like the target. A document is rated
 
 Rows are dealt into hash buckets by id and text, so neither a null nor a repeated id gathers different texts; texts are
 shuffled once, compressed. A bucket counts its distinct n-grams and sends them, sorted and packed, a row for each range
-of hashes it has; a range adds up its buckets' counts and answers each bucket in the order it asked. The bucket counts
-its texts again and adds the answers. Nothing of the models goes to the driver; three totals go to all tasks.
+of hashes it has; a range adds up its buckets' counts and answers each bucket in the order it asked (beyond ``FAN`` ranges
+by way of parties of buckets, see ``exchange``). The bucket counts its texts again and adds the answers. Nothing of the models goes to the driver; three totals go to all tasks.
 
 Null and empty texts have one token, the end. Repeated rows count each; documents named more than once by the target
 table count once in the target for each of their rows. Without any target document the target model is uniform. A null
@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from voxelmill.session import bucket_count
 
-ORDER, PRIOR, START, END, SLICE_TOKENS, TABLE_WORDS, HASH_BITS = 3, 20.0, 1, 2, 500_000, 200_000, 54
+ORDER, PRIOR, START, END, SLICE_TOKENS, TABLE_WORDS, HASH_BITS, FAN = 3, 20.0, 1, 2, 500_000, 200_000, 54, 8192
 ASKED, ANSWERED = "range int, bucket int, keys binary, n binary, n_target binary", "bucket int, range int, n binary, n_target binary, tokens long, tokens_target long, vocabulary long"
 
 
@@ -180,35 +180,83 @@ class _Tally:
         return np.repeat(n, n)
 
 
-def _ask(ranges: int):
-    edges = np.array([(k << (HASH_BITS + 2)) // ranges for k in range(1, ranges)], np.int64)
+def _range_of(key: np.ndarray, ranges: int) -> np.ndarray:
+    """Number of each key's range; it rises with the key."""
+    return (key >> 28) * ranges >> HASH_BITS + 2 - 28
 
+
+def _messages(to: np.ndarray, sender: int, key: np.ndarray, n: np.ndarray, target: np.ndarray) -> pa.Table:
+    """A row for each value of ``to``, which rises with the keys."""
+    starts = np.flatnonzero(np.diff(to, prepend=-1)).tolist()
+    rows = [(int(to[a]), sender, _pack(key[a:b], True), _pack(n[a:b]), _pack(target[a:b])) for a, b in zip(starts, [*starts[1:], len(to)])]
+    types = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+    return pa.table([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 5, types)], names=["range", "bucket", "keys", "n", "n_target"])
+
+
+def _ask(ranges: int, width: int):
     def ask(rows: pa.Table) -> pa.Table:
-        """A row for each range of keys in which the bucket has any."""
+        """A row for each ``width`` neighbouring ranges of keys in which the bucket has any."""
         tally = _Tally(_Bucket(rows))
-        key, n, target = tally.key, tally.n, tally.target
-        cuts = [0, *np.searchsorted(key, edges).tolist(), len(key)]
-        out = [(r, rows["bucket"][0].as_py(), _pack(key[a:b], True), _pack(n[a:b]), _pack(target[a:b])) for r, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
-        types = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 5, types)], names=["range", "bucket", "keys", "n", "n_target"])
+        return _messages(_range_of(tally.key, ranges) // width, rows["bucket"][0].as_py(), tally.key, tally.n, tally.target)
 
     return ask
 
 
+class _Met:
+    """Messages that meet: their distinct keys with sums, and where each message's keys stand among them."""
+
+    def __init__(self, asked: pa.Table):
+        keys = [_unpack(b.as_py(), True) for b in asked["keys"]]
+        self.own = [(_unpack(a.as_py()), _unpack(b.as_py())) for a, b in zip(asked["n"], asked["n_target"])]
+        self.key, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+        self.n, self.target = (np.bincount(inverse, np.concatenate([o[k] for o in self.own]), len(self.key)).astype(np.int64) for k in (0, 1))
+        self.places = np.split(inverse, np.cumsum([len(k) for k in keys])[:-1])
+        self.senders, self.ranges = asked["bucket"].to_pylist(), asked["range"].to_pylist()
+
+    def answers(self, n: np.ndarray, target: np.ndarray, totals: tuple[int, int, int]) -> pa.Table:
+        """To each sender what others hold of its keys, of ``n`` and ``target`` in all; the totals stand in the first row."""
+        rows = [(b, r, _pack(n[at] - a), _pack(target[at] - t), *(totals if not k else (0, 0, 0))) for k, (b, r, at, (a, t)) in enumerate(zip(self.senders, self.ranges, self.places, self.own))]
+        types = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["bucket", "range", "n", "n_target", "tokens", "tokens_target", "vocabulary"])
+
+
 def _answer(asked: pa.Table) -> pa.Table:
-    """What other buckets of a range hold of each asked key; the range's totals stand in its first row."""
-    keys = [_unpack(b.as_py(), True) for b in asked["keys"]]
-    own = [(_unpack(a.as_py()), _unpack(b.as_py())) for a, b in zip(asked["n"], asked["n_target"])]
-    whole, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-    n, target = (np.bincount(inverse, np.concatenate([o[k] for o in own]), len(whole)).astype(np.int64) for k in (0, 1))
-    word = ((whole & 3) == 1) & (whole != START_KEY)
-    totals, rows, at = (int(n[word].sum()), int(target[word].sum()), int(word.sum())), [], 0
-    for bucket, k, (a, b) in zip(asked["bucket"].to_pylist(), keys, own):
-        mine = inverse[at : at + len(k)]
-        at += len(k)
-        rows.append((bucket, asked["range"][0].as_py(), _pack(n[mine] - a), _pack(target[mine] - b), *(totals if not rows else (0, 0, 0))))
-    types = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
-    return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["bucket", "range", "n", "n_target", "tokens", "tokens_target", "vocabulary"])
+    """What other senders of a range hold of each asked key, with the range's totals."""
+    met = _Met(asked)
+    word = ((met.key & 3) == 1) & (met.key != START_KEY)
+    return met.answers(met.n, met.target, (int(met.n[word].sum()), int(met.target[word].sum()), int(word.sum())))
+
+
+def _merge(ranges: int):
+    def merge(asked: pa.Table) -> pa.Table:
+        """What a party's buckets ask of neighbouring ranges, a row for each range."""
+        met = _Met(asked)
+        return _messages(_range_of(met.key, ranges), asked["at"][0].as_py(), met.key, met.n, met.target)
+
+    return merge
+
+
+def _relay(asked: pa.Table, answered: pa.Table) -> pa.Table:
+    """Answers to a party, handed to its buckets."""
+    met = _Met(asked)
+    order = np.argsort(answered["range"].to_numpy())
+    n, target = (np.concatenate([_unpack(answered[c][int(k)].as_py()) for k in order]) for c in ("n", "n_target"))
+    return met.answers(met.n + n, met.target + target, tuple(int(answered[c].to_numpy().sum()) for c in ("tokens", "tokens_target", "vocabulary")))
+
+
+def exchange(dealt: DataFrame, buckets: int) -> DataFrame:
+    """What other buckets hold of each bucket's keys: rows of ``ANSWERED``, a bucket's in the order of ``range``.
+
+    There are as many ranges as buckets, and a bucket sends at most ``FAN`` messages. More ranges than that are asked by
+    parties of ``FAN`` buckets: a party adds up what its buckets ask of neighbouring ranges, asks each range once and hands the
+    answers on. So messages grow with the buckets (with their square only beyond ``FAN`` squared, some hundred TB)."""
+    width = -(-buckets // FAN)
+    asked = dealt.groupBy("bucket").applyInArrow(_ask(buckets, width), ASKED)
+    if width == 1:
+        return asked.groupBy("range").applyInArrow(_answer, ANSWERED)
+    party = asked.withColumn("at", (F.col("bucket") / FAN).cast("int") * FAN + F.col("range")).repartition("at")
+    answered = party.groupBy("at").applyInArrow(_merge(buckets), ASKED).groupBy("range").applyInArrow(_answer, ANSWERED)
+    return party.groupBy("at").cogroup(answered.groupBy("bucket")).applyInArrow(_relay, ANSWERED)
 
 
 def losses(counts: list[np.ndarray], first: np.ndarray, size: np.ndarray, total: np.ndarray, vocabulary: int) -> np.ndarray:
@@ -260,8 +308,7 @@ def score(df: DataFrame, targets: DataFrame, doc_id: str = "doc_id", text: str =
     chosen = targets.select(number).dropna().distinct()
     marks = df.select(bucket, number).join(chosen, "id", "left_semi").select("bucket", "id", F.lit(True).alias("mark"))
     dealt = rows.unionByName(marks, allowMissingColumns=True).repartition("bucket")
-    asked = dealt.groupBy("bucket").applyInArrow(_ask(buckets), ASKED)
-    answered = asked.groupBy("range").applyInArrow(_answer, ANSWERED).repartition("bucket")
+    answered = exchange(dealt, buckets).repartition("bucket")
     totals = answered.agg(*(F.sum(c).alias(f"all_{c}") for c in ("tokens", "tokens_target", "vocabulary")))
     told = answered.select("bucket", "range", "n", "n_target").crossJoin(F.broadcast(totals))  # one row
     return dealt.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInArrow(_rate(schema, out, text, leave_one_out), schema)
