@@ -1,4 +1,5 @@
 import hashlib
+import re
 import zlib
 
 import numpy as np
@@ -173,6 +174,29 @@ def test_urls(spark):
     assert got[11] == ("net", "", None, "allow") and got[12] == ("", "", None, "allow")
 
 
+def test_urls_are_weighed_by_distinct_terms(spark):
+    texts = ["free-bets", "bet-bets", "loan/loans", "free-online-game", "free-online-game-cash", "buy-cash-chat-coupon-deal", "buy-cash-chat-coupon-deal-hot", "cash-hot-games/" * 3,
+             "pharmacies?x=prizes", "free_PILLS", "freepills", "xpoker-prize", "poker\u00e9prize", "my.TORRENT", "torrents", "", None, "word-" * 200_000 + "poker-" + "w" * 300_000 + "/slots", "x" * 500_000 + "poker-slots1"]
+    rows = [(k, None if t is None else "http://h.org/" + t) for k, t in enumerate(texts)] * 2
+    df = spark.createDataFrame(rows, "page_id long, url string").withColumn("soft_weight", F.lit("clash"))
+    words = lambda t: {x for x in re.split("[^a-z0-9]+", t.lower())}
+
+    def plain(t):
+        have = words("http://h.org/" + t) if t is not None else set()
+        hit = [w for term, w in urlfilter.SOFT.items() if have & set(urlfilter.forms(term))]
+        return "block" if have & set(urlfilter.STRICT) or (len(hit) >= 2 and sum(hit) >= 6) else "allow"
+
+    got = urlfilter.judge(df, rules=[]).collect()
+    assert len(got) == len(rows) and all(r.verdict == plain(texts[r.page_id]) for r in got)
+    by = {r.page_id: (r.verdict, r.soft_hits, r.soft_weight) for r in got}
+    assert [by[k][0] for k in range(9)] == ["block", "allow", "allow", "allow", "block", "allow", "block", "allow", "block"]
+    assert by[4] == ("block", 4, 6) and by[2] == ("allow", 1, 3) and by[16] == ("allow", 0, 0) and by[17][0] == "block" and by[18][0] == "allow"
+    assert urlfilter.judge(df.limit(0)).count() == 0 and {r.verdict for r in urlfilter.judge(df, rules=[], strict=[], soft={}).collect()} == {"allow"}
+    one = urlfilter.judge(df, rules=[], strict=[], soft={"pharmacy": 9, "prize": 1}, min_soft=1, limit=9)
+    assert {r.page_id for r in one.filter("verdict = 'block'").collect()} == {8}
+    assert all(x.isalnum() and x.isascii() and x == x.lower() for x in [*urlfilter.STRICT, *urlfilter.SOFT])
+
+
 def test_archives_roll_and_come_back(spark, tmp_path):
     rows = [(k, f"http://a/{k}\r\n", f"<p>{k % 7}é" * 40) for k in range(-3, 60)] + [(None, None, "<p>1é" * 40), (70, "u", None), (71, "u", ""), (5, "again", "<p>5é" * 40)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit(1))
