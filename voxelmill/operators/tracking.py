@@ -199,21 +199,25 @@ def common_fractions(steps: DataFrame) -> DataFrame:
     return both.groupBy("t").agg(F.count(F.lit(1)).alias("n_mask"), (F.count("common") / F.count(F.lit(1))).alias("common_fraction"))
 
 
-def bounding_box(places: DataFrame, pad: int = 0, shape: dict[str, int] | None = None) -> DataFrame:
+def bounding_box(places: DataFrame, pad: int = 0, shape: dict[str, int] | None = None, required: bool = True) -> DataFrame:
     """Least and greatest coordinates (both inside), moved apart by ``pad`` but not below 0 nor beyond the grid's ``shape``
-    (sizes by axis). No place at all is an error."""
+    (sizes by axis). No place at all is an error; where none is ``required`` the box is null then, or with ``shape`` the whole grid."""
     axes = [c for c in ("z", "y", "x") if c in places.columns]
     out = places.agg(*(f(c).alias(f"{n}_{c}") for c in axes for n, f in (("min", F.min), ("max", F.max))))
-    held = lambda v: F.when(v.isNotNull(), v).otherwise(F.raise_error(F.lit("an empty mask has no box")).cast("int"))
-    low = lambda c: F.greatest(held(F.col(f"min_{c}")) - pad, F.lit(0))
+    held = lambda v: F.when(v.isNotNull(), v).otherwise(F.raise_error(F.lit("an empty mask has no box")).cast("int")) if required else v
+    some = lambda c, v: v if required or shape else F.when(F.col(f"min_{c}").isNotNull(), v)
+    # the greater or less of a null and a number is the number
+    low = lambda c: some(c, F.greatest(held(F.col(f"min_{c}")) - pad, F.lit(0)))
     high = lambda c: held(F.col(f"max_{c}")) + pad if not shape else F.least(held(F.col(f"max_{c}")) + pad, F.lit(shape[c] - 1))
     return out.select(*(f(c).cast("int").alias(f"{n}_{c}") for c in axes for n, f in (("min", low), ("max", high))))
 
 
 def crop(vox: DataFrame, box: DataFrame, moved: bool = True) -> DataFrame:
-    """Voxels inside a box of one row; with ``moved`` their coordinates count from its corner."""
+    """Voxels inside a box of one row, none inside a box of nulls; with ``moved`` their coordinates count from its corner."""
     row = box.first()
     axes = [c for c in ("z", "y", "x") if f"min_{c}" in box.columns]
+    if any(row[f"min_{c}"] is None for c in axes):
+        return vox.limit(0)
     for c in axes:
         vox = vox.filter(F.col(c).between(row[f"min_{c}"], row[f"max_{c}"]))
     return vox.withColumns({c: (F.col(c) - row[f"min_{c}"]).cast("int") for c in axes}) if moved else vox
