@@ -11,7 +11,7 @@ from voxelmill.functions import chi_pdf, chi_quantile
 from voxelmill.operators.components import connected_components
 from voxelmill.operators.numbering import exact_quantiles, greatest_group, group_quantiles, number_keys
 from voxelmill.session import materialize
-from voxelmill.operators.stencil import COORDS, contacts, extent, halved, neighbours, other_label, same_label, touching
+from voxelmill.operators.stencil import COORDS, contacts, extent, halved, neighbours, other_label, tile_parts, touching
 
 
 def _median(c: str | Column) -> Column:
@@ -54,10 +54,14 @@ def cell_table(vox: DataFrame, channels: tuple[str, ...] = ("c0", "c1"), boxes:
     counts = cells.groupBy(*key).agg(F.count(F.lit(1)).alias("volume_voxels"), *(F.avg(own(c)).alias(f"mean_{c}") for c in channels), *place)
     most = greatest_group(cells.select(*key), key)
     middle = group_quantiles(cells.filter("fine").select(*key, *channels), key, {f"median_{c}": (c, 0.5) for c in channels}, most=most)
+    if by:  # cells of many datasets: too many for a broadcast, whatever their compressed files seem to hold
+        middle = middle.hint("merge")
     spread = F.sqrt(sum(((F.col(c) - F.col(f"median_{c}")) ** 2 for c in channels), F.lit(0.0)))
     apart = cells.filter("fine").select(*key, *channels).join(middle, key).select(*key, spread.alias("d"))
     mean = apart.groupBy(*key).agg(F.avg("d").alias("internal_spread_mean"))
     share = group_quantiles(apart, key, {"internal_spread_median": ("d", 0.5), "internal_spread_q95": ("d", 0.95)}, most=most)
+    if by:
+        mean, share = mean.hint("merge"), share.hint("merge")
     out = counts.join(middle, key, "left").join(mean, key, "left").join(share, key, "left")
     return out.select(*key, "volume_voxels", *(f"median_{c}" for c in channels), *(f"mean_{c}" for c in channels), *(n + c for n in ("c", "min_", "max_") for c in COORDS if boxes), "internal_spread_median", "internal_spread_mean", "internal_spread_q95")
 
@@ -122,6 +126,8 @@ def median_field(vox: DataFrame, channels: tuple[str, ...] = ("c0", "c1")) -> Da
 def neighbour_table(vox: DataFrame, channels: tuple[str, ...] = ("c0", "c1"), by: tuple[str, ...] = ()) -> DataFrame:
     """Contacts with the distance of the cells' medians and signed differences (no wrap)."""
     med = group_medians(vox.filter("label > 0"), [*by, "label"], channels, "")
+    if by:  # as in cell_table
+        med = med.hint("merge")
     side = lambda s: med.select(*by, F.col("label").alias(f"label_{s}"), *(F.col(c).alias(f"{s}_{c}") for c in channels))
     out = contacts(vox, by=by).join(side("a"), [*by, "label_a"]).join(side("b"), [*by, "label_b"])
     deltas = {f"delta_{c}": F.col(f"b_{c}") - F.col(f"a_{c}") for c in channels}
@@ -263,9 +269,20 @@ def components(vox: DataFrame, offsets: list[tuple[int, int, int]] | None = None
     """Voxels with ``component``: the least linear index that steps between equal labels reach."""
     shape = extent(vox)
     own = vox.filter("label > 0").select(*COORDS, "label", linear(shape).alias("lin"))
-    edges = neighbours(own, offsets or halved(), ["label", "lin"], keep=same_label, select=["lin", "n_lin"]).select(F.col("lin").alias("a"), F.col("n_lin").alias("b"))
-    found = connected_components(edges)
-    return own.join(found, own["lin"] == found["node"], "left").select(*COORDS, "label", F.coalesce("component", "lin").alias("component"))
+    return joined_parts(own, offsets or halved()).select(*COORDS, "label", "component")
+
+
+def joined_parts(own: DataFrame, offsets: list[tuple[int, int, int]], by: tuple[str, ...] = ()) -> DataFrame:
+    """``own`` (with ``label`` and a number ``lin`` of each voxel) and ``component``: the least number that steps between equal labels reach.
+
+    Voxels are joined inside their tile first; only links between tiles, and the parts that they tie together, go through the rounds."""
+    parts = materialize(tile_parts(own, offsets, by), "tile-parts")
+    links = parts.filter("links is not null").select("lin", "part", F.explode("links").alias("to"))
+    ends = parts.join(links.select(F.col("to").alias("lin")).distinct().hint("merge"), "lin", "left_semi").select(F.col("lin").alias("a"), F.col("part").alias("b"))
+    edges = ends.unionByName(links.select(F.col("part").alias("a"), F.col("to").alias("b")))
+    found = connected_components(edges).select(F.col("node").alias("part"), "component")
+    found = found.join(parts.select("part").distinct().hint("merge"), "part", "left_semi")
+    return parts.drop("links").join(found.hint("merge"), "part", "left").withColumn("component", F.coalesce("component", "part")).drop("part")
 
 
 def split_labels(vox: DataFrame) -> DataFrame:

@@ -12,7 +12,6 @@ from pyspark.sql import types as T
 from voxelmill.operators import kernels as K
 from voxelmill.operators import regions as R
 from voxelmill.operators import stencil as S
-from voxelmill.operators.components import connected_components
 from voxelmill.operators.filters import sample_seeds
 from voxelmill.operators.numbering import group_quantiles, number_keys
 from voxelmill.session import checkpoint, materialize
@@ -66,15 +65,12 @@ def split_labels(vox: DataFrame) -> DataFrame:
     # a voxel's number: its dataset's, then its place in the widest grid
     numbers = number_keys(vox.select(*BY), "dataset_no")
     own = vox.filter("label > 0").join(numbers, list(BY)).withColumn("lin", (F.col("dataset_no").cast("long") - 1) * (z * y * x) + R.linear((z, y, x)))
-    own = materialize(own.drop("dataset_no"), "voxels-numbered")
-    pairs = S.neighbours(own, S.halved(), ["label", "lin"], by=BY, keep=S.same_label, select=["lin", "n_lin"])
-    found = connected_components(pairs.select(F.col("lin").alias("a"), F.col("n_lin").alias("b")))
-    parts = own.join(found, own["lin"] == found["node"], "left").withColumn("component", F.coalesce("component", "lin")).drop("node", "lin")
+    parts = R.joined_parts(own.drop("dataset_no"), S.halved(), BY).drop("lin")
     order = number_keys(parts.select(*BY, "label", "component"), "n")
     # the numbers run over all datasets: each one's begin after its least
     first = order.groupBy(*BY).agg((F.min("n") - 1).alias("first"))
     order = order.join(first, list(BY)).select(*BY, "label", "component", (F.col("n") - F.col("first")).alias("new"))
-    return parts.join(order, [*BY, "label", "component"]).withColumn("label", F.col("new").cast("int")).drop("component", "new")
+    return parts.join(order.hint("merge"), [*BY, "label", "component"]).withColumn("label", F.col("new").cast("int")).drop("component", "new")
 
 
 @F.pandas_udf(T.StructType([T.StructField("df", T.DoubleType()), T.StructField("scale", T.DoubleType())]))
@@ -123,8 +119,8 @@ def segment(vox: DataFrame, parameters: Parameters | None = None, registry: Data
     markers = seeds.filter("label > 0").groupBy(*BY).agg(F.countDistinct("label").alias("n_markers"), F.count(F.lit(1)).alias("marker_voxels"))
     sound = scaled.join(filled.filter("error is not null").select(*BY), key, "left_anti")
     kam = S.kam(sound, p.kam_size, p.channels, by=BY).select(*BY, *S.COORDS, "kam")
-    grown = materialize(K.watershed(checkpoint(kam.join(seeds, [*BY, *S.COORDS])), "kam", errors=True), "grown")
-    labelled = materialize(split_labels(grown.filter("error is null").drop("error").join(scaled, [*BY, *S.COORDS])), "segmented")
+    grown = materialize(K.watershed(checkpoint(kam.join(seeds.hint("merge"), [*BY, *S.COORDS])), "kam", errors=True), "grown")
+    labelled = materialize(split_labels(grown.filter("error is null").drop("error").join(scaled.hint("merge"), [*BY, *S.COORDS])), "segmented")
     cells, edges = R.cell_table(labelled, p.channels, by=BY), R.neighbour_table(labelled, p.channels, by=BY)
     failed = vox.select(*BY).distinct().join(scaled.select(*BY).distinct(), key, "left_anti").join(inside.select(*BY, F.lit(True).alias("some")).distinct(), key, "left")
     failures = failed.select(*BY, F.when(F.col("some"), "a channel has no spread").otherwise("no voxel in the mask").alias("error"))
