@@ -2,9 +2,11 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from voxelmill.operators import regions as R
 from voxelmill.operators import stencil as S
+from voxelmill.sources.lattice import lattice_v
 
 
 @pytest.mark.parametrize("tile", [4, 32])
@@ -33,3 +35,8 @@ def test_parts_of_tiles(spark, monkeypatch, tile):
                         stack.append(to)
     assert got == {tuple(map(int, k)): v for k, v in want.items()}
     assert rounds[0] == 0 if tile == 32 else 0 < rounds[0] < 3 * label.size
+
+
+def test_the_clock_has_a_fraction(spark, sf):
+    c1 = lattice_v(spark, sf, clock=True).agg(F.max(F.abs(F.col("c1") - F.floor("c1"))).alias("m"), F.countDistinct("c1").alias("n")).first()
+    assert c1["m"] > 0.5 and c1["n"] > 100

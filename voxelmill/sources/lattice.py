@@ -21,12 +21,14 @@ def lattice_e(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def lattice_v(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """50 x 50 planes from ``events``: value and hour as channels, errors outside the mask, users in three labels."""
+def lattice_v(spark: SparkSession, sf_dir: str, clock: bool = False) -> DataFrame:
+    """50 x 50 planes from ``events``: value and hour as channels, errors outside the mask, users in three labels.
+
+    With ``clock`` the second channel is the time of day in hours with its fraction: it varies however short a plane's time is."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     return e.select(
         F.expr("event_id div 2500").cast("int").alias("z"), F.expr("event_id div 50 % 50").cast("int").alias("y"), (F.col("event_id") % 50).cast("int").alias("x"),
-        F.col("value").cast("double").alias("c0"), F.hour("ts").cast("double").alias("c1"), (F.col("event_type") != "error").alias("mask"), (F.col("user_id") % 3).cast("int").alias("label"),
+        F.col("value").cast("double").alias("c0"), (F.expr("hour(ts) + minute(ts) / 60D + extract(second from ts) / 3600D") if clock else F.hour("ts")).cast("double").alias("c1"), (F.col("event_type") != "error").alias("mask"), (F.col("user_id") % 3).cast("int").alias("label"),
     )
 
 
