@@ -40,3 +40,15 @@ def test_parts_of_tiles(spark, monkeypatch, tile):
 def test_the_clock_has_a_fraction(spark, sf):
     c1 = lattice_v(spark, sf, clock=True).agg(F.max(F.abs(F.col("c1") - F.floor("c1"))).alias("m"), F.countDistinct("c1").alias("n")).first()
     assert c1["m"] > 0.5 and c1["n"] > 100
+
+
+def test_queue_over_a_frame():
+    """The flood by a queue at the faces of a volume, with places outside the mask and equal heights."""
+    from voxelmill.operators import kernels as K
+
+    height, markers = np.zeros((1, 3, 4)), np.zeros((1, 3, 4), np.int32)
+    markers[0, 0, 0], markers[0, 2, 3] = 1, 2
+    mask = np.ones(height.shape, bool)
+    mask[0, 1, 1:3] = False
+    got = K.priority_flood(height, markers, mask)
+    assert got.dtype == np.int32 and got[0].tolist() == [[1, 1, 1, 2], [1, 0, 0, 2], [1, 2, 2, 2]]

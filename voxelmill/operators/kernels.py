@@ -225,20 +225,24 @@ def core_components(vox: DataFrame, offsets, local: float, tolerance: float, sha
 
 def priority_flood(feature: np.ndarray, markers: np.ndarray, mask: np.ndarray) -> np.ndarray:
     """Watershed from markers over 6-neighbours: lowest feature first, ties by age."""
-    out, heap, age = markers.copy(), [], 0
-    for at in map(tuple, np.argwhere((markers > 0) & mask)):
-        heap.append((feature[at], age, at))
-        age += 1
+    wide = lambda a: np.pad(a, 1).ravel().tolist()
+    # plain lists over a frame outside the mask, which Python reads faster than arrays
+    shape = tuple(n + 2 for n in markers.shape)
+    steps = [(o[0] * shape[1] + o[1]) * shape[2] + o[2] for o in NEAR6]
+    out, height, open_ = wide(markers), wide(feature), wide(mask & (markers == 0))
+    heap = [(height[p], age, p) for age, p in enumerate(np.flatnonzero(np.pad((markers > 0) & mask, 1)).tolist())]
+    age = len(heap)
     heapq.heapify(heap)
     while heap:
         _, _, at = heapq.heappop(heap)
-        for o in NEAR6:
-            to = (at[0] + o[0], at[1] + o[1], at[2] + o[2])
-            if all(0 <= c < n for c, n in zip(to, out.shape)) and mask[to] and out[to] == 0:
+        for step in steps:
+            to = at + step
+            if open_[to]:
+                open_[to] = False
                 out[to] = out[at]
-                heapq.heappush(heap, (feature[to], age, to))
+                heapq.heappush(heap, (height[to], age, to))
                 age += 1
-    return out
+    return np.array(out, markers.dtype).reshape(shape)[1:-1, 1:-1, 1:-1]
 
 
 def watershed(vox: DataFrame, feature: str = "c0", errors: bool = False) -> DataFrame:
