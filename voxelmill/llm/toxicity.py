@@ -9,7 +9,8 @@ toxicity of a place (``soothing_places``): a word that tells nothing alone may w
 weight and no factors, so the many unrelated words of a long text add nothing.
 
 Training: stochastic gradients with per-place step sizes on at most ``MAX_ROWS`` labelled texts, the first in the order
-of a hash of their doc_id (the bound is for the driver's memory; scoring covers every text). Nothing but the text enters
+of a hash of their doc_id (the bound is for the driver's memory; scoring covers every text). Places are counted on
+Spark first; those that can't come into the machine, most of them, stay with the tasks. Nothing but the text enters
 a score. Without labels of both kinds the score is the share of toxic labels (0 without any).
 
 Null and empty texts have no terms and get the score of the bias. Repeated rows get equal scores; labels that are
@@ -27,6 +28,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voxelmill.session import materialize
+
 SLOTS, PREFIXES, STEM, MIN_TEXTS, MAX_ROWS, FACTORS, MIN_EVIDENCE = 1 << 20, (4, 5, 6), 5, 3, 12_000, 8, 8.0
 TABLE_WORDS = 300_000
 _WORDS = re.compile(r"\w+").findall
@@ -222,6 +225,14 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def eligible(n: np.ndarray, toxic: np.ndarray, bad: int, total: int) -> np.ndarray:
+    """Which places ``fit`` can take in, or searches pairs by: those of evidence, and the even ones, all in ``MIN_TEXTS`` texts. ``n`` and
+    ``toxic`` count every place's texts, ``total`` and ``bad`` all texts; the machine is the same without the other places."""
+    if not 0 < bad < total:
+        return np.zeros(len(n), bool)
+    return (n >= MIN_TEXTS) & ((np.arange(len(n)) % 2 == 0) | (_evidence(toxic, n, bad, total) >= MIN_EVIDENCE))
+
+
 def train(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = MAX_ROWS) -> Machine:
     """Fit on at most ``max_rows`` labelled rows of ``df`` outside the held-out fold."""
     known = labels.select(F.col(doc_id).alias("id"), F.col(label).alias("y")).dropna().filter(~held_out(F.col("id")))
@@ -235,7 +246,32 @@ def train(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
 
     # at most max_rows ids go to every task
     rows = df.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(picked), "id").select(F.xxhash64("id").alias("at"), "y", "text").mapInArrow(places, "at long, y int, places binary")
-    got = rows.distinct().orderBy("at", "places", "y").limit(max_rows).toArrow()
+    chosen = materialize(rows.distinct().orderBy("at", "places", "y").limit(max_rows), "toxicity-places")
+
+    def counts(batches):
+        n, toxic = np.zeros(SLOTS, np.int64), np.zeros(SLOTS, np.int64)
+        for b in batches:
+            for p, y in zip(b["places"], b["y"].to_pylist()):
+                own = np.frombuffer(p.as_buffer(), "<i4")
+                n[own] += 1
+                toxic[own] += y
+        at = np.flatnonzero(n)
+        yield pa.record_batch({"place": pa.array(at.astype(np.int32)), "n": n[at], "toxic": toxic[at]})
+
+    counted = chosen.select("y", "places").mapInArrow(counts, "place int, n long, toxic long").groupBy("place").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic")).filter(F.col("n") >= MIN_TEXTS)
+    found = counted.toArrow()  # at most SLOTS rows
+    n, toxic = np.zeros(SLOTS, np.int64), np.zeros(SLOTS, np.int64)
+    n[found["place"].to_numpy()], toxic[found["place"].to_numpy()] = found["n"].to_numpy(), found["toxic"].to_numpy()
+    total, bad = chosen.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0))).first()
+    wanted = df.sparkSession.sparkContext.broadcast(np.packbits(eligible(n, toxic, bad, total)))
+
+    def kept(batches):
+        use = np.unpackbits(wanted.value).astype(bool)
+        for b in batches:
+            sets = (np.frombuffer(p.as_buffer(), "<i4") for p in b["places"])
+            yield pa.record_batch({"y": b["y"], "places": pa.array([p[use[p]].tobytes() for p in sets], pa.binary())})
+
+    got = chosen.orderBy("at", "places", "y").select("y", "places").mapInArrow(kept, "y int, places binary").toArrow()
     return fit([np.frombuffer(p.as_buffer(), "<i4") for p in got["places"]], got["y"].to_numpy().astype(np.float64))
 
 
