@@ -45,6 +45,28 @@ def test_refine_shift_finds_a_known_shift(spark):
     assert H.refine_shift(ref.limit(0), mov, (0, 0, 0), feature="c0").count() == 0
 
 
+def test_refine_shift_settles_a_volume_of_one_tile_in_it(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = [(t, z, y, x, float(rng.integers(9)), float("nan") if rng.random() < 0.05 else float(rng.normal()), bool(rng.random() < 0.9)) for t in range(3) for z in range(2) for y in range(9) for x in range(11 - t)]
+    ref = spark.createDataFrame(rows, "t int, z int, y int, x int, c0 double, c1 double, mask boolean")
+    mov = ref.withColumn("t", ref["t"] - 1)
+    made, keep = {}, H.materialize
+    monkeypatch.setattr(H, "materialize", lambda df, name: made.setdefault(name, keep(df, name)))
+    score = lambda **k: {tuple(r[:4]): r[4:] for r in H.refine_shift(ref, mov, (1, 1, 2), by=("t",), feature="c0", min_voxels=20, **k).collect()}
+    one = score()
+    # a row a trial leaves the tile, without counts of distances
+    assert made["trial-moments"].count() == 2 * 45 and made["trial-moments"].filter("code is not null").count() == 0 and "trial-beginnings" not in made
+    made.clear()
+    many = score(tile=(1, 4, 4))
+    assert made["trial-beginnings"].count() > 0
+    assert one.keys() == many.keys() and len(one) == 2 * 45
+    for k, a in one.items():
+        assert a[0] == many[k][0] and a[2] == many[k][2] and a[4] == many[k][4] and np.allclose([a[1], a[3]], [many[k][1], many[k][3]], atol=1e-12)
+    # volumes of one tile beside those of several: the third's box alone is small
+    mixed = score(tile=(2, 9, 10))
+    assert made and one.keys() == mixed.keys() and all(a[2] == mixed[k][2] and a[4] == mixed[k][4] for k, a in one.items())
+
+
 def test_contacts_and_registration_feature(spark):
     vox, _, label, mask = table(spark)
     feature = {(r.z, r.y, r.x): r.feature for r in L.registration_feature(vox).collect()}

@@ -17,6 +17,8 @@ from voxelmill.session import materialize
 Offset = tuple[int, int, int]
 #: Leading bits of a distance that the first pass counts by: sign, exponent and six more.
 BITS = 18
+#: Sides of the tiles that trials are scored in.
+TRIAL_TILE = (32, 64, 64)
 
 
 def correlate(ref: np.ndarray, mov: np.ndarray, phase: bool = True) -> tuple[tuple[int, ...], float]:
@@ -78,16 +80,16 @@ def trial_steps(radius: Offset = (1, 4, 8), step: int = 1) -> list[Offset]:
     return [(0, 0, 0), *(o for o in around if any(o))]
 
 
-def refine_shift(ref: DataFrame, mov: DataFrame, radius: Offset = (1, 4, 8), step: int = 1, initial: DataFrame | None = None, by: tuple[str, ...] = (), feature: str = "feature", channels: tuple[str, ...] = ("c0", "c1"), min_voxels: int = 100) -> DataFrame:
+def refine_shift(ref: DataFrame, mov: DataFrame, radius: Offset = (1, 4, 8), step: int = 1, initial: DataFrame | None = None, by: tuple[str, ...] = (), feature: str = "feature", channels: tuple[str, ...] = ("c0", "c1"), min_voxels: int = 100, tile: Offset = TRIAL_TILE) -> DataFrame:
     """Scores of all trial shifts of ``mov`` onto ``ref`` (its coordinate plus the shift is that of ``ref``), for each pair of volumes ``by``.
 
     Trials lie about ``initial`` (``by, dz, dy, dx``; none: about no shift). The score is the features' correlation, less 0.75 of the
     median distance of the channels, plus 0.25 of the overlap's share of ``ref``; trials under ``min_voxels`` common voxels are
     left out. ``best`` marks the greatest score, ties the initial shift, then the earlier trial.
 
-    No row per voxel and trial leaves a tile: voxels and neighbours are slices of dense arrays. Moments are summed there; the
-    exact median takes two passes, the first of which counts distances by their leading bits, the second the values of those alone
-    that begin like the median (about one in a hundred and fifty)."""
+    No row per voxel and trial leaves a tile: voxels and neighbours are slices of dense arrays. Moments are summed there. A ``ref`` that
+    lies in one tile has its median there too, so a row a trial leaves it; for others the exact median takes two passes, the first of which
+    counts distances by their leading bits, the second the values of those alone that begin like the median (about one in a hundred and fifty)."""
     key = list(by) or ["_all"]
     if not by:
         ref, mov = ref.withColumn("_all", F.lit(0)), mov.withColumn("_all", F.lit(0))
@@ -96,10 +98,16 @@ def refine_shift(ref: DataFrame, mov: DataFrame, radius: Offset = (1, 4, 8), ste
     own = lambda d: d.select(*key, *COORDS, *(F.col(c).cast("double").alias(c) for c in carry))
     fixed, moved = own(ref.filter("mask")), own(mov.filter("mask"))
     if initial is not None:
-        starts = initial.select(*key, *(F.col(f"d{c}").alias(f"_d{c}") for c in COORDS))
+        starts = materialize(initial.select(*key, *(F.col(f"d{c}").alias(f"_d{c}") for c in COORDS)), "trial-starts")
         moved = moved.join(starts, key).withColumns({c: (F.col(c) + F.col(f"_d{c}")).cast("int") for c in COORDS}).drop(*(f"_d{c}" for c in COORDS))
     reach = [max(abs(t[k]) for t in trials) for k in range(3)]
-    dealt = materialize(_dealt(fixed, reach, carry, moved, tuple(key)), "trial-tiles")
+    homes = [F.floor(F.col(c) / size).cast("int") for c, size in zip(COORDS, tile)]
+    bounds = materialize(fixed.groupBy(*key).agg(F.count(F.lit(1)).alias("total"), *(f(x).alias(f"_{n}{t}") for x, t in zip(homes, TILES) for f, n in ((F.min, "min"), (F.max, "max")))), "trial-bounds")
+    alone, held = F.lit(True), F.lit(True)  # a ref of one tile; tiles that can hold a voxel of it
+    for t in TILES:
+        alone, held = alone & (F.col(f"_min{t}") == F.col(f"_max{t}")), held & F.col(t).between(F.col(f"_min{t}"), F.col(f"_max{t}"))
+    dealt = _dealt(fixed, reach, carry, moved, tuple(key), tile).join(bounds, key).filter(held).withColumn("_alone", alone)
+    dealt = materialize(dealt.drop("total", *(f"_{n}{t}" for t in TILES for n in ("min", "max"))), "trial-tiles")
     about = fixed.agg(F.avg(feature)).first()[0] or 0.0  # sums about a middle value lose no digits
     kinds = dealt.schema
 
@@ -129,63 +137,79 @@ def refine_shift(ref: DataFrame, mov: DataFrame, radius: Offset = (1, 4, 8), ste
                 d = np.sqrt(sum((x[c] - y[c]) ** 2 for c in channels))
                 yield k, x[feature], y[feature], d[~np.isnan(d)].view(np.int64)
 
+    def median(bits: np.ndarray) -> float | None:
+        if not len(bits):
+            return None
+        ends = [(len(bits) - 1) // 2, len(bits) // 2]
+        low, high = np.partition(bits, ends)[ends].view(np.float64).tolist()
+        return (low + high) / 2
+
     def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tile, out = pa.Table.from_batches(list(batches)), []
+        whole = tile["_alone"][0].as_py()
         for k, a, b, bits in parts(tile):
-            code, n = np.unique(bits >> (64 - BITS), return_counts=True)
-            out.append((k, len(a), a.sum(), b.sum(), a @ a, b @ b, a @ b, code.tolist(), n.tolist()))
+            code, n = (None, None) if whole else (x.tolist() for x in np.unique(bits >> (64 - BITS), return_counts=True))
+            out.append((k, len(a), a.sum(), b.sum(), a @ a, b @ b, a @ b, code, n, median(bits) if whole else None))
         if out:
-            names = ["k", "n", "a", "b", "aa", "bb", "ab", "code", "c"]
-            types = [pa.int32(), pa.int64(), *[pa.float64()] * 5, pa.list_(pa.int64()), pa.list_(pa.int64())]
+            names = ["k", "n", "a", "b", "aa", "bb", "ab", "code", "c", "apart"]
+            types = [pa.int32(), pa.int64(), *[pa.float64()] * 5, pa.list_(pa.int64()), pa.list_(pa.int64()), pa.float64()]
             first = [pa.array([tile[c][0].as_py()] * len(out), tile.schema.field(c).type) for c in key]
             yield pa.RecordBatch.from_arrays([*first, *(pa.array(list(x), t) for x, t in zip(zip(*out), types))], [*key, *names])
 
     names = ", ".join(f"`{c}` {kinds[c].dataType.simpleString()}" for c in key)
-    first = materialize(dealt.groupBy(*key, *TILES).applyInArrow(moments, f"{names}, k int, n long, a double, b double, aa double, bb double, ab double, code array<long>, c array<long>"), "trial-moments")
+    first = materialize(dealt.groupBy(*key, *TILES).applyInArrow(moments, f"{names}, k int, n long, a double, b double, aa double, bb double, ab double, code array<long>, c array<long>, apart double"), "trial-moments")
     n, mean = F.sum("n"), lambda c: F.sum(c) / F.sum("n")
     covar = mean("ab") - mean("a") * mean("b")
     dev = lambda c: F.sqrt(F.greatest(mean(c + c) - mean(c) ** 2, F.lit(0.0)))
-    sums = first.groupBy(*key, "k").agg(n.alias("n"), (covar / (dev("a") * dev("b") + 1e-8)).alias("corr"))
-
-    counts = first.select(*key, "k", F.explode(F.arrays_zip("code", "c")).alias("o")).groupBy(*key, "k", F.col("o.code").alias("code")).agg(F.sum("o.c").alias("c"))
-    total = F.sum("c").over(Window.partitionBy(*key, "k"))
-    ends = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.floor((F.col("total") - 1) / 2).alias("rank")), F.struct(F.lit(1).alias("side"), F.ceil((F.col("total") - 1) / 2).alias("rank"))))
-    wanted = counts.withColumn("total", total).withColumn("e", ends).select(*key, "k", "code", "c", F.col("e.side").alias("side"), F.col("e.rank").alias("rank"))
-    wanted = wanted.withColumn("value", F.lit(None).cast("double"))
-
-    def settled(rows: DataFrame, name: str) -> DataFrame:
-        """The code that holds each wanted place, and the place among its own."""
-        upto = F.sum("c").over(Window.partitionBy(*key, "k", "side").orderBy("code"))  # of one trial
-        found = rows.withColumn("upto", upto).filter((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("c")))
-        return materialize(found.select(*key, "k", "side", "code", (F.col("rank") - F.col("upto") + F.col("c")).alias("rank"), "value"), name)
-
-    wanted = settled(wanted, "trial-beginnings")
-    tiles = dealt.select(*(F.col(c).alias(c) for c in (*key, *TILES))).distinct()  # columns of its own beside those of dealt
-    def values(tile: pa.Table, want: pa.Table) -> pa.Table:
-        """Counts of the whole distances that begin like a wanted place's."""
-        codes, out = {}, ([], [], [], [])
-        for w in want["asked"][0].as_py() if len(want) else []:
-            codes.setdefault(w["k"], []).append(w["code"])
-        for k, _, _, bits in parts(tile) if codes and len(tile) else []:
-            begin = bits >> (64 - BITS)
-            own = bits[np.logical_or.reduce([begin == c for c in codes.get(k, [-1])])]
-            if len(own):
-                code, c = np.unique(own, return_counts=True)
-                for x, y in zip(out, (np.full(len(code), k), code, c, code.view(np.float64))):
-                    x.append(y)
-        flat = [np.concatenate(x) if x else np.zeros(0, t) for x, t in zip(out, (np.int64, np.int64, np.int64, np.float64))]
-        source = tile if len(tile) else want
-        first = [pa.array([source[c][0].as_py()] * len(flat[0]), source.schema.field(c).type) for c in key]
-        return pa.table([*first, pa.array(flat[0].astype(np.int32)), *map(pa.array, flat[1:])], names=[*key, "k", "code", "c", "value"])
-
-    asked = tiles.join(wanted.groupBy(*key).agg(F.collect_set(F.struct("k", "code")).alias("asked")), key)  # two codes a trial
-    found = dealt.groupBy(*key, *TILES).cogroup(asked.groupBy(*key, *TILES)).applyInArrow(values, f"{names}, k int, code long, c long, value double")
-    found = found.groupBy(*key, "k", "code").agg(F.sum("c").alias("c"), F.min("value").alias("value")).withColumn("above", F.shiftright("code", 64 - BITS))
-    wanted = settled(found.join(wanted.select(*key, "k", "side", "rank", F.col("code").alias("above")), [*key, "k", "above"]), "trial-middles")
-    middle = wanted.groupBy(*key, "k").agg(F.avg("value").alias("apart"))
+    sums = first.groupBy(*key, "k").agg(n.alias("n"), (covar / (dev("a") * dev("b") + 1e-8)).alias("corr"), F.max("apart").alias("apart"))
+
+    def medians(spread: DataFrame, wide: DataFrame) -> DataFrame:
+        """Of volumes that lie in several tiles, by the tiles' counts."""
+        counts = spread.select(*key, "k", F.explode(F.arrays_zip("code", "c")).alias("o")).groupBy(*key, "k", F.col("o.code").alias("code")).agg(F.sum("o.c").alias("c"))
+        total = F.sum("c").over(Window.partitionBy(*key, "k"))
+        ends = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.floor((F.col("total") - 1) / 2).alias("rank")), F.struct(F.lit(1).alias("side"), F.ceil((F.col("total") - 1) / 2).alias("rank"))))
+        wanted = counts.withColumn("total", total).withColumn("e", ends).select(*key, "k", "code", "c", F.col("e.side").alias("side"), F.col("e.rank").alias("rank"))
+        wanted = wanted.withColumn("value", F.lit(None).cast("double"))
+
+        def settled(rows: DataFrame, name: str) -> DataFrame:
+            """The code that holds each wanted place, and the place among its own."""
+            upto = F.sum("c").over(Window.partitionBy(*key, "k", "side").orderBy("code"))  # of one trial
+            found = rows.withColumn("upto", upto).filter((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("c")))
+            return materialize(found.select(*key, "k", "side", "code", (F.col("rank") - F.col("upto") + F.col("c")).alias("rank"), "value"), name)
+
+        wanted = settled(wanted, "trial-beginnings")
+        tiles = wide.select(*(F.col(c).alias(c) for c in (*key, *TILES))).distinct()  # columns of its own beside those of wide
+
+        def values(tile: pa.Table, want: pa.Table) -> pa.Table:
+            """Counts of the whole distances that begin like a wanted place's."""
+            codes, out = {}, ([], [], [], [])
+            for w in want["asked"][0].as_py() if len(want) else []:
+                codes.setdefault(w["k"], []).append(w["code"])
+            for k, _, _, bits in parts(tile) if codes and len(tile) else []:
+                begin = bits >> (64 - BITS)
+                own = bits[np.logical_or.reduce([begin == c for c in codes.get(k, [-1])])]
+                if len(own):
+                    code, c = np.unique(own, return_counts=True)
+                    for x, y in zip(out, (np.full(len(code), k), code, c, code.view(np.float64))):
+                        x.append(y)
+            flat = [np.concatenate(x) if x else np.zeros(0, t) for x, t in zip(out, (np.int64, np.int64, np.int64, np.float64))]
+            source = tile if len(tile) else want
+            begun = [pa.array([source[c][0].as_py()] * len(flat[0]), source.schema.field(c).type) for c in key]
+            return pa.table([*begun, pa.array(flat[0].astype(np.int32)), *map(pa.array, flat[1:])], names=[*key, "k", "code", "c", "value"])
+
+        asked = tiles.join(wanted.groupBy(*key).agg(F.collect_set(F.struct("k", "code")).alias("asked")), key)  # two codes a trial
+        found = wide.groupBy(*key, *TILES).cogroup(asked.groupBy(*key, *TILES)).applyInArrow(values, f"{names}, k int, code long, c long, value double")
+        found = found.groupBy(*key, "k", "code").agg(F.sum("c").alias("c"), F.min("value").alias("value")).withColumn("above", F.shiftright("code", 64 - BITS))
+        wanted = settled(found.join(wanted.select(*key, "k", "side", "rank", F.col("code").alias("above")), [*key, "k", "above"]), "trial-middles")
+        return wanted.groupBy(*key, "k").agg(F.avg("value").alias("apart"))
+
+    spread = first.filter("code is not null")
+    if not spread.isEmpty():
+        more = medians(spread, dealt.filter(~F.col("_alone"))).withColumnRenamed("apart", "middle")
+        sums = sums.join(more, [*key, "k"], "left").withColumn("apart", F.coalesce("apart", "middle")).drop("middle")
 
     places = ref.sparkSession.createDataFrame([(k, *t) for k, t in enumerate(trials)], "k int, sz int, sy int, sx int")
-    out = sums.filter(F.col("n") >= min_voxels).join(middle, [*key, "k"], "left").join(F.broadcast(places), "k").join(fixed.groupBy(*key).agg(F.count(F.lit(1)).alias("total")), key)
+    out = sums.filter(F.col("n") >= min_voxels).join(F.broadcast(places), "k").join(bounds.select(*key, "total"), key)
     if initial is not None:
         out = out.join(starts, key)
     moved_by = {f"shift_{c}": (F.col(f"s{c}") + (F.col(f"_d{c}") if initial is not None else 0)).cast("int") for c in COORDS}
